@@ -151,9 +151,23 @@ def _step(p: dict, ids: np.ndarray, place: np.ndarray, y: np.ndarray, weight: np
     return logit, g
 
 
-def train(texts: list[str], y: np.ndarray, epochs: int = 10, batch: int = 256, rate: float = 0.01, seed: int = 3, most_windows: int = 24) -> Network:
-    """A network from labelled texts. Windows take their text's label; from the third epoch on, only
-    those windows of a toxic text count as toxic that score highest (half of them, one at least).
+def evidence(ids: np.ndarray, counts: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each bucket: signed root of twice the log-likelihood ratio of its presence in toxic texts
+    against the others. Rare buckets stay near zero."""
+    of = np.repeat(np.arange(len(y)), counts)
+    seen = np.unique(np.repeat(of, KINDS).astype(np.int64) * (KINDS * BUCKETS) + ids.ravel())
+    n1 = np.bincount((seen % (KINDS * BUCKETS))[y[seen // (KINDS * BUCKETS)] == 1], minlength=KINDS * BUCKETS).astype(float)
+    n = np.bincount(seen % (KINDS * BUCKETS), minlength=KINDS * BUCKETS).astype(float)
+    share = y.mean()
+    part = lambda a, b: a * np.log(np.maximum(a, 1e-9) / np.maximum(b, 1e-9))
+    ratio = part(n1, n * share) + part(n - n1, n * (1 - share))
+    return np.sign(n1 - n * share) * np.sqrt(np.maximum(2 * ratio, 0))
+
+
+def train(texts: list[str], y: np.ndarray, steps: int = 700, batch: int = 256, rate: float = 0.01, drop: float = 0.15, seed: int = 3, most_windows: int = 24) -> Network:
+    """A network from labelled texts. One number of each embedding starts as its evidence; a share `drop`
+    of the words is hidden from each step. Windows take their text's label, but of a toxic text only those
+    that score highest are used (half of them, one at least).
     The last fifth of the texts sets slope and shift of a text's highest logit.
     """
     rng = np.random.default_rng(seed)
@@ -166,11 +180,14 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 10, batch: int = 256, r
     order = rng.permutation(len(texts))
     own = np.zeros(len(texts), bool)
     own[order[: max(1, len(texts) * 4 // 5)]] = True
+    start = evidence(ids[np.repeat(own, counts)], counts[own], y[own])
+    p["embed"][:, 0] = start = np.where(np.abs(start) < 3, 0, start) / max(1.0, np.abs(start).max()) * 2
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
     net, step = Network(p), 0
     nth = np.arange(len(text)) - np.searchsorted(text, text)
     chosen = own[text] & (nth < most_windows)
+    epochs = int(np.clip(steps * batch // max(1, chosen.sum()), 5, 30))
 
     def all_logits() -> np.ndarray:
         table = net.table()
@@ -179,20 +196,21 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 10, batch: int = 256, r
 
     for epoch in range(epochs):
         use = chosen.copy()
-        if epoch >= 2:
-            logit = all_logits()
-            rank = np.lexsort((-logit, text))
-            nth_best = np.empty(len(text), int)
-            nth_best[rank] = np.arange(len(text)) - np.searchsorted(text, text)
-            many = np.bincount(text)[text]
-            use &= (y[text] == 0) | (nth_best < np.maximum(1, many // 2))
+        # At first by the evidence of a window's words, then by the network.
+        logit = all_logits() if epoch >= 2 else np.append(start[ids].sum(axis=1), 0)[place].max(axis=1)
+        rank = np.lexsort((-logit, text))
+        nth_best = np.empty(len(text), int)
+        nth_best[rank] = np.arange(len(text)) - np.searchsorted(text, text)
+        many = np.bincount(text)[text]
+        use &= (y[text] == 0) | (nth_best < np.maximum(1, many // 2))
         rows = rng.permutation(np.flatnonzero(use))
         share = np.clip(y[text[rows]].mean(), 0.02, 0.98)
         for i in range(0, len(rows), batch):
             b = rows[i : i + batch]
             yy = y[text[b]].astype(np.float32)
             weight = np.where(yy == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-            _, g = _step(p, ids, place[b], yy, weight)
+            shown = np.where(rng.random(place[b].shape) < drop, -1, place[b])
+            _, g = _step(p, ids, shown, yy, weight)
             step += 1
             lr = rate * (1 - 0.8 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, v in g.items():
@@ -253,7 +271,7 @@ def _scores(doc_id: list, text: list, net) -> dict:
     return {"doc_id": doc_id, "score": score_texts(text, net.value, _TABLES[id(net)]).astype(float)}
 
 
-def sample(docs: DataFrame, labels: DataFrame, each: int = 2000, chars: int = 20_000) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, each: int = 1000, chars: int = 20_000) -> DataFrame:
     """The training sample (text, y): of each class at most `each` labelled rows outside the held-out
     fold, least by hash, and at most `chars` characters of a text. Its bound does not grow with the data."""
     y = labels.where("doc_id is not null and toxic in (0, 1)").where(~training_fold(3, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
