@@ -73,12 +73,13 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: bytes, length: int = 200, k: int = 80) -> dict[str, np.ndarray]:
     """The suffixes to index: key (of k bytes at the anchor), cls (of all that its windows
-    cover, with their place), start and n of the windows [start + i, start + i + length), i < n.
+    cover, with their place), start and n of the windows [start + i, start + i + length), i < n,
+    and at, the anchor's distance from start.
 
     Every window belongs to the leftmost least of its k-grams, which depends on its own
     bytes alone. Texts shorter than `length` have none.
     """
-    got: dict[str, list] = {"key": [], "cls": [], "start": [], "n": []}
+    got: dict[str, list] = {"key": [], "cls": [], "start": [], "n": [], "at": []}
     for at in range(0, len(data) - length + 1, SEGMENT):
         part = data[at : at + SEGMENT + length - 1]
         roll = Rolling(part)
@@ -93,6 +94,7 @@ def anchors(data: bytes, length: int = 200, k: int = 80) -> dict[str, np.ndarray
         got["cls"].append(_mix(whole + (anchor - start).astype(np.uint64) * _BASE + n.astype(np.uint64)).view(np.int64))
         got["start"].append(start + at)
         got["n"].append(n)
+        got["at"].append(anchor - start)
     return {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in got.items()}
 
 
@@ -101,7 +103,7 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _entries(k1: list, k2: list, text: list, length: int, k: int, batches: int) -> dict:
-    out: dict[str, list] = {c: [] for c in ("key", "cls", "start", "n")}
+    out: dict[str, list] = {c: [] for c in ("key", "cls", "start", "n", "at")}
     counts = []
     for t in text:
         a = anchors(_bytes(t), length, k)
@@ -113,23 +115,39 @@ def _entries(k1: list, k2: list, text: list, length: int, k: int, batches: int)
     k2s = np.array(k2, np.int64)
     return {
         "k1": np.repeat(np.array(k1, np.int64), many), "k2": np.repeat(k2s, many), "key": out["key"], "cls": out["cls"],
-        "start": out["start"].astype(np.int32), "n": out["n"].astype(np.int32), "batch": np.repeat((k2s % batches).astype(np.int32), many),
+        "start": out["start"].astype(np.int32), "n": out["n"].astype(np.int16), "at": out["at"].astype(np.int16), "batch": np.repeat((k2s % batches).astype(np.int32), many),
     }
 
 
-def _windows(k1: list, k2: list, text: list, marks: list, length: int) -> dict:
-    """Fingerprints of the single windows of the suffixes in marks (key, start, n, c)."""
-    got: dict[str, list] = {c: [] for c in ("k1", "k2", "key", "win", "start", "c")}
+def _bands(k1: list, k2: list, text: list, marks: list, length: int) -> dict:
+    """The windows of the suffixes in marks (key, start, n, at, c), eight by eight, by their distance
+    from the anchor. All windows of a band hold its core of length - 7 bytes; with `before` and
+    `after`, the seven bytes on either side, every window is known exactly. x from lo to hi is how many
+    of the bytes before the core the band's windows take; first is where the widest of them starts."""
+    got: dict[str, list] = {c: [] for c in ("k1", "k2", "key", "core", "before", "after", "lo", "hi", "first", "c")}
+    powers = 256 ** np.arange(6, -1, -1, dtype=np.int64)
+    seven = np.arange(7)
     for a, b, t, m in zip(k1, k2, text, marks, strict=True):
         data = _bytes(t)
         for x in m:
-            s, n = x["start"], x["n"]
-            roll = Rolling(data[s : s + n - 1 + length])
-            got["win"].append(roll.grams(length, n).view(np.int64))
+            s, n, at = x["start"], x["n"], x["at"]
+            j = np.arange((at - n + 1) // 8, at // 8 + 1)
+            low = max(0, s - 7)
+            part = data[low : s + n + length + 7]
+            roll = Rolling(part)
+            core = s + at - 8 * j - low
+            padded = np.concatenate([np.zeros(7, np.int64), np.frombuffer(part, np.uint8), np.zeros(length + 14, np.int64)])
+            got["core"].append(roll.of(core, core + length - 7).view(np.int64))
+            got["before"].append(padded[core[:, None] + seven] @ powers)
+            got["after"].append(padded[core[:, None] + length + seven] @ powers)
+            lo, hi = np.maximum(0, at - 8 * j - n + 1), np.minimum(7, at - 8 * j)
+            got["lo"].append(lo.astype(np.int16))
+            got["hi"].append(hi.astype(np.int16))
+            got["first"].append((core + low - hi).astype(np.int32))
             for c, v in (("k1", a), ("k2", b), ("key", x["key"]), ("c", x["c"])):
-                got[c].append(np.full(n, v, np.int64))
-            got["start"].append(np.arange(s, s + n, dtype=np.int32))
-    return {c: np.concatenate(v) if v else np.zeros(0, np.int32 if c == "start" else np.int64) for c, v in got.items()}
+                got[c].append(np.full(len(j), v, np.int64))
+    kinds = {"first": np.int32, "lo": np.int16, "hi": np.int16}
+    return {c: np.concatenate(v) if v else np.zeros(0, kinds.get(c, np.int64)) for c, v in got.items()}
 
 
 def merged(spans: list) -> list[list[int]]:
@@ -221,34 +239,45 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 80, batches: int
     path = shared_dir(spark)
     source = keyed(docs)
     map_columns(
-        source, _entries, "k1 bigint, k2 bigint, key bigint, cls bigint, start int, n int, batch int", length=length, k=k, batches=batches
+        source, _entries, "k1 bigint, k2 bigint, key bigint, cls bigint, start int, n smallint, at smallint, batch int", length=length, k=k, batches=batches
     ).write.partitionBy("batch").parquet(f"{path}/entries")
-    entries = spark.read.schema("k1 bigint, k2 bigint, key bigint, cls bigint, start int, n int, batch int").parquet(f"{path}/entries")
+    entries = spark.read.schema("k1 bigint, k2 bigint, key bigint, cls bigint, start int, n smallint, at smallint, batch int").parquet(f"{path}/entries")
     family = SuffixFamily(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hits = []
     for b in range(batches):
         hits += family.add(entries.where(F.col("batch") == b).select("key"))
     family.close()
     repeated = spark.read.schema("key bigint").parquet(*hits).distinct()
-    matched = stored(entries.select("k1", "k2", "key", "cls", "start", "n").join(repeated, "key", "left_semi"), f"{path}/matched")
+    matched = stored(entries.select("k1", "k2", "key", "cls", "start", "n", "at").join(repeated, "key", "left_semi"), f"{path}/matched")
     removed(spark, f"{path}/entries", *hits)
     # Whole classes that occur twice repeat as they stand.
-    classes = matched.groupBy("key", "cls").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start", "n")).alias("at"))
+    classes = matched.groupBy("key", "cls").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start", "n", "at")).alias("one"))
     classes = stored(classes, f"{path}/classes")
+    span = lambda first, last: (F.col(first).alias("s"), (last + length).cast("int").alias("e"))
     same = matched.join(classes.where("c > 1").select("key", "cls"), ["key", "cls"], "left_semi")
-    same = same.select("k1", "k2", F.col("start").alias("s"), (F.col("start") + F.col("n") - 1 + length).alias("e"))
-    # Where a key has several classes, their single windows are compared.
+    same = same.select("k1", "k2", *span("start", F.col("start") + F.col("n") - 1))
+    # Where a key has several classes, bands of their windows are compared, then single windows.
     several = classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    marks = classes.join(several, "key", "left_semi").select("at.k1", "at.k2", F.struct("key", "at.start", "at.n", "c").alias("mark"))
+    marks = classes.join(several, "key", "left_semi").select("one.k1", "one.k2", F.struct("key", "one.start", "one.n", "one.at", "c").alias("mark"))
     marks = marks.groupBy("k1", "k2").agg(F.collect_list("mark").alias("marks"))
     texts = source.join(marks, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    windows = map_columns(texts.select("k1", "k2", "text", "marks"), _windows, "k1 bigint, k2 bigint, key bigint, win bigint, start int, c bigint", length=length)
+    columns = "k1 bigint, k2 bigint, key bigint, core bigint, before bigint, after bigint, lo smallint, hi smallint, first int, c bigint"
+    bands = stored(map_columns(texts.select("k1", "k2", "text", "marks"), _bands, columns, length=length), f"{path}/bands")
+    whole = ["key", "core", "before", "after", "lo", "hi"]
+    alike = stored(bands.groupBy(*whole).agg(F.sum("c").alias("t"), F.min(F.struct("k1", "k2", "first")).alias("one")), f"{path}/alike")
+    banded = bands.where("c = 1").join(alike.where("t > 1").select(*whole), whole, "left_semi")
+    banded = banded.select("k1", "k2", *span("first", F.col("first") + F.col("hi") - F.col("lo")))
+    mixed = alike.groupBy("key", "core").agg(F.count("*").alias("m")).where("m > 1").select("key", "core")
+    windows = alike.join(mixed, ["key", "core"], "left_semi").withColumn("x", F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int"))))
+    windows = windows.select(
+        "key", "core", "x", F.expr("before & (shiftleft(1L, 8 * x) - 1)").alias("b"), F.expr("shiftright(after, 8 * x)").alias("a"),
+        "t", "one.k1", "one.k2", (F.col("one.first") + F.col("hi") - F.col("x")).alias("first"),
+    )
     windows = stored(windows, f"{path}/windows")
-    twice = windows.groupBy("key", "win").agg(F.sum("c").alias("t")).where("t > 1").select("key", "win")
-    single = windows.where("c = 1").join(twice, ["key", "win"], "left_semi")
-    single = single.select("k1", "k2", F.col("start").alias("s"), (F.col("start") + length).alias("e"))
-    # Runs of neighbouring windows become one span before they are gathered by document.
-    return same.unionByName(single).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    exact = ["key", "core", "x", "b", "a"]
+    twice = windows.groupBy(*exact).agg(F.sum("t").alias("s"), F.count("*").alias("g")).where("s > 1 and g > 1").select(*exact)
+    single = windows.where("t = 1").join(twice, exact, "left_semi").select("k1", "k2", *span("first", F.col("first")))
+    return same.unionByName(banded).unionByName(single).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def cut(docs: DataFrame, length: int = 200, k: int = 80, batches: int = 4) -> DataFrame:
