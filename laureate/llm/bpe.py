@@ -92,8 +92,9 @@ class Codec:
         """
         if text and len(text.split()) == 1 + text.count(" ") + text.count("\n"):
             out = text.replace("\n", " \n").split(" ")
-            out[0] = WHOLE + out[0]
-            return out
+            if "" not in out:  # else there is white space of other kinds, which made up for two in a row
+                out[0] = WHOLE + out[0]
+                return out
         return [WHOLE + x for x in _SPACED.findall(text)]
 
     def split(self, chunk: str) -> list[str]:

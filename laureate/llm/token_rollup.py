@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,9 @@ from .common import shared_dir, stored
 CHANGE = "seq bigint, op string, doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint"
 KEY = ["doc_id", "tokenizer"]
 GROUP = ["source", "lang", "tokenizer"]
+STATE = "doc_id bigint, tokenizer string, source string, lang string, n_tokens bigint"
+AFTER = "doc_id bigint, tokenizer string, was struct<source: string, lang: string, n_tokens: bigint>, now struct<source: string, lang: string, n_tokens: bigint>"
+TOTALS = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, n_batches bigint"
 
 
 class TokenRollup:
@@ -24,9 +28,21 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or shared_dir(spark)
-        self.version, self.done = -1, set()
-        self.state = spark.createDataFrame([], "doc_id bigint, tokenizer string, source string, lang string, n_tokens bigint")
-        self.totals = spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, n_batches bigint")
+        try:
+            ledger = spark.read.schema("version int, name string").parquet(f"{self.path}/ledger").collect()
+        except AnalysisException:  # no batch yet
+            ledger = []
+        self.version, self.done = max((r["version"] for r in ledger), default=-1), {r["name"] for r in ledger}
+        self._load()
+
+    def _load(self) -> None:
+        """State and totals of the last version in the ledger."""
+        if self.version < 0:
+            self.state, self.totals = self.spark.createDataFrame([], STATE), self.spark.createDataFrame([], TOTALS)
+            return
+        now = self.spark.read.schema(AFTER).parquet(f"{self.path}/state-{self.version}")
+        self.state = now.where("now is not null").select(*KEY, "now.*")
+        self.totals = self.spark.read.schema(TOTALS).parquet(f"{self.path}/totals-{self.version}")
 
     def commit(self, name: str, changes: DataFrame) -> bool:
         """Applies a batch; False if it was committed before."""
@@ -52,11 +68,12 @@ class TokenRollup:
             .agg(F.sum("sign").cast("bigint").alias("n_docs"), F.sum(F.col("sign") * F.col("x.n_tokens")).alias("n_tokens")).withColumn("n_batches", F.lit(1).cast("bigint"))
         )
         totals = self.totals.unionByName(deltas).groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_batches")])
-        # The written totals are the commit: only with them does the version count.
-        self.totals = stored(totals, f"{self.path}/totals-{v}")
-        self.state = after.where("now is not null").select(*KEY, "now.*")
+        totals.write.mode("overwrite").parquet(f"{self.path}/totals-{v}")
+        # The row in the ledger is the commit: without it the version is written again.
+        self.spark.createDataFrame([(v, name)], "version int, name string").coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
         self.version = v
         self.done.add(name)
+        self._load()
         return True
 
 
