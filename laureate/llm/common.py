@@ -87,16 +87,14 @@ def components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
     never meets in one task. Each round is written to the shared folder. Self-loops and nulls are left out.
     """
     spark = edges.sparkSession
-    at = stored(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{path}/cc-start"
-    )
-    before, last = None, f"{path}/cc-start"
+    at = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    before, last = None, []
     for i in range(rounds):
         where = f"{path}/cc-{i}"
         at = stored(_star(_star(at, True), False), where)
         state = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        removed(spark, last)
-        last = where
+        removed(spark, *last)
+        last = [where]
         if state == before:
             break
         before = state
