@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import map_columns
 
 #: Pieces and chunks that a task process remembers; beyond it starts anew. Speed only.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 #: A word is a row of ids. Each round unnests the pairs of neighbours with their position,
 #: joins the merge table, and contracts the least (rank, position); words without a pair stop.
@@ -61,7 +61,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.byte_id = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.known: dict[str, tuple[str, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         pairs = [
             (a, b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None
         ]
@@ -152,7 +152,7 @@ def codec(data: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _grouped(texts: list[str], most: int = 16_000_000):
+def _grouped(texts: list[str], most: int = 6_000_000):
     """Slices of about `most` characters."""
     at, size = 0, 0
     for i, t in enumerate(texts):
