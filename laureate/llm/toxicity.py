@@ -39,6 +39,24 @@ def inputs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.diff(np.concatenate([[0], np.searchsorted(start, bounds)]))
 
 
+def inputs_in_parts(texts: list[str | None], chars: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many texts, holding the hashes of a part at a time."""
+    got = [inputs(texts[s:e]) for s, e in parts_of(texts, chars)]
+    return np.concatenate([i for i, _ in got]), np.concatenate([c for _, c in got])
+
+
+def parts_of(texts: list[str | None], chars: int):
+    """Slices of about so many characters, of one text at least."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= chars):
+            size += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
+
+
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows of word places, of text): all overlapping windows; -1 pads, and a text without words has one empty window."""
     firsts = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(counts) else np.zeros(0, int)
@@ -188,7 +206,7 @@ def train(texts: list[str], y: np.ndarray, steps: int = 700, batch: int = 256, r
     p = {"embed": (rng.standard_normal((KINDS * BUCKETS, EMBED)) * 0.1).astype(np.float32), "a": cell(2 * HIDDEN, 2 * HIDDEN), "v": cell(2 * HIDDEN), "o": cell(2 * HIDDEN), "c": np.zeros(1, np.float32)}
     for d in (0, 1):
         p |= {f"w{d}": cell(EMBED, 3 * HIDDEN), f"u{d}": cell(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
-    ids, counts = inputs(texts)
+    ids, counts = inputs_in_parts(texts)
     place, text = windows(counts)
     order = rng.permutation(len(texts))
     own = np.zeros(len(texts), bool)
@@ -205,16 +223,21 @@ def train(texts: list[str], y: np.ndarray, steps: int = 700, batch: int = 256, r
 
     def logits_of(rows: np.ndarray) -> np.ndarray:
         table = net.table()
-        gates = np.concatenate([table[ids].sum(axis=1), table[-1:]])
         out = np.full(len(place), -1e9, np.float32)
-        for i in range(0, len(rows), 4096):
-            out[rows[i : i + 4096]] = net.logits(gates, place[rows[i : i + 4096]])
+        for i in range(0, len(rows), 1024):
+            p_ = place[rows[i : i + 1024]]
+            words = ids[p_.clip(0).ravel()]
+            gates = table[words[:, 0]]
+            for k in range(1, KINDS):
+                gates += table[words[:, k]]
+            own_place = np.where(p_ >= 0, np.arange(p_.size).reshape(p_.shape), -1)
+            out[rows[i : i + 1024]] = net.logits(gates, own_place)
         return out
 
     for epoch in range(epochs):
         use = chosen.copy()
         # At first by the evidence of a window's words, then by the network.
-        logit = logits_of(np.flatnonzero(y[text] == 1)) if epoch >= 2 else np.append(start[ids].sum(axis=1), 0)[place].max(axis=1)
+        logit = logits_of(np.flatnonzero(y[text] == 1)) if epoch >= 2 else np.append(sum(start[ids[:, k]] for k in range(KINDS)), np.float32(0))[place].max(axis=1)
         rank = np.lexsort((-logit, text))
         nth_best = np.empty(len(text), int)
         nth_best[rank] = np.arange(len(text)) - np.searchsorted(text, text)
@@ -264,12 +287,7 @@ _TABLES: dict[int, np.ndarray] = {}
 def score_texts(texts: list[str | None], net: Network, table: np.ndarray, chars: int = 1_000_000) -> np.ndarray:
     """A text's score: the calibrated chance of its highest window."""
     best = np.full(len(texts), -np.inf)
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or "") <= chars):
-            size += len(texts[end] or "")
-            end += 1
+    for at, end in parts_of(texts, chars):
         ids, counts = inputs(texts[at:end])
         gates = np.empty((len(ids) + 1, table.shape[1]), np.float32)
         np.add(table[ids[:, 0]], table[ids[:, 1]], out=gates[:-1])
@@ -278,7 +296,6 @@ def score_texts(texts: list[str | None], net: Network, table: np.ndarray, chars:
         place, text = windows(counts)
         for i in range(0, len(place), 2048):
             np.maximum.at(best, text[i : i + 2048] + at, net.logits(gates, place[i : i + 2048]))
-        at = end
     return _sigmoid(net.slope * best + net.shift)
 
 
