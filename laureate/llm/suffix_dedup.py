@@ -247,9 +247,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 80, batches: int
     for b in range(batches):
         hits += family.add(entries.where(F.col("batch") == b).select("key"))
     family.close()
-    repeated = spark.read.schema("key bigint").parquet(*hits).distinct()
+    # Key lists are written before they are joined: then a hot key's rows can be split over tasks.
+    repeated = stored(spark.read.schema("key bigint").parquet(*hits).distinct(), f"{path}/repeated")
     matched = stored(entries.select("k1", "k2", "key", "cls", "start", "n", "at").join(repeated, "key", "left_semi"), f"{path}/matched")
-    removed(spark, f"{path}/entries", *hits)
+    removed(spark, f"{path}/entries", f"{path}/repeated", *hits)
     # Whole classes that occur twice repeat as they stand.
     classes = matched.groupBy("key", "cls").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start", "n", "at")).alias("one"))
     classes = stored(classes, f"{path}/classes")
@@ -257,7 +258,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 80, batches: int
     same = matched.join(classes.where("c > 1").select("key", "cls"), ["key", "cls"], "left_semi")
     same = same.select("k1", "k2", *span("start", F.col("start") + F.col("n") - 1))
     # Where a key has several classes, bands of their windows are compared, then single windows.
-    several = classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    several = stored(classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), f"{path}/several")
     marks = classes.join(several, "key", "left_semi").select("one.k1", "one.k2", F.struct("key", "one.start", "one.n", "one.at", "c").alias("mark"))
     marks = marks.groupBy("k1", "k2").agg(F.collect_list("mark").alias("marks"))
     texts = source.join(marks, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
@@ -267,7 +268,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 80, batches: int
     alike = stored(bands.groupBy(*whole).agg(F.sum("c").alias("t"), F.min(F.struct("k1", "k2", "first")).alias("one")), f"{path}/alike")
     banded = bands.where("c = 1").join(alike.where("t > 1").select(*whole), whole, "left_semi")
     banded = banded.select("k1", "k2", *span("first", F.col("first") + F.col("hi") - F.col("lo")))
-    mixed = alike.groupBy("key", "core").agg(F.count("*").alias("m")).where("m > 1").select("key", "core")
+    mixed = stored(alike.groupBy("key", "core").agg(F.count("*").alias("m")).where("m > 1").select("key", "core"), f"{path}/mixed")
     windows = alike.join(mixed, ["key", "core"], "left_semi").withColumn("x", F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int"))))
     windows = windows.select(
         "key", "core", "x", F.expr("before & (shiftleft(1L, 8 * x) - 1)").alias("b"), F.expr("shiftright(after, 8 * x)").alias("a"),
@@ -276,6 +277,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 80, batches: int
     windows = stored(windows, f"{path}/windows")
     exact = ["key", "core", "x", "b", "a"]
     twice = windows.groupBy(*exact).agg(F.sum("t").alias("s"), F.count("*").alias("g")).where("s > 1 and g > 1").select(*exact)
+    twice = stored(twice, f"{path}/twice")
     single = windows.where("t = 1").join(twice, exact, "left_semi").select("k1", "k2", *span("first", F.col("first")))
     return same.unionByName(banded).unionByName(single).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
