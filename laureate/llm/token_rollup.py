@@ -48,17 +48,15 @@ class TokenRollup:
         """Applies a batch; False if it was committed before."""
         if name in self.done:
             return False
-        last = F.max_by(F.struct("op", "source", "lang", "n_tokens"), F.struct("seq", F.xxhash64("op", "source", "lang", "n_tokens"))).alias("new")
-        changed = changes.where("doc_id is not null and tokenizer is not null").groupBy(*KEY).agg(last)
+        # Of a document's changes in seq order count the last insert or delete, and the last count given.
+        order = F.struct("seq", F.xxhash64("op", "source", "lang", "n_tokens"))
+        kind = F.max_by("op", F.when(F.col("op").isin("insert", "delete"), order)).alias("kind")
+        new = F.max_by(F.struct("source", "lang", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), F.when(F.col("op").isin("insert", "revise"), order)).alias("new")
+        changed = changes.where("doc_id is not null and tokenizer is not null").groupBy(*KEY).agg(kind, new, F.lit(True).alias("touched"))
         old = self.state.withColumn("was", F.struct("source", "lang", "n_tokens")).select(*KEY, "was")
         both = old.join(changed, KEY, "full_outer")
-        there = F.col("was").isNotNull()
-        gone = F.col("new.op") == "delete"
-        now = (
-            F.when(F.col("new").isNull(), F.col("was"))
-            .when(gone | (~there & (F.col("new.op") != "insert")), F.lit(None))
-            .otherwise(F.struct("new.source", "new.lang", F.coalesce("new.n_tokens", F.lit(0)).alias("n_tokens")))
-        )
+        stays = F.coalesce(F.col("kind") == "insert", F.col("was").isNotNull())
+        now = F.when(F.col("touched").isNull(), F.col("was")).when(stays, F.coalesce("new", "was"))
         v = self.version + 1
         after = stored(both.withColumn("now", now).select(*KEY, "was", "now"), f"{self.path}/state-{v}")
         moved = after.where(~F.col("was").eqNullSafe(F.col("now")))
