@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import map_columns
 
 #: Pieces and chunks that a task process remembers; beyond it starts anew. Speed only.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 #: A word is a row of ids. Each round unnests the pairs of neighbours with their position,
 #: joins the merge table, and contracts the least (rank, position); words without a pair stop.
@@ -152,7 +152,7 @@ def codec(data: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _grouped(texts: list[str], most: int = 6_000_000):
+def _grouped(texts: list[str], most: int = 4_000_000):
     """Slices of about `most` characters."""
     at, size = 0, 0
     for i, t in enumerate(texts):
