@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints, tiled exact comparison, groups."""
+"""Near-duplicates: SimHash fingerprints, tiled exact comparison, groups; and groups by the Jaccard similarity of shingles."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, map_columns, shared_dir, stored
@@ -16,17 +16,24 @@ from .common import components, map_columns, shared_dir, stored
 BITS = 64
 
 
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """XXH64 values (seed 42) of a text's shingles, in order; none of a blank text, one of a text of fewer words."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    parts = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, max(1, len(w) - words + 1))
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """64 bits of a text: majority of the XXH64 values (seed 42) of its shingles, as a signed integer.
 
     Null, empty and blank texts have fingerprint 0; a text of fewer words is one shingle.
     """
-    w = (text or "").encode().lower().split()
-    if not w:
+    h = shingles(text, words)
+    n = len(h)
+    if not n:
         return 0
-    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    n = max(1, len(w) - words + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
     votes = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 15):  # a very long text costs no more memory
         part = h[at : at + (1 << 15)]
@@ -164,9 +171,112 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; rows without doc_id stay,
+#: Bands of so many minima each. A pair of similarity 0.8 shares none of them with chance (1 - 0.8 ** 6) ** 48 = 5e-7, a more similar one with less.
+BANDS, ROWS = 48, 6
+_MIX = np.random.default_rng(11)
+_A, _B = _MIX.integers(0, 1 << 31, (2, BANDS * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+_BAND = _MIX.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles, sorted; a blank text has one of its own, 0."""
+    h = np.unique(shingles(text, words))
+    return h if len(h) else np.zeros(1, np.uint64)
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key of each band: equal where all its minima are."""
+    x, least = (h >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    for at in range(0, len(x), 2048):
+        least = np.minimum(least, (_A * x[at : at + 2048] + _B).min(axis=1))
+    return (least.reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _sketches(k: list, doc_id: list, text: list, words: int) -> dict:
+    sets = [shingle_set(t, words) for t in text]
+    node = [xxhash.xxh64_intdigest(h.tobytes()) for h in sets]
+    return {"k": k, "doc_id": doc_id, "node": np.array(node, np.uint64).view(np.int64), "bands": [bands(h) for h in sets]}
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """A label of each set: the first of the sets reachable over pairs of at least that Jaccard similarity, all compared."""
+    size = np.array([len(h) for h in sets])
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    label, mark = np.arange(len(sets)), np.zeros(len(values), bool)
+    for i in range(len(sets) - 1):
+        own = at[start[i] : start[i] + size[i]]
+        mark[own] = True
+        both = np.add.reduceat(mark[at[start[i + 1] :]], start[i + 1 :] - start[i + 1], dtype=np.int64)
+        mark[own] = False
+        j = np.flatnonzero((1 + similarity) * both >= similarity * (size[i] + size[i + 1 :]) - 1e-6) + i + 1
+        label = joined_labels(label, np.full(len(j), i), j)
+    return label
+
+
+def _verify(words: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, node, text) come sorted by key; a key's rows may span batches."""
+        key, nodes, sets = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            label = similar(sets, similarity)
+            node = np.array(nodes, np.int64)
+            own = label != np.arange(len(node))
+            return pa.RecordBatch.from_pydict({"u": pa.array(node[own]), "v": pa.array(node[label[own]])})
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for k, node, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    if k != key:
+                        if len(sets) > 1:
+                            yield flush()
+                        key, nodes, sets = k, [], []
+                    nodes.append(node)
+                    sets.append(shingle_set(text, words))
+        if len(sets) > 1:
+            yield flush()
+
+    return run
+
+
+def row_key() -> Column:
+    """Rows that share it have the same doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = 512) -> DataFrame:
+    """(k, doc_id, component) of every row of docs; k is its row_key(). Groups are joined by the pairs whose sets of
+    shingles have at least that Jaccard similarity; a group can be a chain.
+
+    Texts of one set are one node. Nodes that share a band are candidates, and so are those joined over others; each set of
+    candidates is compared whole by the sets of their shingles. One of over `tile` nodes is split into tiles, and each pair of tiles meets.
+    """
+    spark = docs.sparkSession
+    path = shared_dir(spark)
+    source = docs.select(row_key().alias("k"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = stored(map_columns(source, _sketches, "k bigint, doc_id bigint, node bigint, bands array<bigint>", words=words), f"{path}/rows")
+    nodes = rows.groupBy("node").agg(F.min("k").alias("k"), F.any_value("bands").alias("bands"))
+    dealt = stored(nodes, f"{path}/nodes").select("node", F.explode("bands").alias("x"))
+    shared = dealt.groupBy("x").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    edges = dealt.join(stored(shared.select("x", "low"), f"{path}/shared"), "x").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
+    near = stored(components(stored(edges, f"{path}/edges"), f"{path}/near"), f"{path}/candidates")
+    sizes = near.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("t"))
+    at = F.pmod(F.xxhash64("node"), F.col("t")).cast("int")
+    wanted = near.join(sizes, "root").join(spark.read.parquet(f"{path}/nodes").select("node", "k"), "node").select("k", "node", "root", "t", at.alias("s"))
+    texts = source.select("k", "text").join(stored(wanted, f"{path}/wanted"), "k").dropDuplicates(["node"])
+    other = texts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    met = other.select(F.xxhash64("root", F.least("s", "o"), F.greatest("s", "o")).alias("key"), "node", "text")
+    pairs = met.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(words, similarity), "u bigint, v bigint")
+    grouped = stored(components(stored(pairs, f"{path}/pairs"), path), f"{path}/groups")
+    of = rows.select("k", "doc_id", "node").join(grouped.select("node", "root"), "node", "left")
+    return of.select("k", "doc_id", F.coalesce("root", "node").alias("component"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its group of similar texts; rows without doc_id stay,
     and of rows that share the smallest doc_id one stays."""
-    kept = near_groups(docs, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    least = similar_groups(docs, words, similarity).where("doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("_kept"))
+    out = docs.join(least.select("_kept").distinct(), F.col("doc_id").cast("bigint") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))

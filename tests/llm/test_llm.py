@@ -105,6 +105,28 @@ def test_one_of_each_group_stays(odd, none):
     assert simhash.one_of_each(none).columns == none.columns and simhash.one_of_each(none).count() == 0
 
 
+def test_one_of_each_finds_all_similar_texts(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for i in range(90):
+        words = [f"w{x}" for x in rng.integers(0, 5000, (60, 100, 300)[i % 3])]
+        texts.append(" ".join(words))
+        for changed in (1, len(words) // 50, len(words) // 25):
+            copy = list(words)
+            for at in rng.choice(len(words), changed, replace=False):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = sorted(set(_groups(pairs, len(texts))))
+    assert 90 < len(want) < len(texts) and len(pairs) > 150
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == want
+    tiled = {r["doc_id"]: r["component"] for r in simhash.similar_groups(docs.limit(60), tile=2).collect()}
+    whole = {r["doc_id"]: r["component"] for r in simhash.similar_groups(docs.limit(60)).collect()}
+    assert tiled == whole
+
+
 def _cuts(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
