@@ -197,7 +197,8 @@ def evidence(ids: np.ndarray, counts: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(texts: list[str], y: np.ndarray, steps: int = 700, batch: int = 256, rate: float = 0.01, drop: float = 0.15, seed: int = 3, most_windows: int = 24, rate_of_toxic: float = 0.0) -> Network:
     """A network from labelled texts. One number of each embedding starts as its evidence; a share `drop`
     of the words is hidden from each step. Windows take their text's label, but of a toxic text only those
-    that score highest are used (a quarter of them, one at least).
+    that score highest of all are used (a quarter of them, one at least and `most_windows` // 4 at most), and of
+    another one `most_windows`, drawn anew from the whole text in each epoch.
     The last fifth of the texts (all, where that holds fewer than 20 of a class) sets slope and shift of a text's highest logit; with the rate of toxic
     texts outside the sample, the odds go half of the way there.
     """
@@ -217,9 +218,9 @@ def train(texts: list[str], y: np.ndarray, steps: int = 700, batch: int = 256, r
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
     net, step = Network(p), 0
     few = min(1.0, y.sum() / 1000)  # with few toxic texts the embeddings stay near their evidence
-    nth = np.arange(len(text)) - np.searchsorted(text, text)
-    chosen = own[text] & (nth < most_windows)
-    epochs = int(np.clip(steps * batch // max(1, chosen.sum()), 5, 30))
+    many = np.bincount(text)[text]
+    limit = np.where(y[text] == 1, np.clip(many // 4, 1, max(1, most_windows // 4)), most_windows)
+    epochs = int(np.clip(steps * batch // max(1, np.minimum(np.bincount(text), most_windows)[own].sum()), 5, 30))
 
     def logits_of(rows: np.ndarray) -> np.ndarray:
         table = net.table()
@@ -235,15 +236,12 @@ def train(texts: list[str], y: np.ndarray, steps: int = 700, batch: int = 256, r
         return out
 
     for epoch in range(epochs):
-        use = chosen.copy()
         # At first by the evidence of a window's words, then by the network.
         logit = logits_of(np.flatnonzero(y[text] == 1)) if epoch >= 2 else np.append(sum(start[ids[:, k]] for k in range(KINDS)), np.float32(0))[place].max(axis=1)
-        rank = np.lexsort((-logit, text))
+        rank = np.lexsort((np.where(y[text] == 1, -logit, rng.random(len(text))), text))
         nth_best = np.empty(len(text), int)
         nth_best[rank] = np.arange(len(text)) - np.searchsorted(text, text)
-        many = np.bincount(text)[text]
-        use &= (y[text] == 0) | (nth_best < np.maximum(1, many // 4))
-        rows = rng.permutation(np.flatnonzero(use))
+        rows = rng.permutation(np.flatnonzero(own[text] & (nth_best < limit)))
         share = np.clip(y[text[rows]].mean(), 0.02, 0.98)
         for i in range(0, len(rows), batch):
             b = rows[i : i + batch]
@@ -308,15 +306,15 @@ def _scores(doc_id: list, text: list, net) -> dict:
     return {"doc_id": doc_id, "score": score_texts(text, net.value, _TABLES[id(net)]).astype(float)}
 
 
-def sample(docs: DataFrame, labels: DataFrame, each: int = 1000, chars: int = 20_000) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, each: int = 1000) -> DataFrame:
     """The training sample (text, y): of each class at most `each` labelled rows outside the held-out
-    fold, least by hash, and at most `chars` characters of a text. Its bound does not grow with the data."""
+    fold, least by hash, with their whole texts. The number of rows does not grow with the data."""
     y = labels.where("doc_id is not null and toxic in (0, 1)").where(~training_fold(3, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     some = None
     for c in (0, 1):
         part = y.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
         some = part if some is None else some.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.substring(F.col("text").cast("string"), 1, chars).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
 
 

@@ -317,6 +317,28 @@ def test_toxicity_gradients():
         assert abs((up - down) / (2 * step) - g[k][at]) < 1e-3 + 0.05 * abs(g[k][at]), k
 
 
+def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 300, n)]
+    texts = [" ".join(words(900) + ["vile"] * (i % 2) * 20 + words(30)) for i in range(40)]
+    y, step, seen = np.arange(40) % 2, toxicity._step, []
+    ids, counts = toxicity.inputs(texts)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    vile = toxicity.inputs(["vile"])[0][0, 0]
+    monkeypatch.setattr(toxicity, "_step", lambda p, ids, place, y, w: (seen.append((place, y)), step(p, ids, place, y, w))[1])
+    toxicity.train(texts, y.astype(float), drop=0.0)
+    first = {0: set(), 1: set()}
+    for place, labels in seen:
+        for c in first:
+            first[c] |= set(nth[place[labels == c, 0]].tolist())
+    assert max(first[0]) > 850 and min(first[0]) == 0 and max(first[1]) > 850
+    place, labels = seen[0]
+    assert np.mean((ids[place[labels == 1], 0] == vile).any(axis=1)) > 0.3
+    docs = spark.createDataFrame([(i, "x" * 30_000) for i in range(20)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert {len(r["text"]) for r in toxicity.sample(docs, marks).collect()} == {30_000}
+
+
 def test_toxicity_of_odd_rows(spark, odd, none, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     assert toxicity.score(odd, labels.limit(0)).count() == len(ODD) and toxicity.score(none, labels).count() == 0
