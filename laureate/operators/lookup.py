@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_FOLDED = {c: d[0] for c in map(chr, range(0xC0, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(0x300 <= ord(m) < 0x370 for m in d[1:])}
+
+
+def folded(c: Column) -> Column:
+    """Lower case, without accents, whether composed or not; Hangul syllables stay whole."""
+    base = F.translate(c, "".join(_FOLDED), "".join(_FOLDED.values()))
+    return F.trim(F.lower(F.regexp_replace(base, "[\u0300-\u036f]", "")))
+
+
 def name_hits(names: DataFrame, queries: DataFrame, name: str, query: str, order: Sequence[Column], limit: int = 12) -> DataFrame:
-    """The first `limit` names of each query all of whose parts occur as whole words of the name, case-folded.
+    """The first `limit` names of each query all of whose parts occur anywhere in the name, whatever case and accents.
 
-    Parts are joined to words by equality and counted, so names and queries never form all pairs.
+    The first letters (three at most) of a query's longest part are joined to the runs of one to three letters of the names, and
+    the candidates checked, so names and queries never form all pairs. Rows that repeat count once; a blank query has no hits.
     """
-    word = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda t: t != ""))
-    q = queries.withColumn("_need", F.size(word(F.col(query)))).withColumn("_t", F.explode(word(F.col(query))))
-    n = names.withColumn("_t", F.explode(word(F.col(name))))
-    hit = n.join(q, "_t").groupBy(*names.columns, *queries.columns, "_need").agg(F.count("*").alias("_got")).where("_got = _need")
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    n = names.distinct().withColumn("_name", folded(F.col(name)))
+    n = n.withColumn("_t", F.explode(F.array_distinct(F.concat(*[runs(F.col("_name"), k) for k in (1, 2, 3)]))))
+    q = queries.distinct().withColumn("_parts", F.filter(F.split(folded(F.col(query)), r"\s+"), lambda t: t != ""))
+    longest = F.array_max(F.transform("_parts", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    hit = n.join(q.withColumn("_t", F.substring(longest, 1, 3)), "_t").where(F.forall("_parts", lambda t: F.contains(F.col("_name"), t)))
     w = Window.partitionBy(query).orderBy(*order)
     return hit.withColumn("hit", F.row_number().over(w)).where(F.col("hit") <= limit).select(*queries.columns, *names.columns, "hit")
 

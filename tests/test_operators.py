@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from laureate.functions import exprs as X
-from laureate.operators import changes, counting, quota, rounds, scenarios, scoring
+from laureate.operators import changes, counting, lookup, quota, rounds, scenarios, scoring
 
 
 def _plan(df):
@@ -155,3 +155,12 @@ def test_empty_tables(spark):
     e = spark.createDataFrame([], "athlete int, comp int, race string, score int, mark_points int, d date")
     assert counting.ranking_score(counting.top_n(e, ["athlete"], [F.col("score")]), ["athlete"], "score").collect() == []
     assert rounds.classify_rounds(e, ["athlete", "comp"]).collect() == []
+
+
+def test_name_search_finds_parts_of_words(spark):
+    names = [(1, "Alina MÜLLER"), (2, "Tom Mu\u0308ller"), (2, "Tom Mu\u0308ller"), (3, "Natalie Xu"), (4, None), (5, "Łukasz Ali")]
+    asks = ["ali", "muller", "ÜLL a", "x", "li mul", "xu nat", " ", None, "ali", "zzz"]
+    out = lookup.name_hits(spark.createDataFrame(names, "id int, name string"), spark.createDataFrame([(q,) for q in asks], "query string"), "name", "query", [F.col("id")])
+    got = sorted((r["query"], r["id"], r["hit"]) for r in out.collect())
+    assert got == sorted([("ali", 1, 1), ("ali", 3, 2), ("ali", 5, 3), ("muller", 1, 1), ("muller", 2, 2), ("ÜLL a", 1, 1), ("x", 3, 1), ("li mul", 1, 1), ("xu nat", 3, 1)])
+    assert "CartesianProduct" not in _plan(out) and "NestedLoop" not in _plan(out)
