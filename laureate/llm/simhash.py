@@ -275,8 +275,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, til
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group of similar texts; rows without doc_id stay,
-    and of rows that share the smallest doc_id one stays."""
-    least = similar_groups(docs, words, similarity).where("doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("_kept"))
-    out = docs.join(least.select("_kept").distinct(), F.col("doc_id").cast("bigint") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of docs for each group of similar texts: that of the smallest doc_id, of rows that share it that of the
+    smallest row_key(). A row without doc_id stays only where its group has no other."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k"))["k"]
+    kept = similar_groups(docs, words, similarity).groupBy("component").agg(first.alias("_kept")).select("_kept")
+    keyed = docs.withColumn("_key", row_key())
+    return keyed.join(kept, keyed["_key"] == kept["_kept"], "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

@@ -127,6 +127,13 @@ def test_one_of_each_finds_all_similar_texts(spark):
     assert tiled == whole
 
 
+def test_one_of_each_keeps_a_row_of_each_group_whatever_its_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, b), (1, a), (None, c), (None, c), (None, a), (3, d), (3, c)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, a), (1, b), (3, c), (3, d)]
+
+
 def _cuts(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
