@@ -1,8 +1,8 @@
 """Byte-level BPE: DuckDB recursive queries inside Spark tasks.
 
-A text is split by the vocabulary's pattern; each distinct piece is encoded once per task
-process by a recursive query over token-position rows, which contracts the leftmost pair of
-least rank until none is left. Decoding is a join to the vocabulary and an ordered aggregate.
+A text is split by the vocabulary's pattern; each distinct piece is encoded by a recursive query over
+token-position rows, which contracts the leftmost pair of least rank until none is left, and a task
+process remembers it. Decoding is a join to the vocabulary and an ordered aggregate.
 """
 
 from __future__ import annotations
@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import map_columns
 
-#: Pieces and chunks that a task process remembers; beyond it starts anew. Speed only.
+#: Pieces of one generation of a task process's memory; it holds two, and the older one goes. Speed only.
 REMEMBERED = 250_000
 
+#: Bytes of a part of a longer piece: see Codec.contract_long.
+PART = 256
+
 #: A word is a row of ids. Each round unnests the pairs of neighbours with their position,
 #: joins the merge table, and contracts the least (rank, position); words without a pair stop.
 _ENCODE = """
@@ -60,7 +63,10 @@ class Codec:
         self.ranks = ranks_of(data)
         self.pattern = regex.compile(pattern)
         self.byte_id = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
-        self.known: dict[str, tuple[str, bytes]] = {}
+        # Decimal ids of pieces, now and in the generation before; decoded bytes only where they differ from the piece.
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         pairs = [
             (a, b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None
@@ -69,68 +75,93 @@ class Codec:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "h": [t.hex() for t in self.ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
+        self.size = np.zeros(max(self.ranks.values(), default=0) + 1, np.int64)
+        self.size[list(self.ranks.values())] = [len(t) for t in self.ranks]
 
-    def _rows(self, lists: list[bytes] | list[np.ndarray], flat: np.ndarray) -> pa.Table:
-        at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-        return pa.table({"w": np.arange(len(lists), dtype=np.int32), "ids": pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))})
+    def _rows(self, sizes: list[int], flat: np.ndarray) -> pa.Table:
+        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.table({"w": np.arange(len(sizes), dtype=np.int32), "ids": pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))})
 
-    def learn(self, pieces: list[str]) -> dict[str, tuple[str, bytes]]:
-        """Of each piece: its ids in decimal, joined by commas, and the bytes that they decode to."""
-        raw = [x.encode("utf-8", "surrogatepass") for x in pieces]
-        # The library gives a piece that is in the vocabulary its own rank, without merges.
-        flat = [self.byte_id[np.frombuffer(b, np.uint8)] if (r := self.ranks.get(b)) is None else np.array([r], np.int32) for b in raw]
-        start_words = self._rows(flat, np.concatenate(flat) if flat else np.zeros(0, np.int32))  # noqa: F841
+    def _contract(self, raw: list[bytes]) -> None:
+        """Fills the table `encoded` with the ids of each byte string, by merges alone."""
+        start_words = self._rows([len(b) for b in raw], self.byte_id[np.frombuffer(b"".join(raw), np.uint8)])  # noqa: F841
         self.db.execute("CREATE OR REPLACE TEMP TABLE encoded AS " + _ENCODE)
-        got = self.db.sql(f"SELECT array_to_string(ids, ',') AS decimal, back FROM encoded LEFT JOIN ({_DECODE}) USING (w) ORDER BY w").to_arrow_table()
-        return dict(zip(pieces, zip(got["decimal"].to_pylist(), got["back"].to_pylist(), strict=True), strict=True))
 
-    def chunks(self, text: str) -> list[str]:
-        """Parts that no match of the pattern crosses: cuts lie between a non-space and a space.
+    def contract(self, raw: list[bytes]) -> list[np.ndarray]:
+        self._contract(raw)
+        ids = self.db.sql("SELECT ids FROM encoded ORDER BY w").to_arrow_table()["ids"].combine_chunks()
+        return np.split(ids.flatten().to_numpy(), ids.offsets.to_numpy()[1:-1]) if raw else []
+
+    def contract_long(self, raw: bytes) -> np.ndarray:
+        """The ids of a string of any length, in time that grows with it.
 
-        Where each run of white space is one blank or newline, the blank before a part is left
-        out; the first part, and all parts of other texts, are marked as whole.
+        Tokens are the string's own exactly if each two neighbours, encoded by themselves, stay those two: the first merge that
+        crossed their border would come first among them as well. So parts are encoded, cut at a token's end near their
+        middle, what lies between two cuts is encoded anew, and a cut whose neighbours would merge is given up.
         """
-        if text and len(text.split()) == 1 + text.count(" ") + text.count("\n"):
-            out = text.replace("\n", " \n").split(" ")
-            if "" not in out:  # else there is white space of other kinds, which made up for two in a row
-                out[0] = WHOLE + out[0]
-                return out
-        return [WHOLE + x for x in _SPACED.findall(text)]
-
-    def split(self, chunk: str) -> list[str]:
-        if chunk.isalpha():
-            return [" " + chunk]
-        if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
-            return [" " + chunk[:-1], chunk[-1]]
-        return self.pattern.findall(chunk[len(WHOLE) :] if chunk.startswith(WHOLE) else chunk if chunk[:1] == "\n" else " " + chunk)
+        parts = self.contract([raw[i : i + PART] for i in range(0, len(raw), PART)])
+        cuts = [0]
+        for i, ids in enumerate(parts):
+            ends = np.cumsum(self.size[ids])
+            cuts.append(i * PART + int(ends[np.abs(ends - PART // 2).argmin()]))
+        cuts = sorted({*cuts, len(raw)})
+        known: dict[tuple[int, int], np.ndarray] = {}
+        while True:
+            new = [x for x in zip(cuts, cuts[1:], strict=False) if x not in known]
+            known |= zip(new, self.contract([raw[a:b] for a, b in new]), strict=True)
+            spans = [known[x] for x in zip(cuts, cuts[1:], strict=False)]
+            borders = [(int(x[-1]), int(y[0])) for x, y in zip(spans, spans[1:], strict=False)]
+            text = {r: t for t, r in self.ranks.items() if r in {r for p in borders for r in p}}
+            kept = [len(x) == 2 for x in self.contract([text[a] + text[b] for a, b in borders])]
+            if all(kept):
+                return np.concatenate(spans)
+            cuts = [0, *(c for c, k in zip(cuts[1:-1], kept, strict=True) if k), len(raw)]
+
+    def learn(self, pieces: list[str]) -> dict[str, str]:
+        """Of each piece: its ids in decimal, joined by commas. Each is decoded as well; `odd` gets the bytes of those
+        that do not come back as they were."""
+        raw = [x.encode("utf-8", "surrogatepass") for x in pieces]
+        # The library gives a piece that is in the vocabulary its own rank, without merges.
+        alone = [(i, r) for i, b in enumerate(raw) if (r := self.ranks.get(b)) is not None]
+        long = [] if self.byte_id.min() < 0 else [i for i, b in enumerate(raw) if len(b) > 2 * PART and b not in self.ranks]
+        sure = [(i, np.array([r], np.int32)) for i, r in alone] + [(i, self.contract_long(raw[i])) for i in long]
+        gone = {i for i, _ in sure}
+        rest = [i for i in range(len(raw)) if i not in gone]
+        self._contract([raw[i] for i in rest])
+        if sure:
+            sure_rows = self._rows([len(x) for _, x in sure], np.concatenate([x for _, x in sure]))  # noqa: F841
+            self.db.execute(f"INSERT INTO encoded SELECT w + {len(rest)}, ids FROM sure_rows")
+        got = self.db.sql(f"SELECT array_to_string(ids, ',') AS decimal, back FROM encoded LEFT JOIN ({_DECODE}) USING (w) ORDER BY w").to_arrow_table()
+        order = rest + [i for i, _ in sure]
+        backs = got["back"].combine_chunks()
+        if b"".join(map(raw.__getitem__, order)) != b"".join(backs.to_pylist()) if backs.null_count == 0 else True:
+            self.odd |= {pieces[i]: b or b"" for i, b in zip(order, backs.to_pylist(), strict=True) if b != raw[i]}
+        return dict(zip(map(pieces.__getitem__, order), got["decimal"].to_pylist(), strict=True))
+
+    def split(self, text: str) -> list[str]:
+        return [m.group() for m in self.pattern.finditer(text)] if self.pattern.groups else self.pattern.findall(text)
 
     def encode(self, texts: list[str]) -> tuple[list[str], list[bytes]]:
         """Of each text: its ids in decimal, joined by commas, and the bytes that they decode to.
 
         Pieces are encoded and decoded once each; a text's are joined, as neither crosses a piece.
         """
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        split = [self.chunks(t) for t in texts]
-        known = self.known
-        found = {c: self.split(c) for c in set().union(*split).difference(known)}
-        pieces = self.learn(list({p for ps in found.values() for p in ps}))
-        for c, ps in found.items():
-            if len(ps) == 1:
-                known[c] = pieces[ps[0]]
-            else:
-                ids, back = zip(*map(pieces.__getitem__, ps), strict=True)
-                known[c] = ",".join(ids), b"".join(back)
-        out: tuple[list[str], list[bytes]] = [], []
-        for chunks in split:
-            ids, back = zip(*map(known.__getitem__, chunks), strict=True) if chunks else ((), ())
-            out[0].append(",".join(ids))
-            out[1].append(b"".join(back))
-        return out
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+            self.odd = {p: b for p, b in self.odd.items() if p in self.old}
+        split = [self.split(t) for t in texts]
+        fresh = set().union(*split).difference(self.young)
+        again = fresh.intersection(self.old)
+        self.young |= {p: self.old[p] for p in again} | self.learn(list(fresh - again))
+        ids, odd = self.young.__getitem__, self.odd
+        decimal = [",".join(map(ids, ps)) for ps in split]
+        if odd:
+            return decimal, [b"".join(b if (b := odd.get(p)) is not None else p.encode("utf-8", "surrogatepass") for p in ps) for ps in split]
+        return decimal, ["".join(ps).encode("utf-8", "surrogatepass") for ps in split]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of ids; ids outside the vocabulary have none."""
-        encoded_rows = self._rows(ids, np.concatenate(ids) if ids else np.zeros(0, np.int32))  # noqa: F841
+        encoded_rows = self._rows([len(x) for x in ids], np.concatenate(ids) if ids else np.zeros(0, np.int32))  # noqa: F841
         self.db.execute("CREATE OR REPLACE TEMP TABLE encoded AS SELECT * FROM encoded_rows")
         out = [b""] * len(ids)
         for w, back in self.db.execute(_DECODE).fetchall():
@@ -138,9 +169,6 @@ class Codec:
         return out
 
 
-#: Marks a chunk that holds its own white space; no other chunk has a newline after its first character.
-WHOLE = "\0\n"
-_SPACED = regex.compile(r"\s*\S+|\s+")
 _CODECS: dict[str, Codec] = {}
 
 

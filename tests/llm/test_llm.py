@@ -208,6 +208,34 @@ def test_bpe_equals_library_and_round_trips(spark, docs, odd, library):
         assert sorted((str(r["doc_id"]), r["ids_sha256"], r["decoded_sha256"]) for r in digest) == sorted((str(r["doc_id"]), sha(",".join(map(str, library.encode_ordinary(r["text"] or ""))).encode()), sha((r["text"] or "").encode())) for r in rows)
 
 
+def test_bpe_long_pieces_and_other_patterns(library):
+    rng = np.random.default_rng(3)
+    with open(queries.VOCABULARY, "rb") as f:
+        data = f.read()
+    own = bpe.Codec(data, P.PATTERN)
+    long = ["z" * 50_000, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 50_000)), "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 8000))), "ab" * 3000 + "q" + "abc" * 2000, "=" * 3001, " " * 4000 + "a"]
+    decimal, back = own.encode(long)
+    assert [list(map(int, x.split(","))) for x in decimal] == [library.encode_ordinary(x) for x in long] and back == [x.encode() for x in long]
+    cased = r"[A-Z]?[a-z]+|\s+|[^\sA-Za-z]+|[A-Z]"
+    other = tiktoken.Encoding("other", pat_str=cased, mergeable_ranks=own.ranks, special_tokens={})
+    text = "hello World fooBar baz.\n\nABC  x"
+    assert bpe.Codec(data, cased).encode([text])[0][0] == ",".join(map(str, other.encode_ordinary(text)))
+
+
+def test_bpe_forgets_and_learns_again(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    with open(queries.VOCABULARY, "rb") as f:
+        own = bpe.Codec(f.read(), P.PATTERN)
+    for i in range(6):
+        texts = [f"some words number {i} {j} repeat{j % 5}ing" for j in range(30)]
+        assert own.encode(texts)[0] == [",".join(map(str, library.encode_ordinary(t))) for t in texts]
+        assert len(own.old) <= 100
+
+
+def test_bpe_of_an_empty_table(none):
+    assert bpe.encode(none, queries.VOCABULARY, P.PATTERN, digest=True).count() == 0
+
+
 def test_topk_ties_nulls_and_blocks(spark):
     v = [(i, [float(i % 5), 1.0]) for i in range(40)] + [(100, None), (101, [None, 1.0]), (102, [float("nan"), 1.0]), (103, [float("inf"), 0.0]), (None, [1.0, 1.0]), (3, [3.0, 1.0])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(7)
