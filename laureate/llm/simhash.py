@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import components, map_columns, shared_dir, stored
 
 BITS = 64
+#: Comparisons of fingerprints that a task makes, about a minute's.
+PAIRS_IN_A_TASK = 10**9
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -135,7 +137,8 @@ def links(distinct: DataFrame, path: str, radius: int = 2, most: int = 4096) ->
     )
     dealt = distinct.select("fp", F.explode(blocks).alias("k")).select("fp", "k.b", "k.x")
     sizes = dealt.groupBy("b", "x").agg(F.count("*").alias("n")).where("n > 1")
-    sized = dealt.join(stored(sizes, f"{path}/sizes"), ["b", "x"])
+    sizes = stored(sizes, f"{path}/sizes")
+    sized = dealt.join(sizes, ["b", "x"])
     plain = sized.where(F.col("n") <= most).select(F.xxhash64("b", "x").alias("key"), "fp")
     hot = sized.where(F.col("n") > most).withColumn("p", F.bit_count("fp"))
     subs = stored(
@@ -149,7 +152,10 @@ def links(distinct: DataFrame, path: str, radius: int = 2, most: int = 4096) ->
     ends = ends.select("b", "x", "key", F.explode(F.array_distinct("e")).alias("e")).select("b", "x", "key", "e.p", "e.s")
     member = hot.join(subs.select("b", "x", "p", "t"), ["b", "x", "p"]).withColumn("s", F.pmod(F.xxhash64("fp"), F.col("t")).cast("int"))
     split = member.join(ends, ["b", "x", "p", "s"]).select("key", "fp")
-    return plain.unionByName(split).repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius), "u bigint, v bigint")
+    # As many tasks as the comparisons ask for, a fixed number that is not merged: a set of n has n * n / 2, a split one at most 5 times as many by tiles.
+    pairs_all = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0
+    tasks = int(min(100_000, max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs_all // PAIRS_IN_A_TASK)))
+    return plain.unionByName(split).repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_compare(radius), "u bigint, v bigint")
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -268,7 +274,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, til
     texts = source.select("k", "text").join(stored(wanted, f"{path}/wanted"), "k").dropDuplicates(["node"])
     other = texts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     met = other.select(F.xxhash64("root", F.least("s", "o"), F.greatest("s", "o")).alias("key"), "node", "text")
-    pairs = met.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(words, similarity), "u bigint, v bigint")
+    pairs = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").mapInArrow(_verify(words, similarity), "u bigint, v bigint")
     grouped = stored(components(stored(pairs, f"{path}/pairs"), path), f"{path}/groups")
     of = rows.select("k", "doc_id", "node").join(grouped.select("node", "root"), "node", "left")
     return of.select("k", "doc_id", F.coalesce("root", "node").alias("component"))

@@ -16,10 +16,9 @@ def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id, v array<bigint>): floor(scale * x) of each component, as double. Vectors that are
     null or hold null or non-finite components are left out, as are rows without vec_id."""
     x = F.transform("embedding", lambda c: c.cast("double"))
-    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where("vec_id is not null and embedding is not null").withColumn("_x", x).where(fine).select(
-        F.col("vec_id").cast("bigint"), F.transform("_x", lambda c: F.floor(c * F.lit(float(scale)))).alias("v")
-    )
+    fine = F.forall("_x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("bigint"), x.alias("_x")).where(fine)
+    return rows.select("vec_id", F.transform("_x", lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -29,7 +28,6 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         part = np.broadcast_to(np.arange(score.shape[1]), score.shape)
     else:
         # All that reach the k-th score, so that ties at the border are settled by id.
-        part = None
         edge = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
         reach = score >= edge
         width = int(reach.sum(axis=1).max())
@@ -38,12 +36,15 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(part, np.lexsort((i, -s), axis=1)[:, :k], 1)
 
 
-def _matrix(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-    sizes = np.diff(lists.offsets.to_numpy())
+def _dims(batch: pa.RecordBatch) -> np.ndarray:
+    return np.diff(batch.column(3).offsets.to_numpy())
+
+
+def _matrix(batch: pa.RecordBatch, dims: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the rows of that length."""
     same = sizes == dims
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    return ids[same], flat[np.repeat(same, sizes)].reshape(-1, dims).astype(np.float64)
+    flat = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+    return batch.column(2).to_numpy(zero_copy_only=False)[same], flat[np.repeat(same, sizes)].reshape(-1, dims).astype(np.float64)
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,64 +54,87 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T).astype(np.int64)
 
 
-def _tiles(query_ids, queries, k: int, tile: int):
+def _top(ids: np.ndarray, v: np.ndarray, asked: np.ndarray, q: np.ndarray, k: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """(score, id) of the k best rows of (ids, v) for each query, by tiles; where fewer count, the score is the least."""
+    low = np.iinfo(np.int64).min // 2
+    top_s, top_i = np.full((len(asked), 0), low), np.zeros((len(asked), 0), np.int64)
+    for at in range(0, len(ids), tile):
+        some = ids[at : at + tile]
+        s = _exact(q, v[at : at + tile])
+        s[asked[:, None] == some[None, :]] = low
+        cols = _best(s, some, k)
+        s, i = np.concatenate([top_s, np.take_along_axis(s, cols, 1)], 1), np.concatenate([top_i, some[cols]], 1)
+        order = np.lexsort((i, -s), axis=1)[:, :k]
+        top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+    return top_s, top_i
+
+
+def _search(k: int, block: int, tile: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = query_ids.value, queries.value
-        low = np.iinfo(np.int64).min // 2
-        top_s, top_i = np.full((len(qid), 0), low), np.zeros((len(qid), 0), np.int64)
+        """Rows (shard, asks, vec_id, v) come sorted by shard, in each its vectors first, then the queries."""
+        shard, held = None, {}
+
+        def add(part: pa.RecordBatch) -> None:
+            for d in np.unique(dims := _dims(part)):
+                ids, v = _matrix(part, d, dims)
+                held.setdefault(d, ([], []))
+                held[d][0].append(ids)
+                held[d][1].append(v)
+
+        def ask(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for d in np.unique(dims := _dims(part)):
+                if d not in held:
+                    continue
+                if len(held[d][0]) > 1:
+                    held[d] = ([np.concatenate(held[d][0])], [np.concatenate(held[d][1])])
+                asked, q = _matrix(part, d, dims)
+                for at in range(0, len(asked), block):
+                    some = asked[at : at + block]
+                    score, found = _top(held[d][0][0], held[d][1][0], some, q[at : at + block], k, tile)
+                    row, col = np.nonzero(score > np.iinfo(np.int64).min // 2)
+                    yield pa.RecordBatch.from_pydict({"g": pa.array(np.full(len(row), shard, np.int64)), "query_id": pa.array(some[row]), "vec_id": pa.array(found[row, col]), "score": pa.array(score[row, col])})
+
         for batch in batches:
-            all_ids, all_v = _matrix(batch, q.shape[1])
-            for at in range(0, len(all_ids), tile):
-                ids, v = all_ids[at : at + tile], all_v[at : at + tile]
-                s = _exact(q, v)
-                s[qid[:, None] == ids[None, :]] = low
-                cols = _best(s, ids, k)
-                s, i = np.concatenate([top_s, np.take_along_axis(s, cols, 1)], 1), np.concatenate([top_i, ids[cols]], 1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        if top_s.shape[1]:
-            row, col = np.nonzero(top_s > low)
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(qid[row]), "vec_id": pa.array(top_i[row, col]), "score": pa.array(top_s[row, col])})
+            key = batch.column(0).to_numpy(zero_copy_only=False) * 2 + batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(key[1:] != key[:-1]) + 1
+            for s, e in zip([0, *edges], [*edges, len(key)], strict=True):
+                if s == e:
+                    continue
+                if key[s] // 2 != shard:
+                    shard, held = int(key[s] // 2), {}
+                if key[s] % 2:
+                    yield from ask(batch.slice(s, e - s))
+                else:
+                    add(batch.slice(s, e - s))
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, block: int = 2048, tile: int = 4096, fan_in: int = 16) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, block: int = 1024, tile: int = 4096, shard: int = 32_768, fan_in: int = 16) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k highest inner products of each query among all
     other rows; ties go to the smaller vec_id.
 
-    Queries come to the driver in blocks of at most `block`, and each block is broadcast: its
-    size is fixed. A task multiplies it with its shard by tiles and keeps k per query; these
-    lists are merged in groups of `fan_in` tasks, then by query. Rows that repeat a vec_id count
-    each; a row never meets its own id. Vectors of another length than the block's are not
-    compared. Empty tables give no rows.
+    Rows are dealt out to shards of about `shard`, and the queries, a stated set, are sent to each: nothing passes the
+    driver, and a task holds one shard while queries stream by. It multiplies them tile by tile and keeps k per query; these
+    lists are merged as a tree, `fan_in` at a time. Rows that repeat a vec_id count each; a row never meets its own id; of
+    several vectors of a query's id the least, by components, asks. Vectors of other lengths are not compared. Rows without
+    vec_id, and vectors that are null or hold null or non-finite components, take no part. Other columns are not read. Empty
+    tables give no rows.
     """
     spark = vectors.sparkSession
     path = shared_dir(spark)
-    rows = stored(integer_vectors(vectors.where("vec_id is not null and embedding is not null")), f"{path}/rows")
-    found = None
-    asked = rows.where(is_query).dropDuplicates(["vec_id"]).withColumn("dims", F.size("v"))
-    held: dict[int, list] = {}
-
-    def part(dims: int) -> DataFrame:
-        block_rows = held.pop(dims)
-        ids = spark.sparkContext.broadcast(np.array([r["vec_id"] for r in block_rows], np.int64))
-        matrix = spark.sparkContext.broadcast(np.array([r["v"] for r in block_rows], np.float64).reshape(len(block_rows), dims))
-        return rows.mapInArrow(_tiles(ids, matrix, k, tile), "query_id bigint, vec_id bigint, score bigint")
-
-    parts = []
-    for r in asked.toLocalIterator():
-        held.setdefault(r["dims"], []).append(r)
-        if len(held[r["dims"]]) >= block:
-            parts.append(part(r["dims"]))
-    parts += [part(d) for d in list(held)]
-    for x in parts:
-        found = x if found is None else found.unionByName(x)
-    if found is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    rows = stored(integer_vectors(vectors.select("vec_id", "embedding")), f"{path}/rows")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // shard))
+    dealt = rows.select((F.monotonically_increasing_id() % shards).alias("g"), F.lit(0).alias("asks"), "vec_id", "v")
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("g"), F.lit(1).alias("asks"), "vec_id", "v")
+    both = dealt.unionByName(asked).repartition(shards, "g").sortWithinPartitions("g", "asks")
+    found = both.mapInArrow(_search(k, block, tile), "g bigint, query_id bigint, vec_id bigint, score bigint")
     key = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i"))
-    best = lambda c: F.slice(F.array_sort(c), 1, k)
-    some = found.withColumn("g", F.floor(F.spark_partition_id() / fan_in)).groupBy("query_id", "g").agg(best(F.collect_list(key)).alias("top"))
-    merged = some.groupBy("query_id").agg(best(F.flatten(F.collect_list("top"))).alias("top"))
-    out = merged.select("query_id", F.posexplode("top").alias("p", "x"))
+    top = found.groupBy("query_id", F.floor(F.col("g") / fan_in).alias("g")).agg(F.slice(F.array_sort(F.collect_list(key)), 1, k).alias("top"))
+    lists = -(-shards // fan_in)
+    while lists > 1:
+        top = top.groupBy("query_id", F.floor(F.col("g") / fan_in).alias("g")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+        lists = -(-lists // fan_in)
+    out = top.select("query_id", F.posexplode("top").alias("p", "x"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))

@@ -240,7 +240,7 @@ def test_topk_ties_nulls_and_blocks(spark):
     v = [(i, [float(i % 5), 1.0]) for i in range(40)] + [(100, None), (101, [None, 1.0]), (102, [float("nan"), 1.0]), (103, [float("inf"), 0.0]), (None, [1.0, 1.0]), (3, [3.0, 1.0])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(7)
     got = collections.defaultdict(list)
-    for r in sorted(topk.search(df, F.col("vec_id") % 3 == 0, k=4, block=3, tile=5, fan_in=2).collect(), key=lambda r: (r["query_id"], r["rank"])):
+    for r in sorted(topk.search(df, F.col("vec_id") % 3 == 0, k=4, block=3, tile=5, shard=4, fan_in=2).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     fine = [(i, [int(x * 1024) for x in e]) for i, e in v if i is not None and e and all(x is not None and np.isfinite(x) for x in e)]
     for q, e in fine:
@@ -248,6 +248,15 @@ def test_topk_ties_nulls_and_blocks(spark):
             best = sorted((-sum(a * b for a, b in zip(e, f, strict=True)), i) for i, f in fine if i != q)[:4]
             assert got[q] == [(i, -s) for s, i in best]
     assert topk.search(df.limit(0), F.col("vec_id") % 3 == 0).count() == 0
+    extra = df.withColumns({c: F.lit("x") for c in ("v", "_x", "g", "asks", "label")})
+    assert topk.search(extra, F.col("vec_id") % 3 == 0, k=4).count() == len(got) * 4
+
+
+def test_topk_of_repeated_ids_and_other_lengths(spark):
+    v = [(0, [2.0, 1.0]), (0, [1.0, 5.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 1.0]), (6, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"] >> 20) for r in topk.search(df, F.col("vec_id") % 3 == 0, k=2).collect()}
+    assert got == {(0, 1): (2, 5), (0, 2): (1, 1), (3, 1): (6, 3), (6, 1): (3, 3)}
 
 
 @pytest.mark.parametrize("pattern,text,fits", [("*.org\n/a*", "x.org\n/ab", True), ("*.org\n/a*", "org\n/ab", False), ("a*b*c", "aXbYc", True), ("a*b*c", "aXbY", False), ("*", "", True), ("", "", True), ("ab", "abc", False), ("*ab*", "xxabxx", True)])
