@@ -197,7 +197,9 @@ def _encode(doc_id: list, text: list, vocab, pattern: str, digest: bool) -> dict
     texts = [t or "" for t in text]
     out: dict[str, list] = {"doc_id": doc_id, "n_tokens": []} | ({"ids_sha256": [], "decoded_sha256": []} if digest else {"ids": []})
     for s, e in _grouped(texts):
-        decimal, back = c.encode(texts[s:e])
+        once = list(dict.fromkeys(texts[s:e]))  # copies of a text are often neighbours
+        at = dict(zip(once, zip(*c.encode(once), strict=True), strict=True))
+        decimal, back = zip(*map(at.__getitem__, texts[s:e]), strict=True)
         out["n_tokens"] += [x.count(",") + 1 if x else 0 for x in decimal]
         if digest:
             out["ids_sha256"] += [hashlib.sha256(x.encode()).hexdigest() for x in decimal]
@@ -207,6 +209,10 @@ def _encode(doc_id: list, text: list, vocab, pattern: str, digest: bool) -> dict
     return out
 
 
+def _count(doc_id: list, source: list, lang: list, text: list, vocab, pattern: str) -> dict:
+    return {"doc_id": doc_id, "source": source, "lang": lang, "n_tokens": _encode(doc_id, text, vocab, pattern, True)["n_tokens"]}
+
+
 def _decode(doc_id: list, ids: list, vocab, pattern: str) -> dict:
     c = codec(vocab.value, pattern)
     return {"doc_id": doc_id, "decoded": c.decode([np.array([-1 if i is None else i for i in x or []], np.int32) for x in ids])}
@@ -227,6 +233,12 @@ def encode(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> Da
     return map_columns(rows, _encode, f"doc_id bigint, n_tokens bigint, {columns}", rows=8192, vocab=_vocabulary(docs, path), pattern=pattern, digest=digest)
 
 
+def counted(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, source, lang, n_tokens) of each row; null texts have no tokens. Other columns are not read."""
+    rows = docs.select(F.col("doc_id").cast("bigint"), *[F.col(c).cast("string") for c in ("source", "lang", "text")])
+    return map_columns(rows, _count, "doc_id bigint, source string, lang string, n_tokens bigint", rows=8192, vocab=_vocabulary(docs, path), pattern=pattern)
+
+
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, decoded binary) of rows (doc_id, ids). Null ids decode to no bytes."""
     return map_columns(encoded.select("doc_id", "ids"), _decode, "doc_id bigint, decoded binary", vocab=_vocabulary(encoded, path), pattern=pattern)

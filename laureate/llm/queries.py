@@ -21,23 +21,22 @@ RULES = tuple(
 #: The operator's own rules, for urls that no rule fits: paths of lists, feeds and files.
 GLOBS = ("*\n*/tag/*", "*\n*/feed", "*\n*/login*", "*\n*.zip", "*\n*.exe", "*\n*/cart/*", "ads.*\n*", "*.ads.*\n*")
 
-#: Words that hold a letter or digit, and runs of letters, of digits, and single other signs.
+#: Words that hold a letter or digit.
 REAL_WORD = r"[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*"
-PIECE = r"\p{L}+|\p{N}+|[^\x09-\x0D\x20\p{L}\p{N}]"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five batches: all documents under two tokenizers, revised word counts (signs alone no longer
-    count), deletion of the documents labelled as poor, and the first batch once more."""
+    """Five batches: all documents under the byte-level BPE and as words, revised word counts (signs alone no
+    longer count), deletion of the documents labelled as poor, and the first batch once more."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     count = lambda pattern: F.coalesce(F.regexp_count(F.col("text"), F.lit(pattern)), F.lit(0))
     poor = docs.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
     rollup = token_rollup.TokenRollup(spark)
-    load = token_rollup.changes_of(docs, "insert", "words", count(WORD))
+    load = token_rollup.changes_of(bpe.counted(docs, VOCABULARY, public_tokenizers.PATTERN), "insert", "byte_bpe_multi_50k", F.col("n_tokens"))
     rollup.commit("load", load)
-    rollup.commit("pieces", token_rollup.changes_of(docs, "insert", "pieces", count(PIECE)))
+    rollup.commit("words", token_rollup.changes_of(docs, "insert", "words", count(WORD)))
     rollup.commit("revision", token_rollup.changes_of(docs, "revise", "words", count(REAL_WORD)))
-    gone = [token_rollup.changes_of(poor, "delete", t, F.lit(0)) for t in ("words", "pieces")]
+    gone = [token_rollup.changes_of(poor, "delete", t, F.lit(0)) for t in ("words", "byte_bpe_multi_50k")]
     rollup.commit("poor", gone[0].unionByName(gone[1]))
     rollup.commit("load", load)
     return rollup.totals.select("source", "lang", "tokenizer", "n_docs", "n_tokens")
@@ -88,16 +87,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _COUNT = "len(regexp_extract_all(coalesce(text, ''), '{}'))"
 
 
+#: White space of the pattern, for an engine whose `\\s` is ASCII's.
+_SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def _coded() -> str:
+    """Common tables of SQL: `split` (doc_id, row, pieces) of documents and `coded` (piece, ids). The engine has no look-ahead:
+    U+E000, which the tables do not hold, marks the last white space before other characters, so that a run of blanks ends there."""
+    pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}\x{{E000}}]+|[{_SPACE}]+".replace("'", "''")
+    return rf"""
+  vocabulary AS MATERIALIZED (SELECT hex(from_base64(t)) AS h, id FROM read_csv('{VOCABULARY}', delim = ' ', header = false, quote = '', escape = '', columns = {{'t': 'VARCHAR', 'id': 'INT'}})),
+  merges AS MATERIALIZED (SELECT l.id AS a, r.id AS b, t.id AS r FROM (SELECT *, unnest(range(2, len(h), 2)) AS i FROM vocabulary) t
+    JOIN vocabulary l ON l.h = substr(t.h, 1, t.i) JOIN vocabulary r ON r.h = substr(t.h, t.i + 1)),
+  split AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(regexp_replace(coalesce(text, ''), '([{_SPACE}])([^{_SPACE}])', chr(57344) || '\1\2', 'g'), '{pattern}') AS pieces FROM documents),
+  piece AS MATERIALIZED (SELECT piece, hex(encode(piece)) AS h, row_number() OVER () AS n FROM (SELECT DISTINCT unnest(pieces) AS piece FROM split)),
+  begun AS MATERIALIZED (SELECT n, [id] AS ids FROM piece JOIN vocabulary USING (h)
+    UNION ALL SELECT n, list(id ORDER BY i) FROM (SELECT n, i, substr(h, i, 2) AS h FROM (SELECT n, h, unnest(range(1, len(h), 2)) AS i FROM piece ANTI JOIN vocabulary USING (h))) JOIN vocabulary USING (h) GROUP BY n),
+  walk(n, ids, live) AS (SELECT n, ids, true FROM begun
+    UNION ALL SELECT t.n, CASE WHEN k IS NULL THEN ids ELSE ids[:(k % 4294967296)] || [(k // 4294967296)::INT] || ids[(k % 4294967296) + 3:] END, k IS NOT NULL
+    FROM walk t LEFT JOIN (SELECT n, min(m.r::BIGINT * 4294967296 + p) AS k FROM (SELECT n, unnest(ids) AS a, unnest(ids[2:]) AS b, unnest(range(len(ids) - 1)) AS p FROM walk WHERE live) x
+      JOIN merges m USING (a, b) GROUP BY n) best USING (n)
+    WHERE live),
+  coded AS MATERIALIZED (SELECT piece, ids FROM walk JOIN piece USING (n) WHERE NOT live)"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {}
     sql["op1_token_counts"] = f"""
-WITH kept AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL)),
-     groups AS (SELECT DISTINCT source, lang FROM documents),
-     counts AS (SELECT source, lang, count(*) AS n, sum({_COUNT.format(REAL_WORD)}) AS words, sum({_COUNT.format(PIECE)}) AS pieces FROM kept GROUP BY ALL)
-SELECT g.source, g.lang, t.tokenizer, coalesce(c.n, 0)::BIGINT AS n_docs,
-       coalesce(CASE t.tokenizer WHEN 'words' THEN c.words ELSE c.pieces END, 0)::BIGINT AS n_tokens
-FROM groups g CROSS JOIN (VALUES ('words'), ('pieces')) t(tokenizer)
-LEFT JOIN counts c ON c.source IS NOT DISTINCT FROM g.source AND c.lang IS NOT DISTINCT FROM g.lang
+WITH RECURSIVE {_coded()},
+  tokens AS (SELECT row, sum(len(ids)) AS n FROM (SELECT row, unnest(pieces) AS piece FROM split) JOIN coded USING (piece) GROUP BY row),
+  numbered AS (SELECT *, row_number() OVER () AS row FROM documents),
+  counts AS (SELECT doc_id, source, lang, 'byte_bpe_multi_50k' AS tokenizer, coalesce(n, 0) AS n FROM numbered LEFT JOIN tokens USING (row) WHERE doc_id IS NOT NULL
+    UNION ALL SELECT doc_id, source, lang, 'words', {_COUNT.format(REAL_WORD)} FROM documents WHERE doc_id IS NOT NULL),
+  once AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY doc_id, tokenizer ORDER BY n DESC, source DESC NULLS LAST, lang DESC NULLS LAST) = 1),
+  poor AS (SELECT DISTINCT doc_id, true AS gone FROM labels WHERE quality = 0)
+SELECT source, lang, tokenizer, count(*) FILTER (gone IS NULL) AS n_docs, coalesce(sum(n) FILTER (gone IS NULL), 0)::BIGINT AS n_tokens FROM once LEFT JOIN poor USING (doc_id) GROUP BY ALL
+"""
+    sql["op2_bpe"] = f"""
+WITH RECURSIVE {_coded()},
+  decoded AS (SELECT piece, any_value(ids) AS ids, string_agg(h, '' ORDER BY i) AS h FROM (SELECT piece, ids, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM coded) JOIN vocabulary USING (id) GROUP BY piece),
+  texts AS (SELECT row, sum(len(ids)) AS n, string_agg(array_to_string(ids, ','), ',' ORDER BY p) AS decimal, string_agg(h, '' ORDER BY p) AS h
+    FROM (SELECT row, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS p FROM split) JOIN decoded USING (piece) GROUP BY row)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, sha256(coalesce(decimal, '')) AS ids_sha256, sha256(unhex(coalesce(h, ''))) AS decoded_sha256 FROM split LEFT JOIN texts USING (row)
 """
     sql["op5_topk"] = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings

@@ -6,72 +6,105 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import removed, shared_dir, stored
 
 #: A change: op is insert, delete or revise; seq orders the changes of a batch to one document.
 CHANGE = "seq bigint, op string, doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint"
 KEY = ["doc_id", "tokenizer"]
 GROUP = ["source", "lang", "tokenizer"]
 STATE = "doc_id bigint, tokenizer string, source string, lang string, n_tokens bigint"
-AFTER = "doc_id bigint, tokenizer string, was struct<source: string, lang: string, n_tokens: bigint>, now struct<source: string, lang: string, n_tokens: bigint>"
+COUNTED = "struct<source: string, lang: string, n_tokens: bigint>"
+AFTER = f"doc_id bigint, tokenizer string, was {COUNTED}, now {COUNTED}"
 TOTALS = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, n_batches bigint"
+LEDGER = "version int, name string, touched array<int>"
 
 
 class TokenRollup:
     """Totals by source, language and tokenizer version, and what each document counts now.
 
-    Both are written tables in one folder, a version per committed batch. A batch is named; one
-    that is committed already changes nothing, so a driver that fails may send it again. A
-    batch's deltas are the difference between a document's old and new count: an insert of
-    a document that is there revises it, a delete or revision of one that is not does nothing.
+    All is written tables in one folder. The state lies in `buckets` folders by a hash of (doc_id, tokenizer); a batch reads and
+    writes those that its changes fall into, so a small one costs little however large the state is. A batch is named;
+    one that is committed already changes nothing, so a driver that fails may send it again. Its deltas are the
+    difference between a document's old and new count: an insert of a document that is there revises it, a delete or
+    revision of one that is not does nothing. One driver at a time may commit; if two did, the later one's commit fails.
+
+    Changes without doc_id or tokenizer are left out of all totals. Of several changes of one batch to a document the last by
+    seq holds, and of those alike the one with most tokens, then by source and language; so rows that repeat count once. A
+    null count is 0; null sources and languages are groups. A group whose documents are all gone stays with zeros. An
+    empty batch is committed and changes nothing. Columns besides those of CHANGE are not read.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or shared_dir(spark)
-        try:
-            ledger = spark.read.schema("version int, name string").parquet(f"{self.path}/ledger").collect()
-        except AnalysisException:  # no batch yet
-            ledger = []
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
+        self.spark, self.path, self.buckets = spark, path or shared_dir(spark), buckets
+        ledger = self._ledger()
         self.version, self.done = max((r["version"] for r in ledger), default=-1), {r["name"] for r in ledger}
-        self._load()
+        self.last = {b: r["version"] for r in sorted(ledger, key=lambda r: r["version"]) for b in r["touched"]}
+        self.stale: list[str] = []
+
+    def _ledger(self) -> list:
+        try:
+            return self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []  # no batch yet
 
-    def _load(self) -> None:
-        """State and totals of the last version in the ledger."""
+    def _state(self, buckets: list[int]) -> DataFrame:
+        paths = [f"{self.path}/state-{self.last[b]}/bucket={b}" for b in buckets if b in self.last]
+        if not paths:
+            return self.spark.createDataFrame([], STATE)
+        return self.spark.read.schema(AFTER).parquet(*paths).where("now is not null").select(*KEY, "now.*")
+
+    @property
+    def state(self) -> DataFrame:
+        """(doc_id, tokenizer, source, lang, n_tokens) of every document that counts."""
+        return self._state(sorted(self.last))
+
+    @property
+    def totals(self) -> DataFrame:
         if self.version < 0:
-            self.state, self.totals = self.spark.createDataFrame([], STATE), self.spark.createDataFrame([], TOTALS)
-            return
-        now = self.spark.read.schema(AFTER).parquet(f"{self.path}/state-{self.version}")
-        self.state = now.where("now is not null").select(*KEY, "now.*")
-        self.totals = self.spark.read.schema(TOTALS).parquet(f"{self.path}/totals-{self.version}")
+            return self.spark.createDataFrame([], TOTALS)
+        return self.spark.read.schema(TOTALS).parquet(f"{self.path}/totals-{self.version}")
 
     def commit(self, name: str, changes: DataFrame) -> bool:
         """Applies a batch; False if it was committed before."""
         if name in self.done:
             return False
-        # Of a document's changes in seq order count the last insert or delete, and the last count given.
-        order = F.struct("seq", F.xxhash64("op", "source", "lang", "n_tokens"))
+        v = self.version + 1
+        # Of a document's changes in order count the last insert or delete, and the last count given.
+        order = F.struct("seq", "n_tokens", "source", "lang")
         kind = F.max_by("op", F.when(F.col("op").isin("insert", "delete"), order)).alias("kind")
         new = F.max_by(F.struct("source", "lang", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), F.when(F.col("op").isin("insert", "revise"), order)).alias("new")
         changed = changes.where("doc_id is not null and tokenizer is not null").groupBy(*KEY).agg(kind, new, F.lit(True).alias("touched"))
-        old = self.state.withColumn("was", F.struct("source", "lang", "n_tokens")).select(*KEY, "was")
+        bucket = F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int")
+        changed = stored(changed.withColumn("bucket", bucket), f"{self.path}/changed-{v}")
+        touched = sorted(r["bucket"] for r in changed.select("bucket").distinct().collect())  # at most self.buckets numbers
+        old = self._state(touched).withColumn("was", F.struct("source", "lang", "n_tokens")).select(*KEY, "was")
         both = old.join(changed, KEY, "full_outer")
         stays = F.coalesce(F.col("kind") == "insert", F.col("was").isNotNull())
         now = F.when(F.col("touched").isNull(), F.col("was")).when(stays, F.coalesce("new", "was"))
-        v = self.version + 1
-        after = stored(both.withColumn("now", now).select(*KEY, "was", "now"), f"{self.path}/state-{v}")
-        moved = after.where(~F.col("was").eqNullSafe(F.col("now")))
-        signed = moved.select("tokenizer", F.inline(F.array(F.struct(F.lit(-1).alias("sign"), F.col("was").alias("x")), F.struct(F.lit(1).alias("sign"), F.col("now").alias("x")))))
-        deltas = (
-            signed.where("x is not null").groupBy("x.source", "x.lang", "tokenizer")
-            .agg(F.sum("sign").cast("bigint").alias("n_docs"), F.sum(F.col("sign") * F.col("x.n_tokens")).alias("n_tokens")).withColumn("n_batches", F.lit(1).cast("bigint"))
-        )
-        totals = self.totals.unionByName(deltas).groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_batches")])
+        both.withColumn("now", now).select(*KEY, "was", "now", bucket.alias("bucket")).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state-{v}")
+        totals = self.totals
+        if touched:
+            after = self.spark.read.schema(AFTER).parquet(*[f"{self.path}/state-{v}/bucket={b}" for b in touched])
+            moved = after.where(~F.col("was").eqNullSafe(F.col("now")))
+            signed = moved.select("tokenizer", F.inline(F.array(F.struct(F.lit(-1).alias("sign"), F.col("was").alias("x")), F.struct(F.lit(1).alias("sign"), F.col("now").alias("x")))))
+            deltas = (
+                signed.where("x is not null").groupBy("x.source", "x.lang", "tokenizer")
+                .agg(F.sum("sign").cast("bigint").alias("n_docs"), F.sum(F.col("sign") * F.col("x.n_tokens")).alias("n_tokens")).withColumn("n_batches", F.lit(1).cast("bigint"))
+            )
+            totals = totals.unionByName(deltas).groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_batches")])
         totals.write.mode("overwrite").parquet(f"{self.path}/totals-{v}")
         # The row in the ledger is the commit: without it the version is written again.
-        self.spark.createDataFrame([(v, name)], "version int, name string").coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
+        self.spark.createDataFrame([(v, name, touched)], LEDGER).coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
+        if sum(r["version"] == v for r in self._ledger()) > 1:
+            raise RuntimeError(f"version {v} of {self.path} was committed by another driver as well")
+        # What the version before the last one alone needs goes.
+        removed(self.spark, *self.stale, f"{self.path}/changed-{v}", f"{self.path}/totals-{v - 2}")
+        self.stale = [f"{self.path}/state-{self.last[b]}/bucket={b}" for b in touched if b in self.last]
         self.version = v
+        self.last |= dict.fromkeys(touched, v)
         self.done.add(name)
-        self._load()
         return True
 
 

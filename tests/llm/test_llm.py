@@ -432,6 +432,33 @@ def test_rollup_by_deltas(spark):
     assert totals() == {("a", "en", "v1"): (0, 0), (None, "fr", "v1"): (1, 3)}
 
 
+def test_rollup_of_a_small_batch_touches_few_buckets(spark):
+    import glob
+
+    ch = lambda rows: spark.createDataFrame(rows, token_rollup.CHANGE)
+    r = token_rollup.TokenRollup(spark, buckets=16)
+    r.commit("many", ch([(0, "insert", i, "a", "en", "v1", 1) for i in range(500)]))
+    r.commit("one", ch([(0, "revise", 7, "a", "en", "v1", 5)]))
+    folders = lambda v: glob.glob(f"{r.path.removeprefix('file://')}/state-{v}/bucket=*")
+    assert len(folders(0)) == 16 and len(folders(1)) == 1 and r.state.count() == 500
+    assert [x["n_tokens"] for x in r.totals.collect()] == [504]
+    r.commit("two", ch([(0, "delete", 7, None, None, "v1", None)]))
+    assert len(folders(0)) == 15 and [x["n_tokens"] for x in token_rollup.TokenRollup(spark, r.path).totals.collect()] == [499]
+
+
+def test_rollup_of_odd_rows(spark, odd, none):
+    r = token_rollup.TokenRollup(spark)
+    words = lambda df: token_rollup.changes_of(df, "insert", "w", mixing.word_count())
+    r.commit("none", words(none))
+    assert r.totals.count() == 0
+    clash = odd.withColumns({c: F.lit(1) for c in ("seq", "op", "bucket", "touched", "now", "was")})
+    r.commit("odd", words(clash.drop("op")))
+    want = {d: (s, lg, len((t or "").split())) for d, t, lg, s, *_ in ODD if d is not None}
+    assert {x["doc_id"]: (x["source"], x["lang"], x["n_tokens"]) for x in r.state.collect()} == want
+    counted = bpe.counted(odd, queries.VOCABULARY, P.PATTERN).collect()
+    assert len(counted) == len(ODD) and {x["n_tokens"] for x in counted if x["doc_id"] in (2, 3)} == {0}
+
+
 def test_pipeline_runs_whole(spark, sf_dir):
     import corpus_pipeline
 
