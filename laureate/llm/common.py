@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,19 +19,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the one that the cluster shares (spark.checkpoint.dir).
-
-    Where the session sets none, as in tests, a temporary folder is set.
-    """
+    """A new folder name under the one that the cluster shares, which the session must name in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.conf.get("laureate.shared.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='laureate-')}"
-        spark.conf.set("laureate.shared.dir", base)
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver and all executors share")
     return f"{base.rstrip('/')}/laureate-{uuid.uuid4().hex}"
 
 
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
+def segments(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """Parts of about `size` bytes, cut at white space, so that no word is cut: what is made of the words of a text of
+    any length is made of one part at a time."""
+    at = 0
+    while at < len(data):
+        found = _BLANK.search(data, at + size)
+        end = found.start() if found else len(data)
+        yield data[at:end]
+        at = end
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Cuts the lineage at a written table: a lost executor costs a read, not the work before."""
     df.write.mode("overwrite").parquet(path)

@@ -42,33 +42,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
 
 def copies(docs: DataFrame, seed: int = 7, **kw) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies: floor(rate) and, by chance of the
-    fraction, one more; rate = target / size of its source.
+    """(row, size, source_size, target, copies): each row of docs as a struct, with how often it is taken: floor(rate) times and, by
+    chance of the fraction, once more; rate = target / size of its source.
 
-    The chance is a hash of seed and doc_id, so reruns and rows alike agree. Null texts
-    have size 0; a null source is a source; sources of size 0 have rate 0.
+    The chance is a hash of seed and doc_id, so reruns and rows alike agree; rows without doc_id take a hash of their text
+    instead. Null texts have size 0; a null source is a source; sources of size 0 have rate 0. Columns of any names stay
+    as they are. Targets are made in windows over one row per source, in one task: fit for sources by the million.
     """
-    sized = docs.withColumn("_size", word_count()).withColumn("_source", F.col("source").cast("string"))
-    goal = stored(targets(docs.select(F.col("source").cast("string"), word_count().alias("size")), **kw), f"{shared_dir(docs.sparkSession)}/targets")
-    goal = goal.select(F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    source = F.col("source").cast("string")
+    sized = docs.select(F.struct(*docs.columns).alias("row"), word_count().alias("size"), source.alias("source"))
+    goal = stored(targets(docs.select(source.alias("source"), word_count().alias("size")), **kw), f"{shared_dir(docs.sparkSession)}/targets")
+    goal = goal.withColumnRenamed("source", "of")
     if goal.count() <= FEW_SOURCES:
         goal = F.broadcast(goal)
-    rate = F.coalesce(F.try_divide("_target", "_source_size"), F.lit(0.0))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    chance = F.conv(F.substring(key, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    return sized.join(goal, F.col("_source").eqNullSafe(F.col("_of"))).withColumn(
-        "_copies", (F.floor(rate) + (chance < rate - F.floor(rate)).cast("bigint")).cast("bigint")
-    )
+    rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
+    name = F.coalesce(F.col("row.doc_id").cast("string"), F.when(F.col("row.text").isNotNull(), F.concat(F.lit("text:"), F.md5(F.col("row.text").cast("string").cast("binary")))), F.lit(""))
+    chance = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    taken = (F.floor(rate) + (chance < rate - F.floor(rate)).cast("bigint")).cast("bigint")
+    return sized.join(goal, F.col("source").eqNullSafe(F.col("of"))).select("row", "size", "source_size", "target", taken.alias("copies"))
 
 
 def mix_report(docs: DataFrame, **kw) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row."""
-    return copies(docs, **kw).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken")
-    )
+    return copies(docs, **kw).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: each row of docs as many times as it is taken."""
-    out = copies(docs, **kw)
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[out[c] for c in docs.columns])
+    return copies(docs, **kw).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

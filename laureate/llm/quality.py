@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, shared_dir, stored
+from .common import map_columns, segments, shared_dir, stored
 
 _CLASSES = [
     range(65, 91), range(97, 123), range(48, 58), b".,;:", b"!?", b"#*$%&|<>", b"'\"()[]{}-_/\\+=@^~`", range(128, 256), b" \t\n\r\x0b\x0c",
@@ -26,21 +26,30 @@ def statistics(text: str | None) -> np.ndarray:
     on a log or share scale. Null and empty texts have the numbers of no words."""
     data = (text or "").encode("utf-8", "replace")
     n = max(1, len(data))
-    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    words = data.split()
-    m = max(1, len(words))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    kinds = Counter(words)
+    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256) if len(data) < 1 << 20 else sum(np.bincount(np.frombuffer(x, np.uint8), minlength=256) for x in segments(data))
+    kinds: Counter = Counter()
+    sizes = np.zeros(256, np.int64)  # words by length; longer ones are added up beside
+    long = [0, 0, 0]
+    for part in segments(data):
+        words = part.split()
+        kinds.update(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        sizes += np.bincount(size[size < 256], minlength=256)
+        over = size[size >= 256].astype(float)
+        long = [a + b for a, b in zip(long, (len(over), over.sum(), (over**2).sum()), strict=True)]
+    m = max(1, int(sizes.sum() + long[0]))
+    lengths = np.arange(256)
+    mean = (sizes @ lengths + long[1]) / m
+    square = (sizes @ lengths**2 + long[2]) / m
     lines = [x for x in data.split(b"\n") if x.strip()]
     p = counts[counts > 0] / n
-    mean = sizes.sum() / m
     shares = np.log(counts @ _MEMBERS / n + 1e-3)
     lines_n = max(1, len(lines))
     rest = [
-        np.log1p(len(data)), np.log1p(mean), np.log1p(np.sqrt((sizes.astype(float) ** 2).sum() / m - mean**2 + 1e-9)),
+        np.log1p(len(data)), np.log1p(mean), np.log1p(np.sqrt(max(0.0, square - mean**2) + 1e-9)),
         np.log((len(kinds) + 1) / (m + 1)), np.log(max(kinds.values(), default=0) / m + 1e-3),
         np.log(1 - len(set(lines)) / lines_n + 1e-2), np.log1p(m / lines_n), -(p * np.log(p)).sum(),
-        np.log((sizes > 20).sum() / m + 1e-3), np.log((sizes <= 2).sum() / m + 1e-3),
+        np.log((sizes[21:].sum() + long[0]) / m + 1e-3), np.log(sizes[:3].sum() / m + 1e-3),
         np.log(sum(w.isupper() for w in kinds) / max(1, len(kinds)) + 1e-2),
     ]
     return np.concatenate([shares, rest])

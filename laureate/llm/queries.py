@@ -152,7 +152,7 @@ SELECT p.page_id, p.host, p.path, b.rule, CASE WHEN b.rule IS NOT NULL THEN b.ve
 FROM parts p LEFT JOIN best b USING (page_id)
 """
     sql["op7_source_mix"] = f"""
-WITH d AS (SELECT doc_id, source, {_COUNT.format(WORD)}::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, {_COUNT.format(WORD)}::BIGINT AS size FROM documents),
      per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
      w AS (SELECT *, [3, 1, 2][(n - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM per),
      l AS (SELECT *, row_number() OVER o AS nth,
@@ -162,8 +162,26 @@ WITH d AS (SELECT doc_id, source, {_COUNT.format(WORD)}::BIGINT AS size FROM doc
      f AS (SELECT min(nth) AS nth FROM l WHERE cap > level * weight),
      t AS (SELECT l.source, l.source_size, CASE WHEN f.nth IS NULL OR l.cap <= l.level * l.weight THEN l.cap ELSE (SELECT level FROM l x WHERE x.nth = f.nth) * l.weight END AS target FROM l, f)
 SELECT d.doc_id, d.size, t.source_size, t.target,
-       (d.size * (floor(coalesce(target / nullif(source_size, 0), 0)) + CASE WHEN ('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE
+       (d.size * (floor(coalesce(target / nullif(source_size, 0), 0)) + CASE WHEN ('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, 'text:' || md5(d.text), '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE
                         < coalesce(target / nullif(source_size, 0), 0) - floor(coalesce(target / nullif(source_size, 0), 0)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+    grams = "\n".join(
+        f"""UNION ALL SELECT row, sum(chars) / any_value(total) / {limit}::DOUBLE FROM (SELECT DISTINCT row, total, unnest(range(i, i + {n})) AS j FROM
+    (SELECT row, total, i, row_number() OVER (PARTITION BY row, array_to_string(w[i:i + {n - 1}], ' ') ORDER BY i) AS nth FROM (SELECT row, w, total, unnest(range(1, len(w) - {n - 2})) AS i FROM d)) WHERE nth > 1) JOIN words USING (row, j) GROUP BY row"""
+        for n, limit in repetition.LIMITS.items()
+    )
+    sql["op10_repetition"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w, len(array_to_string(w, ''))::DOUBLE AS total FROM documents),
+  words AS (SELECT row, generate_subscripts(w, 1) AS j, len(unnest(w))::DOUBLE AS chars FROM d),
+  lines AS (SELECT row, total, line, len(array_to_string(regexp_extract_all(line, '{WORD}'), ''))::DOUBLE AS chars, row_number() OVER (PARTITION BY row, line) AS nth
+    FROM (SELECT row, total, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}')),
+  again AS (SELECT row, count(*) AS n, sum(chars) / any_value(total) / {repetition.LINE_LIMIT}::DOUBLE AS worst FROM lines WHERE nth > 1 GROUP BY row),
+  eight AS (SELECT row, count(DISTINCT j) AS n FROM (SELECT row, unnest(range(i, i + 8)) AS j FROM
+    (SELECT row, i, count(*) OVER (PARTITION BY row, array_to_string(w[i:i + 7], ' ')) AS m FROM (SELECT row, w, unnest(range(1, len(w) - 6)) AS i FROM d)) WHERE m > 1) GROUP BY row),
+  worst AS (SELECT row, max(worst) AS worst FROM (SELECT row, worst FROM again {grams}) GROUP BY row),
+  base AS (SELECT doc_id, len(w) AS n_words, total::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(again.n, 0) AS n_dup_lines, coalesce(eight.n, 0) AS n_repeat_words,
+    coalesce(worst.worst, 0) AS repetition FROM d LEFT JOIN again USING (row) LEFT JOIN eight USING (row) LEFT JOIN worst USING (row))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND repetition <= 1 AS kept FROM base
 """
     return sql

@@ -6,11 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import map_columns, segments
 from .suffix_dedup import Rolling, _mix
 
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 _SPACES = np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)
+#: Bytes that do not begin a character of a word.
+_NOT_COUNTED = bytes(_SPACES) + bytes(range(0x80, 0xC0))
 
 #: Most that may lie in repeats after the first occurrence, by words of the n-gram (share of characters
 #: in words); and in lines equal to an earlier one.
@@ -45,40 +47,46 @@ def _covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and number of characters of each word of a text, made of a part of it at a time."""
+    hashes, sizes = [], []
+    for part in segments(data):
+        b = np.frombuffer(part, np.uint8)
+        space = np.concatenate([[True], np.isin(b, _SPACES), [True]])
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        start, end = edge[::2], edge[1::2]
+        first = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80, dtype=np.int32)])
+        hashes.append(Rolling(part).of(start, end) + (end - start).astype(np.uint64))
+        sizes.append(first[end] - first[start])
+    return (np.concatenate(hashes), np.concatenate(sizes)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+
+
 def measure(text: str | None) -> dict:
     """Counts of one whole text (null: empty), with the shares of characters in repeats."""
     data = (text or "").encode("utf-8", "replace")
-    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    points = len(data) - int(counts[128:192].sum())
-    word_chars = points - int(counts[_SPACES].sum())
+    word, chars = _words(data)
+    n_words, word_chars = len(word), int(chars.sum())
+    n_symbols = len(data) - len(data.translate(None, bytes(_SYMBOLS)))
     lines = [x for x in data.split(b"\n") if x.strip()]
     seen: set[bytes] = set()
-    dup_lines, dup_line_bytes = 0, 0
+    dup_lines, dup_line_chars = 0, 0
     if len(set(lines)) < len(lines):
         for x in lines:
             if x in seen:
                 dup_lines += 1
-                dup_line_bytes += sum(map(len, x.split()))
+                dup_line_chars += len(x.translate(None, _NOT_COUNTED))
             seen.add(x)
-    out = {"word_chars": word_chars, "n_symbols": int(counts[_SYMBOLS].sum()), "n_dup_lines": dup_lines, "n_words": 0, "n_repeat_words": 0}
-    # Words of the text as hashes of their bytes, by their places.
-    space = np.concatenate([[True], np.isin(np.frombuffer(data, np.uint8), _SPACES), [True]])
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    start, end = edge[::2], edge[1::2]
-    out["n_words"] = n_words = len(start)
-    word_bytes = max(1, int((end - start).sum()))
-    worst = dup_line_bytes / word_bytes / LINE_LIMIT
-    if n_words:
-        word = Rolling(data).of(start, end) + (end - start).astype(np.uint64)
-        for n, limit in LIMITS.items():
-            if n_words < n:
-                break
-            found, later = _repeats(_window_hashes(word, n))
-            if not later.any():
-                break  # no longer run repeats either
-            worst = max(worst, float((end - start)[_covered(later, n, n_words)].sum()) / word_bytes / limit)
-            if n == 8:
-                out["n_repeat_words"] = int(_covered(found, n, n_words).sum())
+    out = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": dup_lines, "n_repeat_words": 0}
+    worst = dup_line_chars / max(1, word_chars) / LINE_LIMIT
+    for n, limit in LIMITS.items():
+        if n_words < n:
+            break
+        found, later = _repeats(_window_hashes(word, n))
+        if not later.any():
+            break  # no longer run repeats either
+        worst = max(worst, int(chars[_covered(later, n, n_words)].sum()) / word_chars / limit)
+        if n == 8:
+            out["n_repeat_words"] = int(_covered(found, n, n_words).sum())
     out["worst"] = worst
     return out
 
@@ -97,7 +105,7 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
     base_failed, repetition (largest share of repeated characters by its limit; over 1 fails), kept.
 
     Null and empty texts have no words and fail the base rule. Null doc_ids and repeated rows
-    stay as rows. A text's memory is a few times its size; no text is cut.
+    stay as rows; other columns are not read. Empty tables give no rows. A text's memory is a few times its size; no text is cut.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return map_columns(rows, _judge, "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, repetition double, kept boolean")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_columns, shared_dir, stored
+from .common import components, map_columns, segments, shared_dir, stored
 
 BITS = 64
 #: Comparisons of fingerprints that a task makes, about a minute's.
@@ -20,11 +20,16 @@ PAIRS_IN_A_TASK = 10**9
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """XXH64 values (seed 42) of a text's shingles, in order; none of a blank text, one of a text of fewer words."""
-    w = (text or "").encode().lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    parts = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, max(1, len(w) - words + 1))
+    got, w = [], []
+    for part in segments((text or "").encode("utf-8", "replace").lower()):
+        w = w[len(w) - words + 1 :] if len(w) >= words else w
+        w += part.split()
+        if len(w) >= words:
+            parts = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
+            got.append(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(w) - words + 1))
+    if not got:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), 42)] if w else [], np.uint64)
+    return np.concatenate(got)
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -282,8 +287,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, til
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each group of similar texts: that of the smallest doc_id, of rows that share it that of the
-    smallest row_key(). A row without doc_id stays only where its group has no other."""
+    smallest row_key(). A row without doc_id stays only where its group has no other. Null, empty and blank texts are one
+    group; of rows alike in both one stays, whichever, if their other columns differ. All columns stay, of any names. Empty tables give no rows."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k"))["k"]
-    kept = similar_groups(docs, words, similarity).groupBy("component").agg(first.alias("_kept")).select("_kept")
-    keyed = docs.withColumn("_key", row_key())
-    return keyed.join(kept, keyed["_key"] == kept["_kept"], "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    kept = similar_groups(docs, words, similarity).groupBy("component").agg(first.alias("k")).select("k")
+    rows = docs.select(row_key().alias("k"), F.struct(*docs.columns).alias("row"))
+    return rows.join(kept, "k", "left_semi").dropDuplicates(["k"]).select("row.*")

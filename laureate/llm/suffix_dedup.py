@@ -14,8 +14,10 @@ import hashlib
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_columns, removed, shared_dir, stored
 
@@ -300,26 +302,27 @@ def cut_digest(docs: DataFrame, length: int = 200, k: int = 80, batches: int = 4
 
 
 def cleaned(docs: DataFrame, length: int = 200, k: int = 80, batches: int = 4) -> DataFrame:
-    """docs with the repeated bytes cut out of text (a character that loses a byte goes whole), and
-    n_chars, where there is one, counted anew. All rows and columns stay."""
-    spans = repeated_spans(docs, length, k, batches).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
+    """docs with the repeated bytes cut out of text (a character that loses a byte goes whole), and n_chars, where there
+    is one, counted anew. All rows and columns stay, of any names; a null text stays null. Repeated rows are each other's
+    copies: of both all goes that is `length` bytes long. Empty tables give no rows."""
+    spans = repeated_spans(docs, length, k, batches)
     names = docs.columns
-    at = names.index("text")
-    rows = docs.withColumn("__a", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("__b", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = rows.join(spans, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left").select(*[rows[c] for c in names], "__spans")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), F.struct(*names).alias("row"))
+    joined = rows.join(spans, ["k1", "k2"], "left").select("row.text", "spans", "row")
+    schema = T.StructType([T.StructField("new", T.StringType()), joined.schema["row"]])
 
     def run(batches_):
-        import pyarrow as pa
-
         for batch in batches_:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                texts, found = part.column(at).to_pylist(), part.column(len(names)).to_pylist()
+                texts, found = part.column(0).to_pylist(), part.column(1).to_pylist()
                 cut_ = _cut(texts, texts, texts, found)
                 new = [k.decode("utf-8", "ignore") if s else t for t, s, k in zip(texts, cut_["spans"], cut_["kept"], strict=True)]
-                columns = [part.column(j) for j in range(len(names))]
-                columns[at] = pa.array(new, columns[at].type)
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), part.column(2)], names=["new", "row"])
 
-    out = joined.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = joined.mapInArrow(run, schema)
+    own = {"text": F.col("new").cast(docs.schema["text"].dataType)}
+    if "n_chars" in names:
+        own["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[own.get(c, F.col("row")[c]).alias(c) for c in names])
