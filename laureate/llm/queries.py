@@ -168,7 +168,8 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
     grams = "\n".join(
         f"""UNION ALL SELECT row, sum(chars) / any_value(total) / {limit}::DOUBLE FROM (SELECT DISTINCT row, total, unnest(range(i, i + {n})) AS j FROM
-    (SELECT row, total, i, row_number() OVER (PARTITION BY row, array_to_string(w[i:i + {n - 1}], ' ') ORDER BY i) AS nth FROM (SELECT row, w, total, unnest(range(1, len(w) - {n - 2})) AS i FROM d)) WHERE nth > 1) JOIN words USING (row, j) GROUP BY row"""
+    (SELECT row, total, i, row_number() OVER (PARTITION BY row, gram ORDER BY i) AS nth FROM (SELECT row, total, unnest(grams) AS gram, generate_subscripts(grams, 1) AS i FROM
+    (SELECT row, total, list_transform(range(1, len(w) - {n - 2}), lambda i: md5(array_to_string(w[i:i + {n - 1}], ' '))) AS grams FROM d))) WHERE nth > 1) JOIN words USING (row, j) GROUP BY row"""
         for n, limit in repetition.LIMITS.items()
     )
     sql["op10_repetition"] = f"""
@@ -178,7 +179,8 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS tex
     FROM (SELECT row, total, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}')),
   again AS (SELECT row, count(*) AS n, sum(chars) / any_value(total) / {repetition.LINE_LIMIT}::DOUBLE AS worst FROM lines WHERE nth > 1 GROUP BY row),
   eight AS (SELECT row, count(DISTINCT j) AS n FROM (SELECT row, unnest(range(i, i + 8)) AS j FROM
-    (SELECT row, i, count(*) OVER (PARTITION BY row, array_to_string(w[i:i + 7], ' ')) AS m FROM (SELECT row, w, unnest(range(1, len(w) - 6)) AS i FROM d)) WHERE m > 1) GROUP BY row),
+    (SELECT row, i, count(*) OVER (PARTITION BY row, gram) AS m FROM (SELECT row, unnest(grams) AS gram, generate_subscripts(grams, 1) AS i FROM
+    (SELECT row, list_transform(range(1, len(w) - 6), lambda i: md5(array_to_string(w[i:i + 7], ' '))) AS grams FROM d))) WHERE m > 1) GROUP BY row),
   worst AS (SELECT row, max(worst) AS worst FROM (SELECT row, worst FROM again {grams}) GROUP BY row),
   base AS (SELECT doc_id, len(w) AS n_words, total::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(again.n, 0) AS n_dup_lines, coalesce(eight.n, 0) AS n_repeat_words,
     coalesce(worst.worst, 0) AS repetition FROM d LEFT JOIN again USING (row) LEFT JOIN eight USING (row) LEFT JOIN worst USING (row))
