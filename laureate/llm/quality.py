@@ -6,6 +6,7 @@ from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +94,12 @@ def fit(labelled: DataFrame, shrinkage: float = 0.15, temper: float = 3.0) -> Di
         F.array(*[F.sum(F.col("x")[i]) for i in range(FEATURES)]).alias("s"),
         F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in pairs]).alias("p"),
     )
-    got = {r["y"]: r for r in rows.collect()}
+    return fitted({r["y"]: r for r in rows.collect()}, shrinkage, temper)
+
+
+def fitted(got: dict, shrinkage: float = 0.15, temper: float = 3.0) -> Discriminant | None:
+    """The same from the sums of each class: n, s (of the features) and p (of their products, upper triangle by rows)."""
+    pairs = [(i, j) for i in range(FEATURES) for j in range(i, FEATURES)]
     if any(c not in got or got[c]["n"] < 2 for c in (0, 1)):
         return None
     n = np.array([got[c]["n"] for c in (0, 1)], float)
@@ -145,20 +151,20 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose score reaches the threshold; all columns stay. Each row is scored on
-    its own text beside it, so repeated and null doc_ids are no matter."""
-    _, model = trained(docs, labels, shared_dir(docs.sparkSession))
+    """The rows of docs whose score reaches the threshold; all columns stay, of any names. Each row is scored on its own
+    text beside it, so repeated and null doc_ids are no matter. The statistics are made once: here only those of the labelled
+    rows come before, for the model."""
+    y = labels.where("doc_id is not null and quality is not null").where(~training_fold(5, 0)).groupBy("doc_id").agg(F.max("quality").alias("y"))
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")).join(y, "doc_id", "left_semi")
+    model = fit(stored(features(rows), f"{shared_dir(docs.sparkSession)}/features").join(y, "doc_id").select("x", "y"))
     names = docs.columns
 
     def run(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 x = np.array([statistics(t) for t in part.column(names.index("text")).to_pylist()])
                 keep = model.score(x) >= threshold if model else np.full(len(x), 0.5 >= threshold)
-                yield part.filter(pa.array(keep)) if not pc.all(pa.array(keep)).as_py() else part
+                yield part if keep.all() else part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,4 +1,4 @@
-"""Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy."""
+"""Toxicity: a bidirectional gated recurrent network with attention pooling over words and their characters, in numpy."""
 
 from __future__ import annotations
 
@@ -8,41 +8,79 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import map_columns, segments
 from .quality import training_fold
 from .suffix_dedup import Rolling
 
-#: Buckets of each kind of input: the word, its first four bytes, its last three.
+#: What makes a word's input; the warm-up trains it, the rest of the training moves it a twentieth as much.
+INPUTS = ("embed", "chars", "k", "kb")
+#: Buckets of words; sizes of a word's and a character's embedding; the widths of a character's neighbourhood and of the states.
 BUCKETS = 1 << 14
-KINDS = 3
-EMBED, HIDDEN = 12, 8
+EMBED, CHARS, NEAR, HIDDEN = 12, 8, 5, 8
 WINDOW, STRIDE = 32, 24
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def inputs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Word and character inputs of all words of the texts, one row of KINDS bucket numbers per
-    word, and the number of words of each text. Words are runs of letters and digits, lower-cased."""
-    data = [(t or "").lower().encode("utf-8", "replace") for t in texts]
-    flat = b"\n".join(data) + b"\n"
-    letter = np.concatenate([[False], _LETTER[np.frombuffer(flat, np.uint8)]])
-    edge = np.flatnonzero(letter[1:] != letter[:-1])
-    start, end = edge[::2], edge[1::2]
-    roll = Rolling(flat)
-    size = np.minimum(end - start, 255).astype(np.uint64)
-    ids = np.empty((len(start), KINDS), np.int32)
-    for k, h in enumerate((roll.of(start, end), roll.of(start, np.minimum(start + 4, end)), roll.of(np.maximum(end - 3, start), end))):
-        ids[:, k] = ((h + size * np.uint64(k == 0)) % np.uint64(BUCKETS)).astype(np.int32) + k * BUCKETS
-    bounds = np.cumsum([len(d) + 1 for d in data])
-    return ids, np.diff(np.concatenate([[0], np.searchsorted(start, bounds)]))
-
-
-def inputs_in_parts(texts: list[str | None], chars: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many texts, holding the hashes of a part at a time."""
-    got = [inputs(texts[s:e]) for s, e in parts_of(texts, chars)]
-    return np.concatenate([i for i, _ in got]), np.concatenate([c for _, c in got])
+class Words(NamedTuple):
+    """Words of some texts. of: for each word in order its distinct word; bucket, start and end of each distinct
+    word, and chars, the bytes that start and end point into; counts: words of each text."""
+
+    of: np.ndarray
+    bucket: np.ndarray
+    chars: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    counts: np.ndarray
+
+
+def inputs(texts: list[str | None]) -> Words:
+    """Words are runs of letters and digits, lower-cased. A text is hashed one part at a time."""
+    flat, hashes, starts, ends, counts, base = [], [], [], [], [], 0
+    for t in texts:
+        n = 0
+        for part in segments((t or "").lower().encode("utf-8", "replace")):
+            letter = np.concatenate([[False], _LETTER[np.frombuffer(part, np.uint8)], [False]])
+            edge = np.flatnonzero(letter[1:] != letter[:-1])
+            start, end = edge[::2], edge[1::2]
+            hashes.append(Rolling(part).of(start, end) + (end - start).astype(np.uint64))
+            starts.append(start + base)
+            ends.append(end + base)
+            flat.append(part)
+            base += len(part)
+            n += len(start)
+        counts.append(n)
+    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    kinds, first, of = np.unique(join(hashes, np.uint64), return_index=True, return_inverse=True)
+    start, end = join(starts, np.int64)[first], join(ends, np.int64)[first]
+    return Words(of.reshape(-1).astype(np.int32), (kinds % np.uint64(BUCKETS)).astype(np.int32), np.frombuffer(b"".join(flat), np.uint8), start, end, np.array(counts, np.int64))
+
+
+def _spread(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(characters (n, NEAR), first of each word): all characters of those distinct words with their neighbours; 256 is none."""
+    size = words.end[which] - words.start[which]
+    first = np.cumsum(size) - size
+    at = np.arange(size.sum()) + np.repeat(words.start[which] - first, size)
+    c = np.append(words.chars, np.uint8(0)).astype(np.int16)
+    low, high = np.repeat(words.start[which], size), np.repeat(words.end[which], size)
+    near = [np.where((at + j >= low) & (at + j < high), c[(at + j).clip(0, len(words.chars))], 256) for j in range(-(NEAR // 2), NEAR // 2 + 1)]
+    return np.stack(near, 1), first
+
+
+def _characters(p: dict, near: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Convolved characters, and their highest values of each word, before the hyperbolic tangent."""
+    conv = p["kb"] + sum((p["chars"] @ p["k"][j])[near[:, j]] for j in range(NEAR))
+    return conv, np.maximum.reduceat(conv, first, axis=0)
+
+
+def embedded(p: dict, words: Words) -> np.ndarray:
+    """The input of each distinct word: its bucket's embedding and what its characters give."""
+    out = p["embed"][words.bucket].copy()
+    for at in range(0, len(out), 16384):
+        which = np.arange(at, min(len(out), at + 16384))
+        out[which] += np.tanh(_characters(p, *_spread(words, which))[1])
+    return out
 
 
 def parts_of(texts: list[str | None], chars: int):
@@ -72,16 +110,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network(NamedTuple):
-    """embed (rows, EMBED); of each direction w (EMBED, 3 H), u (H, 3 H), b (3 H); attention a (2 H, 2 H), v; output o, c."""
+    """embed (BUCKETS, EMBED); chars (257, CHARS), k (NEAR, CHARS, EMBED), kb (EMBED); of each direction w (EMBED, 3 H), u (H, 3 H),
+    b (3 H); attention a (2 H, 2 H), v; output o, c."""
 
     p: dict
     slope: float = 1.0
     shift: float = 0.0
 
-    def table(self) -> np.ndarray:
-        """Every bucket's share of the gates' inputs, of both directions, bias included; the last row is no word."""
+    def gates(self, words: Words) -> np.ndarray:
+        """What each distinct word gives the gates of both directions, bias included; the last row is no word."""
         w, b = np.concatenate([self.p["w0"], self.p["w1"]], 1), np.concatenate([self.p["b0"], self.p["b1"]])
-        return np.concatenate([self.p["embed"] @ w + b / KINDS, np.zeros((1, w.shape[1]), np.float32)])
+        return np.concatenate([embedded(self.p, words) @ w + b, np.zeros((1, w.shape[1]), np.float32)])
 
     def logits(self, gates: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Of windows over words whose gate inputs are the rows of `gates`; its last row is no word."""
@@ -131,11 +170,19 @@ def _pool(h: np.ndarray, live: np.ndarray, p: dict):
     return pooled @ p["o"] + p["c"][0], (e, w, pooled)
 
 
-def _step(p: dict, ids: np.ndarray, place: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, dict]:
+def _added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """n rows: the sums of the rows that point to each."""
+    flat = at[:, None].astype(np.int64) * rows.shape[1] + np.arange(rows.shape[1])
+    return np.bincount(flat.ravel(), rows.ravel(), n * rows.shape[1]).reshape(n, -1).astype(np.float32)
+
+
+def _step(p: dict, words: Words, place: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, dict]:
     """Logits and gradients of a batch of windows, by back-propagation through time."""
     live = place >= 0
-    words = ids[place.clip(0)]
-    x = p["embed"][words].sum(axis=2) * live[:, :, None]
+    rows, at = np.unique(words.of[place[live]], return_inverse=True)
+    made = _made(p, words, rows)
+    x = np.zeros((*place.shape, EMBED), np.float32)
+    x[live] = made[0][at.reshape(-1)]
     steps = np.arange(place.size).reshape(place.shape)
     pad = np.where(live, steps, -1)
     h, kept = [], []
@@ -174,92 +221,123 @@ def _step(p: dict, ids: np.ndarray, place: np.ndarray, y: np.ndarray, weight: np
         flat = gates_g.reshape(-1, 3 * HIDDEN)
         g[f"u{d}"], g[f"b{d}"], g[f"w{d}"] = gu, flat.sum(axis=0), x.reshape(-1, EMBED).T @ flat
         dx += gates_g @ p[f"w{d}"].T
-    rows, at = np.unique(words[live], return_inverse=True)
-    ge = np.zeros((len(rows), EMBED), np.float32)
-    np.add.at(ge, at.reshape(-1), np.repeat(dx[live], KINDS, axis=0))
-    g["embed"] = (rows, ge)
-    return logit, g
-
-
-def evidence(ids: np.ndarray, counts: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of each bucket: signed root of twice the log-likelihood ratio of its presence in toxic texts
-    against the others. Rare buckets stay near zero."""
-    of = np.repeat(np.arange(len(y)), counts)
-    seen = np.unique(np.repeat(of, KINDS).astype(np.int64) * (KINDS * BUCKETS) + ids.ravel())
-    n1 = np.bincount((seen % (KINDS * BUCKETS))[y[seen // (KINDS * BUCKETS)] == 1], minlength=KINDS * BUCKETS).astype(float)
-    n = np.bincount(seen % (KINDS * BUCKETS), minlength=KINDS * BUCKETS).astype(float)
-    share = y.mean()
-    part = lambda a, b: a * np.log(np.maximum(a, 1e-9) / np.maximum(b, 1e-9))
-    ratio = part(n1, n * share) + part(n - n1, n * (1 - share))
-    return np.sign(n1 - n * share) * np.sqrt(np.maximum(2 * ratio, 0))
-
-
-def train(texts: list[str], y: np.ndarray, steps: int = 700, batch: int = 256, rate: float = 0.01, drop: float = 0.15, seed: int = 3, most_windows: int = 24, rate_of_toxic: float = 0.0) -> Network:
-    """A network from labelled texts. One number of each embedding starts as its evidence; a share `drop`
-    of the words is hidden from each step. Windows take their text's label, but of a toxic text only those
-    that score highest of all are used (a quarter of them, one at least and `most_windows` // 4 at most), and of
-    another one `most_windows`, drawn anew from the whole text in each epoch.
-    The last fifth of the texts (all, where that holds fewer than 20 of a class) sets slope and shift of a text's highest logit; with the rate of toxic
-    texts outside the sample, the odds go half of the way there.
+    return logit, g | _back(p, words, rows, made, _added(at.reshape(-1), dx[live], len(rows)))
+
+
+def _made(p: dict, words: Words, rows: np.ndarray) -> tuple:
+    """Inputs of some distinct words, with what their gradients need."""
+    near, first = _spread(words, rows)
+    conv, top = _characters(p, near, first)
+    spelt = np.tanh(top)
+    return p["embed"][words.bucket[rows]] + spelt, near, first, conv, top, spelt
+
+
+def _back(p: dict, words: Words, rows: np.ndarray, made: tuple, gx: np.ndarray) -> dict:
+    """Gradients of embeddings and characters from those of the words' inputs."""
+    _, near, first, conv, top, spelt = made
+    buckets, to = np.unique(words.bucket[rows], return_inverse=True)
+    g = {"embed": (buckets, _added(to.reshape(-1), gx, len(buckets))), "k": np.zeros_like(p["k"]), "chars": np.zeros_like(p["chars"])}
+    # The tangent's gradient goes to the characters that gave a word's highest values.
+    size = np.diff(np.append(first, len(near)))
+    best = conv == np.repeat(top, size, axis=0)
+    gc = best * np.repeat(gx * (1 - spelt**2) / np.maximum(1, np.add.reduceat(best, first, axis=0, dtype=np.float32)), size, axis=0) if len(rows) else np.zeros((0, EMBED), np.float32)
+    g["kb"] = gc.sum(axis=0)
+    for j in range(NEAR):
+        per = _added(near[:, j], gc, 257)
+        g["k"][j] = p["chars"].T @ per
+        g["chars"] += per @ p["k"][j].T
+    return g
+
+
+def _step_of_texts(p: dict, words: Words, texts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, dict]:
+    """The same for whole texts whose logit is the logarithm of the mean exponential of their words' scores, x @ q: a warm-up of the
+    inputs, in which a text's few telling words get its gradient."""
+    first = np.cumsum(words.counts) - words.counts
+    n = words.counts[texts]
+    head = np.cumsum(n) - n
+    of = words.of[np.arange(n.sum()) + np.repeat(first[texts] - head, n)]
+    rows, at = np.unique(of, return_inverse=True)
+    at = at.reshape(-1)
+    made = _made(p, words, rows)
+    s = (made[0] @ p["q"])[at]
+    most = np.maximum.reduceat(s, head)
+    e = np.exp(s - np.repeat(most, n))
+    z = np.add.reduceat(e, head)
+    logit = most + np.log(z / n) + p["qc"][0]
+    dl = ((_sigmoid(logit) - y) * weight / weight.sum()).astype(np.float32)
+    ds = np.bincount(at, e * np.repeat(dl / z, n), len(rows)).astype(np.float32)
+    return logit, {"q": made[0].T @ ds, "qc": np.array([dl.sum()], np.float32)} | _back(p, words, rows, made, ds[:, None] * p["q"])
+
+
+def train(texts: list[str], y: np.ndarray, steps: int = 500, batch: int = 256, rate: float = 0.01, drop: float = 0.15, seed: int = 3, warm_up: int = 10, rate_of_toxic: float = 0.0) -> Network:
+    """A network from labelled texts. First the words' inputs are warmed up on whole texts (_step_of_texts), then the whole network
+    learns from windows, moving the inputs little. All windows of the other texts are learnt from in each epoch; as a toxic
+    text's label holds for some of its windows only, a quarter of them is (one at least), those that score highest. A share
+    `drop` of the words is hidden from each step. Every fifth text of a class (the first as well) is left out of this and
+    sets slope and shift of a text's highest logit; with the rate of toxic texts outside the sample, the odds go half of the way there.
     """
     rng = np.random.default_rng(seed)
-    cell = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    p = {"embed": (rng.standard_normal((KINDS * BUCKETS, EMBED)) * 0.1).astype(np.float32), "a": cell(2 * HIDDEN, 2 * HIDDEN), "v": cell(2 * HIDDEN), "o": cell(2 * HIDDEN), "c": np.zeros(1, np.float32)}
+    cell = lambda *s: (rng.standard_normal(s) / np.sqrt(s[-2] if len(s) > 1 else s[0])).astype(np.float32)
+    p = {
+        "embed": np.zeros((BUCKETS, EMBED), np.float32), "chars": (rng.standard_normal((257, CHARS)) * 0.5).astype(np.float32), "k": cell(NEAR, CHARS, EMBED),
+        "kb": np.zeros(EMBED, np.float32), "a": cell(2 * HIDDEN, 2 * HIDDEN), "v": cell(2 * HIDDEN), "o": cell(2 * HIDDEN), "c": np.zeros(1, np.float32),
+    }
     for d in (0, 1):
         p |= {f"w{d}": cell(EMBED, 3 * HIDDEN), f"u{d}": cell(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
-    ids, counts = inputs_in_parts(texts)
-    place, text = windows(counts)
-    order = rng.permutation(len(texts))
+    words = inputs(texts)
+    place, text = windows(words.counts)
     own = np.zeros(len(texts), bool)
-    own[order[: max(1, len(texts) * 4 // 5)]] = True
-    start = evidence(ids[np.repeat(own, counts)], counts[own], y[own])
-    p["embed"][:, 0] = start = np.where(np.abs(start) < 3, 0, start) / max(1.0, np.abs(start).max()) * 2
+    for c in (0, 1):
+        of = rng.permutation(np.flatnonzero(y == c))
+        own[of[np.arange(len(of)) % 5 > 0]] = True
+    p |= {"q": np.full(EMBED, EMBED**-0.5, np.float32), "qc": np.zeros(1, np.float32)}
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
     net, step = Network(p), 0
-    few = min(1.0, y.sum() / 1000)  # with few toxic texts the embeddings stay near their evidence
+
+    def follow(g: dict, rate: float, settled: float = 1) -> None:
+        nonlocal step
+        step += 1
+        lr = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+        for k, v in g.items():
+            at, v = v if k == "embed" else (slice(None), v)
+            m1[k][at] = 0.9 * m1[k][at] + 0.1 * v
+            # Words share one scale, so that those that tell the classes apart in many texts move most.
+            m2[k][at] = 0.999 * m2[k][at] + 0.001 * (np.square(v).mean() if k == "embed" else v**2)
+            p[k][at] -= (settled if k in INPUTS else 1) * lr * m1[k][at] / (np.sqrt(m2[k][at]) + 1e-8)
+
+    weight_of = lambda yy: np.where(yy == 1, 0.5 / max(0.02, yy.mean()), 0.5 / max(0.02, 1 - yy.mean())).astype(np.float32)
+    learnt = np.flatnonzero(own & (words.counts > 0))
+    for epoch in range(warm_up):
+        for b in np.array_split(rng.permutation(learnt), -(-len(learnt) // 64) or 1):
+            if len(b):
+                follow(_step_of_texts(p, words, b, y[b].astype(np.float32), weight_of(y[b]))[1], rate * (1 - 0.8 * epoch / warm_up))
+    score = np.append(embedded(p, words) @ p["q"], np.float32(-1e9))
+    warm = score[np.append(words.of, -1)[place]].max(axis=1)
     many = np.bincount(text)[text]
-    limit = np.where(y[text] == 1, np.clip(many // 4, 1, max(1, most_windows // 4)), most_windows)
-    epochs = int(np.clip(steps * batch // max(1, np.minimum(np.bincount(text), most_windows)[own].sum()), 5, 30))
+    limit = np.where(y[text] == 1, np.maximum(1, many // 4), many)
+    epochs = int(np.clip(steps * batch // max(1, np.ceil((limit / many)[own[text]].sum())), 3, 12))
 
     def logits_of(rows: np.ndarray) -> np.ndarray:
-        table = net.table()
+        gates = net.gates(words)
         out = np.full(len(place), -1e9, np.float32)
-        for i in range(0, len(rows), 1024):
-            p_ = place[rows[i : i + 1024]]
-            words = ids[p_.clip(0).ravel()]
-            gates = table[words[:, 0]]
-            for k in range(1, KINDS):
-                gates += table[words[:, k]]
-            own_place = np.where(p_ >= 0, np.arange(p_.size).reshape(p_.shape), -1)
-            out[rows[i : i + 1024]] = net.logits(gates, own_place)
+        for i in range(0, len(rows), 2048):
+            out[rows[i : i + 2048]] = net.logits(gates, np.append(words.of, -1)[place[rows[i : i + 2048]]])
         return out
 
     for epoch in range(epochs):
-        # At first by the evidence of a window's words, then by the network.
-        logit = logits_of(np.flatnonzero(y[text] == 1)) if epoch >= 2 else np.append(sum(start[ids[:, k]] for k in range(KINDS)), np.float32(0))[place].max(axis=1)
-        rank = np.lexsort((np.where(y[text] == 1, -logit, rng.random(len(text))), text))
+        logit = logits_of(np.flatnonzero(y[text] == 1)) if epoch >= 2 else warm
+        rank = np.lexsort((-logit, text))
         nth_best = np.empty(len(text), int)
         nth_best[rank] = np.arange(len(text)) - np.searchsorted(text, text)
         rows = rng.permutation(np.flatnonzero(own[text] & (nth_best < limit)))
-        share = np.clip(y[text[rows]].mean(), 0.02, 0.98)
-        for i in range(0, len(rows), batch):
-            b = rows[i : i + batch]
-            yy = y[text[b]].astype(np.float32)
-            weight = np.where(yy == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-            shown = np.where(rng.random(place[b].shape) < drop, -1, place[b])
-            _, g = _step(p, ids, shown, yy, weight)
-            step += 1
-            lr = rate * (1 - 0.8 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for k, v in g.items():
-                at, v = v if k == "embed" else (slice(None), v)
-                m1[k][at] = 0.9 * m1[k][at] + 0.1 * v
-                m2[k][at] = 0.999 * m2[k][at] + 0.001 * v**2
-                p[k][at] -= (few if k == "embed" else 1.0) * lr * m1[k][at] / (np.sqrt(m2[k][at]) + 1e-8)
+        for b in np.array_split(rows, -(-len(rows) // batch) or 1):
+            if len(b):
+                shown = np.where(rng.random(place[b].shape) < drop, -1, place[b])
+                follow(_step(p, words, shown, y[text[b]].astype(np.float32), weight_of(y[text[b]]))[1], rate * (1 - 0.8 * epoch / epochs), 0.05)
     best = np.full(len(texts), -1e9)
     np.maximum.at(best, text, logits_of(np.arange(len(text))))
-    test = ~own if y[~own].sum() >= 20 and (1 - y[~own]).sum() >= 20 else np.ones(len(texts), bool)
-    slope, shift = _calibrated(best[test], y[test])
+    slope, shift = _calibrated(best[~own], y[~own])
     if rate_of_toxic:
         odds = lambda q: np.log(q / (1 - q))
         shift += 0.5 * float(odds(np.clip(rate_of_toxic, 1e-4, 0.9)) - odds(np.clip(y.mean(), 1e-4, 1 - 1e-4)))
@@ -279,31 +357,22 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-_TABLES: dict[int, np.ndarray] = {}
-
-
-def score_texts(texts: list[str | None], net: Network, table: np.ndarray, chars: int = 1_000_000) -> np.ndarray:
+def score_texts(texts: list[str | None], net: Network, chars: int = 1_000_000) -> np.ndarray:
     """A text's score: the calibrated chance of its highest window."""
     best = np.full(len(texts), -np.inf)
     for at, end in parts_of(texts, chars):
-        ids, counts = inputs(texts[at:end])
-        gates = np.empty((len(ids) + 1, table.shape[1]), np.float32)
-        np.add(table[ids[:, 0]], table[ids[:, 1]], out=gates[:-1])
-        gates[:-1] += table[ids[:, 2]]
-        gates[-1] = 0
-        place, text = windows(counts)
+        words = inputs(texts[at:end])
+        gates, of = net.gates(words), np.append(words.of, -1)
+        place, text = windows(words.counts)
         for i in range(0, len(place), 2048):
-            np.maximum.at(best, text[i : i + 2048] + at, net.logits(gates, place[i : i + 2048]))
+            np.maximum.at(best, text[i : i + 2048] + at, net.logits(gates, of[place[i : i + 2048]]))
     return _sigmoid(net.slope * best + net.shift)
 
 
 def _scores(doc_id: list, text: list, net) -> dict:
     if net is None:
         return {"doc_id": doc_id, "score": [0.0] * len(text)}
-    if id(net) not in _TABLES:
-        _TABLES.clear()
-        _TABLES[id(net)] = net.value.table()
-    return {"doc_id": doc_id, "score": score_texts(text, net.value, _TABLES[id(net)]).astype(float)}
+    return {"doc_id": doc_id, "score": score_texts(text, net.value).astype(float)}
 
 
 def sample(docs: DataFrame, labels: DataFrame, each: int = 1000) -> DataFrame:
@@ -329,11 +398,11 @@ def fit(docs: DataFrame, labels: DataFrame, **kw) -> Network | None:
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of docs, from all windows of its whole text.
+    """(doc_id, held_out, score, predicted) of every row of docs, from all windows of its whole text; other columns are not read.
 
     Labels, lang, source and doc_id are no inputs. A text without words has one empty window and
     its score; rows without doc_id are scored and not held out. Without labels of both kinds
-    every score is 0. The network is broadcast: about 2 MB, whatever the data.
+    every score is 0. Repeated rows stay; empty tables give no rows. The network is broadcast: about 1 MB, whatever the data.
     """
     net = fit(docs, labels)
     net = docs.sparkSession.sparkContext.broadcast(net) if net else None

@@ -341,6 +341,25 @@ def test_quality_on_held_out_rows(spark, bigger):
     assert right >= 0.95 * len(held) and all(0 <= r["score"] <= 1 for _, r in held)
 
 
+def test_quality_scores_equal_log_densities():
+    rng = np.random.default_rng(8)
+    n = quality.FEATURES
+    mix = [rng.standard_normal((n, n)) * 0.3 for _ in (0, 1)]
+    x = {c: rng.standard_normal((60 + 30 * c, n)) @ mix[c] + c for c in (0, 1)}
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    model = quality.fitted({c: {"n": len(v), "s": v.sum(axis=0).tolist(), "p": [float((v[:, i] * v[:, j]).sum()) for i, j in pairs]} for c, v in x.items()})
+    every = np.concatenate([x[0], x[1]])
+    mean, scale = every.mean(axis=0), every.std(axis=0)
+    z, density = (every - mean) / scale, []
+    for c in (0, 1):
+        own = (x[c] - mean) / scale
+        cov = np.cov(own.T, bias=True)
+        cov = 0.85 * cov + 0.15 * np.diag(np.diag(cov)) + 0.05 * np.eye(n)
+        d = z.clip(-12, 12) - own.mean(axis=0)
+        density.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1] + np.log(len(own)))
+    assert np.allclose(model.score(every), 1 / (1 + np.exp(-((density[1] - density[0]) / model.temper + 0).clip(-30, 30))), atol=1e-6)
+
+
 def test_quality_of_odd_rows(spark, odd, none, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     assert quality.score(odd, labels).count() == len(ODD)
@@ -355,31 +374,77 @@ def test_toxicity_on_held_out_rows(spark, bigger):
     assert np.mean([a > b for a in p for b in n]) > 0.75
 
 
-def test_toxicity_gradients():
-    rng = np.random.default_rng(1)
-    texts, y = ["bad word here", "fine words there now", "bad again"], np.array([1.0, 0.0, 1.0])
-    ids, counts = toxicity.inputs(texts)
-    place, text = toxicity.windows(counts)
+def _network(rng):
     cell = lambda *s: rng.standard_normal(s) * 0.5
     h, e = toxicity.HIDDEN, toxicity.EMBED
-    p = {"embed": cell(toxicity.KINDS * toxicity.BUCKETS, e), "a": cell(2 * h, 2 * h), "v": cell(2 * h), "o": cell(2 * h), "c": cell(1)}
+    p = {"embed": cell(toxicity.BUCKETS, e), "chars": cell(257, toxicity.CHARS), "k": cell(toxicity.NEAR, toxicity.CHARS, e), "kb": cell(e), "q": cell(e), "qc": cell(1), "a": cell(2 * h, 2 * h), "v": cell(2 * h), "o": cell(2 * h), "c": cell(1)}
     for d in (0, 1):
         p |= {f"w{d}": cell(e, 3 * h), f"u{d}": cell(h, 3 * h), f"b{d}": cell(3 * h)}
+    return p
 
-    def loss():
-        z = toxicity._step(p, ids, place, y[text], np.ones(len(text)))[0]
-        return float(np.mean(np.log1p(np.exp(z)) - y[text] * z))
 
-    _, g = toxicity._step(p, ids, place, y[text], np.ones(len(text)))
-    for k in ("u0", "w1", "b0", "b1", "a", "v", "o", "c"):
-        at = tuple(int(rng.integers(0, n)) for n in p[k].shape)
-        own, step = p[k][at], 1e-2
-        p[k][at] = own + step
-        up = loss()
-        p[k][at] = own - step
-        down = loss()
-        p[k][at] = own
-        assert abs((up - down) / (2 * step) - g[k][at]) < 1e-3 + 0.05 * abs(g[k][at]), k
+def test_toxicity_gradients():
+    rng = np.random.default_rng(1)
+    texts, y = ["bad word here", "fine words there now", "bad again"], np.array([1.0, 0.0, 1.0])
+    words = toxicity.inputs(texts)
+    place, text = toxicity.windows(words.counts)
+    p = _network(rng)
+    for step, names in ((lambda: toxicity._step(p, words, place, y[text], np.ones(len(text))), ("u0", "w1", "b0", "b1", "a", "v", "o", "c", "k", "kb", "chars")), (lambda: toxicity._step_of_texts(p, words, np.arange(3), y, np.ones(3)), ("q", "qc", "k", "kb"))):
+
+        def loss(step=step):
+            z = step()[0]
+            return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+        g = step()[1]
+        row = int(g["embed"][0][0])
+        for k in (*names, "embed"):
+            at = tuple(int(rng.integers(0, n)) for n in p[k].shape)
+            at = (row, at[1]) if k == "embed" else (ord("d"), at[1]) if k == "chars" else at
+            given = g[k][1][0, at[1]] if k == "embed" else g[k][at]
+            own, move = p[k][at], 1e-3
+            p[k][at] = own + move
+            up = loss()
+            p[k][at] = own - move
+            down = loss()
+            p[k][at] = own
+            assert abs((up - down) / (2 * move) - given) < 1e-3 + 0.05 * abs(given), k
+
+
+def test_toxicity_logits_equal_a_plain_network():
+    """Windows, character convolution, both directions and attention, written out word by word."""
+    rng = np.random.default_rng(2)
+    p = {k: v.astype(np.float32) for k, v in _network(rng).items()}
+    texts = ["", "one", "Ünï cödé words, and more! " * 9, " ".join(f"w{i}" for i in range(70))]
+    h, e = toxicity.HIDDEN, toxicity.EMBED
+    sigma = lambda x: 1 / (1 + np.exp(-x))
+
+    def given(word):
+        at = int(toxicity.inputs([word]).bucket[0])
+        c = [256] * 2 + list(word.encode()) + [256] * 2
+        conv = [p["kb"] + sum(p["chars"][c[i + j]] @ p["k"][j] for j in range(toxicity.NEAR)) for i in range(len(c) - 4)]
+        return p["embed"][at] + np.tanh(np.max(conv, axis=0))
+
+    def logit(words):
+        x, states = [given(w) for w in words], []
+        for d in (0, 1):
+            s, out = np.zeros(h), {}
+            for t in reversed(range(len(x))) if d else range(len(x)):
+                a, b = x[t] @ p[f"w{d}"] + p[f"b{d}"], s @ p[f"u{d}"]
+                z, r = sigma(a[:h] + b[:h]), sigma(a[h : 2 * h] + b[h : 2 * h])
+                s = out[t] = z * s + (1 - z) * np.tanh(a[2 * h :] + r * b[2 * h :])
+            states.append(out)
+        both = [np.concatenate([states[0][t], states[1][t]]) for t in range(len(x))] or [np.zeros(2 * h)]
+        at = np.array([np.tanh(s @ p["a"]) @ p["v"] for s in both])
+        w = np.exp(at - at.max())
+        return (w / w.sum()) @ np.array(both) @ p["o"] + p["c"][0]
+
+    want = []
+    for t in texts:
+        words = re.findall(r"[0-9a-z\x80-\U0010FFFF]+", t.lower())
+        starts = range(0, max(1, len(words) - (toxicity.WINDOW - toxicity.STRIDE)), toxicity.STRIDE)
+        want.append(max(logit(words[i : i + toxicity.WINDOW]) for i in starts))
+    net = toxicity.Network(p, 0.7, 0.1)
+    assert np.allclose(toxicity.score_texts(texts, net), sigma(0.7 * np.array(want) + 0.1), atol=1e-4)
 
 
 def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
@@ -387,18 +452,17 @@ def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
     words = lambda n: [f"w{x}" for x in rng.integers(0, 300, n)]
     texts = [" ".join(words(900) + ["vile"] * (i % 2) * 20 + words(30)) for i in range(40)]
     y, step, seen = np.arange(40) % 2, toxicity._step, []
-    ids, counts = toxicity.inputs(texts)
-    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    vile = toxicity.inputs(["vile"])[0][0, 0]
-    monkeypatch.setattr(toxicity, "_step", lambda p, ids, place, y, w: (seen.append((place, y)), step(p, ids, place, y, w))[1])
-    toxicity.train(texts, y.astype(float), drop=0.0)
+    of = toxicity.inputs(texts)
+    nth = np.arange(of.counts.sum()) - np.repeat(np.cumsum(of.counts) - of.counts, of.counts)
+    monkeypatch.setattr(toxicity, "_step", lambda p, w, place, y, weight: (seen.append((place, y)), step(p, w, place, y, weight))[1])
+    net = toxicity.train(texts, y.astype(float), drop=0.0)
     first = {0: set(), 1: set()}
     for place, labels in seen:
         for c in first:
             first[c] |= set(nth[place[labels == c, 0]].tolist())
-    assert max(first[0]) > 850 and min(first[0]) == 0 and max(first[1]) > 850
-    place, labels = seen[0]
-    assert np.mean((ids[place[labels == 1], 0] == vile).any(axis=1)) > 0.3
+    assert first[0] == set(range(0, 940, toxicity.STRIDE)[: len(first[0])]) and max(first[1]) > 850
+    score = toxicity.score_texts(texts, net)
+    assert min(score[1::2]) > max(score[::2])
     docs = spark.createDataFrame([(i, "x" * 30_000) for i in range(20)], "doc_id long, text string")
     marks = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
     assert {len(r["text"]) for r in toxicity.sample(docs, marks).collect()} == {30_000}
