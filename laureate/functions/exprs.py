@@ -21,9 +21,11 @@ def parse_date(c: Column) -> Column:
 def parse_mark(c: Column) -> Column:
     """Metres, points, or a time of up to three parts in seconds, as DECIMAL(14,4); null without a mark."""
     text = F.trim(c)
-    parts = F.split(F.regexp_replace(text, r"[A-Za-z*+\s]+", ""), ":")
-    total = F.aggregate(parts, F.lit(0).cast("decimal(14,4)"), lambda a, x: (a * 60 + x.try_cast("decimal(10,4)")).cast("decimal(14,4)"))
-    return F.when(F.upper(text).isin(*NO_MARK) | (F.size(parts) > 3), None).otherwise(total)
+    kept = F.regexp_replace(text, r"[^0-9.:]+", "")  # annotations and group separators go
+    parts = F.split(kept, ":")
+    number = lambda x: F.when(x == "", F.lit(0)).otherwise(x.try_cast("decimal(10,4)"))
+    total = F.aggregate(parts, F.lit(0).cast("decimal(14,4)"), lambda a, x: (a * 60 + number(x)).cast("decimal(14,4)"))
+    return F.when(F.upper(text).isin(*NO_MARK) | (kept == "") | (F.size(parts) > 3), None).otherwise(total)
 
 
 def format_mark(hundredths: Column, is_time: Column) -> Column:
@@ -120,5 +122,6 @@ def from_digit_groups(groups: Column) -> Column:
     return (F.coalesce(groups["high"], F.lit(0)) * 60 + groups["mid"]) * 100 + groups["low"]
 
 
-def family(kind: Column, discipline: Column, throws: Sequence[str]) -> Column:
-    return F.when(kind == "time", "Track").when(discipline.isin(*throws), "Throws").otherwise("Jumps")
+def family(discipline: Column, jumps: Sequence[str], throws: Sequence[str]) -> Column:
+    """Jumps and throws are listed; the rest, combined events too, is track."""
+    return F.when(discipline.isin(*jumps), "Jumps").when(discipline.isin(*throws), "Throws").otherwise("Track")

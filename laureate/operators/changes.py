@@ -35,12 +35,15 @@ def gated(prev: DataFrame, cur: DataFrame, key: Sequence[str], period: str) -> D
     return cur.join(p, list(key)).where(F.col("_was") != F.col(period)).drop("_was")
 
 
-def composed(first: DataFrame, second: DataFrame, key: Sequence[str]) -> DataFrame:
-    """A to B, then B to C, is A to C; what returns to its start vanishes; one-sided changes pass."""
-    a = first.select(*key, F.col("from_value").alias("_af"), F.col("to_value").alias("_at"))
-    b = second.select(*key, F.col("from_value").alias("_bf"), F.col("to_value").alias("_bt"))
-    out = a.join(b, list(key), "full_outer").select(*key, F.coalesce("_af", "_bf").alias("from_value"), F.coalesce("_bt", "_at").alias("to_value"))
-    return out.where("not (from_value <=> to_value)")
+def composed(first: DataFrame, second: DataFrame, key: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
+    """A to B, then B to C, is A to C; what returns to its start vanishes, as does a change on both sides with an unknown end;
+    one-sided changes pass. The columns `carried` (such as an introduction that is still owed) are the first side's, else the second's."""
+    a = first.select(*key, F.lit(True).alias("_a"), F.col("from_value").alias("_af"), F.col("to_value").alias("_at"), *[F.col(c).alias(f"_a_{c}") for c in carried])
+    b = second.select(*key, F.lit(True).alias("_b"), F.col("from_value").alias("_bf"), F.col("to_value").alias("_bt"), *[F.col(c).alias(f"_b_{c}") for c in carried])
+    both = a.join(b, list(key), "full_outer")
+    stays = F.col("_a").isNull() | F.col("_b").isNull() | (F.col("_af") != F.col("_bt"))
+    one = lambda x, y, own: F.when(F.col(own).isNull(), F.col(y)).otherwise(F.col(x))
+    return both.where(stays).select(*key, one("_af", "_bf", "_a").alias("from_value"), one("_bt", "_at", "_b").alias("to_value"), *[F.coalesce(f"_a_{c}", f"_b_{c}").alias(c) for c in carried])
 
 
 def composed_chain(steps: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
@@ -105,6 +108,36 @@ def upserted(old: DataFrame, new: DataFrame, key: Sequence[str], kept_if_null: S
     return o.join(n, list(key), "full_outer").select(*key, *[pick(c) for c in cols])
 
 
+def newest_first(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """(key, values): a key's values, newest first."""
+    listed = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, value)), False).alias("_l"))
+    return listed.select(*key, F.transform("_l", lambda x: x[value]).alias("values"))
+
+
+def period_delta(snapshots: DataFrame, key: Sequence[str], period: str, values: Sequence[str]) -> DataFrame:
+    """(key, period, <value>_delta...): each value less the one of the period before; null in the first."""
+    w = Window.partitionBy(*key).orderBy(period)
+    return snapshots.select(*key, period, *[(F.col(v) - F.lag(v).over(w)).alias(f"{v}_delta") for v in values])
+
+
+def best_first(rows: DataFrame, by: Sequence[str], key: Column, name: str = "best") -> DataFrame:
+    """Adds the rank of each row by a key that grows as marks get better (exprs.sort_key)."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(key.desc())).cast("bigint"))
+
+
+def run_report(deliveries: DataFrame) -> DataFrame:
+    """One row about a run from (user_id, athlete, resolved, status, period): users, athletes, resolved and skipped athletes, sent and
+    failed deliveries, and rank_dates, the newest period of each athlete's group (a map)."""
+    distinct = lambda cond: F.count_distinct(F.when(cond, F.col("athlete")))
+    out = deliveries.agg(
+        F.count_distinct("user_id").alias("users"), F.count_distinct("athlete").alias("athletes"), distinct(F.col("resolved")).alias("resolved"), distinct(~F.col("resolved")).alias("skipped"),
+        F.count_if(F.col("status") == "sent").alias("sent"), F.count_if(F.col("status") == "error").alias("failed"),
+        F.array_sort(F.collect_set(F.when(F.col("resolved"), F.struct("grp", "period")))).alias("_d"),
+    )
+    newest = F.filter("_d", lambda x, i: (i == F.size("_d") - 1) | (F.get("_d", i + 1)["grp"] != x["grp"]))
+    return out.withColumn("rank_dates", F.map_from_entries(newest)).drop("_d")
+
+
 def unsent(candidates: DataFrame, log: DataFrame, key: Sequence[str]) -> DataFrame:
     """Deliveries not sent yet: a sent row blocks, an error row does not."""
     return candidates.join(log.where("status = 'sent'").select(*key).distinct(), list(key), "left_anti")

@@ -33,6 +33,11 @@ def replay_classes(replayed: DataFrame, recomputed: str, official: str, toleranc
     return replayed.groupBy(*by, kind.alias("class")).agg(F.count("*").alias("n"))
 
 
+def table_statistics(tables: DataFrame, by: Sequence[str], mark: str, points: str) -> DataFrame:
+    """(by, n, lowest, top): entries, least mark and most points of each table."""
+    return tables.groupBy(*by).agg(F.count("*").alias("n"), F.min(mark).alias("lowest"), F.max(points).alias("top"))
+
+
 def same_sets(a: DataFrame, b: DataFrame, key: Sequence[str], value: str) -> DataFrame:
     """(key, same): whether both sides hold the same values, repeats counted."""
     g = lambda df, n: df.groupBy(*key).agg(F.array_sort(F.collect_list(value)).alias(n))

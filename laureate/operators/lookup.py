@@ -34,21 +34,28 @@ def name_hits(names: DataFrame, queries: DataFrame, name: str, query: str, order
     return hit.withColumn("hit", F.row_number().over(w)).where(F.col("hit") <= limit).select(*queries.columns, *names.columns, "hit")
 
 
-def suffix_resolved(events: DataFrame, disciplines: DataFrame, label: str, discipline: str) -> DataFrame:
-    """For each discipline the event of its gender whose label is the discipline or ends with a blank and it, the longest
-    discipline first. Every suffix of a label that starts a word is a join key, so the join is on equality."""
-    words = F.split(F.col(label), " ")
+def events_of_groups(groups: DataFrame, events: DataFrame) -> DataFrame:
+    """(slug, gender, event_id) of each group: the event of its gender whose name is one of its disciplines or ends with a blank and
+    it, whatever case; the longest discipline with an event decides, then the first in its list, then the first event by
+    `pos`. Null where the competition does not stage it. groups: slug, gender, disciplines; events: event_id, gender, name, pos.
+
+    Every suffix of a name that follows a blank is a join key, so the join is on equality.
+    """
+    words = F.split(F.lower("name"), " ")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
-    e = events.withColumn("_d", F.explode(suffixes))
-    d = disciplines.withColumnRenamed(discipline, "_d")
-    hit = e.join(d, ["gender", "_d"])
-    w = Window.partitionBy("gender", label).orderBy(F.length("_d").desc(), "_d")
-    return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").withColumnRenamed("_d", discipline)
+    e = events.select("gender", "event_id", "pos", F.explode(F.array_distinct(suffixes)).alias("_d"))
+    d = groups.select("slug", "gender", F.posexplode("disciplines").alias("_i", "_name")).select("slug", "gender", "_i", F.length("_name").alias("_n"), F.lower("_name").alias("_d"))
+    best = d.join(e, ["gender", "_d"]).groupBy("slug", "gender").agg(F.min_by("event_id", F.struct(-F.col("_n"), "_i", "pos")).alias("event_id"))
+    return groups.select("slug", "gender").join(best, ["slug", "gender"], "left")
 
 
-def with_unranked(ranked: DataFrame, others: DataFrame, key: str) -> DataFrame:
-    """Ranked hits, then those that only the other list has."""
-    return ranked.withColumn("origin", F.lit("ranked")).unionByName(others.join(ranked.select(key), key, "left_anti").withColumn("origin", F.lit("listed")))
+def with_unranked(ranked: DataFrame, others: DataFrame, key: str, query: Sequence[str] = (), order: Sequence[Column] = (), limit: int | None = None) -> DataFrame:
+    """Ranked hits, then those that only the other list has; with a limit, the first so many of each query."""
+    both = ranked.withColumn("origin", F.lit("ranked")).unionByName(others.join(ranked.select(*query, key).distinct(), [*query, key], "left_anti").withColumn("origin", F.lit("listed")))
+    if limit is None:
+        return both
+    w = Window.partitionBy(*query).orderBy(F.col("origin") == "listed", *order)
+    return both.withColumn("hit", F.row_number().over(w)).where(F.col("hit") <= limit)
 
 
 def standings_joined(rankings: DataFrame, calculations: DataFrame, qualifications: DataFrame) -> DataFrame:
@@ -56,9 +63,10 @@ def standings_joined(rankings: DataFrame, calculations: DataFrame, qualification
     return rankings.join(calculations, "calculation_id", "left").join(qualifications, "athlete", "left")
 
 
-def counterparts(groups: DataFrame) -> DataFrame:
-    """(gender, slug, counterpart): the other gender's group of the same slug, else of the same ordinal."""
-    w = Window.partitionBy("gender").orderBy("slug")
+def counterparts(groups: DataFrame, pos: str = "pos") -> DataFrame:
+    """(gender, slug, counterpart): the other gender's group of the same slug, else of the same place in its list, which is
+    ordered by `pos`. groups is a rule table: one row per group."""
+    w = Window.partitionBy("gender").orderBy(pos)
     g = groups.select("gender", "slug", F.row_number().over(w).alias("n"))
     o = g.select(F.col("gender").alias("_og"), F.col("slug").alias("_os"), F.col("n").alias("_on"))
     same = g.join(o, (g["slug"] == o["_os"]) & (g["gender"] != o["_og"]), "left").select("gender", "slug", "n", F.col("_os").alias("_same"))
@@ -95,7 +103,14 @@ def facets(values: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out if out is not None else values.sparkSession.createDataFrame([], "level int, prefix string, choices string")
 
 
-def harvested(listed: DataFrame, rows: DataFrame, key: Sequence[str], value: str) -> DataFrame:
-    """Distinct trimmed values of two sources per key, sorted, without blanks."""
+def top_ranked(ranked: DataFrame, key: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    """The first k of each key."""
+    return ranked.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+
+
+def harvested(listed: DataFrame, rows: DataFrame, key: Sequence[str], value: str, among: DataFrame | None = None) -> DataFrame:
+    """Distinct trimmed values of two sources per key, sorted, without blanks; with `among`, only rows of its athletes
+    (all its columns are join keys, as of top_ranked)."""
+    rows = rows if among is None else rows.join(among, among.columns, "left_semi")
     both = listed.select(*key, F.trim(value).alias(value)).unionByName(rows.select(*key, F.trim(value).alias(value)))
     return both.where(F.col(value) != "").groupBy(*key).agg(F.array_sort(F.collect_set(value)).alias("found"))

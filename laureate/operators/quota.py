@@ -29,22 +29,37 @@ def quota_rank(pool: DataFrame, pre: DataFrame, event: Sequence[str], order: Seq
     return p.withColumn("pool_rank", F.when(F.col("ok"), F.sum(F.col("ok").cast("bigint")).over(run)))
 
 
-def quota_rank_huge(pool: DataFrame, pre: DataFrame, event: Sequence[str], order: str, country: str = "country", cap: int = 3, slices: int = 64) -> DataFrame:
+def quota_rank_huge(pool: DataFrame, pre: DataFrame, event: Sequence[str], order: str, country: str = "country", cap: int = 3, slices: int = 64, then: Sequence[Column] = ()) -> DataFrame:
     """The same for one pool of any size: only the best cap - pre of a country can have a rank, so those are
     found by a pruned window, and ranks come from counts of whole slices of the order plus places within one.
-    order: one numeric column, smaller is better, without ties.
+    order: one numeric column, smaller is better; `then` settles its ties.
     """
     p = pool.join(pre, [*event, country], "left").withColumn("pre", F.coalesce("pre", F.lit(0)).cast("bigint"))
-    own = Window.partitionBy(*event, country).orderBy(order)
+    own = Window.partitionBy(*event, country).orderBy(order, *then)
     # WindowGroupLimit: no more than cap rows of a country survive the map side.
     ok = p.withColumn("country_rank", F.row_number().over(own).cast("bigint")).where(f"country_rank <= {cap}").where(F.col("country_rank") <= cap - F.col("pre"))
     edges = ok.groupBy(*event).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     ok = ok.join(edges, list(event)).withColumn("_s", F.least(F.lit(slices - 1), F.floor((F.col(order) - F.col("_lo")) * slices / F.greatest(F.lit(1), F.col("_hi") - F.col("_lo") + 1))))
     before = ok.groupBy(*event, "_s").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(*event).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = ok.join(before, [*event, "_s"]).withColumn("pool_rank", F.col("_before") + F.row_number().over(Window.partitionBy(*event, "_s").orderBy(order)))
+    ranked = ok.join(before, [*event, "_s"]).withColumn("pool_rank", F.col("_before") + F.row_number().over(Window.partitionBy(*event, "_s").orderBy(order, *then)))
     return ranked.drop("_s", "_lo", "_hi", "_c", "_before")
 
 
+def rank_by_histogram(rows: DataFrame, by: Sequence[str], score: str, name: str) -> DataFrame:
+    """Adds the rank of a row within `by`: one more than the number of strictly better scores, nulls last.
+
+    Scores are counted first, so a window gets one row per distinct score however many rows a group holds, and the ranks are
+    joined back on (by, score), where AQE may split a hot one.
+    """
+    hist = rows.groupBy(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(by)], F.col(score).alias("_hs")).agg(F.count("*").alias("_hn"))
+    w = Window.partitionBy(*[f"_h{i}" for i in range(len(by))]).orderBy(F.col("_hs").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn(name, (F.coalesce(F.sum("_hn").over(w), F.lit(0)) + 1).cast("bigint")).drop("_hn")
+    on = F.col(score).eqNullSafe(F.col("_hs"))
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_h{i}"))
+    return rows.join(hist, on).drop("_hs", *[f"_h{i}" for i in range(len(by))])
+
+
 def uncapped_position(pool: DataFrame, event: Sequence[str], order: Sequence[Column], entry_number: Column, pool_slots: Column) -> DataFrame:
     """Adds uncapped_position: place in the whole pool behind the slots that are not the pool's."""
     w = Window.partitionBy(*event).orderBy(*order)
@@ -58,17 +73,18 @@ def qualifying(ranked: DataFrame, pool_slots: Column, fixed_slots: Column) -> Da
 
 def rank_in_country(pool: DataFrame, event: Sequence[str], score: str, country: str = "country") -> DataFrame:
     """Adds country_place: rank by score behind the country's fixed entries (`pre`)."""
-    w = Window.partitionBy(*event, country).orderBy(F.col(score).desc())
-    return pool.withColumn("country_place", (F.rank().over(w) + F.coalesce("pre", F.lit(0))).cast("bigint"))
+    return rank_by_histogram(pool, [*event, country], score, "country_place").withColumn("country_place", F.col("country_place") + F.coalesce("pre", F.lit(0)))
 
 
 def projected_place(pool: DataFrame, event: Sequence[str], score: str) -> DataFrame:
     """Adds projected_place: one more than the number of strictly better scores."""
-    return pool.withColumn("projected_place", F.rank().over(Window.partitionBy(*event).orderBy(F.col(score).desc())).cast("bigint"))
+    return rank_by_histogram(pool, event, score, "projected_place")
 
 
 def displayed_standing(rows: DataFrame) -> DataFrame:
-    """Adds standing and standing_kind: the official position if qualified, else the capped, else the uncapped one."""
-    official = F.when(F.col("qualified"), F.col("official_position"))
-    kind = F.when(official.isNotNull(), "official").when(F.col("qualifying_position").isNotNull(), "capped").otherwise("country")
-    return rows.withColumn("standing", F.coalesce(official, "qualifying_position", "uncapped_position")).withColumn("standing_kind", kind)
+    """Adds standing and standing_kind: the official position if qualified (null, where it is not known), else the capped, else the
+    uncapped one."""
+    is_official = F.coalesce(F.col("qualified"), F.lit(False))
+    kind = F.when(is_official, "official").when(F.col("qualifying_position").isNotNull(), "capped").otherwise("country")
+    standing = F.when(is_official, F.col("official_position")).otherwise(F.coalesce("qualifying_position", "uncapped_position"))
+    return rows.withColumn("standing", standing).withColumn("standing_kind", kind)

@@ -12,11 +12,11 @@ SENIORITY = {"SF": 3, "Q": 2, "H": 1}
 
 
 def round_seniority(race):
-    """9 for a final (`F`, `F1`), 3, 2, 1 for SF, Q, H with an optional number, else 0."""
-    code = F.regexp_extract(F.coalesce(race, F.lit("")), r"^(F|SF|Q|H)\d*$", 1)
-    out = F.when(code == "F", 9)
+    """9 for a final (`F`, `F1`), 3, 2, 1 for codes that begin with SF, Q, H, else 0; case and outer blanks do not count."""
+    code = F.upper(F.trim(F.coalesce(race, F.lit(""))))
+    out = F.when(code.rlike(r"^F\d*$"), 9)
     for name, rank in SENIORITY.items():
-        out = out.when(code == name, rank)
+        out = out.when(code.startswith(name), rank)
     return out.otherwise(0)
 
 

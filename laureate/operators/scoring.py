@@ -105,9 +105,11 @@ def placing_points(results: DataFrame, routes: DataFrame, tables: DataFrame) ->
 
 
 def category_comparison(scored: DataFrame, categories: DataFrame, tables: DataFrame, place: str = "place") -> DataFrame:
-    """A row per scored row and category: mark points, placing points, total. Categories are a fixed,
-    small list, held as an array and exploded, so no cross join of data arises."""
-    codes = [r["category"] for r in categories.select("category").distinct().orderBy("category").limit(100).collect()]
+    """A row per scored row and category: mark points, placing points, total. Categories are a rule table, all held as an
+    array and exploded, so no cross join of data arises; one of over SMALL_LADDER codes is refused."""
+    codes = [r["category"] for r in categories.select("category").distinct().limit(SMALL_LADDER + 1).collect()]
+    if len(codes) > SMALL_LADDER:
+        raise ValueError(f"over {SMALL_LADDER} categories: not a rule table")
     wide = scored.withColumn("category", F.explode(F.array(*map(F.lit, codes))))
     t = _sized(tables.select(F.col("category"), F.col("place_key").try_cast("int").alias(place), F.col("points").alias("_p")))
     out = wide.join(t, ["category", place], "left").withColumn("placing_points", F.coalesce("_p", F.lit(0))).drop("_p")
@@ -117,3 +119,15 @@ def category_comparison(scored: DataFrame, categories: DataFrame, tables: DataFr
 def score_series(compared: DataFrame, codes: Sequence[str], mark: str = "mark_points") -> DataFrame:
     """One row per mark, one column of scores per category."""
     return compared.groupBy(mark).pivot("category", list(codes)).agg(F.max("total_score"))
+
+
+def scenario_scores(scenarios: DataFrame, ladder: DataFrame, routes: DataFrame, tables: DataFrame, slug: str = "slug") -> DataFrame:
+    """Adds mark_points, placing_points and score: what a mark and place in a final of a category would earn.
+
+    scenarios: grp, slug (the ladder's group), mark_c, category, place. The round is a final and the discipline the group's own,
+    so no discipline's route applies. routes and tables as in placing_points.
+    """
+    s = asof_points(scenarios, ladder, [slug], F.col("mark_c")).withColumnRenamed("points", "mark_points")
+    s = s.withColumns({"round_kind": F.lit("final"), "advanced": F.lit(False), "discipline": F.lit(None).cast("string"), "field_rule": F.lit(None).cast("string")})
+    out = placing_points(s, routes, tables).drop("round_kind", "advanced", "discipline", "field_rule")
+    return out.withColumn("score", F.col("mark_points") + F.col("placing_points"))

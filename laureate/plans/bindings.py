@@ -80,10 +80,14 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's state per day: sum of values in hundredths, number of events, and the day's rank."""
     from pyspark.sql import Window
 
+    from ..operators.quota import rank_by_histogram
+
     e = t(spark, sf, "events").groupBy(F.col("user_id"), F.col("ts").cast("date").alias("period")).agg(
         F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("score"), F.count("*").alias("n"), F.bool_or(F.col("event_type") == "purchase").alias("qualified")
     )
-    return e.withColumn("place", F.row_number().over(Window.partitionBy("period").orderBy(F.col("score").desc(), "user_id")).cast("bigint"))
+    # Users of equal score are put in order among themselves; the rest of the place comes from counts of scores.
+    tied = F.row_number().over(Window.partitionBy("period", "score").orderBy("user_id"))
+    return rank_by_histogram(e, ["period"], "score", "place").withColumn("place", F.col("place") + tied - 1)
 
 
 SNAPSHOTS = """SELECT user_id, ts::DATE AS period, sum(round(value * 100)::BIGINT)::BIGINT AS score, count(*) AS n, bool_or(event_type = 'purchase') AS qualified,
@@ -114,5 +118,5 @@ PROBES = "SELECT o_orderkey AS probe_id, CASE WHEN o_orderkey % 2 = 0 THEN 'even
 
 def stages(spark: SparkSession, sf: str) -> DataFrame:
     """Events as rounds: user and day are the bucket."""
-    race = F.create_map(*map(F.lit, ("purchase", "F1", "click", "SF2", "view", "Q1", "signup", "H3", "error", "ER")))
+    race = F.create_map(*map(F.lit, ("purchase", " f1", "click", "sf2", "view", "Q1B", "signup", "H3", "error", "ER")))
     return t(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("date").alias("day"), race[F.col("event_type")].alias("race"))

@@ -10,51 +10,54 @@ from ..operators import changes as D
 from .bindings import SNAPSHOTS, snapshots, t
 from .registry import query
 
-DAY1, DAY2, DAY3 = "2024-01-10", "2024-01-11", "2024-01-12"
+def _before(snaps, days=1):
+    """Snapshots under the day that they are compared with."""
+    return snaps.withColumn("period", F.date_add("period", days))
 
 
-def _day(spark, sf, day):
-    return snapshots(spark, sf).where(F.col("period") == F.lit(day).cast("date"))
+def _steps(spark, sf):
+    """(the day before's snapshots, those of each day), over all days."""
+    s = snapshots(spark, sf)
+    return _before(s), s
 
 
-def _sql(day):
-    return f"SELECT * FROM ({SNAPSHOTS}) WHERE period = DATE '{day}'"
+KEY = ["user_id", "period"]
+_STEP = f"FROM ({SNAPSHOTS}) a JOIN ({SNAPSHOTS}) b ON a.user_id = b.user_id AND a.period + 1 = b.period"
 
 
-@query(f"""SELECT user_id, 'place' AS scope, a.place AS from_value, b.place AS to_value, CASE WHEN b.place < a.place THEN 'up' ELSE 'down' END AS direction FROM ({_sql(DAY1)}) a JOIN ({_sql(DAY2)}) b USING (user_id) WHERE a.place <> b.place
-UNION ALL SELECT user_id, 'n', a.n, b.n, CASE WHEN b.n < a.n THEN 'up' ELSE 'down' END FROM ({_sql(DAY1)}) a JOIN ({_sql(DAY2)}) b USING (user_id) WHERE a.n <> b.n""")
+@query(f"""SELECT b.user_id, b.period, 'place' AS scope, a.place AS from_value, b.place AS to_value, CASE WHEN b.place < a.place THEN 'up' ELSE 'down' END AS direction {_STEP} WHERE a.place <> b.place
+UNION ALL SELECT b.user_id, b.period, 'n', a.n, b.n, CASE WHEN b.n < a.n THEN 'up' ELSE 'down' END {_STEP} WHERE a.n <> b.n""")
 def d1_place_changes(spark, sf):
-    return D.place_changes(_day(spark, sf, DAY1), _day(spark, sf, DAY2), ["user_id"], ["place", "n"])
+    return D.place_changes(*_steps(spark, sf), KEY, ["place", "n"])
 
 
-@query(f"""SELECT user_id, a.score::DECIMAL(18,4) AS from_value, b.score::DECIMAL(18,4) AS to_value, (b.score - a.score)::DECIMAL(20,2) AS delta FROM ({_sql(DAY1)}) a JOIN ({_sql(DAY2)}) b USING (user_id) WHERE a.score <> b.score""")
+@query(f"""SELECT b.user_id, b.period, a.score::DECIMAL(18,4) AS from_value, b.score::DECIMAL(18,4) AS to_value, (b.score - a.score)::DECIMAL(20,2) AS delta {_STEP} WHERE a.score <> b.score""")
 def d2_score_changes(spark, sf):
-    return D.score_changes(_day(spark, sf, DAY1), _day(spark, sf, DAY2), ["user_id"], "score")
+    return D.score_changes(*_steps(spark, sf), KEY, "score")
 
 
-@query(f"SELECT user_id, a.qualified AS from_value, b.qualified AS to_value FROM ({_sql(DAY1)}) a JOIN ({_sql(DAY2)}) b USING (user_id) WHERE a.qualified <> b.qualified")
+@query(f"SELECT b.user_id, b.period, a.qualified AS from_value, b.qualified AS to_value {_STEP} WHERE a.qualified <> b.qualified")
 def d3_qualification_flips(spark, sf):
-    return D.flips(_day(spark, sf, DAY1), _day(spark, sf, DAY2), ["user_id"], "qualified")
+    return D.flips(*_steps(spark, sf), KEY, "qualified")
 
 
-_LATEST = f"SELECT * FROM ({SNAPSHOTS}) WHERE period <= DATE '{{}}' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY period DESC) = 1"
-
-
-@query(f"SELECT b.user_id, b.period, b.place FROM ({_LATEST.format(DAY2)}) b JOIN ({_LATEST.format(DAY1)}) a USING (user_id) WHERE a.period <> b.period")
+@query(f"SELECT user_id, period, place FROM ({SNAPSHOTS}) QUALIFY lag(period) OVER (PARTITION BY user_id ORDER BY period) IS NOT NULL")
 def d4_period_gate(spark, sf):
-    latest = lambda day: snapshots(spark, sf).where(F.col("period") <= F.lit(day).cast("date")).groupBy("user_id").agg(F.max_by(F.struct("period", "place"), "period").alias("s")).select("user_id", "s.*")
-    return D.gated(latest(DAY1), latest(DAY2), ["user_id"], "period").select("user_id", "period", "place")
+    s = snapshots(spark, sf).withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("period")))
+    return D.gated(s.withColumn("nth", F.col("nth") + 1), s, ["user_id", "nth"], "period").select("user_id", "period", "place")
 
 
-def _step(a, b):
-    return f"SELECT user_id, a.place AS f, b.place AS t FROM ({_sql(a)}) a JOIN ({_sql(b)}) b USING (user_id) WHERE a.place <> b.place"
+_MOVED = f"SELECT b.user_id, b.period, a.place AS f, b.place AS t, CASE WHEN b.qualified THEN b.n END AS intro {_STEP} WHERE a.place <> b.place"
 
 
-@query(f"""SELECT user_id, coalesce(x.f, y.f) AS from_value, coalesce(y.t, x.t) AS to_value FROM ({_step(DAY1, DAY2)}) x FULL JOIN ({_step(DAY2, DAY3)}) y USING (user_id) WHERE coalesce(x.f, y.f) IS DISTINCT FROM coalesce(y.t, x.t)""")
+@query(f"""SELECT user_id, coalesce(x.period + 1, y.period) AS period, coalesce(x.f, y.f) AS from_value, coalesce(y.t, x.t) AS to_value, coalesce(x.intro, y.intro) AS intro FROM ({_MOVED}) x FULL JOIN ({_MOVED}) y ON x.user_id = y.user_id AND x.period + 1 = y.period
+WHERE coalesce(x.f, y.f) IS DISTINCT FROM coalesce(y.t, x.t)""".replace("SELECT user_id, coalesce(x.period", "SELECT coalesce(x.user_id, y.user_id) AS user_id, coalesce(x.period"))
 def d5_composed(spark, sf):
-    a, b, c = (_day(spark, sf, d) for d in (DAY1, DAY2, DAY3))
-    step = lambda x, y: D.place_changes(x, y, ["user_id"], ["place"])
-    return D.composed(step(a, b), step(b, c), ["user_id"])
+    """Each day's change composed with the next day's; an introduction that is owed stays owed."""
+    prev, cur = _steps(spark, sf)
+    intro = cur.select(*KEY, F.when(F.col("qualified"), F.col("n")).alias("intro"))
+    step = D.place_changes(prev, cur, KEY, ["place"]).join(intro, KEY)
+    return D.composed(_before(step), step, KEY, ["intro"])
 
 
 def _chain(spark, sf):
@@ -71,8 +74,7 @@ def d5_composed_chain(spark, sf):
 
 @query(f"SELECT user_id, period, place - lag(place) OVER w AS place_delta, score - lag(score) OVER w AS score_delta FROM ({SNAPSHOTS}) WINDOW w AS (PARTITION BY user_id ORDER BY period)")
 def w13_period_delta(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("period")
-    return snapshots(spark, sf).select("user_id", "period", (F.col("place") - F.lag("place").over(w)).alias("place_delta"), (F.col("score") - F.lag("score").over(w)).alias("score_delta"))
+    return D.period_delta(snapshots(spark, sf), ["user_id"], "period", ["place", "score"])
 
 
 @query(f"SELECT user_id, period, CASE WHEN l IS NULL THEN NULL ELSE sign(l - place)::INT END AS direction, abs(place - l) AS size FROM (SELECT *, lag(place) OVER (PARTITION BY user_id ORDER BY period) AS l FROM ({SNAPSHOTS}))")
@@ -102,9 +104,15 @@ def u4_last_name(spark, sf):
     return D.last_name(t(spark, sf, "events").withColumnRenamed("event_type", "last_type"), ["user_id"], "last_type", "event_id")
 
 
-@query("""SELECT count(DISTINCT user_id) AS users, count(*) FILTER (event_type = 'purchase') AS sent, count(*) FILTER (event_type = 'error') AS skipped, count(DISTINCT ts::DATE) AS periods FROM events""")
+@query("""WITH d AS (SELECT user_id, event_id % 300 AS athlete, (event_id % 300) % 7 <> 0 AS resolved, CASE event_type WHEN 'purchase' THEN 'sent' WHEN 'error' THEN 'error' END AS status, 'g' || (event_id % 300) % 4 AS grp, ts::DATE::VARCHAR AS period FROM events)
+SELECT count(DISTINCT user_id) AS users, count(DISTINCT athlete) AS athletes, count(DISTINCT athlete) FILTER (resolved) AS resolved, count(DISTINCT athlete) FILTER (NOT resolved) AS skipped, count(*) FILTER (status = 'sent') AS sent,
+  count(*) FILTER (status = 'error') AS failed, (SELECT string_agg(grp || '=' || p, ',' ORDER BY grp) FROM (SELECT grp, max(period) AS p FROM d WHERE resolved GROUP BY grp)) AS rank_dates FROM d""")
 def a9_run_report(spark, sf):
-    return t(spark, sf, "events").agg(F.count_distinct("user_id").alias("users"), F.count_if(F.col("event_type") == "purchase").alias("sent"), F.count_if(F.col("event_type") == "error").alias("skipped"), F.count_distinct(F.col("ts").cast("date")).alias("periods"))
+    athlete = F.col("event_id") % 300
+    status = F.when(F.col("event_type") == "purchase", "sent").when(F.col("event_type") == "error", "error")
+    d = t(spark, sf, "events").select("user_id", athlete.alias("athlete"), (athlete % 7 != 0).alias("resolved"), status.alias("status"), F.concat(F.lit("g"), athlete % 4).alias("grp"), F.col("ts").cast("date").cast("string").alias("period"))
+    dates = F.transform(F.map_entries("rank_dates"), lambda x: F.concat_ws("=", x["key"], x["value"]))
+    return D.run_report(d).withColumn("rank_dates", F.array_join(dates, ","))
 
 
 @query(f"""SELECT user_id, count(DISTINCT scope) AS n_athletes, count(*) AS n_items, string_agg(line, chr(10) ORDER BY period, scope) AS body FROM
@@ -122,17 +130,17 @@ def a11_limit_per_key(spark, sf):
 
 @query("SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY ts DESC, event_id DESC) AS newest FROM events WHERE event_type = 'purchase' GROUP BY user_id")
 def t3_newest_first(spark, sf):
-    e = t(spark, sf, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id")), False).alias("l"))
-    return e.select("user_id", F.array_join(F.transform("l", lambda x: x["event_id"].cast("string")), ",").alias("newest"))
+    out = D.newest_first(t(spark, sf, "events").where("event_type = 'purchase'"), ["user_id"], ["ts"], "event_id")
+    return out.select("user_id", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("newest"))
 
 
-@query(f"""SELECT user_id, coalesce(b.period, a.period) AS period, CASE WHEN b.user_id IS NULL THEN a.place ELSE coalesce(nullif(b.place, 1), a.place) END AS place, CASE WHEN b.user_id IS NULL THEN a.score ELSE b.score END AS score
-  FROM ({_sql(DAY1)}) a FULL JOIN ({_sql(DAY2)}) b USING (user_id)""")
+@query(f"""SELECT coalesce(b.user_id, a.user_id) AS user_id, coalesce(b.period, a.period + 1) AS period, CASE WHEN b.user_id IS NULL THEN a.place ELSE coalesce(nullif(b.place, 1), a.place) END AS place, CASE WHEN b.user_id IS NULL THEN a.score ELSE b.score END AS score
+  FROM ({SNAPSHOTS}) a FULL JOIN ({SNAPSHOTS}) b ON a.user_id = b.user_id AND a.period + 1 = b.period""")
 def s10_snapshot_upsert(spark, sf):
-    """A place that could not be read (here the first) keeps the stored one."""
-    new = _day(spark, sf, DAY2).withColumn("place", F.nullif(F.col("place"), F.lit(1)))
+    """Each day's snapshots over those of the day before; a place that could not be read (here the first) keeps the stored one."""
+    old, new = _steps(spark, sf)
     cols = ["user_id", "period", "place", "score"]
-    return D.upserted(_day(spark, sf, DAY1).select(*cols), new.select(*cols), ["user_id"], ["place"])
+    return D.upserted(old.select(*cols), new.withColumn("place", F.nullif(F.col("place"), F.lit(1))).select(*cols), KEY, ["place"])
 
 
 @query("""WITH c AS (SELECT DISTINCT user_id, ts::DATE AS period FROM events WHERE event_type = 'click'), s AS (SELECT DISTINCT user_id, ts::DATE AS period FROM events WHERE event_type = 'purchase')
@@ -159,19 +167,22 @@ def s11_outbox(spark, sf):
     return outbox_after(side("ts < '2024-01-15'"), side("ts >= '2024-01-15'"), e.where("kind = 'error'").select("user_id", "kind").distinct(), ["user_id", "kind"])
 
 
-@query(f"""WITH f AS (SELECT c_custkey AS fan, c_custkey % 150 AS user_id FROM customer), st AS (SELECT user_id, place FROM ({_sql(DAY1)})), sn AS (SELECT user_id, score FROM ({_sql(DAY2)}))
+@query(f"""WITH f AS (SELECT c_custkey AS fan, c_custkey % 150 AS user_id FROM customer), st AS (SELECT user_id, arg_max(place, period) AS place FROM ({SNAPSHOTS}) GROUP BY user_id), sn AS (SELECT user_id, sum(score)::BIGINT AS score FROM ({SNAPSHOTS}) GROUP BY user_id)
 SELECT fan, user_id, place, score FROM f LEFT JOIN st USING (user_id) LEFT JOIN sn USING (user_id)""")
 def j11_fan_out(spark, sf):
+    """The last place and the whole score of the athletes that anyone follows, to all followers."""
     from ..operators.lookup import fanned_out
 
     f = t(spark, sf, "customer").select(F.col("c_custkey").alias("fan"), (F.col("c_custkey") % 150).alias("user_id"))
-    return fanned_out(f, _day(spark, sf, DAY1).select("user_id", "place"), _day(spark, sf, DAY2).select("user_id", "score"), "user_id").select("fan", "user_id", "place", "score")
+    s = snapshots(spark, sf)
+    last, whole = s.groupBy("user_id").agg(F.max_by("place", "period").alias("place")), s.groupBy("user_id").agg(F.sum("score").alias("score"))
+    return fanned_out(f, last, whole, "user_id").select("fan", "user_id", "place", "score")
 
 
 @query(f"""WITH f AS (SELECT c_custkey AS fan, c_custkey % 150 AS user_id, c_acctbal > 5000 AS intro_sent FROM customer)
-SELECT fan, user_id, b.place FROM f JOIN ({_sql(DAY2)}) b USING (user_id) JOIN ({_sql(DAY1)}) a USING (user_id) WHERE NOT intro_sent AND a.place <> b.place""")
+SELECT fan, b.user_id, b.period, b.place {_STEP} JOIN f ON f.user_id = b.user_id WHERE NOT intro_sent AND a.place <> b.place""")
 def d6_introductions(spark, sf):
     f = t(spark, sf, "customer").select(F.col("c_custkey").alias("fan"), (F.col("c_custkey") % 150).alias("user_id"), (F.col("c_acctbal") > 5000).alias("intro_sent"))
-    a = _day(spark, sf, DAY1).select("user_id", F.col("place").alias("was"))
-    s = _day(spark, sf, DAY2).join(a, "user_id").withColumn("rank_advanced", F.col("place") != F.col("was"))
-    return D.introductions(f, s, "user_id").select("fan", "user_id", "place")
+    prev, cur = _steps(spark, sf)
+    s = cur.join(prev.select(*KEY, F.col("place").alias("was")), KEY).withColumn("rank_advanced", F.col("place") != F.col("was"))
+    return D.introductions(f, s, "user_id").select("fan", "user_id", "period", "place")

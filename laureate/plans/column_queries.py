@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import changes as D
+from ..operators import checks as K
 from ..operators import lookup as L
 from ..sources import readers as R
 from .bindings import LADDER, ladder, t
@@ -25,7 +26,7 @@ def p2_parse_mark(spark, sf):
     """Plain marks with a letter, times of two parts, and texts for no mark."""
     o = t(spark, sf, "orders").withColumn("c", F.round(F.col("o_totalprice") * 100).cast("bigint") % 1_000_000)
     sec = F.concat(F.lpad((F.floor(F.col("c") / 100) % 60).cast("string"), 2, "0"), F.lit("."), F.lpad((F.col("c") % 100).cast("string"), 2, "0"))
-    plain = F.concat(F.floor(F.col("c") / 100).cast("string"), F.lit("."), F.lpad((F.col("c") % 100).cast("string"), 2, "0"), F.lit(" w"))
+    plain = F.concat(F.floor(F.col("c") / 100).cast("string"), F.lit("."), F.lpad((F.col("c") % 100).cast("string"), 2, "0"), F.lit(" (w)"))
     text = F.when(F.col("o_orderstatus") == "O", plain).when(F.col("o_orderstatus") == "F", F.concat(F.floor(F.col("c") / 6000).cast("string"), F.lit(":"), sec)).otherwise("DNF")
     return o.select("o_orderkey", X.parse_mark(text).alias("mark"))
 
@@ -43,7 +44,7 @@ def p3_p15_marks(spark, sf):
 
 @query("""SELECT c_custkey, (c_custkey % 12)::INT AS place, (c_custkey % 12) BETWEEN 1 AND 3 AS podium, c_custkey AS id, CASE WHEN c_nationkey = 0 THEN NULL ELSE c_nationkey END AS positive,
   CASE WHEN c_mktsegment = 'BUILDING' THEN -c_acctbal ELSE c_acctbal END AS key, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'min10' ELSE 'max9' END AS size_rule,
-  CASE WHEN c_mktsegment = 'BUILDING' THEN 'Track' WHEN c_mktsegment = 'FURNITURE' THEN 'Throws' ELSE 'Jumps' END AS family FROM customer""")
+  CASE c_mktsegment WHEN 'FURNITURE' THEN 'Throws' WHEN 'MACHINERY' THEN 'Jumps' WHEN 'HOUSEHOLD' THEN 'Jumps' ELSE 'Track' END AS family FROM customer""")
 def p4_to_p16_columns(spark, sf):
     """P4, P5, P6, P12, P14, P16."""
     c = t(spark, sf, "customer")
@@ -51,7 +52,7 @@ def p4_to_p16_columns(spark, sf):
     kind = F.when(seg == "BUILDING", "time").when(seg == "MACHINERY", "height").otherwise("points")
     place = X.parse_place(F.when(F.col("c_custkey") % 12 == 0, "DNF").otherwise(F.concat((F.col("c_custkey") % 12).cast("string"), F.lit("."))))
     rule = X.final_size_rule(F.when(seg == "BUILDING", "distance").otherwise(kind))
-    return c.select("c_custkey", place.alias("place"), X.on_podium(place).alias("podium"), X.trailing_id(F.concat(F.lit("some-name-"), F.col("c_custkey").cast("string"))).alias("id"), X.positive_int(F.col("c_nationkey").cast("string")).alias("positive"), X.sort_key(F.col("c_acctbal"), seg != "BUILDING").alias("key"), rule.alias("size_rule"), X.family(kind, seg, ["FURNITURE"]).alias("family"))
+    return c.select("c_custkey", place.alias("place"), X.on_podium(place).alias("podium"), X.trailing_id(F.concat(F.lit("some-name-"), F.col("c_custkey").cast("string"))).alias("id"), X.positive_int(F.col("c_nationkey").cast("string")).alias("positive"), X.sort_key(F.col("c_acctbal"), seg != "BUILDING").alias("key"), rule.alias("size_rule"), X.family(seg, ["MACHINERY", "HOUSEHOLD"], ["FURNITURE"]).alias("family"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN false WHEN 'click' THEN user_id % 2 = 0 WHEN 'error' THEN false ELSE true END AS wanted FROM events")
@@ -75,19 +76,29 @@ def t2_name_search(spark, sf):
     return L.name_hits(p, q, "p_name", "query", [F.col("p_partkey")]).select("query", "p_partkey", F.col("hit").cast("bigint").alias("hit"))
 
 
-@query("""SELECT p_partkey, d.discipline FROM part p JOIN (VALUES ('widget'), ('red widget'), ('bolt'), ('ring'), ('olt')) d(discipline) ON p.p_name = d.discipline OR p.p_name LIKE '% ' || d.discipline
-QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY len(d.discipline) DESC) = 1""")
+_EVENT = "SELECT min(p_partkey) AS event_id, p_size % 2 AS gender, p_name AS name FROM part GROUP BY ALL"
+_OF_GROUP = "SELECT DISTINCT p_brand AS slug, p_size % 2 AS gender, upper(unnest([p_name, split_part(p_name, ' ', 2), 'x ' || p_type])) AS d FROM part WHERE p_partkey % 5 = 0"
+
+
+@query(f"""WITH e AS ({_EVENT}), g AS ({_OF_GROUP}),
+  hit AS (SELECT slug, g.gender, e.event_id, row_number() OVER (PARTITION BY slug, g.gender ORDER BY len(d) DESC, d, e.event_id) AS n FROM g JOIN e ON g.gender = e.gender AND (lower(e.name) = lower(d) OR ends_with(lower(e.name), ' ' || lower(d))))
+SELECT slug, gender, hit.event_id FROM (SELECT DISTINCT slug, gender FROM g) LEFT JOIN (SELECT * FROM hit WHERE n = 1) hit USING (slug, gender)""")
 def j6_event_resolution(spark, sf):
-    """Names end with a discipline as a whole word; the longest wins."""
-    e = t(spark, sf, "part").select(F.lit("x").alias("gender"), "p_name").distinct()
-    d = spark.createDataFrame([("x", w) for w in ("widget", "red widget", "bolt", "ring", "olt")], "gender string, discipline string")
-    return t(spark, sf, "part").join(L.suffix_resolved(e, d, "p_name", "discipline"), "p_name").select("p_partkey", "discipline")
+    """Brands as groups with discipline names in capitals, part names as events: whole names or their last words."""
+    part = t(spark, sf, "part").withColumn("gender", F.col("p_size") % 2)
+    events = part.groupBy("gender", F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("event_id")).withColumn("pos", F.col("event_id"))
+    names = F.explode(F.array(F.col("p_name"), F.split_part("p_name", F.lit(" "), F.lit(2)), F.concat(F.lit("x "), F.col("p_type"))))
+    groups = part.where("p_partkey % 5 = 0").select(F.col("p_brand").alias("slug"), "gender", names.alias("d")).groupBy("slug", "gender").agg(F.array_sort(F.collect_set(F.upper("d"))).alias("disciplines"))
+    return L.events_of_groups(groups, events)
 
 
-@query("""SELECT c_custkey, 'ranked' AS origin FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT c_custkey, 'listed' FROM customer WHERE c_mktsegment = 'BUILDING' AND NOT c_acctbal > 5000""")
+@query("""WITH h AS (SELECT c_mktsegment AS query, c_custkey, CASE WHEN c_acctbal > 9000 THEN 'ranked' ELSE 'listed' END AS origin FROM customer WHERE c_acctbal > 9000 OR c_nationkey = 7)
+SELECT *, row_number() OVER (PARTITION BY query ORDER BY origin = 'listed', c_custkey) AS hit FROM h QUALIFY hit <= 12""")
 def j7_search_union(spark, sf):
-    c = t(spark, sf, "customer")
-    return L.with_unranked(c.where("c_acctbal > 5000").select("c_custkey"), c.where("c_mktsegment = 'BUILDING'").select("c_custkey"), "c_custkey")
+    """Twelve hits of each query: ranked ones first, then those that are only listed."""
+    c = t(spark, sf, "customer").withColumn("query", F.col("c_mktsegment"))
+    out = L.with_unranked(c.where("c_acctbal > 9000").select("query", "c_custkey"), c.where("c_nationkey = 7").select("query", "c_custkey"), "c_custkey", ["query"], [F.col("c_custkey")], 12)
+    return out.withColumn("hit", F.col("hit").cast("bigint"))
 
 
 @query("""SELECT c.c_custkey AS athlete, c.c_nationkey AS calculation_id, n.n AS suppliers, q.q AS late FROM customer c LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 0 GROUP BY 1) n ON n.s_nationkey = c.c_nationkey
@@ -99,11 +110,11 @@ def j8_standings_joined(spark, sf):
     return L.standings_joined(c, n, q).select("athlete", "calculation_id", "suppliers", "late")
 
 
-@query("""WITH g AS (SELECT r_name AS gender, n_name AS slug, row_number() OVER (PARTITION BY r_name ORDER BY n_name) AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE'))
+@query("""WITH g AS (SELECT r_name AS gender, n_name AS slug, row_number() OVER (PARTITION BY r_name ORDER BY -n_nationkey) AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE'))
 SELECT a.gender, a.slug, coalesce(s.slug, b.slug) AS counterpart FROM g a LEFT JOIN g s ON s.slug = a.slug AND s.gender <> a.gender LEFT JOIN g b ON b.n = a.n AND b.gender <> a.gender""")
 def j10_counterparts(spark, sf):
     n, r = t(spark, sf, "nation"), t(spark, sf, "region").where("r_name in ('ASIA', 'EUROPE')")
-    return L.counterparts(n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("r_name").alias("gender"), F.col("n_name").alias("slug")))
+    return L.counterparts(n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("r_name").alias("gender"), F.col("n_name").alias("slug"), (-F.col("n_nationkey")).alias("pos")))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment WHEN c_acctbal > 0 THEN 'carried' ELSE 'default' END AS "group" FROM customer""")
@@ -124,23 +135,25 @@ def a13_facets(spark, sf):
     return L.facets(d, ["a", "b", "c", "d"])
 
 
-@query("""SELECT c_mktsegment AS grp, string_agg(DISTINCT v, ',' ORDER BY v) AS found FROM (SELECT c_mktsegment, o_orderpriority AS v FROM customer JOIN orders ON o_custkey = c_custkey UNION ALL SELECT c_mktsegment, c_mktsegment FROM customer) GROUP BY 1""")
+@query("""WITH top AS (SELECT c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 25)
+SELECT grp, string_agg(DISTINCT v, ',' ORDER BY v) AS found FROM (SELECT c_mktsegment AS grp, o_orderpriority || '/' || o_orderstatus AS v FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey IN (SELECT c_custkey FROM top)
+UNION ALL SELECT c_mktsegment, c_mktsegment FROM customer) GROUP BY 1""")
 def a8_harvest(spark, sf):
-    o, c = t(spark, sf, "orders"), t(spark, sf, "customer")
-    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("c_mktsegment").alias("grp"), F.concat(F.lit(" "), F.col("o_orderpriority")).alias("v"))
-    out = L.harvested(c.select(F.col("c_mktsegment").alias("grp"), F.col("c_mktsegment").alias("v")), rows, ["grp"], "v")
-    return out.select("grp", F.array_join("found", ",").alias("found"))
+    """Values of the 25 best customers of each segment, and the segment's own."""
+    o, c = t(spark, sf, "orders"), t(spark, sf, "customer").withColumnRenamed("c_mktsegment", "grp")
+    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).select("grp", "c_custkey", F.concat_ws("/", F.concat(F.lit(" "), F.col("o_orderpriority")), "o_orderstatus").alias("v"))
+    best = L.top_ranked(c, ["grp"], [F.col("c_acctbal").desc(), F.col("c_custkey")], 25).select("c_custkey")
+    return L.harvested(c.select("grp", F.col("grp").alias("v")), rows, ["grp"], "v", best).select("grp", F.array_join("found", ",").alias("found"))
 
 
 @query(f"SELECT slug, count(*) AS n, min(mark_c) AS lowest, max(points) AS top FROM ({LADDER}) GROUP BY slug")
 def a12_table_statistics(spark, sf):
-    return ladder(spark, sf).groupBy("slug").agg(F.count("*").alias("n"), F.min("mark_c").alias("lowest"), F.max("points").alias("top"))
+    return K.table_statistics(ladder(spark, sf), ["slug"], "mark_c", "points")
 
 
 @query(f"SELECT slug, mark_c, row_number() OVER (PARTITION BY slug ORDER BY CASE slug WHEN 'even' THEN -mark_c ELSE mark_c END) AS best FROM ({LADDER})")
 def t1_direction_sort(spark, sf):
-    k = X.sort_key(F.col("mark_c"), F.col("slug") == "even")
-    return ladder(spark, sf).select("slug", "mark_c", F.row_number().over(Window.partitionBy("slug").orderBy(k.desc())).cast("bigint").alias("best"))
+    return D.best_first(ladder(spark, sf), ["slug"], X.sort_key(F.col("mark_c"), F.col("slug") == "even")).select("slug", "mark_c", "best")
 
 
 @query("""SELECT c_mktsegment AS slug, 'x' AS gender, max(c_name) OVER (PARTITION BY c_mktsegment, 1) AS rank_date, c_custkey, c_acctbal FROM customer""")
@@ -192,4 +205,11 @@ def s5_s9_results_of_years(spark, sf):
 
 @query(f"SELECT mark_c, points FROM ({LADDER}) WHERE slug = 'even'")
 def s12_projection(spark, sf):
-    return ladder(spark, sf).where("slug = 'even'").select("mark_c", "points")
+    import uuid
+
+    from ..sources.writers import project_one
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base}/one-{uuid.uuid4().hex}"
+    project_one(ladder(spark, sf), path, "slug = 'even'", ["mark_c", "points"])
+    return spark.read.parquet(path)

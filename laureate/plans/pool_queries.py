@@ -46,8 +46,7 @@ def w7_quota_rank(spark, sf):
 @query(f"SELECT event, athlete, pool_rank FROM ({_RANKED}) WHERE pool_rank IS NOT NULL")
 def w7_quota_rank_huge(spark, sf):
     """The same ranks without a window over a whole pool."""
-    rows = _open(spark, sf).withColumn("pos", -F.col("score") * 10_000_000 + F.col("athlete"))
-    return Q.quota_rank_huge(rows, _pre(spark, sf), ["event"], "pos", cap=CAP).select("event", "athlete", F.col("pool_rank").cast("bigint").alias("pool_rank"))
+    return Q.quota_rank_huge(_open(spark, sf).withColumn("pos", -F.col("score")), _pre(spark, sf), ["event"], "pos", cap=CAP, then=[F.col("athlete")]).select("event", "athlete", F.col("pool_rank").cast("bigint").alias("pool_rank"))
 
 
 @query(f"""SELECT event, athlete, row_number() OVER (PARTITION BY event ORDER BY score DESC, athlete) + 48 - 30 AS uncapped_position,

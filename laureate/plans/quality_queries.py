@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import checks as K
 from ..operators import extract as E
 from ..operators.changes import agreement
-from .bindings import PLACING, SNAPSHOTS, placing, snapshots, t
-from .ranking_queries import RANKED, SCORED, _ranked, scored
+from ..operators.counting import counting_order
+from ..operators.scoring import asof_points, asof_points_by_union
+from .bindings import INSIDE_SQL, LADDER, PLACING, PROBES, SNAPSHOTS, ladder, placing, probes, snapshots, t
+from .ranking_queries import COUNTING, SCORED, _counting, _inside, scored
 from .registry import query
 
 
@@ -20,9 +23,14 @@ def q1_anchors(spark, sf):
     return K.anchors(n(o), n(o.where("o_totalprice > 2000")), ["k"], "v")
 
 
-@query(f"SELECT table_no, category, place_key, points FROM (SELECT *, lag(points) OVER (PARTITION BY table_no, category ORDER BY place_key::INT) AS before FROM ({PLACING})) WHERE points > before")
+_UNEVEN = f"SELECT table_no, category, place_key, CASE WHEN points % 3 = 0 THEN points + 20 ELSE points END AS points FROM ({PLACING})"
+
+
+@query(f"SELECT table_no, category, place_key, points FROM (SELECT *, lag(points) OVER (PARTITION BY table_no, category ORDER BY place_key::INT) AS before FROM ({_UNEVEN})) WHERE points > before")
 def q2_not_monotone(spark, sf):
-    p = placing(spark, sf).withColumn("n", F.col("place_key").cast("int"))
+    """Placing tables of which some points are raised, so that there is something to find."""
+    points = F.when(F.col("points") % 3 == 0, F.col("points") + 20).otherwise(F.col("points"))
+    p = placing(spark, sf).withColumn("points", points).withColumn("n", F.col("place_key").cast("int"))
     return K.not_monotone(p, ["table_no", "category"], "n", "points").select("table_no", "category", "place_key", "points")
 
 
@@ -40,17 +48,34 @@ def u3_q4_set_agreement(spark, sf):
     return agreement(side("SMALL"), side("ECONOMY"))
 
 
-@query(f"""SELECT grp, CASE WHEN total_score = mark_points THEN 'exact' WHEN total_score - mark_points <= 20 THEN 'tolerated' ELSE 'error' END AS class, count(*) AS n FROM ({SCORED}) GROUP BY ALL""")
+# The official points of a probe: the ladder's, but 10 more in each seventh (a wind's adjustment) and 40 more in each fiftieth row.
+_OFFICIAL = f"""SELECT p.*, coalesce(l.points, 0)::BIGINT AS points, (coalesce(l.points, 0) + CASE WHEN probe_id % 50 = 0 THEN 40 WHEN probe_id % 7 = 0 THEN 10 ELSE 0 END)::BIGINT AS official
+  FROM ({PROBES}) p ASOF LEFT JOIN ({LADDER}) l ON p.slug = l.slug AND p.probe_c >= l.mark_c"""
+
+
+@query(f"""SELECT slug, CASE WHEN official = points THEN 'exact' WHEN abs(official - points) <= CASE WHEN probe_id % 7 = 0 THEN 20 ELSE 0 END THEN 'tolerated' ELSE 'error' END AS class, count(*) AS n FROM ({_OFFICIAL}) GROUP BY ALL""")
 def q5_replay_classes(spark, sf):
-    rows = scored(spark, sf).withColumn("tolerance", F.lit(20))
-    return K.replay_classes(rows, "total_score", "mark_points", "tolerance", ["grp"])
+    """Marks are scored again from the ladder (J3) and compared with the points they were given; wind explains some differences."""
+    p = probes(spark, sf)
+    by_probe = ladder(spark, sf).select("slug", F.col("mark_c"), "points")
+    given = asof_points_by_union(p, by_probe, ["slug"], F.col("probe_c")).withColumnRenamed("points", "official")
+    given = given.withColumn("official", F.col("official") + F.when(F.col("probe_id") % 50 == 0, 40).when(F.col("probe_id") % 7 == 0, 10).otherwise(0))
+    rows = asof_points(given, by_probe, ["slug"], F.col("probe_c")).withColumn("tolerance", F.when(F.col("probe_id") % 7 == 0, 20).otherwise(0))
+    return K.replay_classes(rows, "points", "official", "tolerance", ["slug"])
+
 
+# The official counting sets: as ranked, but for each tenth athlete, whose best result was passed over.
+_GIVEN = f"""SELECT athlete, grp, ord FROM (SELECT *, row_number() OVER (PARTITION BY athlete, grp ORDER BY total_score DESC, mark_points DESC, d DESC, ord) AS n FROM ({SCORED}) WHERE {INSIDE_SQL}) WHERE n BETWEEN 1 + (athlete % 10 = 0)::INT AND 5 + (athlete % 10 = 0)::INT"""
 
-@query(f"""WITH a AS (SELECT athlete, list_sort(list(ranking_score)) AS l FROM ({RANKED}) GROUP BY athlete), b AS (SELECT athlete, list_sort(list(ranking_score)) AS l FROM ({RANKED}) WHERE n_counting = 5 GROUP BY athlete)
-SELECT coalesce(a.athlete, b.athlete) AS athlete, a.l IS NOT DISTINCT FROM b.l AS same FROM a FULL JOIN b ON a.athlete = b.athlete""")
+
+@query(f"""WITH a AS (SELECT athlete, grp, list_sort(list(ord)) AS l FROM ({COUNTING}) GROUP BY ALL), b AS (SELECT athlete, grp, list_sort(list(ord)) AS l FROM ({_GIVEN}) GROUP BY ALL)
+SELECT coalesce(a.athlete, b.athlete) AS athlete, coalesce(a.grp, b.grp) AS grp, a.l IS NOT DISTINCT FROM b.l AS same FROM a FULL JOIN b ON a.athlete = b.athlete AND a.grp = b.grp""")
 def q6_same_sets(spark, sf):
-    r = _ranked(spark, sf)
-    return K.same_sets(r, r.where("n_counting = 5"), ["athlete"], "ranking_score")
+    """Results are placed, scored, put in the window and counted anew, and the sets compared with the official ones."""
+    shift = (F.col("athlete") % 10 == 0).cast("int")
+    n = F.row_number().over(Window.partitionBy("athlete", "grp").orderBy(*counting_order("total_score", "mark_points", "d", "ord")))
+    given = scored(spark, sf).where(_inside()).withColumn("n", n).where((F.col("n") >= 1 + shift) & (F.col("n") <= 5 + shift))
+    return K.same_sets(_counting(spark, sf), given, ["athlete", "grp"], "ord")
 
 
 @query("""SELECT n_nationkey AS k, coalesce(n, 0)::BIGINT AS n FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey WHERE coalesce(n, 0) <> 1""")
@@ -64,31 +89,51 @@ def w14_carried_down(spark, sf):
     return E.carried_down(s, "user_id", "period", "label")
 
 
-@query(f"""WITH s AS (SELECT user_id, period, CASE WHEN qualified THEN place END AS p, row_number() OVER (PARTITION BY user_id ORDER BY period) AS n FROM ({SNAPSHOTS})),
+@query(f"""WITH s AS (SELECT user_id, period, CASE WHEN qualified OR row_number() OVER (PARTITION BY user_id ORDER BY period) = 1 THEN place END AS p, row_number() OVER (PARTITION BY user_id ORDER BY period) AS n FROM ({SNAPSHOTS})),
   k AS (SELECT *, last_value(CASE WHEN p IS NOT NULL THEN n END IGNORE NULLS) OVER w AS ln, last_value(p IGNORE NULLS) OVER w AS lp FROM s WINDOW w AS (PARTITION BY user_id ORDER BY period ROWS UNBOUNDED PRECEDING))
-SELECT user_id, period, coalesce(p, lp + n - ln, n) AS place FROM k""")
+SELECT user_id, period, coalesce(p, lp + n - ln) AS place FROM k""")
 def w15_inferred_places(spark, sf):
-    s = snapshots(spark, sf).select("user_id", "period", F.when(F.col("qualified"), F.col("place")).alias("place"))
+    first = F.row_number().over(Window.partitionBy("user_id").orderBy("period")) == 1
+    s = snapshots(spark, sf).select("user_id", "period", F.when(F.col("qualified") | first, F.col("place")).alias("place"))
     return E.inferred_places(s, "user_id", "period", "place")
 
 
-@query("""SELECT DISTINCT trim(p) AS part FROM (SELECT unnest(string_split(text, '.')) AS p FROM documents) WHERE trim(p) <> '' AND NOT regexp_matches(trim(p), '^[-+]?[0-9]*$')""")
-def x3_tidy_lists(spark, sf):
-    """Sentences of all documents, trimmed, without repeats and numbers."""
-    return E.tidy_list(t(spark, sf, "documents"), "text", r"\.").where(~F.col("part").rlike(r"^[-+]?[0-9]*$"))
+@query("""SELECT CASE WHEN p_partkey % 2 = 0 THEN 'Men''s ' ELSE 'Women''s ' END || p_brand AS label, CASE WHEN p_partkey % 2 = 0 THEN 'men' ELSE 'women' END AS gender, p_type AS main_event, replace(p_name, ' ', ';') AS similar_events FROM part""")
+def x3_tidy_groups(spark, sf):
+    """Parts as rows of a table of groups, with blanks, doubled commas and rows without a label."""
+    part = t(spark, sf, "part")
+    label = F.concat(F.when(F.col("p_partkey") % 2 == 0, " Men's ").otherwise("Women's "), F.col("p_brand"))
+    rows = part.select(label.alias("label"), F.concat(F.lit(" "), F.col("p_type")).alias("main"), F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit(" , , ")), F.lit(",")).alias("similar"))
+    rows = rows.unionByName(part.select(F.lit(" ").alias("label"), F.lit("x").alias("main"), F.lit(None).cast("string").alias("similar")))
+    return E.tidy_groups(rows).withColumn("similar_events", F.array_join("similar_events", ";"))
+
+
+@query("SELECT DISTINCT p_size::VARCHAR AS code, p_type AS details FROM part")
+def x3_tidy_categories(spark, sf):
+    part = t(spark, sf, "part").select(F.concat(F.lit(" "), F.col("p_size").cast("string")).alias("code"), F.concat(F.col("p_type"), F.lit(" ")).alias("details"))
+    return E.tidy_categories(part.unionByName(part.withColumn("code", F.lit("  ")))).distinct()
+
+
+@query("""SELECT DISTINCT w AS wind, p AS points FROM (SELECT (p_size % 8)::DOUBLE / 4 AS w, -(p_size % 8) AS p FROM part UNION ALL SELECT CASE WHEN p_size % 8 = 0 THEN 0 ELSE -(p_size % 8)::DOUBLE / 4 END, p_size % 8 FROM part WHERE p_size % 5 > 0)""")
+def x3_tidy_wind(spark, sf):
+    """Tail and head winds in two pairs of cells, with units, signs, a signed zero and blanks."""
+    n = F.col("p_size") % 8
+    speed = lambda sign: F.concat(F.lit(sign), (n / 4).cast("string"), F.lit(" m/s"))
+    cells = F.array(speed("+"), F.concat(F.lit("-"), n.cast("string"), F.lit(".0 pts")), F.when(F.col("p_size") % 5 > 0, speed("-")).otherwise(" "), F.concat(F.lit("+"), n.cast("string"), F.lit(" pts")))
+    return E.tidy_wind(t(spark, sf, "part").select(cells.alias("cells")))
 
 
 _PAGE = "(SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line, o_orderkey, floor(o_totalprice)::INT AS score, o_orderkey % 977 AS a, o_orderkey % 7 = 0 AS dash, o_orderkey % 11 = 0 AS odd FROM orders)"
 
 
-@query(f"""SELECT doc::BIGINT AS doc, 'MEN' AS section, 'HJ' AS "column", a::VARCHAR AS mark, arg_min(score, line) AS score FROM {_PAGE} WHERE NOT dash AND NOT odd GROUP BY doc, a""")
+@query(f"""SELECT doc::BIGINT AS doc, 'MEN' AS section, '3000m SC' AS "column", a::VARCHAR AS mark, arg_min(score, line) AS score FROM {_PAGE} WHERE NOT dash AND NOT odd GROUP BY doc, a""")
 def x1_page_tables(spark, sf):
     """Each customer's orders as a landed page: a running head, a header, lines of score and mark, some `-` and some too wide."""
     o = t(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), "o_orderkey", F.floor("o_totalprice").cast("int").cast("string").alias("score"), (F.col("o_orderkey") % 977).cast("string").alias("a"))
     cell = F.when(F.col("o_orderkey") % 7 == 0, "-").otherwise(F.col("a"))
     row = F.concat(F.col("score"), F.lit("  "), cell, F.when(F.col("o_orderkey") % 11 == 0, " wide").otherwise(""))
     pages = o.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("row")))).alias("l"))
-    text = F.concat(F.lit("High jump men\nPoints HJ\n"), F.array_join(F.transform("l", lambda x: x["row"]), "\n"))
+    text = F.concat(F.lit("Steeplechase men\nPoints 3000m SC\n"), F.array_join(F.transform("l", lambda x: x["row"]), "\n"))
     return E.table_rows(pages.select("doc", F.lit(1).alias("page"), text.alias("text")))
 
 
@@ -96,10 +141,10 @@ def x1_page_tables(spark, sf):
 SELECT "table", CASE row WHEN 5 THEN 'Q' WHEN 4 THEN unnest(['4', '5', '6']) ELSE row::VARCHAR END AS place_key, 'A' AS category, (100 - n_nationkey)::INT AS points FROM b WHERE row <> 4
 UNION ALL SELECT "table", unnest(['4', '5', '6']), 'A', (100 - n_nationkey)::INT FROM b WHERE row = 4""".replace("CASE row WHEN 5 THEN 'Q' WHEN 4 THEN unnest(['4', '5', '6']) ELSE row::VARCHAR END", "CASE row WHEN 5 THEN 'Q' ELSE row::VARCHAR END"))
 def x2_placing_cells(spark, sf):
-    """Nations as rows of placing tables: `1st`, a blank (the place before plus one), `3rd *`, a range, and `Q`."""
+    """Nations as rows of placing tables: `1st`, a blank (the place before plus one), `3rd *`, a range with a dash, and `Q or q to Final`."""
     from pyspark.sql import Window
 
     n = t(spark, sf, "nation").withColumn("row", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
-    label = F.element_at(F.array(*map(F.lit, ("1st", "", "3rd *", "4-6th", "Q"))), F.col("row"))
-    cells = F.array(F.struct(F.lit("A").alias("category"), (100 - F.col("n_nationkey")).cast("string").alias("value")), F.struct(F.lit("B").alias("category"), F.lit(" ").alias("value")))
+    label = F.element_at(F.array(*map(F.lit, ("1st", "", "3rd *", "4\u20136th", "Q or q to Final"))), F.col("row"))
+    cells = F.array(F.struct(F.lit("A").alias("category"), F.concat((100 - F.col("n_nationkey")).cast("string"), F.lit("*")).alias("value")), F.struct(F.lit("B").alias("category"), F.lit(" ").alias("value")))
     return E.placing_cells(n.select(F.col("n_regionkey").alias("table"), "row", label.alias("label"), cells.alias("cells")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import counting as C
 from ..operators import rounds, scoring
+from ..operators.quota import rank_by_histogram
 from .bindings import AREA, INSIDE_SQL, LADDER, LINES, PLACING, PROBES, RANK_DATE, RESULTS, ladder, lines, placing, probes, results, stages, t, window_months
 from .registry import query
 
@@ -44,7 +45,7 @@ def _ranked(spark, sf) -> DataFrame:
 @query(f"SELECT *, rank() OVER (PARTITION BY grp ORDER BY ranking_score DESC) AS place FROM ({RANKED})")
 def flagship_ranking(spark, sf):
     """Results to ranking scores and places, for all athletes."""
-    return _ranked(spark, sf).withColumn("place", F.rank().over(Window.partitionBy("grp").orderBy(F.col("ranking_score").desc())).cast("bigint"))
+    return rank_by_histogram(_ranked(spark, sf), ["grp"], "ranking_score", "place")
 
 
 @query(f"SELECT ord, placing_points, total_score FROM ({SCORED})")
@@ -52,6 +53,52 @@ def j2_placing_points(spark, sf):
     return scored(spark, sf).select("ord", "placing_points", "total_score")
 
 
+# Points of the row that advanced ("Q") besides the places'.
+_TABLES = f"SELECT * FROM ({PLACING}) UNION ALL SELECT table_no, category, 'Q', max(points) + 1 FROM ({PLACING}) GROUP BY table_no, category"
+_STAGED = f"""SELECT r.*, o_orderpriority AS discipline, ['final', 'before_final', 'other'][(ord % 3 + 1)::INT] AS round_kind, ord % 3 = 1 AND ord % 5 = 0 AS advanced, CASE WHEN grp IN ('BUILDING', 'MACHINERY') THEN 'min10' ELSE 'max9' END AS field_rule
+  FROM ({RESULTS}) r JOIN orders ON o_orderkey = ord"""
+_ROUTED = f"""SELECT *, CASE WHEN round_kind = 'final' AND grp = 'BUILDING' AND discipline = '1-URGENT' THEN 'MACHINERY' WHEN round_kind = 'final' THEN grp
+  WHEN round_kind = 'before_final' AND grp IN ('HOUSEHOLD', 'BUILDING') AND category = '1' THEN 'HOUSEHOLD' WHEN round_kind = 'before_final' AND field_rule = 'min10' THEN 'AUTOMOBILE' WHEN round_kind = 'before_final' THEN 'FURNITURE' END AS table_no FROM ({_STAGED})"""
+
+
+def _placing_with_q(spark, sf):
+    p = placing(spark, sf)
+    return p.unionByName(p.groupBy("table_no", "category").agg((F.max("points") + 1).alias("points")).withColumn("place_key", F.lit("Q")))
+
+
+def _routes(spark, sf):
+    """Each segment's own table for finals and two tables by field size before them; one discipline and one category have their own."""
+    grp = t(spark, sf, "customer").select(F.col("c_mktsegment").alias("grp")).distinct()
+    row = lambda kind, by, selector, table: F.struct(F.lit(kind).alias("round_kind"), F.lit(by).alias("selector_kind"), F.lit(selector).cast("string").alias("selector"), (table if table is not None else F.col("grp")).alias("table_no"))
+    rows = F.array(
+        row("final", "group", None, None), row("before_final", "size", "min10", F.lit("AUTOMOBILE")), row("before_final", "size", "max9", F.lit("FURNITURE")),
+        F.when(F.col("grp") == "BUILDING", row("final", "discipline", "1-URGENT", F.lit("MACHINERY"))), F.when(F.col("grp").isin("HOUSEHOLD", "BUILDING"), row("before_final", "category", "1", F.lit("HOUSEHOLD"))),
+    )
+    return grp.select("grp", F.explode(rows).alias("r")).where("r is not null").select("grp", "r.*")
+
+
+@query(f"""SELECT s.ord, s.round_kind, coalesce(p.points, 0)::INT AS placing_points FROM ({_ROUTED}) s LEFT JOIN ({_TABLES}) p ON p.table_no = s.table_no AND p.category = s.category
+  AND p.place_key = CASE WHEN round_kind = 'before_final' AND advanced THEN 'Q' ELSE s.place::VARCHAR END""")
+def j2_all_routes(spark, sf):
+    """Finals by group and by discipline, the round before by category and by field size, the row that advanced, other rounds."""
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("discipline"))
+    r = results(spark, sf).join(o, "ord")
+    nth = F.col("ord") % 3
+    r = r.withColumn("round_kind", F.element_at(F.array(*map(F.lit, ("final", "before_final", "other"))), (nth + 1).cast("int"))).withColumn("advanced", (nth == 1) & (F.col("ord") % 5 == 0))
+    r = r.withColumn("field_rule", F.when(F.col("grp").isin("BUILDING", "MACHINERY"), "min10").otherwise("max9"))
+    return scoring.placing_points(r, _routes(spark, sf), _placing_with_q(spark, sf)).select("ord", "round_kind", "placing_points")
+
+
+@query(f"""WITH s AS (SELECT r.ord, r.grp, r.category, r.place, p.slug, p.probe_c FROM ({RESULTS}) r JOIN ({PROBES}) p ON p.probe_id = r.ord)
+SELECT s.ord, coalesce(l.points, 0)::BIGINT AS mark_points, coalesce(t.points, 0)::INT AS placing_points, (coalesce(l.points, 0) + coalesce(t.points, 0))::BIGINT AS score
+FROM s ASOF LEFT JOIN ({LADDER}) l ON s.slug = l.slug AND s.probe_c >= l.mark_c LEFT JOIN ({_TABLES}) t ON t.table_no = s.grp AND t.category = s.category AND t.place_key = s.place::VARCHAR""")
+def c1_scenario_scores(spark, sf):
+    """What a mark and a place in a final would earn: ladder points and the group's own placing table, whatever the discipline."""
+    p = probes(spark, sf).select(F.col("probe_id").alias("ord"), "slug", F.col("probe_c").alias("mark_c"))
+    s = results(spark, sf).select("ord", "grp", "category", "place").join(p, "ord")
+    return scoring.scenario_scores(s, ladder(spark, sf), _routes(spark, sf), _placing_with_q(spark, sf)).select("ord", "mark_points", "placing_points", "score")
+
+
 @query(f"SELECT ord, {INSIDE_SQL} AS inside FROM ({RESULTS})")
 def p9_window_predicate(spark, sf):
     return results(spark, sf).select("ord", _inside().alias("inside"))

@@ -13,6 +13,7 @@ COUNTING_RESULTS = 5
 
 GROUPS = "groups ARRAY<STRUCT<label STRING, gender STRING, mainEvent STRING, similarEvents ARRAY<STRING>, slug STRING, disciplines ARRAY<STRING>>>"
 LADDER = "slug STRING, gender STRING, column STRING, marks MAP<STRING, INT>"
+ROUTES = "eventGroupTables MAP<STRING, STRUCT<final STRING, beforeFinal MAP<STRING, STRING>, byDiscipline MAP<STRING, STRUCT<final STRING>>>>"
 PLACING = "tables MAP<STRING, STRUCT<title STRING, scores MAP<STRING, MAP<STRING, INT>>>>"
 
 
@@ -40,6 +41,23 @@ def placing_tables(spark: SparkSession, path: str) -> DataFrame:
     return t.select("table_no", "category", F.explode("by_place").alias("place_key", "points"))
 
 
+def placing_routes(spark: SparkSession, path: str, groups: DataFrame) -> DataFrame:
+    """(grp, round_kind, selector_kind, selector, table_no) of every group (slug), as scoring.placing_points reads them. A group that
+    the file does not name takes the routes of `default`."""
+    r = spark.read.schema(ROUTES).option("multiLine", True).json(path).select(F.explode("eventGroupTables").alias("named", "t"))
+    names = groups.select(F.col("slug").alias("grp")).distinct()
+    named = names.join(r, names["grp"] == r["named"], "left_semi")
+    asked = named.withColumn("named", F.col("grp")).unionByName(names.join(named, "grp", "left_anti").withColumn("named", F.lit("default")))
+    t = asked.join(F.broadcast(r), "named")  # a rule table of one row per event group
+    none = F.lit(None).cast("string")
+    final = t.select("grp", F.lit("final").alias("round_kind"), F.lit("group").alias("selector_kind"), none.alias("selector"), F.col("t.final").alias("table_no")).where("table_no is not null")
+    before = t.select("grp", F.explode("t.beforeFinal").alias("selector", "table_no"))
+    kind = F.when(F.col("selector").isin("min10", "max9"), "size").otherwise("category")
+    before = before.select("grp", F.lit("before_final").alias("round_kind"), kind.alias("selector_kind"), "selector", "table_no")
+    own = t.select("grp", F.explode("t.byDiscipline").alias("selector", "x")).select("grp", F.lit("final").alias("round_kind"), F.lit("discipline").alias("selector_kind"), "selector", F.col("x.final").alias("table_no"))
+    return final.unionByName(before).unionByName(own)
+
+
 def ranking_pages(pages: DataFrame) -> DataFrame:
     """All pages of each ranking as rows, dated by the first page. pages: slug, gender, page, rank_date, rankings array<struct>."""
     first = pages.where("page = 1").select("slug", "gender", F.col("rank_date").alias("_d"))

@@ -27,7 +27,16 @@ class SnapshotStore:
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: Sequence[str], kept_if_null: Sequence[str] = ()):
         self.spark, self.path, self.schema, self.key, self.kept = spark, path, schema, list(key), list(kept_if_null)
-        self.version = 0
+        self.version = max(self._versions(), default=0)  # a driver that starts anew goes on where the last one ended
+
+    def _versions(self) -> list[int]:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        top = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = top.getFileSystem(conf)
+        if not fs.exists(top):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(top)]
+        return [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
 
     def read(self) -> DataFrame:
         if not self.version:

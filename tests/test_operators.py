@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from laureate.functions import exprs as X
-from laureate.operators import changes, counting, lookup, quota, rounds, scenarios, scoring
+from laureate.operators import changes, counting, extract, lookup, quota, rounds, scenarios, scoring
 
 
 def _plan(df):
@@ -109,9 +110,9 @@ def test_chain_equals_fold(spark):
 
 
 def test_marks_and_dates(spark):
-    df = spark.createDataFrame([("1:02.50", "16 SEP 2025"), ("DNF", "2025-09-16T10:00"), ("8.95w", "31 FEB 2025"), ("1:2:3:4", None), ("2:05:10", "x")], "m string, d string")
+    df = spark.createDataFrame([("1:02.50", "16 SEP 2025"), ("DNF", "2025-09-16T10:00"), ("8.95w", "31 FEB 2025"), ("1:2:3:4", None), ("2:05:10", "x"), ("8.95 (w)", "x"), ("6,234", "x"), ("1.2.3", "x"), ("—", "x"), ("5:", "x")], "m string, d string")
     got = [(r[0] and float(r[0]), r[1] and str(r[1])) for r in df.select(X.parse_mark(F.col("m")), X.parse_date(F.col("d"))).collect()]
-    assert got == [(62.5, "2025-09-16"), (None, "2025-09-16"), (8.95, None), (None, None), (7510.0, None)]
+    assert got == [(62.5, "2025-09-16"), (None, "2025-09-16"), (8.95, None), (None, None), (7510.0, None), (8.95, None), (6234.0, None), (None, None), (None, None), (300.0, None)]
 
 
 def test_window_ends_and_allowance(spark):
@@ -164,3 +165,113 @@ def test_name_search_finds_parts_of_words(spark):
     got = sorted((r["query"], r["id"], r["hit"]) for r in out.collect())
     assert got == sorted([("ali", 1, 1), ("ali", 3, 2), ("ali", 5, 3), ("muller", 1, 1), ("muller", 2, 2), ("ÜLL a", 1, 1), ("x", 3, 1), ("li mul", 1, 1), ("xu nat", 3, 1)])
     assert "CartesianProduct" not in _plan(out) and "NestedLoop" not in _plan(out)
+
+
+def test_round_codes_in_any_case(spark):
+    codes = {" f1 ": 9, "F": 9, "FN": 0, "sf1": 3, "SF": 3, "H1A": 1, "q": 2, "QX": 2, "OQ(1)3": 0, "": 0, None: 0}
+    df = spark.createDataFrame([(c,) for c in codes], "race string")
+    assert {r["race"]: r["s"] for r in df.select("race", rounds.round_seniority(F.col("race")).alias("s")).collect()} == codes
+
+
+def test_families(spark):
+    df = spark.createDataFrame([(d,) for d in ("high-jump", "discus", "decathlon", "800m")], "d string")
+    got = {r["d"]: r["f"] for r in df.select("d", X.family(F.col("d"), ["high-jump"], ["discus"]).alias("f")).collect()}
+    assert got == {"high-jump": "Jumps", "discus": "Throws", "decathlon": "Track", "800m": "Track"}
+
+
+def _cells(spark, labels, values=None):
+    rows = [("t", i, x, [("A", (values or {}).get(i, str(100 - i))), ("B", " ")]) for i, x in enumerate(labels)]
+    return spark.createDataFrame(rows, "table string, row int, label string, cells array<struct<category: string, value: string>>")
+
+
+def test_placing_labels(spark):
+    got = extract.placing_cells(_cells(spark, ["1st", "", "3rd *", "4\u20136th", "10-13th *", "Q or q to Final", None, " "], {2: "70*", 7: ""})).collect()
+    want = {"1": 100, "2": 99, "3": 70, "4": 97, "5": 97, "6": 97, **dict.fromkeys(["10", "11", "12", "13"], 96), "Q": 95, "14": 94}
+    assert {r["place_key"]: r["points"] for r in got} == want and {r["category"] for r in got} == {"A"}
+
+
+@pytest.mark.parametrize("labels,message", [(["", "1st"], "without a place before"), (["1st", "final"], "unknown place label"), (["6-4th"], "descending")])
+def test_placing_labels_that_fail(spark, labels, message):
+    with pytest.raises(Exception, match=message):
+        extract.placing_cells(_cells(spark, labels)).collect()
+
+
+def test_inferred_place_needs_one_before(spark):
+    with pytest.raises(Exception, match="without a place before"):
+        extract.inferred_places(spark.createDataFrame([(1, 1, None)], "k int, o int, place long"), "k", "o", "place").collect()
+
+
+def test_tables_with_glued_headers(spark):
+    text = "Scoring 2025\nHigh women\n100m 3000m SC 2 Miles Points\n11.0 - 9:10 1200\n- 8:00 9:20 1190\n11.0 8:00 9:30 1180\n1 2 3\n"
+    rows = extract.table_rows(spark.createDataFrame([("d", 1, text)], "doc string, page int, text string")).collect()
+    assert {(r["section"], r["column"], r["mark"]): r["score"] for r in rows} == {
+        ("WOMEN", "100m", "11.0"): 1200, ("WOMEN", "2 Miles", "9:10"): 1200, ("WOMEN", "3000m SC", "8:00"): 1190, ("WOMEN", "2 Miles", "9:20"): 1190, ("WOMEN", "2 Miles", "9:30"): 1180,
+    }
+
+
+def test_long_pages_keep_their_order(spark):
+    text = "Men\n" + "x\n" * 100_001 + "Points HJ\n"
+    pages = spark.createDataFrame([("d", 1, text), ("d", 2, "Points HJ\n1000 2.00")], "doc string, page int, text string")
+    assert [(r["section"], r["score"]) for r in extract.table_rows(pages).collect()] == [("MEN", 1000)]
+
+
+def test_wind_pairs(spark):
+    rows = [(["+0.0 m/s", "-0 pts", "-0.0 m/s", "+0 pts"],), (["+1.2 m/s", "-7.2 pts", "-1.2 m/s", ""],), (["+1.2 m/s", "-7.2", " ", "x"],), (["a"],)]
+    got = extract.tidy_wind(spark.createDataFrame(rows, "cells array<string>")).collect()
+    assert sorted((r["wind"], r["points"]) for r in got) == [(0.0, 0), (1.2, -7)]
+
+
+def test_events_of_groups(spark):
+    events = spark.createDataFrame([(1, "M", "Men's 100 Metres", 0), (2, "M", "Men's 100 Metres Hurdles", 1), (3, "W", "Women's 100 metres", 2), (4, "M", "Men's 100 METRES", 3), (5, "M", "high jump", 4)], "event_id int, gender string, name string, pos int")
+    groups = spark.createDataFrame([("100m", "M", ["100 Metres"]), ("hurdles", "M", ["100 Metres", "100 Metres Hurdles"]), ("100m", "W", ["100 METRES"]), ("hj", "M", ["High Jump"]), ("jump", "M", ["Metres Hurdle", "ump"])], "slug string, gender string, disciplines array<string>")
+    got = {(r["slug"], r["gender"]): r["event_id"] for r in lookup.events_of_groups(groups, events).collect()}
+    assert got == {("100m", "M"): 1, ("hurdles", "M"): 2, ("100m", "W"): 3, ("hj", "M"): 5, ("jump", "M"): None}
+
+
+def test_counterparts_by_list_position(spark):
+    rows = [("men", "110mh", 0), ("men", "decathlon", 1), ("men", "800m", 2), ("women", "100mh", 0), ("women", "heptathlon", 1), ("women", "800m", 2)]
+    got = {(r["gender"], r["slug"]): r["counterpart"] for r in lookup.counterparts(spark.createDataFrame(rows, "gender string, slug string, pos int")).collect()}
+    assert got["men", "110mh"] == "100mh" and got["women", "heptathlon"] == "decathlon" and got["men", "800m"] == "800m"
+
+
+def test_placing_routes(spark):
+    routes = [("5000m", "final", "group", None, "2.5"), ("5000m", "before_final", "category", "OW", "2.6"), ("5000m", "before_final", "size", "max9", "2.7"), ("hj", "final", "group", None, "2.2"), ("hj", "before_final", "size", "min10", "2.4"), ("10000m", "final", "group", None, "2.9"), ("10000m", "final", "discipline", "10 Kilometres Road", "2.10")]
+    tables = [("2.2", "A", "1", 100), ("2.9", "A", "1", 56), ("2.10", "A", "1", 40), ("2.6", "OW", "Q", 60), ("2.6", "OW", "9", 50), ("2.7", "DF", "9", 30), ("2.4", "OW", "11", 20), ("2.5", "OW", "1", 200)]
+    rows = [
+        ("hj", "High Jump", "final", False, "A", "min10", 1, 100), ("10000m", "10000m", "final", False, "A", "max9", 1, 56), ("10000m", "10 Kilometres Road", "final", False, "A", "max9", 1, 40),
+        ("5000m", "5000m", "before_final", True, "OW", "max9", 3, 60), ("5000m", "5000m", "before_final", False, "OW", "max9", 9, 50), ("5000m", "5000m", "before_final", False, "DF", "max9", 9, 30),
+        ("5000m", "5000m", "before_final", True, "DF", "max9", 9, 0), ("hj", "High Jump", "before_final", False, "OW", "min10", 11, 20), ("hj", "High Jump", "other", False, "OW", "min10", 1, 0),
+        ("hj", "High Jump", "final", False, "F", "min10", 1, 0), ("5000m", "5000m", "final", True, "OW", "max9", 1, 200), ("hj", "High Jump", "final", False, "A", "min10", 99, 0),
+    ]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "grp string, discipline string, round_kind string, advanced boolean, category string, field_rule string, place int, want int, i int")
+    out = scoring.placing_points(df, spark.createDataFrame(routes, "grp string, round_kind string, selector_kind string, selector string, table_no string"), spark.createDataFrame(tables, "table_no string, category string, place_key string, points int"))
+    got = out.collect()
+    assert len(got) == len(rows) and all(r["placing_points"] == r["want"] for r in got)
+
+
+def test_many_categories(spark):
+    codes = spark.createDataFrame([(f"c{i}", "1", i) for i in range(150)], "category string, place_key string, points int")
+    out = scoring.category_comparison(spark.createDataFrame([(1, 1000, 1)], "id int, mark_points int, place int"), codes, codes)
+    assert sorted(r["total_score"] for r in out.collect()) == [1000 + i for i in range(150)]
+
+
+def test_composition_carries_what_is_owed(spark):
+    side = lambda rows: spark.createDataFrame(rows, "k int, from_value int, to_value int, intro string")
+    got = changes.composed(side([(1, 8, 5, "x"), (2, 4, 2, None), (3, 1, 2, "y"), (5, None, 3, None)]), side([(1, 5, 3, "z"), (2, 2, 4, "w"), (4, 6, 7, "v"), (5, 3, 4, None)]), ["k"], ["intro"]).collect()
+    assert {r["k"]: (r["from_value"], r["to_value"], r["intro"]) for r in got} == {1: (8, 3, "x"), 3: (1, 2, "y"), 4: (6, 7, "v")}
+
+
+def test_ranks_by_histogram(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), i, rng.choice([None, 1, 2, 3, 4])) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, id int, s int")
+    out = quota.rank_by_histogram(df, ["g"], "s", "r")
+    for r in out.collect():
+        better = sum(g == r["g"] and s is not None and (r["s"] is None or s > r["s"]) for g, _, s in rows)
+        assert r["r"] == better + 1
+
+
+def test_search_keeps_twelve_ranked_first(spark):
+    one = lambda ids: spark.createDataFrame([("q", i) for i in ids], "query string, id int")
+    out = lookup.with_unranked(one(range(10, 20)), one(range(0, 15)), "id", ["query"], [F.col("id")], 12).collect()
+    assert [(r["id"], r["origin"]) for r in sorted(out, key=lambda r: r["hit"])] == [(i, "ranked") for i in range(10, 20)] + [(0, "listed"), (1, "listed")]

@@ -54,3 +54,27 @@ def test_log_appends(spark, tmp_path):
     writers.append_log(df, str(tmp_path / "log"))
     writers.append_log(df, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_placing_routes_with_default(spark, tmp_path):
+    tables = {"10000m": {"final": "2.9", "beforeFinal": {"max9": "2.3"}, "byDiscipline": {"10 Kilometres Road": {"final": "2.10"}}}, "5000m": {"final": "2.5", "beforeFinal": {"OW": "2.6", "max9": "2.7"}}, "default": {"final": "2.2", "beforeFinal": {"min10": "2.4"}}}
+    (tmp_path / "r.json").write_text(json.dumps({"eventGroupTables": tables}))
+    groups = spark.createDataFrame([("10000m",), ("5000m",), ("hj",)], "slug string")
+    got = {tuple(r) for r in readers.placing_routes(spark, str(tmp_path / "r.json"), groups).collect()}
+    assert got == {
+        ("10000m", "final", "group", None, "2.9"), ("10000m", "before_final", "size", "max9", "2.3"), ("10000m", "final", "discipline", "10 Kilometres Road", "2.10"), ("5000m", "final", "group", None, "2.5"),
+        ("5000m", "before_final", "category", "OW", "2.6"), ("5000m", "before_final", "size", "max9", "2.7"), ("hj", "final", "group", None, "2.2"), ("hj", "before_final", "size", "min10", "2.4"),
+    }
+
+
+def test_snapshot_store_goes_on_after_a_restart(spark, tmp_path):
+    store = lambda: writers.SnapshotStore(spark, str(tmp_path / "s"), "k int, place int", ["k"])
+    store().upsert(spark.createDataFrame([(1, 5)], "k int, place int"))
+    out = store().upsert(spark.createDataFrame([(2, 6)], "k int, place int"))
+    assert {r["k"]: r["place"] for r in out.collect()} == {1: 5, 2: 6} and store().version == 2
+
+
+def test_projection_of_one_table(spark, tmp_path):
+    combined = spark.createDataFrame([("a", 1, 2), ("b", 3, 4)], "slug string, x int, y int")
+    writers.project_one(combined, str(tmp_path / "one"), "slug = 'b'", ["x"])
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "one")).collect()] == [(3,)]
