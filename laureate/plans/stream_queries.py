@@ -1,4 +1,4 @@
-"""Streams over the events table, drained with availableNow; each equals its batch twin."""
+"""Streams over the given tables: rows land slice by slice, each is drained with availableNow, and the whole equals its batch twin."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..streaming import jobs
-from .bindings import t
+from .bindings import SNAPSHOTS, snapshots, t
+from .change_queries import _chain
 from .registry import query
 
 
@@ -16,62 +17,87 @@ def _folder(spark) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
-def _events(spark, sf):
-    path = f"{sf}/events.parquet"
-    # A folder of one file or a folder of files: the stream source reads folders.
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf}/events*.parquet")
+def _arriving(spark, df, day: str, slices: int, path: str):
+    """Lands df under `path` in order of its days, a slice at a time; after each, yields the stream of all that came so far."""
+    days = [r[0] for r in df.select(F.col(day)).distinct().orderBy(day).collect()]  # one value per day
+    for i in range(slices):
+        some = days[i * len(days) // slices : (i + 1) * len(days) // slices]
+        if some:
+            df.where(F.col(day).between(F.lit(some[0]), F.lit(some[-1]))).write.mode("append").parquet(path)
+            yield spark.readStream.schema(df.schema).parquet(path)
 
 
-def _is_folder(spark, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
-@query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total FROM events GROUP BY ALL""")
+@query("""SELECT * FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total FROM events GROUP BY ALL)
+WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
 def r7_daily_rollup(spark, sf):
-    """Tumbling days, in update-free complete mode over all that is there."""
-    folder, name = _folder(spark), f"rollup_{uuid.uuid4().hex[:8]}"
-    out = []
-
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{folder}/{name}/{number}")
-        out.append(f"{folder}/{name}/{number}")
-
-    e = _events(spark, sf).withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
-    rolled = jobs.rolled_up(e, "ts", "1 day", "2 days", ["event_type"], "cents")
-    rolled.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out[-1]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    """Tumbling days in append mode: those that the watermark, two days behind the newest event, has passed."""
+    folder = _folder(spark)
+    e = t(spark, sf, "events").select("ts", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"), F.col("ts").cast("date").alias("day"))
+    for stream in _arriving(spark, e, "day", 3, f"{folder}/events"):
+        out = jobs.drained(jobs.rolled_up(stream, "ts", "1 day", "2 days", ["event_type"], "cents"), folder)
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 @query("""WITH s AS (SELECT user_id::VARCHAR AS key, ts::DATE::VARCHAR AS period, arg_max(floor(value)::BIGINT, event_id) AS value FROM events GROUP BY ALL),
   l AS (SELECT *, lag(value) OVER (PARTITION BY key ORDER BY period) AS f FROM s)
 SELECT key, period, f AS from_value, value AS to_value FROM l WHERE f <> value""")
 def r1_snapshot_changes(spark, sf):
-    """Keyed state, changes only on a new period. Snapshots are landed by day, then streamed."""
+    """Keyed state, changes only on a new period. Snapshots come in three slices of days."""
     folder = _folder(spark)
     e = t(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("date").cast("string").alias("period")).agg(F.max_by(F.floor("value").cast("bigint"), "event_id").alias("value"))
-    e.write.mode("overwrite").parquet(f"{folder}/snapshots")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
     try:
-        stream = spark.readStream.schema(e.schema).parquet(f"{folder}/snapshots")
-        return jobs.drained(jobs.snapshot_changes(stream), folder)
+        for stream in _arriving(spark, e, "period", 3, f"{folder}/snapshots"):
+            out = jobs.drained(jobs.snapshot_changes(stream), folder)
+        return out
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("SELECT user_id, event_type, 1::BIGINT AS times FROM events WHERE event_type <> 'error' GROUP BY ALL")
 def r3_sent_once(spark, sf):
-    e = _events(spark, sf).select("user_id", "event_type", "ts")
-    return jobs.drained(jobs.sent_once(e, ["user_id", "event_type"], "ts", "400 days"), _folder(spark)).select("user_id", "event_type")
+    """Deliveries through the log: a key that was sent is not sent again in a later batch, a failed one is tried again."""
+    folder = _folder(spark)
+    e = t(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("date").alias("day"))
+    send = lambda df: df.withColumn("status", F.when(F.col("event_type") == "error", "error").otherwise("sent"))
+    each = jobs.deliver_unsent(f"{folder}/log", ["user_id", "event_type"], send)
+    for stream in _arriving(spark, e, "day", 3, f"{folder}/events"):
+        jobs.each_batch(stream, each, f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/log").where("status = 'sent'").groupBy("user_id", "event_type").agg(F.count("*").alias("times"))
 
 
-@query("SELECT user_id, count(*) AS n_items, count(DISTINCT event_type) AS n_kinds FROM events WHERE event_type <> 'error' GROUP BY user_id")
-def r5_digest_batches(spark, sf):
-    """foreachBatch builds digests; a batch that runs again replaces its own output; errors are left out."""
+def _digested(spark, sf) -> str:
+    """Runs the digests of three slices of place changes for ten fans each of whom follows a tenth of the users; those of every third
+    fan cannot be sent in the first run. Every seventh user is not resolved."""
     folder = _folder(spark)
-    build = lambda df: df.where("event_type <> 'error'").groupBy("user_id").agg(F.count("*").alias("n_items"), F.count_distinct("event_type").alias("n_kinds"))
-    each = jobs.digests_by_batch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/digest/batch={n}"), build)
-    _events(spark, sf).writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/digest").select("user_id", "n_items", "n_kinds")
+    steps = _chain(spark, sf).withColumnRenamed("user_id", "athlete").withColumn("resolved", F.col("athlete") % 7 != 0)
+    fans = snapshots(spark, sf).select((F.col("user_id") % 10).alias("fan"), F.col("user_id").alias("athlete")).distinct()
+    each = jobs.digest_run(folder, fans, lambda number: F.lit(number > 0) | (F.col("fan") % 3 != 0))
+    for stream in _arriving(spark, steps, "period", 3, f"{folder}/changes"):
+        jobs.each_batch(stream, each, f"{folder}/checkpoint")
+    return folder
+
+
+_SLICED = f"""SELECT *, user_id % 10 AS fan, dense_rank() OVER (ORDER BY period) - 1 AS nth, count(DISTINCT period) OVER () AS days FROM
+  (SELECT user_id, period, lag(place) OVER (PARTITION BY user_id ORDER BY period) AS f, place AS t FROM ({SNAPSHOTS})) WHERE f <> t"""
+# Slice i of 3 begins at day floor(i * days / 3).
+_BATCHED = f"SELECT *, (nth >= days // 3)::INT + (nth >= 2 * days // 3)::INT AS batch FROM ({_SLICED})"
+
+
+@query(f"""WITH c AS (SELECT fan, CASE WHEN fan % 3 = 0 THEN greatest(batch, 1) ELSE batch END AS batch, user_id, arg_min(f, period) AS f, arg_max(t, period) AS t FROM ({_BATCHED}) WHERE user_id % 7 <> 0 GROUP BY ALL HAVING f <> t)
+SELECT fan, batch, count(*) AS n_items, string_agg(user_id || ': ' || f || ' > ' || t, chr(10) ORDER BY user_id) AS body FROM c GROUP BY fan, batch""")
+def r5_digest_batches(spark, sf):
+    """Changes composed with what is pending (D5), one digest per fan and run (A10), told once (R3), the unsent kept."""
+    folder = _digested(spark, sf)
+    return spark.read.schema(jobs.RUN).parquet(f"{folder}/log").where("status = 'sent'").select("fan", F.col("batch").cast("bigint").alias("batch"), "n_items", "body")
+
+
+@query(f"""WITH b AS ({_BATCHED}), n AS (SELECT batch, count(DISTINCT user_id) FILTER (user_id % 7 <> 0) AS resolved, count(DISTINCT user_id) FILTER (user_id % 7 = 0) AS skipped FROM b GROUP BY batch),
+  c AS (SELECT fan, CASE WHEN fan % 3 = 0 THEN greatest(batch, 1) ELSE batch END AS batch, user_id FROM b WHERE user_id % 7 <> 0 GROUP BY ALL HAVING arg_min(f, period) <> arg_max(t, period)),
+  first AS (SELECT count(DISTINCT fan) AS n FROM (SELECT fan, user_id FROM b WHERE batch = 0 AND fan % 3 = 0 AND user_id % 7 <> 0 GROUP BY ALL HAVING arg_min(f, period) <> arg_max(t, period)))
+SELECT n.batch::BIGINT AS batch, resolved, skipped, (SELECT count(DISTINCT fan) FROM c WHERE c.batch = n.batch) AS sent, CASE n.batch WHEN 0 THEN (SELECT n FROM first) ELSE 0 END::BIGINT AS failed FROM n""")
+def r6_run_counters(spark, sf):
+    """What each run resolved, skipped, sent and failed to send."""
+    folder = _digested(spark, sf)
+    return spark.read.schema(jobs.COUNTERS).parquet(f"{folder}/counters").select(F.col("batch").cast("bigint").alias("batch"), "resolved", "skipped", "sent", "failed")

@@ -275,3 +275,32 @@ def test_search_keeps_twelve_ranked_first(spark):
     one = lambda ids: spark.createDataFrame([("q", i) for i in ids], "query string, id int")
     out = lookup.with_unranked(one(range(10, 20)), one(range(0, 15)), "id", ["query"], [F.col("id")], 12).collect()
     assert [(r["id"], r["origin"]) for r in sorted(out, key=lambda r: r["hit"])] == [(i, "ranked") for i in range(10, 20)] + [(0, "listed"), (1, "listed")]
+
+
+def test_late_rows_are_dropped_in_append_mode(spark, tmp_path):
+    import datetime
+
+    from laureate.streaming import jobs
+
+    day = lambda d: datetime.datetime(2024, 1, d, 12)
+    path = str(tmp_path / "in")
+    for rows in ([(day(10), "a", 1), (day(12), "a", 1)], [(day(2), "a", 100), (day(11), "a", 1), (day(20), "a", 1)], [(day(12), "a", 100), (day(25), "a", 1)]):
+        df = spark.createDataFrame(rows, "ts timestamp, k string, v long")
+        df.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(df.schema).parquet(path)
+        out = jobs.drained(jobs.rolled_up(stream, "ts", "1 day", "2 days", ["k"], "v"), str(tmp_path / "job"))
+    assert {(r["start"].day, r["n"], r["total"]) for r in out.collect()} == {(10, 1, 1), (11, 1, 1), (12, 1, 1), (20, 1, 1)}
+
+
+def test_deliveries_that_run_again(spark, tmp_path):
+    from laureate.streaming import jobs
+
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id int")
+    down = [True]
+    each = jobs.deliver_unsent(str(tmp_path / "log"), ["id"], lambda df: df.withColumn("status", F.when(F.lit(down[0]) & (F.col("id") == 2), "error").otherwise("sent")))
+    each(ids(1, 1, 2), 0)
+    down[0] = False
+    each(ids(1, 2, 3), 1)
+    each(ids(1, 2, 3), 1)
+    each(ids(3, 4), 2)
+    assert sorted((r["id"], r["batch"], r["status"]) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [(1, 0, "sent"), (2, 0, "error"), (2, 1, "sent"), (3, 1, "sent"), (4, 2, "sent")]
