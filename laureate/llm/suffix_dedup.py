@@ -175,10 +175,10 @@ def _cut(k1: list, k2: list, text: list, spans: list) -> dict:
     return {"k1": k1, "k2": k2, "n_bytes": n, "spans": runs, "kept": kept}
 
 
-def _digest(k1: list, k2: list, text: list, spans: list) -> dict:
-    x = _cut(k1, k2, text, spans)
+def _digest(doc_id: list, text: list, spans: list) -> dict:
+    x = _cut(doc_id, doc_id, text, spans)
     return {
-        "doc_id": [None if k == NO_ID else k for k in k1], "n_bytes": x["n_bytes"],
+        "doc_id": doc_id, "n_bytes": x["n_bytes"],
         "n_removed": [sum(s["e"] - s["s"] for s in r) for r in x["spans"]], "n_spans": [len(r) for r in x["spans"]],
         "kept_sha256": [hashlib.sha256(k).hexdigest() for k in x["kept"]],
     }
@@ -192,14 +192,20 @@ class SuffixFamily:
 
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets, self.levels, self.name = spark, buckets, {}, f"laureate_sa_{uuid.uuid4().hex[:12]}"
-        self.made = 0
+        self.made, self.tables = 0, set()
 
     def _write(self, df: DataFrame) -> str:
         self.made += 1
         table = f"{self.name}_{self.made}"
+        self.tables.add(table)
         df.write.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(table)
         return table
 
+    def _drop(self, *tables: str) -> None:
+        for table in tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            self.tables.discard(table)
+
     def add(self, batch: DataFrame) -> list[str]:
         """Indexes a batch (key, ...) and returns SQL of the keys that it repeats: within
         itself, or of a level (a merge-scan of both sorted tables)."""
@@ -216,22 +222,21 @@ class SuffixFamily:
             with_ = self.levels.pop(size)
             both = self.spark.sql(f"SELECT /*+ MERGE(a, b) */ coalesce(a.key, b.key) AS key, coalesce(a.c, 0) + coalesce(b.c, 0) AS c FROM {table} a FULL OUTER JOIN {with_} b ON a.key = b.key")
             grown = self._write(both)
-            self.spark.sql(f"DROP TABLE {table}")
-            self.spark.sql(f"DROP TABLE {with_}")
+            self._drop(table, with_)
             table, size = grown, size * 2
         self.levels[size] = table
         return [path]
 
     def close(self) -> None:
-        for table in self.levels.values():
-            self.spark.sql(f"DROP TABLE {table}")
+        """Drops all tables, also those that a failed step left."""
+        self._drop(*list(self.tables))
         self.levels = {}
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id may be null or repeat; rows alike in it and in their text get the same spans."""
+def keyed(docs: DataFrame, *more) -> DataFrame:
+    """doc_id may be null or repeat; rows alike in it and in their text get the same spans. A null counts as NO_ID."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"), *more)
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, k: int = 80, batches: int = 4) -> DataFrame:
@@ -246,9 +251,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 80, batches: int
     entries = spark.read.schema("k1 bigint, k2 bigint, key bigint, cls bigint, start int, n smallint, at smallint, batch int").parquet(f"{path}/entries")
     family = SuffixFamily(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hits = []
-    for b in range(batches):
-        hits += family.add(entries.where(F.col("batch") == b).select("key"))
-    family.close()
+    try:
+        for b in range(batches):
+            hits += family.add(entries.where(F.col("batch") == b).select("key"))
+    finally:
+        family.close()
     # Key lists are written before they are joined: then a hot key's rows can be split over tasks.
     repeated = stored(spark.read.schema("key bigint").parquet(*hits).distinct(), f"{path}/repeated")
     matched = stored(entries.select("k1", "k2", "key", "cls", "start", "n", "at").join(repeated, "key", "left_semi"), f"{path}/matched")
@@ -297,7 +304,7 @@ def cut_digest(docs: DataFrame, length: int = 200, k: int = 80, batches: int = 4
     kept_sha256. Nulls: a null text is empty; a null doc_id is returned as null. Repeated rows
     are each other's copies and stay as rows. Empty tables give no rows."""
     spans = repeated_spans(docs, length, k, batches)
-    joined = keyed(docs).join(spans, ["k1", "k2"], "left").select("k1", "k2", "text", "spans")
+    joined = keyed(docs, F.col("doc_id").cast("bigint").alias("doc_id")).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return map_columns(joined, _digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 

@@ -577,11 +577,83 @@ def test_rollup_of_odd_rows(spark, odd, none):
     assert len(counted) == len(ODD) and {x["n_tokens"] for x in counted if x["doc_id"] in (2, 3)} == {0}
 
 
-def test_pipeline_runs_whole(spark, sf_dir):
+def _accepted(rows, labels):
+    """Plain sums of the labelled rows' statistics, and a score for each text."""
+    y = {r["doc_id"]: r["quality"] for r in labels if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    got = {}
+    for c in (0, 1):
+        x = np.array([quality.statistics(r["text"]) for r in rows if y.get(r["doc_id"]) == c])
+        got[c] = {"n": len(x), "s": x.sum(axis=0).tolist(), "p": [float((x[:, i] * x[:, j]).sum()) for i in range(quality.FEATURES) for j in range(i, quality.FEATURES)]}
+    model = quality.fitted(got)
+    return [r for r in rows if model.score(quality.statistics(r["text"])[None])[0] >= 0.3]
+
+
+def _one_of_each(rows):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((r["text"] or "").lower().split() for r in rows)]
+    group = _groups(((i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])), len(rows))
+    first = {}
+    for r, g in zip(rows, group, strict=True):
+        if g not in first or (r["doc_id"] is None, r["doc_id"] or 0) < (first[g]["doc_id"] is None, first[g]["doc_id"] or 0):
+            first[g] = r
+    return list(first.values())
+
+
+def _unrepeated(rows):
+    data = [(r["text"] or "").encode() for r in rows]
+    seen = collections.Counter(b[i : i + 200] for b in data for i in range(len(b) - 199))
+    for r, b in zip(rows, data, strict=True):
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        yield {**r, "text": bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")}
+
+
+def _mixed(rows):
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["source"]] += size(r)
+    names = [*sorted(s for s in sizes if s is not None), *([None] if None in sizes else [])]
+    weight, share = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}, 1.5 * sum(sizes.values())
+    want, left, open_ = {}, share, set(names)
+    while over := [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 2 * sizes[s]]:
+        want |= {s: 2.0 * sizes[s] for s in over}
+        open_ -= set(over)
+        left = share - sum(want.values())
+    want |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    for r in rows:
+        rate = want[r["source"]] / sizes[r["source"]] if sizes[r["source"]] else 0
+        name = str(r["doc_id"]) if r["doc_id"] is not None else "text:" + hashlib.md5((r["text"] or "").encode()).hexdigest()
+        chance = int(hashlib.md5(f"7:{name}".encode()).hexdigest()[:12], 16) / (1 << 48)
+        yield from [r] * (int(rate) + (chance < rate - int(rate)))
+
+
+def test_pipeline_equals_brute_force(spark, docs, odd, library, sf_dir, tmp_path):
+    """All stages at once on documents with copies, near copies, shared passages and odd rows, with a column of its own."""
+    import corpus_pipeline
+
+    some = docs.where(F.length("text") < 2500).limit(70).withColumns({"fp": F.lit("x"), "k1": F.lit(1)})
+    near = some.limit(12).withColumn("doc_id", F.col("doc_id") + 10_000).withColumn("text", F.concat("text", F.lit(" ending")))
+    table = some.unionByName(near).unionByName(some.limit(5).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(odd.where("doc_id is null or doc_id <> 9").withColumn("doc_id", F.col("doc_id") + 20_000))
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [r.asDict() for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
+    left = list(_mixed(list(_unrepeated(_one_of_each(_accepted(rows, labels))))))
+    want = []
+    for r in left:
+        ids = library.encode_ordinary(r["text"])
+        want.append((str(r["doc_id"]), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest()))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert len(want) > 30 and sorted((str(r["doc_id"]), *list(r)[1:]) for r in got.collect()) == sorted(want)
+
+
+def test_pipeline_stages_of_odd_and_empty_tables(spark, odd, none, sf_dir):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, sf_dir).columns == docs.columns
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert out.count() > 0 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf_dir).count() == 0, name
+        if name != "bpe":
+            assert stage(spark, odd, sf_dir).columns == odd.columns, name
