@@ -21,12 +21,14 @@ def pre_occupied(entries: DataFrame, event: Sequence[str], country: str = "count
 
 def quota_rank(pool: DataFrame, pre: DataFrame, event: Sequence[str], order: Sequence[Column], country: str = "country", cap: int = 3) -> DataFrame:
     """Adds country_rank, ok and pool_rank: the walk from best to worst where an athlete beyond the country's
-    cap takes no slot and has no rank. order must have no ties."""
+    cap takes no slot and has no rank. order must have no ties. Only cap rows of a country have a rank, so the window over an event
+    holds those alone; the rest is spread over other partitions."""
     p = pool.join(pre, [*event, country], "left").withColumn("pre", F.coalesce("pre", F.lit(0)).cast("bigint"))
     own = Window.partitionBy(*event, country).orderBy(*order)
     p = p.withColumn("country_rank", F.row_number().over(own).cast("bigint")).withColumn("ok", F.col("country_rank") <= cap - F.col("pre"))
-    run = Window.partitionBy(*event).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return p.withColumn("pool_rank", F.when(F.col("ok"), F.sum(F.col("ok").cast("bigint")).over(run)))
+    aside = F.when(F.col("ok"), 0).otherwise(1 + F.pmod(F.xxhash64(country, "country_rank"), F.lit(1024)))
+    run = Window.partitionBy(*event, "_aside").orderBy(*order)
+    return p.withColumn("_aside", aside).withColumn("pool_rank", F.when(F.col("ok"), F.row_number().over(run).cast("bigint"))).drop("_aside")
 
 
 def quota_rank_huge(pool: DataFrame, pre: DataFrame, event: Sequence[str], order: str, country: str = "country", cap: int = 3, slices: int = 64, then: Sequence[Column] = ()) -> DataFrame:
@@ -60,10 +62,10 @@ def rank_by_histogram(rows: DataFrame, by: Sequence[str], score: str, name: str)
     return rows.join(hist, on).drop("_hs", *[f"_h{i}" for i in range(len(by))])
 
 
-def uncapped_position(pool: DataFrame, event: Sequence[str], order: Sequence[Column], entry_number: Column, pool_slots: Column) -> DataFrame:
-    """Adds uncapped_position: place in the whole pool behind the slots that are not the pool's."""
-    w = Window.partitionBy(*event).orderBy(*order)
-    return pool.withColumn("uncapped_position", F.row_number().over(w) + (entry_number - pool_slots))
+def uncapped_position(pool: DataFrame, event: Sequence[str], score: str, then: Sequence[Column], entry_number: Column, pool_slots: Column) -> DataFrame:
+    """Adds uncapped_position: place in the whole pool, by score from high to low and then by `then`, behind the slots that are not the pool's."""
+    tied = F.row_number().over(Window.partitionBy(*event, score).orderBy(*then))
+    return rank_by_histogram(pool, event, score, "_rank").withColumn("uncapped_position", F.col("_rank") + tied - 1 + (entry_number - pool_slots)).drop("_rank")
 
 
 def qualifying(ranked: DataFrame, pool_slots: Column, fixed_slots: Column) -> DataFrame:

@@ -46,33 +46,46 @@ def asof_points(probes: DataFrame, ladder: DataFrame, group: Sequence[str], prob
     return out.drop("_p", "_top", "_bottom", "_b", "_ib", "lo", "hi", "_points", *[f"_g{i}" for i in range(len(group))])
 
 
+def _reached(rows: DataFrame, group: Sequence[str], key: str, value: str, name: str, below: bool = True, slices: int = 256) -> DataFrame:
+    """Adds the greatest value at or below a row's key (or the least at or above it), within the group; null if there is none.
+
+    The span of a group's keys is cut into slices of equal width. A window sees one slice, and what the slices before it
+    hold is carried over from one row per slice, so that a group of any size is spread over many tasks.
+    """
+    best = F.max if below else F.min
+    edges = rows.groupBy(*group).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    at = F.least(F.lit(slices - 1), F.floor((F.col(key) - F.col("_lo")) * slices / (F.col("_hi") - F.col("_lo") + 1)))
+    cut = rows.join(edges, list(group)).withColumn("_slice", at).drop("_lo", "_hi")
+    near = Window.partitionBy(*group, "_slice").orderBy(key)
+    near = near.rangeBetween(Window.unboundedPreceding, 0) if below else near.rangeBetween(0, Window.unboundedFollowing)
+    far = Window.partitionBy(*group).orderBy(F.col("_slice") if below else F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(*group, "_slice").agg(best(value).alias("_own")).withColumn("_far", best("_own").over(far)).drop("_own")
+    return cut.withColumn(name, best(value).over(near)).join(before, [*group, "_slice"]).withColumn(name, F.coalesce(name, "_far")).drop("_slice", "_far")
+
+
 def asof_points_by_union(probes: DataFrame, ladder: DataFrame, group: Sequence[str], probe: Column, mark: str = "mark_c", points: str = "points") -> DataFrame:
-    """The same for ladders too long to broadcast: one sort of probes and rungs by (group, mark)."""
+    """The same for ladders too long to broadcast: probes and rungs are sorted by mark, slice by slice (_reached)."""
     iv = ladder.groupBy(*group, mark).agg(F.max(points).alias("points"))
     rows = probes.withColumn("_row", F.struct(*probes.columns)).select(*group, probe.alias("_m"), F.lit(1).alias("_k"), F.lit(None).cast("bigint").alias("_q"), "_row")
     rungs = iv.select(*group, F.col(mark).alias("_m"), F.lit(0).alias("_k"), F.col("points").cast("bigint").alias("_q"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy(*group).orderBy("_m", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.unionByName(rungs).withColumn("points", F.coalesce(F.max("_q").over(w), F.lit(0)))
-    return out.where("_k = 1").select("_row.*", "points")
+    out = _reached(rows.unionByName(rungs), group, "_m", "_q", "_points").where("_k = 1")
+    return out.select("_row.*", F.coalesce("_points", F.lit(0)).alias("points"))
 
 
 def nearest_mark(scores: DataFrame, ladder: DataFrame, score: str, better_is_higher: bool = True, mark: str = "mark_c", points: str = "points") -> DataFrame:
     """Adds mark_c: the listed mark whose points are nearest; ties to the best mark.
 
-    As-of both ways over the union of scores and distinct points.
+    As-of both ways over the union of distinct scores and distinct points (_reached).
     """
     best = F.max if better_is_higher else F.min
     rungs = ladder.groupBy(F.col(points).cast("bigint").alias("_s")).agg(best(mark).alias("_mark"))
     rows = scores.withColumn("_row", F.struct(*scores.columns)).select(F.col(score).cast("bigint").alias("_s"), "_row")
-    distinct = rows.select("_s").distinct()
-    both = distinct.select("_s", F.lit(None).cast(rungs.schema["_mark"].dataType).alias("_mark"), F.lit(None).cast("bigint").alias("_at")).unionByName(rungs.withColumn("_at", F.col("_s")))
-    up = Window.orderBy(F.col("_s"), F.col("_at").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.col("_s").desc(), F.col("_at").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    pair = F.struct(F.col("_at"), F.col("_mark"))
-    seen = F.when(F.col("_at").isNotNull(), pair)
-    both = both.withColumn("_lo", F.last(seen, True).over(up)).withColumn("_hi", F.last(seen, True).over(down)).where("_at is null")
-    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["_at"] - F.col("_s")).alias("d"), (-F.col(c)["_mark"] if better_is_higher else F.col(c)["_mark"]).alias("o"), F.col(c)["_mark"].alias("m")))
-    nearest = both.select("_s", F.least(far("_lo"), far("_hi"))["m"].alias("mark_c"))
+    pair = F.struct(F.col("_s").alias("at"), F.col("_mark").alias("mark")).alias("_pair")
+    rungs = rungs.select(F.lit(0).alias("_all"), "_s", pair)
+    both = rows.select("_s").where("_s is not null").distinct().select(F.lit(0).alias("_all"), "_s", F.lit(None).cast(rungs.schema["_pair"].dataType).alias("_pair")).unionByName(rungs)
+    both = _reached(_reached(both, ["_all"], "_s", "_pair", "_low"), ["_all"], "_s", "_pair", "_high", below=False).where("_pair is null")
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["at"] - F.col("_s")).alias("d"), (-F.col(c)["mark"] if better_is_higher else F.col(c)["mark"]).alias("o"), F.col(c)["mark"].alias("m")))
+    nearest = both.select("_s", F.least(far("_low"), far("_high"))["m"].alias("mark_c"))
     return rows.join(nearest, "_s", "left").select("_row.*", "mark_c")
 
 

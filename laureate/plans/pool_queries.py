@@ -52,7 +52,7 @@ def w7_quota_rank_huge(spark, sf):
 @query(f"""SELECT event, athlete, row_number() OVER (PARTITION BY event ORDER BY score DESC, athlete) + 48 - 30 AS uncapped_position,
   pool_rank + 18 AS qualifying_position, coalesce(pool_rank <= 30, false) AS inside_quota FROM ({_RANKED})""")
 def w8_w9_positions(spark, sf):
-    out = Q.uncapped_position(_ranked(spark, sf), ["event"], _order(), F.lit(48), F.lit(30))
+    out = Q.uncapped_position(_ranked(spark, sf), ["event"], "score", [F.col("athlete")], F.lit(48), F.lit(30))
     return Q.qualifying(out, F.lit(30), F.lit(18)).select("event", "athlete", F.col("uncapped_position").cast("bigint").alias("uncapped_position"), "qualifying_position", "inside_quota")
 
 
@@ -65,7 +65,7 @@ def w10_w11_places(spark, sf):
 @query(f"""SELECT athlete, CASE WHEN score > 9000 THEN athlete ELSE coalesce(pool_rank + 18, u) END AS standing, CASE WHEN score > 9000 THEN 'official' WHEN pool_rank IS NOT NULL THEN 'capped' ELSE 'country' END AS standing_kind
   FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY score DESC, athlete) + 18 AS u FROM ({_RANKED}))""")
 def w12_displayed_standing(spark, sf):
-    rows = Q.qualifying(Q.uncapped_position(_ranked(spark, sf), ["event"], _order(), F.lit(48), F.lit(30)), F.lit(30), F.lit(18))
+    rows = Q.qualifying(Q.uncapped_position(_ranked(spark, sf), ["event"], "score", [F.col("athlete")], F.lit(48), F.lit(30)), F.lit(30), F.lit(18))
     rows = rows.withColumn("qualified", F.col("score") > 9000).withColumn("official_position", F.col("athlete"))
     return Q.displayed_standing(rows).select("athlete", "standing", "standing_kind")
 

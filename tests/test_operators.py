@@ -167,6 +167,19 @@ def test_name_search_finds_parts_of_words(spark):
     assert "CartesianProduct" not in _plan(out) and "NestedLoop" not in _plan(out)
 
 
+def test_plans_spread_large_groups(spark):
+    """No window over a whole pool or ladder: each is keyed by a slice, a score or a country as well."""
+    p = spark.createDataFrame([("e", "A", i, i % 7) for i in range(50)], "event string, country string, athlete int, score int")
+    ladder = spark.createDataFrame([("h", i * 3, i) for i in range(40)], "slug string, mark_c long, points long")
+    by_union = scoring.asof_points_by_union(spark.createDataFrame([("h", 5)], "slug string, probe long"), ladder, ["slug"], F.col("probe"))
+    nearest = scoring.nearest_mark(spark.createDataFrame([(3,), (100,), (None,)], "s int"), ladder, "s")
+    assert {r["s"]: r["mark_c"] for r in nearest.collect()} == {3: 9, 100: 117, None: None}
+    for df in (quota.uncapped_position(p, ["event"], "score", [F.col("athlete")], F.lit(3), F.lit(1)), quota.projected_place(p, ["event"], "score"), by_union, nearest):
+        plan = _plan(df)
+        assert "SinglePartition" not in plan and "exchange" in plan.lower()
+    assert "_slice" in _plan(by_union) and "_slice" in _plan(nearest)
+
+
 def test_round_codes_in_any_case(spark):
     codes = {" f1 ": 9, "F": 9, "FN": 0, "sf1": 3, "SF": 3, "H1A": 1, "q": 2, "QX": 2, "OQ(1)3": 0, "": 0, None: 0}
     df = spark.createDataFrame([(c,) for c in codes], "race string")
