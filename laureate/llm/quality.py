@@ -150,13 +150,14 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     return out.select("doc_id", training_fold(5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 20_000) -> DataFrame:
     """The rows of docs whose score reaches the threshold; all columns stay, of any names. Each row is scored on its own
-    text beside it, so repeated and null doc_ids are no matter. The statistics are made once: here only those of the labelled
-    rows come before, for the model."""
+    text beside it, so repeated and null doc_ids are no matter. The model learns from at most `most` labelled rows, least by hash,
+    so their ids can be broadcast and no text is shuffled; the statistics of the other rows are made once."""
     y = labels.where("doc_id is not null and quality is not null").where(~training_fold(5, 0)).groupBy("doc_id").agg(F.max("quality").alias("y"))
+    y = F.broadcast(stored(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), f"{shared_dir(docs.sparkSession)}/labels"))
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")).join(y, "doc_id", "left_semi")
-    model = fit(stored(features(rows), f"{shared_dir(docs.sparkSession)}/features").join(y, "doc_id").select("x", "y"))
+    model = fit(features(rows).join(y, "doc_id").select("x", "y"))
     names = docs.columns
 
     def run(batches):
