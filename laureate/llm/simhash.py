@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_columns, segments, shared_dir, stored
+from .common import components, map_columns, removed, segments, shared_dir, stored
 
 BITS = 64
 #: Comparisons of fingerprints that a task makes, about a minute's.
@@ -176,6 +176,7 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), f"{path}/distinct")
     found = stored(links(distinct.select("fp"), path, radius), f"{path}/links")
     grouped = stored(components(found, path), f"{path}/groups")
+    removed(spark, *[f"{path}/{name}" for name in ("links", "sizes", "tiles")])
     lows = distinct.join(grouped.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = lows.groupBy("root").agg(F.min("low").alias("component_id"))
     of = lows.select("fp", "root").join(least, "root").select("fp", "component_id")
@@ -281,6 +282,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, til
     met = other.select(F.xxhash64("root", F.least("s", "o"), F.greatest("s", "o")).alias("key"), "node", "text")
     pairs = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").mapInArrow(_verify(words, similarity), "u bigint, v bigint")
     grouped = stored(components(stored(pairs, f"{path}/pairs"), path), f"{path}/groups")
+    removed(spark, *[f"{path}/{name}" for name in ("nodes", "shared", "edges", "near", "candidates", "wanted", "pairs")])
     of = rows.select("k", "doc_id", "node").join(grouped.select("node", "root"), "node", "left")
     return of.select("k", "doc_id", F.coalesce("root", "node").alias("component"))
 
