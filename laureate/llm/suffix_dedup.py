@@ -6,6 +6,9 @@ strings meet at one suffix key. A suffix array here is a table sorted by the fin
 its suffixes' first k bytes, one row per distinct key. Each batch gets one; it is merge-scanned
 against every level (a sort-merge join of bucketed, sorted tables: no exchange), and levels
 of equal size merge into one of the double size.
+
+A whole table is cut by `cut`, `cut_digest` and `cleaned`, whose levels hold keys alone. Documents that
+come in batches go to a `SubstringIndex`, whose levels hold places too, so that a batch is matched with all before.
 """
 
 from __future__ import annotations
@@ -186,6 +189,9 @@ def _digest(doc_id: list, text: list, spans: list) -> dict:
 
 NO_ID = -(2**63)
 
+#: A suffix: its document, its key, its class, and the windows that it stands for.
+ENTRY = "k1 bigint, k2 bigint, key bigint, cls bigint, start int, n smallint, at smallint"
+
 
 class SuffixFamily:
     """Suffix arrays of batches in levels of 1, 2, 4, ... batches, as bucketed and sorted tables."""
@@ -210,7 +216,7 @@ class SuffixFamily:
         """Indexes a batch (key, ...) and returns SQL of the keys that it repeats: within
         itself, or of a level (a merge-scan of both sorted tables)."""
         own = batch.groupBy("key").agg(F.count("*").alias("c")).repartition(self.buckets, "key")
-        table, size = self._write(own), 1
+        table = self._write(own)
         found = [f"SELECT key FROM {table} WHERE c > 1"]
         seen = list(self.levels.values())
         path = shared_dir(self.spark)
@@ -218,14 +224,22 @@ class SuffixFamily:
         for level in seen:
             hits = hits.unionByName(self.spark.sql(f"SELECT /*+ MERGE(a, b) */ a.key FROM {table} a JOIN {level} b ON a.key = b.key"))
         hits.write.parquet(path)
+        self._settle(table)
+        return [path]
+
+    def _merged(self, a: str, b: str) -> DataFrame:
+        return self.spark.sql(f"SELECT /*+ MERGE(a, b) */ coalesce(a.key, b.key) AS key, coalesce(a.c, 0) + coalesce(b.c, 0) AS c FROM {a} a FULL OUTER JOIN {b} b ON a.key = b.key")
+
+    def _settle(self, table: str) -> None:
+        """A new array of one batch becomes a level; while there is one of its size, both merge into one of the double size."""
+        size = 1
         while size in self.levels:
-            with_ = self.levels.pop(size)
-            both = self.spark.sql(f"SELECT /*+ MERGE(a, b) */ coalesce(a.key, b.key) AS key, coalesce(a.c, 0) + coalesce(b.c, 0) AS c FROM {table} a FULL OUTER JOIN {with_} b ON a.key = b.key")
-            grown = self._write(both)
+            with_ = self.levels[size]
+            grown = self._write(self._merged(table, with_))
+            del self.levels[size]
             self._drop(table, with_)
             table, size = grown, size * 2
         self.levels[size] = table
-        return [path]
 
     def close(self) -> None:
         """Drops all tables, also those that a failed step left."""
@@ -233,6 +247,61 @@ class SuffixFamily:
         self.levels = {}
 
 
+class PlacedFamily(SuffixFamily):
+    """Levels of suffixes (ENTRY) with the document and place of each: what later batches are matched with."""
+
+    def add(self, batch: DataFrame, path: str) -> DataFrame:
+        """Indexes a batch and returns its suffixes that share a key with another, with those of the levels that they meet."""
+        sql = self.spark.sql
+        table = self._write(batch.repartition(self.buckets, "key"))
+        keys, met = sql(f"SELECT key FROM {table} GROUP BY key HAVING count(*) > 1"), []
+        for level in self.levels.values():
+            keys = keys.unionByName(sql(f"SELECT /*+ MERGE(a, b) */ a.key FROM {table} a LEFT SEMI JOIN {level} b ON a.key = b.key"))
+            met.append(sql(f"SELECT /*+ MERGE(a, b) */ b.* FROM {level} b LEFT SEMI JOIN {table} a ON a.key = b.key"))
+        found = self.spark.table(table).join(stored(keys.distinct(), f"{path}/repeated"), "key", "left_semi")
+        for rows in met:
+            found = found.unionByName(rows)
+        found = stored(found, f"{path}/matched")
+        self._settle(table)
+        return found
+
+    def _merged(self, a: str, b: str) -> DataFrame:
+        return self.spark.table(a).unionByName(self.spark.table(b)).repartition(self.buckets, "key")
+
+
+class SubstringIndex:
+    """Documents in batches: of each new one, what repeats in itself or in any batch before.
+
+    What earlier batches were told stays as it was. The index keeps the texts and suffixes of all its batches, in the shared
+    folder and the warehouse, until close(); it lives as long as its session. A batch costs its own work, a scan of the levels
+    and of the texts, and its share of their merging: each suffix is rewritten once per doubling.
+    """
+
+    def __init__(self, spark: SparkSession, length: int = 200, k: int = 80, buckets: int | None = None):
+        self.spark, self.length, self.k, self.path, self.made = spark, length, k, shared_dir(spark), 0
+        self.family = PlacedFamily(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """(k1, k2, n_bytes, spans, kept) of every row of the batch, as `cut` returns them. Null texts are empty, rows that repeat
+        are each other's copies, also over batches; an empty batch gives no rows and counts as one. A batch whose add fails
+        in the end is indexed or not: make the index anew then."""
+        source = stored(keyed(docs), f"{self.path}/texts/batch={self.made}")
+        self.made += 1
+        work = f"{self.path}/work-{self.made}"
+        entries = map_columns(source, _entries, f"{ENTRY}, batch int", length=self.length, k=self.k, batches=1).drop("batch")
+        matched = self.family.add(entries, work)
+        texts = self.spark.read.schema(source.schema).parquet(*[f"{self.path}/texts/batch={i}" for i in range(self.made)])
+        own = source.select("k1", "k2").distinct()
+        spans = stored(_spans(texts, matched, work, self.length).join(own, ["k1", "k2"], "left_semi"), f"{self.path}/spans-{self.made}")
+        removed(self.spark, work)
+        return _cut_rows(source, spans)
+
+    def close(self) -> None:
+        """Drops all that the index keeps; results of add that were not written go with it."""
+        self.family.close()
+        removed(self.spark, self.path)
+
+
 def keyed(docs: DataFrame, *more) -> DataFrame:
     """doc_id may be null or repeat; rows alike in it and in their text get the same spans. A null counts as NO_ID."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -245,10 +314,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 80, batches: int
     spark = docs.sparkSession
     path = shared_dir(spark)
     source = keyed(docs)
-    map_columns(
-        source, _entries, "k1 bigint, k2 bigint, key bigint, cls bigint, start int, n smallint, at smallint, batch int", length=length, k=k, batches=batches
-    ).write.partitionBy("batch").parquet(f"{path}/entries")
-    entries = spark.read.schema("k1 bigint, k2 bigint, key bigint, cls bigint, start int, n smallint, at smallint, batch int").parquet(f"{path}/entries")
+    map_columns(source, _entries, f"{ENTRY}, batch int", length=length, k=k, batches=batches).write.partitionBy("batch").parquet(f"{path}/entries")
+    entries = spark.read.schema(f"{ENTRY}, batch int").parquet(f"{path}/entries")
     family = SuffixFamily(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hits = []
     try:
@@ -260,6 +327,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 80, batches: int
     repeated = stored(spark.read.schema("key bigint").parquet(*hits).distinct(), f"{path}/repeated")
     matched = stored(entries.select("k1", "k2", "key", "cls", "start", "n", "at").join(repeated, "key", "left_semi"), f"{path}/matched")
     removed(spark, f"{path}/entries", f"{path}/repeated", *hits)
+    return _spans(source, matched, path, length)
+
+
+def _spans(source: DataFrame, matched: DataFrame, path: str, length: int) -> DataFrame:
+    """(k1, k2, spans) from all suffixes that share a key with another; source holds the texts of their documents."""
     # Whole classes that occur twice repeat as they stand.
     classes = matched.groupBy("key", "cls").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start", "n", "at")).alias("one"))
     classes = stored(classes, f"{path}/classes")
@@ -294,8 +366,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 80, batches: int
 def cut(docs: DataFrame, length: int = 200, k: int = 80, batches: int = 4) -> DataFrame:
     """(k1, k2, n_bytes, spans array<struct<s, e>>, kept binary) of every row: its maximal
     repeated runs of bytes, and the rest, concatenated. Null texts are empty."""
-    spans = repeated_spans(docs, length, k, batches)
-    joined = keyed(docs).join(spans, ["k1", "k2"], "left").select("k1", "k2", "text", "spans")
+    return _cut_rows(keyed(docs), repeated_spans(docs, length, k, batches))
+
+
+def _cut_rows(source: DataFrame, spans: DataFrame) -> DataFrame:
+    joined = source.join(spans, ["k1", "k2"], "left").select("k1", "k2", "text", "spans")
     return map_columns(joined, _cut, "k1 bigint, k2 bigint, n_bytes bigint, spans array<struct<s:int,e:int>>, kept binary")
 
 

@@ -160,6 +160,27 @@ def test_suffix_dedup_equals_brute_force(spark, docs, odd):
         assert sorted((str(r["doc_id"]), *list(r)[1:]) for r in suffix_dedup.cut_digest(df).collect()) == want
 
 
+def test_later_batches_are_matched_with_all_before(spark, odd, none):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcd "), n))
+    bank = [word(320) for _ in range(6)]
+    part = lambda: bank[rng.integers(6)][rng.integers(0, 80) : rng.integers(240, 320)]
+    batches = [[(100 * b + i, word(rng.integers(0, 50)) + (part() if rng.random() < 0.4 else word(260)) + word(rng.integers(0, 50))) for i in range(12)] for b in range(4)]
+    batches.insert(2, [tuple(r) for r in odd.select("doc_id", "text").collect()])
+    batches.append([batches[0][0], (900, batches[1][1][1][3:])])  # a row that came before, and most of a text that did
+    index, before = suffix_dedup.SubstringIndex(spark, buckets=4), []
+    assert index.add(none).count() == 0
+    for rows in batches:
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((r["k1"], r["n_bytes"], sum(s["e"] - s["s"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in index.add(df).collect())
+        before += rows
+        cuts = list(_cuts([t for _, t in before], 200))[-len(rows) :]
+        assert got == sorted((suffix_dedup.NO_ID if i is None else i, *c) for (i, _), c in zip(rows, cuts, strict=True))
+    assert sorted(index.family.levels) == [1, 2, 4]
+    index.close()
+    assert not index.family.tables
+
+
 def test_suffix_levels_double(spark):
     family = suffix_dedup.SuffixFamily(spark, 4)
     for i in range(5):
