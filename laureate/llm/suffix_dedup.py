@@ -196,6 +196,8 @@ ENTRY = "k1 bigint, k2 bigint, key bigint, cls bigint, start int, n smallint, at
 class SuffixFamily:
     """Suffix arrays of batches in levels of 1, 2, 4, ... batches, as bucketed and sorted tables."""
 
+    by: tuple[str, ...] = ("key",)
+
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets, self.levels, self.name = spark, buckets, {}, f"laureate_sa_{uuid.uuid4().hex[:12]}"
         self.made, self.tables = 0, set()
@@ -204,7 +206,7 @@ class SuffixFamily:
         self.made += 1
         table = f"{self.name}_{self.made}"
         self.tables.add(table)
-        df.write.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(table)
+        df.write.bucketBy(self.buckets, *self.by).sortBy(*self.by).saveAsTable(table)
         return table
 
     def _drop(self, *tables: str) -> None:
@@ -248,25 +250,30 @@ class SuffixFamily:
 
 
 class PlacedFamily(SuffixFamily):
-    """Levels of suffixes (ENTRY) with the document and place of each: what later batches are matched with."""
+    """Levels of suffixes (ENTRY) with the document and place of each: what later batches are matched with. A key's
+    suffixes are dealt out to SALTS buckets by their class, so that a passage of very many documents does not meet in one task."""
+
+    SALTS = 16
+    by = ("key", "salt")
 
     def add(self, batch: DataFrame, path: str) -> DataFrame:
-        """Indexes a batch and returns its suffixes that share a key with another, with those of the levels that they meet."""
-        sql = self.spark.sql
-        table = self._write(batch.repartition(self.buckets, "key"))
-        keys, met = sql(f"SELECT key FROM {table} GROUP BY key HAVING count(*) > 1"), []
+        """Indexes a batch and returns its suffixes that share a key with another, with those of the levels that they meet.
+        The levels are scanned as they lie; only the batch's distinct keys are moved, to each salt."""
+        table = self._write(batch.withColumn("salt", F.pmod("cls", F.lit(self.SALTS)).cast("int")).repartition(self.buckets, *self.by))
+        counts = stored(self.spark.table(table).groupBy("key").agg(F.count("*").alias("c")), f"{path}/counts")
+        probe = counts.select("key", F.explode(F.sequence(F.lit(0), F.lit(self.SALTS - 1))).alias("salt")).hint("merge")
+        met = self.spark.createDataFrame([], ENTRY)
         for level in self.levels.values():
-            keys = keys.unionByName(sql(f"SELECT /*+ MERGE(a, b) */ a.key FROM {table} a LEFT SEMI JOIN {level} b ON a.key = b.key"))
-            met.append(sql(f"SELECT /*+ MERGE(a, b) */ b.* FROM {level} b LEFT SEMI JOIN {table} a ON a.key = b.key"))
-        found = self.spark.table(table).join(stored(keys.distinct(), f"{path}/repeated"), "key", "left_semi")
-        for rows in met:
-            found = found.unionByName(rows)
+            met = met.unionByName(self.spark.table(level).join(probe, list(self.by), "left_semi").drop("salt"))
+        met = stored(met, f"{path}/met")
+        keys = stored(counts.where("c > 1").select("key").unionByName(met.select("key")).distinct(), f"{path}/repeated")
+        found = self.spark.table(table).drop("salt").join(keys, "key", "left_semi").unionByName(met)
         found = stored(found, f"{path}/matched")
         self._settle(table)
         return found
 
     def _merged(self, a: str, b: str) -> DataFrame:
-        return self.spark.table(a).unionByName(self.spark.table(b)).repartition(self.buckets, "key")
+        return self.spark.table(a).unionByName(self.spark.table(b)).repartition(self.buckets, *self.by)
 
 
 class SubstringIndex:

@@ -168,7 +168,7 @@ def test_later_batches_are_matched_with_all_before(spark, odd, none):
     batches = [[(100 * b + i, word(rng.integers(0, 50)) + (part() if rng.random() < 0.4 else word(260)) + word(rng.integers(0, 50))) for i in range(12)] for b in range(4)]
     batches.insert(2, [tuple(r) for r in odd.select("doc_id", "text").collect()])
     batches.append([batches[0][0], (900, batches[1][1][1][3:])])  # a row that came before, and most of a text that did
-    index, before = suffix_dedup.SubstringIndex(spark, buckets=4), []
+    index, before = suffix_dedup.SubstringIndex(spark), []
     assert index.add(none).count() == 0
     for rows in batches:
         df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -177,6 +177,9 @@ def test_later_batches_are_matched_with_all_before(spark, odd, none):
         cuts = list(_cuts([t for _, t in before], 200))[-len(rows) :]
         assert got == sorted((suffix_dedup.NO_ID if i is None else i, *c) for (i, _), c in zip(rows, cuts, strict=True))
     assert sorted(index.family.levels) == [1, 2, 4]
+    level, probe = spark.table(index.family.levels[4]), spark.range(9).selectExpr("id AS key", "cast(id % 3 AS int) AS salt").hint("merge")
+    plan = level.join(probe, ["key", "salt"], "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1, plan  # the level is scanned as it lies
     index.close()
     assert not index.family.tables
 
