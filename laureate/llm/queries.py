@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, repetition, simhash, suffix_dedup, token_rollup, topk, toxicity, url_filter
+from . import bpe, merkle, mixing, personal, quality, repetition, simhash, suffix_dedup, token_rollup, topk, toxicity, url_filter, whitening
 from .common import WORD, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -21,6 +21,10 @@ RULES = tuple(
 #: The operator's own rules, for urls that no rule fits: paths of lists, feeds and files.
 GLOBS = ("*\n*/tag/*", "*\n*/feed", "*\n*/login*", "*\n*.zip", "*\n*.exe", "*\n*/cart/*", "ads.*\n*", "*.ads.*\n*")
 
+#: CRC-32 of doc_id in decimal before its bits are turned round, so odd where the checksum is even: eight shifts for each character.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"""
+
 #: Words that hold a letter or digit.
 REAL_WORD = r"[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*"
 
@@ -79,8 +83,23 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"), most=8)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_bpe, op3_simhash, op4_suffix_dedup, op5_topk, op6_url_filter, op7_source_mix, op8_quality, op9_toxicity, op10_repetition)
+    own = (
+        op1_token_counts, op2_bpe, op3_simhash, op4_suffix_dedup, op5_topk, op6_url_filter, op7_source_mix, op8_quality, op9_toxicity, op10_repetition, op11_whitening, op12_merkle,
+        op13_personal,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -185,5 +204,25 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS tex
   base AS (SELECT doc_id, len(w) AS n_words, total::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(again.n, 0) AS n_dup_lines, coalesce(eight.n, 0) AS n_repeat_words,
     coalesce(worst.worst, 0) AS repetition FROM d LEFT JOIN again USING (row) LEFT JOIN eight USING (row) LEFT JOIN worst USING (row))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND repetition <= 1 AS kept FROM base
+"""
+    framed = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(framed(c) for c in ('doc_id::VARCHAR', 'source', 'lang', 'n_chars::VARCHAR', text))})"
+    grow = "SELECT g, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM {} WHERE n > 1 GROUP BY g, lvl, pos // 3, n"
+    steps = """SELECT b.row, {at} + n.lvl AS step, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos < b.pos // 3 ** n.lvl), '') AS l, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos > b.pos // 3 ** n.lvl), '') AS r
+    FROM {of} b JOIN {tree} n ON n.g IS NOT DISTINCT FROM b.g AND n.n > 1 AND n.pos // 3 = b.pos // 3 ** (n.lvl + 1) GROUP BY b.row, n.lvl"""
+    whole = lambda text: text.replace("3 ** (n.lvl + 1)", "(3 ** (n.lvl + 1))::BIGINT").replace("3 ** n.lvl)", "(3 ** n.lvl)::BIGINT)")
+    sql["op12_merkle"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, source AS g, {leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC} % 2 = 1 AND contains(text, chr(10)) THEN {leaf("replace(text, chr(10), '')")} END AS other FROM documents),
+  leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, other NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+  tree(g, lvl, pos, h, n) AS (SELECT g, 0::BIGINT, pos, leaf, n FROM leaves UNION ALL {grow.format('tree')}),
+  subroots AS (SELECT g AS source, h AS subroot, lvl AS height, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+  top(g, lvl, pos, h, n) AS (SELECT 0, 0::BIGINT, pos, subroot, n FROM subroots UNION ALL {grow.format('top')}),
+  placed AS (SELECT row, 0 AS g, s.pos, height FROM leaves JOIN subroots s ON s.source IS NOT DISTINCT FROM g),
+  steps AS ({whole(steps.format(at='0', of='leaves', tree='tree'))} UNION ALL {whole(steps.format(at='any_value(b.height)', of='placed', tree='top'))}),
+  walk(row, step, h) AS (SELECT row, 0::BIGINT, coalesce(other, leaf) FROM leaves UNION ALL SELECT w.row, w.step + 1, sha256(l || h || r) FROM walk w JOIN steps s ON s.row = w.row AND s.step = w.step),
+  folded AS (SELECT row, arg_max(h, step) AS folded_root FROM walk GROUP BY row),
+  proofs AS (SELECT row, sha256(string_agg(l || r, '' ORDER BY step)) AS proof FROM steps GROUP BY row)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots s ON s.source IS NOT DISTINCT FROM g JOIN folded USING (row) LEFT JOIN proofs USING (row), (SELECT h AS root FROM top WHERE n = 1)
 """
     return sql
