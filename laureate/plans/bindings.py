@@ -95,25 +95,31 @@ SNAPSHOTS = """SELECT user_id, ts::DATE AS period, sum(round(value * 100)::BIGIN
 
 
 def ladder(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct retail prices as listed marks in hundredths, points by order, per brand's first word."""
+    """Distinct retail prices as listed marks in hundredths: heights (even), of which higher ones earn more, and times (odd), of which lower ones do."""
     from pyspark.sql import Window
 
     p = t(spark, sf, "part").select(F.round(F.col("p_retailprice") * 100).cast("bigint").alias("mark_c")).distinct()
-    w = Window.partitionBy("slug").orderBy("mark_c")
-    p = p.withColumn("slug", F.when(F.col("mark_c") % 20 == 0, "even").otherwise("odd"))
-    return p.select("slug", "mark_c", F.row_number().over(w).cast("bigint").alias("points"))
+    p = p.withColumn("higher", F.col("mark_c") % 20 == 0).withColumn("slug", F.when(F.col("higher"), "even").otherwise("odd"))
+    w = Window.partitionBy("slug").orderBy(F.when(F.col("higher"), F.col("mark_c")).otherwise(-F.col("mark_c")))
+    return p.select("slug", "higher", "mark_c", F.row_number().over(w).cast("bigint").alias("points"))
 
 
-LADDER = """SELECT slug, mark_c, row_number() OVER (PARTITION BY slug ORDER BY mark_c) AS points FROM
+LADDER = """SELECT slug, slug = 'even' AS higher, mark_c, row_number() OVER (PARTITION BY slug ORDER BY CASE slug WHEN 'even' THEN mark_c ELSE -mark_c END) AS points FROM
   (SELECT DISTINCT round(p_retailprice * 100)::BIGINT AS mark_c, CASE WHEN round(p_retailprice * 100)::BIGINT % 20 = 0 THEN 'even' ELSE 'odd' END AS slug FROM part)"""
 
 
 def probes(spark: SparkSession, sf: str) -> DataFrame:
+    """Marks to be scored: probe in quarters of a hundredth, probe_c in whole ones."""
     o = t(spark, sf, "orders")
-    return o.select(F.col("o_orderkey").alias("probe_id"), F.when(F.col("o_orderkey") % 2 == 0, "even").otherwise("odd").alias("slug"), F.floor(89950 + F.col("o_totalprice") / 50).cast("bigint").alias("probe_c"))
+    quarters = F.floor(89950 * 4 + F.col("o_totalprice") / 12.5)
+    return o.select(F.col("o_orderkey").alias("probe_id"), F.when(F.col("o_orderkey") % 2 == 0, "even").otherwise("odd").alias("slug"), (quarters / 4).cast("decimal(14,2)").alias("probe"), F.floor(quarters / 4).cast("bigint").alias("probe_c"))
 
 
-PROBES = "SELECT o_orderkey AS probe_id, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS slug, floor(89950 + o_totalprice / 50)::BIGINT AS probe_c FROM orders"
+PROBES = """SELECT o_orderkey AS probe_id, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS slug, (floor(89950 * 4 + o_totalprice / 12.5::DOUBLE) / 4)::DECIMAL(14, 2) AS probe,
+  floor(floor(89950 * 4 + o_totalprice / 12.5::DOUBLE) / 4)::BIGINT AS probe_c FROM orders"""
+# Probes with the points of the best mark they reach: heights from below, times from above.
+REACHED = f"""SELECT p.*, coalesce(l.points, 0)::BIGINT AS points FROM (SELECT * FROM ({PROBES}) WHERE slug = 'even') p ASOF LEFT JOIN ({LADDER}) l ON p.slug = l.slug AND p.probe >= l.mark_c
+  UNION ALL SELECT p.*, coalesce(l.points, 0)::BIGINT FROM (SELECT * FROM ({PROBES}) WHERE slug = 'odd') p ASOF LEFT JOIN ({LADDER}) l ON p.slug = l.slug AND p.probe <= l.mark_c"""
 
 
 def stages(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import extract as E
 from ..operators.changes import agreement
 from ..operators.counting import counting_order
 from ..operators.scoring import asof_points, asof_points_by_union
-from .bindings import INSIDE_SQL, LADDER, PLACING, PROBES, SNAPSHOTS, ladder, placing, probes, snapshots, t
+from .bindings import INSIDE_SQL, PLACING, REACHED, SNAPSHOTS, ladder, placing, probes, snapshots, t
 from .ranking_queries import COUNTING, SCORED, _counting, _inside, scored
 from .registry import query
 
@@ -49,18 +49,16 @@ def u3_q4_set_agreement(spark, sf):
 
 
 # The official points of a probe: the ladder's, but 10 more in each seventh (a wind's adjustment) and 40 more in each fiftieth row.
-_OFFICIAL = f"""SELECT p.*, coalesce(l.points, 0)::BIGINT AS points, (coalesce(l.points, 0) + CASE WHEN probe_id % 50 = 0 THEN 40 WHEN probe_id % 7 = 0 THEN 10 ELSE 0 END)::BIGINT AS official
-  FROM ({PROBES}) p ASOF LEFT JOIN ({LADDER}) l ON p.slug = l.slug AND p.probe_c >= l.mark_c"""
+_OFFICIAL = f"SELECT *, points + CASE WHEN probe_id % 50 = 0 THEN 40 WHEN probe_id % 7 = 0 THEN 10 ELSE 0 END AS official FROM ({REACHED})"
 
 
 @query(f"""SELECT slug, CASE WHEN official = points THEN 'exact' WHEN abs(official - points) <= CASE WHEN probe_id % 7 = 0 THEN 20 ELSE 0 END THEN 'tolerated' ELSE 'error' END AS class, count(*) AS n FROM ({_OFFICIAL}) GROUP BY ALL""")
 def q5_replay_classes(spark, sf):
     """Marks are scored again from the ladder (J3) and compared with the points they were given; wind explains some differences."""
-    p = probes(spark, sf)
-    by_probe = ladder(spark, sf).select("slug", F.col("mark_c"), "points")
-    given = asof_points_by_union(p, by_probe, ["slug"], F.col("probe_c")).withColumnRenamed("points", "official")
+    listed = ladder(spark, sf)
+    given = asof_points_by_union(probes(spark, sf), listed, ["slug"], F.col("probe"), higher="higher").withColumnRenamed("points", "official")
     given = given.withColumn("official", F.col("official") + F.when(F.col("probe_id") % 50 == 0, 40).when(F.col("probe_id") % 7 == 0, 10).otherwise(0))
-    rows = asof_points(given, by_probe, ["slug"], F.col("probe_c")).withColumn("tolerance", F.when(F.col("probe_id") % 7 == 0, 20).otherwise(0))
+    rows = asof_points(given, listed, ["slug"], F.col("probe"), higher="higher").withColumn("tolerance", F.when(F.col("probe_id") % 7 == 0, 20).otherwise(0))
     return K.replay_classes(rows, "points", "official", "tolerance", ["slug"])
 
 

@@ -9,7 +9,7 @@ from ..functions import exprs as X
 from ..operators import counting as C
 from ..operators import rounds, scoring
 from ..operators.quota import rank_by_histogram
-from .bindings import AREA, INSIDE_SQL, LADDER, LINES, PLACING, PROBES, RANK_DATE, RESULTS, ladder, lines, placing, probes, results, stages, t, window_months
+from .bindings import AREA, INSIDE_SQL, LADDER, LINES, PLACING, PROBES, RANK_DATE, REACHED, RESULTS, ladder, lines, placing, probes, results, stages, t, window_months
 from .registry import query
 
 
@@ -89,14 +89,13 @@ def j2_all_routes(spark, sf):
     return scoring.placing_points(r, _routes(spark, sf), _placing_with_q(spark, sf)).select("ord", "round_kind", "placing_points")
 
 
-@query(f"""WITH s AS (SELECT r.ord, r.grp, r.category, r.place, p.slug, p.probe_c FROM ({RESULTS}) r JOIN ({PROBES}) p ON p.probe_id = r.ord)
-SELECT s.ord, coalesce(l.points, 0)::BIGINT AS mark_points, coalesce(t.points, 0)::INT AS placing_points, (coalesce(l.points, 0) + coalesce(t.points, 0))::BIGINT AS score
-FROM s ASOF LEFT JOIN ({LADDER}) l ON s.slug = l.slug AND s.probe_c >= l.mark_c LEFT JOIN ({_TABLES}) t ON t.table_no = s.grp AND t.category = s.category AND t.place_key = s.place::VARCHAR""")
+@query(f"""SELECT r.ord, l.points AS mark_points, coalesce(t.points, 0)::INT AS placing_points, (l.points + coalesce(t.points, 0))::BIGINT AS score
+FROM ({RESULTS}) r JOIN ({REACHED}) l ON l.probe_id = r.ord LEFT JOIN ({_TABLES}) t ON t.table_no = r.grp AND t.category = r.category AND t.place_key = r.place::VARCHAR""")
 def c1_scenario_scores(spark, sf):
-    """What a mark and a place in a final would earn: ladder points and the group's own placing table, whatever the discipline."""
-    p = probes(spark, sf).select(F.col("probe_id").alias("ord"), "slug", F.col("probe_c").alias("mark_c"))
+    """What a mark and a place in a final would earn: ladder points, of heights and of times, and the group's own placing table, whatever the discipline."""
+    p = probes(spark, sf).select(F.col("probe_id").alias("ord"), "slug", F.col("probe").alias("mark_c"))
     s = results(spark, sf).select("ord", "grp", "category", "place").join(p, "ord")
-    return scoring.scenario_scores(s, ladder(spark, sf), _routes(spark, sf), _placing_with_q(spark, sf)).select("ord", "mark_points", "placing_points", "score")
+    return scoring.scenario_scores(s, ladder(spark, sf), _routes(spark, sf), _placing_with_q(spark, sf), higher="higher").select("ord", "mark_points", "placing_points", "score")
 
 
 @query(f"SELECT ord, {INSIDE_SQL} AS inside FROM ({RESULTS})")
@@ -130,14 +129,14 @@ def w1_w2_rounds(spark, sf):
     return rounds.classify_rounds(stages(spark, sf), ["user_id", "day"]).select("event_id", "round_kind", "advanced")
 
 
-@query(f"""SELECT p.probe_id, coalesce(l.points, 0)::BIGINT AS points FROM ({PROBES}) p ASOF LEFT JOIN ({LADDER}) l ON p.slug = l.slug AND p.probe_c >= l.mark_c""")
+@query(f"SELECT probe_id, points FROM ({REACHED})")
 def j3_asof_ladder(spark, sf):
-    return scoring.asof_points(probes(spark, sf), ladder(spark, sf), ["slug"], F.col("probe_c")).select("probe_id", "points")
+    return scoring.asof_points(probes(spark, sf), ladder(spark, sf), ["slug"], F.col("probe"), higher="higher").select("probe_id", "points")
 
 
-@query(f"""SELECT p.probe_id, coalesce(l.points, 0)::BIGINT AS points FROM ({PROBES}) p ASOF LEFT JOIN ({LADDER}) l ON p.slug = l.slug AND p.probe_c >= l.mark_c""")
+@query(f"SELECT probe_id, points FROM ({REACHED})")
 def j3_asof_by_union(spark, sf):
-    return scoring.asof_points_by_union(probes(spark, sf), ladder(spark, sf), ["slug"], F.col("probe_c")).select("probe_id", "points")
+    return scoring.asof_points_by_union(probes(spark, sf), ladder(spark, sf), ["slug"], F.col("probe"), higher="higher").select("probe_id", "points")
 
 
 _EVEN = f"SELECT mark_c, points * 3 AS points FROM ({LADDER}) WHERE slug = 'even'"
@@ -168,12 +167,12 @@ def a6_category_comparison(spark, sf):
     return scoring.category_comparison(results(spark, sf).drop("category"), auto, auto).select("ord", "category", "total_score")
 
 
-@query(f"""SELECT r.mark_points, """ + ", ".join(f"max(r.mark_points + coalesce(p.points, 0)) FILTER (c.category = '{k}')::INT AS c{k}" for k in "12345") + f"""
-  FROM ({RESULTS}) r CROSS JOIN (SELECT DISTINCT category FROM ({_AUTO})) c LEFT JOIN ({_AUTO}) p ON p.category = c.category AND p.place_key = r.place::VARCHAR GROUP BY r.mark_points""")
+@query(f"""SELECT * FROM (PIVOT (SELECT r.mark_points, 'c' || c.category AS category, (r.mark_points + coalesce(p.points, 0))::INT AS total_score
+  FROM ({RESULTS}) r CROSS JOIN (SELECT DISTINCT category FROM ({_AUTO})) c LEFT JOIN ({_AUTO}) p ON p.category = c.category AND p.place_key = r.place::VARCHAR) ON category USING max(total_score) GROUP BY mark_points)""")
 def a7_score_series(spark, sf):
+    """A column for each category of the placing table."""
     auto = placing(spark, sf).where("table_no = 'AUTOMOBILE'")
-    wide = scoring.score_series(scoring.category_comparison(results(spark, sf).drop("category"), auto, auto), list("12345"))
-    return wide.select("mark_points", *[F.col(k).alias(f"c{k}") for k in "12345"])
+    return scoring.score_series(scoring.category_comparison(results(spark, sf).drop("category"), auto, auto), prefix="c")
 
 
 def _line_order():

@@ -1,5 +1,6 @@
 """Literal cases, randomised equivalences and plan shapes."""
 
+import decimal
 import random
 
 import pytest
@@ -132,6 +133,73 @@ def test_asof_reaches_saturates_and_misses(spark):
     assert {r["probe"]: r["points"] for r in other.collect()} == {230: 1200, 235: 1200, 999: 1395, 100: 0, 5: 0}
 
 
+def _both_forms(spark, probes, ladder, schema="slug string, mark_c long, points long, higher boolean"):
+    """{row: points} of each form; they must agree, and keep every row."""
+    rungs = spark.createDataFrame(ladder, schema)
+    p = spark.createDataFrame([(i, *x) for i, x in enumerate(probes)], "i int, slug string, probe decimal(14,2)")
+    out = [{r["i"]: r["points"] for r in f(p, rungs, ["slug"], F.col("probe"), higher="higher").collect()} for f in (scoring.asof_points, scoring.asof_points_by_union)]
+    assert out[0] == out[1] and len(out[0]) == len(probes)
+    return [out[0][i] for i in range(len(probes))]
+
+
+def test_asof_of_times_and_heights(spark):
+    D = decimal.Decimal
+    ladder = [("t", 987, 1200, False), ("t", 995, 1170, False), ("t", 1010, 1100, False), ("h", 230, 1190, True), ("h", 231, 1200, True), (None, 1, 9, True), ("h", None, 2000, True), ("t", 900, None, False), ("h", 231, 1199, True)]
+    probes = [("t", D("990")), ("t", D("980")), ("t", D("1020")), ("t", D("986.5")), ("t", D("987.5")), ("t", D("1010")), ("t", D("1010.25")), ("h", D("230.5")), ("h", D("229.75")), ("h", D("9999")), ("h", None), (None, D("230")), ("x", D("230")), (None, None), ("h", D("230.5"))]
+    assert _both_forms(spark, probes, ladder) == [1170, 1200, 0, 1200, 1170, 1100, 0, 1190, 0, 1200, 0, 0, 0, 0, 1190]
+
+
+def test_asof_of_ladders_that_are_not_monotone(spark):
+    rng = random.Random(3)
+    ladder = [(s, rng.randrange(3000), rng.randrange(900), s == "h") for s in "ht" for _ in range(300)]
+    probes = [(rng.choice("ht"), decimal.Decimal(rng.randrange(-400, 14000)) / 4) for _ in range(400)]
+    want = [max([q for s, m, q, up in ladder if s == g and (m <= p if up else m >= p)], default=0) for g, p in probes]
+    assert _both_forms(spark, probes, ladder) == want
+
+
+def test_asof_of_sparse_ladders(spark):
+    """Rungs far apart cost no more than near ones: nothing is made for the marks between them."""
+    far = 3 * 10**8
+    ladder = [("h", i * far, i + 1, True) for i in range(40)] + [("t", -i * far, i + 1, False) for i in range(40)]
+    probes = [("h", decimal.Decimal(7 * far + 1)), ("h", decimal.Decimal(-1)), ("t", decimal.Decimal(-5 * far)), ("t", decimal.Decimal(-5 * far) + 1), ("h", decimal.Decimal(900 * far))]
+    assert _both_forms(spark, probes, ladder) == [8, 0, 6, 5, 40]
+    rungs = spark.createDataFrame(ladder, "slug string, mark_c long, points long, higher boolean")
+    plan = _plan(scoring.asof_points(spark.createDataFrame([("h", 5)], "slug string, probe long"), rungs, ["slug"], F.col("probe"), higher="higher"))
+    assert "BroadcastHashJoin" in plan and "explode" not in plan and "sequence" not in plan and "NestedLoop" not in plan
+
+
+def test_asof_beyond_the_broadcast_size(spark, monkeypatch):
+    ladder = spark.createDataFrame([("h", i, i) for i in range(50)], "slug string, mark_c long, points long")
+    probes = spark.createDataFrame([("h", 7), ("h", 99), (None, 3)], "slug string, probe long")
+    monkeypatch.setattr(scoring, "SMALL_LADDER", 20)
+    out = scoring.asof_points(probes, ladder, ["slug"], F.col("probe"))
+    assert "_slice" in _plan(out) and sorted((str(r["slug"]), r["points"]) for r in out.collect()) == [("None", 0), ("h", 7), ("h", 49)]
+
+
+def test_nearest_mark_of_times(spark):
+    ladder = spark.createDataFrame([(987, 1200), (995, 1170), (1010, 1100), (1011, 1100)], "mark_c long, points long")
+    s = spark.createDataFrame([(1185,), (1184,), (1170,), (5,), (9999,), (None,), (1135,), (1185,)], "s int")
+    got = scoring.nearest_mark(s, ladder, "s", better_is_higher=False)
+    assert sorted((r["s"] or 0, r["mark_c"]) for r in got.collect()) == [(0, None), (5, 1010), (1135, 995), (1170, 995), (1184, 995), (1185, 987), (1185, 987), (9999, 987)]
+
+
+def test_scenarios_of_times(spark):
+    ladder = spark.createDataFrame([("100m", 987, 1200, False), ("100m", 995, 1170, False)], "slug string, mark_c long, points long, higher boolean")
+    routes = spark.createDataFrame([("g", "final", "group", None, "2.2")], "grp string, round_kind string, selector_kind string, selector string, table_no string")
+    tables = spark.createDataFrame([("2.2", "A", "1", 100)], "table_no string, category string, place_key string, points int")
+    s = spark.createDataFrame([("g", "100m", 990, "A", 1), ("g", "100m", 996, "A", 2)], "grp string, slug string, mark_c int, category string, place int")
+    got = scoring.scenario_scores(s, ladder, routes, tables, higher="higher").collect()
+    assert sorted((r["mark_points"], r["placing_points"], r["score"]) for r in got) == [(0, 0, 0), (1170, 100, 1270)]
+
+
+def test_series_has_a_column_for_each_category(spark):
+    codes = spark.createDataFrame([(c, "1", i) for i, c in enumerate(["A", "GL", "ÖW", None])], "category string, place_key string, points int")
+    compared = scoring.category_comparison(spark.createDataFrame([(1, 1000, 1), (2, 900, 2)], "id int, mark_points int, place int"), codes, codes)
+    assert {r["mark_points"]: r.asDict() for r in scoring.score_series(compared, prefix="c").collect()} == {
+        1000: {"mark_points": 1000, "cA": 1000, "cGL": 1001, "cÖW": 1002}, 900: {"mark_points": 900, "cA": 900, "cGL": 900, "cÖW": 900},
+    }
+
+
 def test_rounds(spark):
     df = spark.createDataFrame([(1, "c", "F1"), (1, "c", "SF2"), (1, "c", "H1"), (1, None, "Q1"), (1, None, "OQ(1)3")], "a int, comp string, race string")
     got = {r["race"]: (r["round_kind"], r["advanced"]) for r in rounds.classify_rounds(df, ["a", "comp"]).collect()}
