@@ -269,9 +269,9 @@ def _step_of_texts(p: dict, words: Words, texts: np.ndarray, y: np.ndarray, weig
     return logit, {"q": made[0].T @ ds, "qc": np.array([dl.sum()], np.float32)} | _back(p, words, rows, made, ds[:, None] * p["q"])
 
 
-def train(texts: list[str], y: np.ndarray, steps: int = 500, batch: int = 256, rate: float = 0.01, drop: float = 0.15, seed: int = 3, warm_up: int = 10, rate_of_toxic: float = 0.0) -> Network:
+def train(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 0.01, drop: float = 0.15, seed: int = 3, warm_up: int = 10, rate_of_toxic: float = 0.0) -> Network:
     """A network from labelled texts. First the words' inputs are warmed up on whole texts (_step_of_texts), then the whole network
-    learns from windows, moving the inputs little. All windows of the other texts are learnt from in each epoch; as a toxic
+    learns from windows for `epochs` rounds, as many whatever the sample's size, moving the inputs little. All windows of the other texts are learnt from in each epoch; as a toxic
     text's label holds for some of its windows only, a quarter of them is (one at least), those that score highest. A share
     `drop` of the words is hidden from each step. Every fifth text of a class (the first as well) is left out of this and
     sets slope and shift of a text's highest logit; with the rate of toxic texts outside the sample, the odds go half of the way there.
@@ -316,7 +316,6 @@ def train(texts: list[str], y: np.ndarray, steps: int = 500, batch: int = 256, r
     warm = score[np.append(words.of, -1)[place]].max(axis=1)
     many = np.bincount(text)[text]
     limit = np.where(y[text] == 1, np.maximum(1, many // 4), many)
-    epochs = int(np.clip(steps * batch // max(1, np.ceil((limit / many)[own[text]].sum())), 3, 12))
 
     def logits_of(rows: np.ndarray) -> np.ndarray:
         gates = net.gates(words)
@@ -377,14 +376,15 @@ def _scores(doc_id: list, text: list, net) -> dict:
 
 def sample(docs: DataFrame, labels: DataFrame, each: int = 1000) -> DataFrame:
     """The training sample (text, y): of each class at most `each` labelled rows outside the held-out
-    fold, least by hash, with their whole texts. The number of rows does not grow with the data."""
+    fold, least by hash, with their whole texts. Where a doc_id has several texts, the least of them stands for it. The number of rows does
+    not grow with the data."""
     y = labels.where("doc_id is not null and toxic in (0, 1)").where(~training_fold(3, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     some = None
     for c in (0, 1):
         part = y.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
         some = part if some is None else some.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    return texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, **kw) -> Network | None:
