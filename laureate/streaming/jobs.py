@@ -1,55 +1,16 @@
-"""Streaming forms: snapshot differences with state, roll-ups by event time, digests by batch."""
+"""Streaming forms: roll-ups by event time, deliveries and digests by batch. Keyed state is in standings.py."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..operators.changes import composed, composed_chain, digest, unsent
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-CHANGES = "key string, period string, from_value long, to_value long"
-
-
-class SnapshotDiff(StatefulProcessor):
-    """Last state of a key to changes: one when a row of another period has another value. A null value
-    keeps the stored one; the first row of a key reports nothing. Rows of a key that come in one batch (a period each) are put
-    in order here."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "period string, value long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).sort_values(["period", "value"], kind="stable")
-        out = []
-        state = self.last.get() if self.last.exists() else None
-        for period, value in zip(seen["period"], seen["value"], strict=True):
-            if state is not None:
-                known = state[1] if pd.isna(value) else int(value)
-                if period != state[0] and known != state[1] and state[1] is not None and known is not None:
-                    out.append((key[0], period, state[1], known))
-                state = (max(period, state[0]), known)
-            else:
-                state = (period, None if pd.isna(value) else int(value))
-        if state is not None:
-            self.last.update(state)
-        yield pd.DataFrame(out, columns=["key", "period", "from_value", "to_value"]).astype({"from_value": "Int64", "to_value": "Int64"})
-
-    def close(self) -> None:
-        pass
-
-
-def snapshot_changes(stream: DataFrame) -> DataFrame:
-    """Changes of a stream (key, period, value); needs the RocksDB state store (STATE_STORE)."""
-    return stream.groupBy("key").transformWithStateInPandas(SnapshotDiff(), CHANGES, "append", "None")
-
-
 def rolled_up(stream: DataFrame, ts: str, length: str, late: str, by: list[str], value: str) -> DataFrame:
     """Tumbling windows by event time, for append mode: a window comes out once, when the watermark has passed its end; rows that
     come for it later are dropped."""
@@ -126,7 +87,12 @@ def each_batch(stream: DataFrame, each: Callable[[DataFrame, int], None], checkp
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def drained(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now, into Parquet, and reads it."""
-    df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def drained(df: DataFrame, path: str, mode: str = "append", counted: dict[str, int] | None = None) -> DataFrame:
+    """Runs a stream over all that is there now, into Parquet, and reads it. What the stream observes on its way is added up in `counted`."""
+    run = df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+    run.awaitTermination()
+    for progress in run.recentProgress if counted is not None else ():
+        for metrics in progress.observedMetrics.values():
+            for name, value in metrics.asDict().items():
+                counted[name] = counted.get(name, 0) + (value or 0)
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
