@@ -28,20 +28,30 @@ def parse_mark(c: Column) -> Column:
     return F.when(F.upper(text).isin(*NO_MARK) | (kept == "") | (F.size(parts) > 3), None).otherwise(total)
 
 
-def format_mark(hundredths: Column, is_time: Column) -> Column:
-    """Text of a mark in hundredths: m.cc, or for times [h:][mm:]ss.cc without leading zero parts."""
+def format_mark(hundredths: Column, is_time: Column, decimals: Column | int = 2) -> Column:
+    """Text of a mark in hundredths with so many decimals, rounded half up: m.cc, or for times [h:][mm:]ss.cc without leading zero parts, carrying
+    into minutes."""
+    places = F.lit(decimals) if isinstance(decimals, int) else decimals
+    scale = F.pow(F.lit(10), places).cast("bigint")
+    units = F.floor((hundredths * scale + 50) / 100)
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    whole, cents = F.floor(hundredths / 100), F.pmod(hundredths, F.lit(100))
+    whole, rest = F.floor(units / scale), F.when(places > 0, F.concat(F.lit("."), F.lpad(F.pmod(units, scale).cast("string"), places, F.lit("0")))).otherwise("")
     h, m, s = F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60
-    plain = F.concat(whole.cast("string"), F.lit("."), two(cents))
+    plain = F.concat(whole.cast("string"), rest)
     timed = (
-        F.when(h > 0, F.concat(h.cast("string"), F.lit(":"), two(m), F.lit(":"), two(s), F.lit("."), two(cents)))
-        .when(m > 0, F.concat(m.cast("string"), F.lit(":"), two(s), F.lit("."), two(cents)))
+        F.when(h > 0, F.concat(h.cast("string"), F.lit(":"), two(m), F.lit(":"), two(s), rest))
+        .when(m > 0, F.concat(m.cast("string"), F.lit(":"), two(s), rest))
         .otherwise(plain)
     )
     return F.when(is_time, timed).otherwise(plain)
 
 
+def mark_text(hundredths: Column, spec: Column) -> Column:
+    """A mark as it is shown, by its spec (kind, decimals, unit): times carry their notation, others their unit."""
+    is_time = spec["kind"] == "time"
+    return F.concat(format_mark(hundredths, is_time, spec["decimals"]), F.when(is_time, "").otherwise(F.concat(F.lit(" "), spec["unit"])))
+
+
 def parse_place(c: Column) -> Column:
     """The first integer of a text, 0 if it has none."""
     return F.coalesce(F.regexp_extract(c.cast("string"), r"\d+", 0).try_cast("int"), F.lit(0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,26 @@ def same_sets(a: DataFrame, b: DataFrame, key: Sequence[str], value: str) -> Dat
     return g(a, "_a").join(g(b, "_b"), list(key), "full_outer").select(*key, F.col("_a").eqNullSafe(F.col("_b")).alias("same"))
 
 
+def counting_replay(scored: DataFrame, calculations: DataFrame, key: Sequence[str], result_key: Sequence[str], score: str, inside: Column, order: Sequence[Column]) -> DataFrame:
+    """(key, scores, window, average, selection): what of each published calculation the results reproduce.
+
+    scored: results with our score and what `inside` and `order` read. calculations: key, published, and results, an array of structs of result_key, official (its score) and
+    what `inside` reads. scores: every official result is found, with its score; window: all lie inside; average: published is the floor of the mean of the
+    official scores; selection: as many of our best results inside the window are the same ones.
+    """
+    official = calculations.select(*key, "published", F.explode("results").alias("_r")).select(*key, "published", "_r.*")
+    ours = scored.select(*key, *result_key, F.col(score).alias("_ours"))
+    same = F.coalesce(F.col("_ours") == F.col("official"), F.lit(False))
+    told = official.join(ours, [*key, *result_key], "left").groupBy(*key).agg(
+        F.bool_and(same).alias("scores"), F.bool_and(F.coalesce(inside, F.lit(False))).alias("window"), (F.floor(F.avg("official")) == F.max("published")).alias("average"),
+        F.array_sort(F.collect_list(F.struct(*result_key))).alias("_theirs"), F.count("*").alias("_n"),
+    )
+    most = told.select(*key, "_n")
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    chosen = scored.where(inside).join(most, list(key)).withColumn("_nth", nth).where("_nth <= _n").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*result_key))).alias("_chosen"))
+    return told.join(chosen, list(key), "left").select(*key, "scores", "window", "average", F.col("_theirs").eqNullSafe(F.col("_chosen")).alias("selection"))
+
+
 def found_once(found: DataFrame, required: DataFrame, key: str) -> DataFrame:
     """(key, n): required keys that were not found exactly once."""
     n = found.groupBy(key).agg(F.count("*").alias("n"))

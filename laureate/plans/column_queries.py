@@ -9,7 +9,8 @@ from ..operators import changes as D
 from ..operators import checks as K
 from ..operators import lookup as L
 from ..sources import readers as R
-from .bindings import LADDER, ladder, t
+from ..sources import writers as W
+from .bindings import LADDER, PLACING, ladder, placing, shared_folder, t
 from .registry import query
 
 
@@ -192,12 +193,9 @@ def s8_profile_results(spark, sf):
 @query("SELECT o_orderkey, year(o_orderdate)::INT AS year FROM orders WHERE year(o_orderdate) IN (1999, 2000) AND o_orderpriority IN ('1-URGENT', '5-LOW')")
 def s5_s9_results_of_years(spark, sf):
     """Results rewritten by year, then read for two years; partitions prune."""
-    import uuid
-
     from ..sources.writers import rewrite
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/results-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "results")
     o = t(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("discipline"), F.year("o_orderdate").alias("year"))
     rewrite(o, path, ["year"])
     return R.results_of_years(spark, path, [1999, 2000], ["1-URGENT", "5-LOW"]).select("o_orderkey", "year")
@@ -205,11 +203,102 @@ def s5_s9_results_of_years(spark, sf):
 
 @query(f"SELECT mark_c, points FROM ({LADDER}) WHERE slug = 'even'")
 def s12_projection(spark, sf):
-    import uuid
-
     from ..sources.writers import project_one
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/one-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "one")
     project_one(ladder(spark, sf), path, "slug = 'even'", ["mark_c", "points"])
     return spark.read.parquet(path)
+
+
+_SPEC = "CASE o_orderstatus WHEN 'F' THEN 'time' WHEN 'O' THEN 'distance' ELSE 'points' END"
+
+
+@query(f"""WITH h AS (SELECT o_orderkey, {_SPEC} AS kind, (o_orderkey % 4)::INT AS d, round(o_totalprice * 100)::BIGINT % 1000000 AS c FROM orders), u AS (SELECT *, (c * (10 ** d)::BIGINT + 50) // 100 AS units, (10 ** d)::BIGINT AS scale FROM h),
+  w AS (SELECT *, units // scale AS whole, CASE WHEN d > 0 THEN '.' || lpad((units % scale)::VARCHAR, d, '0') ELSE '' END AS rest FROM u)
+SELECT o_orderkey, CASE WHEN kind <> 'time' OR whole < 60 THEN whole || rest WHEN whole < 3600 THEN printf('%d:%02d', whole // 60, whole % 60) || rest ELSE printf('%d:%02d:%02d', whole // 3600, whole // 60 % 60, whole % 60) || rest END
+  || CASE kind WHEN 'time' THEN '' WHEN 'distance' THEN ' m' ELSE ' p' END AS text FROM w""")
+def p3_marks_by_spec(spark, sf):
+    """Times, distances and points with no to three decimals, and their unit."""
+    o = t(spark, sf, "orders")
+    kind = F.when(F.col("o_orderstatus") == "F", "time").when(F.col("o_orderstatus") == "O", "distance").otherwise("points")
+    unit = F.when(kind == "time", "s").when(kind == "distance", "m").otherwise("p")
+    spec = F.struct(kind.alias("kind"), (F.col("o_orderkey") % 4).cast("int").alias("decimals"), unit.alias("unit"))
+    o = o.select("o_orderkey", (F.round(F.col("o_totalprice") * 100).cast("bigint") % 1_000_000).alias("c"), spec.alias("spec"))
+    return o.select("o_orderkey", X.mark_text(F.col("c"), F.col("spec")).alias("text"))
+
+
+_NTH = "ascii(right(p_brand, 1)) % 3"
+
+
+@query(f"""SELECT lower(replace(p_brand, '#', '-')) || CASE WHEN p_brand = (SELECT min(p_brand) FROM part) THEN '10000m' ELSE '' END AS label, CASE WHEN p_brand = (SELECT min(p_brand) FROM part) THEN '10000m' ELSE lower(replace(p_brand, '#', '-')) END AS slug,
+  CASE WHEN {_NTH} = 1 THEN 'men' ELSE 'women' END AS gender, ['High Jump', 'Javelin Throw', '100m'][({_NTH})::INT + 1] AS main_event, string_agg(DISTINCT p_type, ';' ORDER BY p_type) AS disciplines, ['height', 'distance', 'time'][({_NTH})::INT + 1] AS kind, {_NTH} < 2 AS higher, 2 AS decimals,
+  CASE WHEN p_brand = (SELECT min(p_brand) FROM part) THEN 18 ELSE 12 END AS window_months, 5 AS counting_results FROM part GROUP BY p_brand""")
+def s1_event_groups(spark, sf):
+    """Brands as event groups, landed as one JSON document of nested rows and read back with what the code adds."""
+    part = t(spark, sf, "part")
+    first = part.agg(F.min("p_brand").alias("first"))
+    plain = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))
+    nth = F.ascii(F.right("p_brand", F.lit(1))) % 3
+    g = part.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("disciplines")).withColumn("one", F.lit(1)).join(F.broadcast(first.withColumn("one", F.lit(1))), "one")
+    own = F.col("p_brand") == F.col("first")
+    g = g.select(
+        F.concat(plain, F.when(own, "10000m").otherwise("")).alias("label"), F.when(nth == 1, "men").otherwise("women").alias("gender"), F.element_at(F.array(*map(F.lit, ("High Jump", "Javelin Throw", "100m"))), nth + 1).alias("mainEvent"),
+        F.array(plain).alias("similarEvents"), F.when(own, "10000m").otherwise(plain).alias("slug"), "disciplines",
+    )
+    path = shared_folder(spark, "groups")
+    g.agg(F.collect_list(F.struct(*g.columns)).alias("groups")).write.json(path)  # a rule table: one document
+    out = R.event_groups(spark, path)
+    return out.select("label", "slug", "gender", "main_event", F.array_join("disciplines", ";").alias("disciplines"), "mark.kind", F.col("mark.better_is_higher").alias("higher"), "mark.decimals", "window_months", "counting_results")
+
+
+@query(f"""SELECT slug, CASE slug WHEN 'even' THEN 'men' ELSE 'women' END AS gender, mark_c, points::INT AS points, higher, row_number() OVER (PARTITION BY slug ORDER BY CASE WHEN higher THEN -mark_c ELSE mark_c END) AS best FROM ({LADDER})""")
+def s2_ladder_chunks(spark, sf):
+    """Heights and times as text, landed as one document of nested marks in each group's folder, with a mark that does not parse; read back best first."""
+    path = shared_folder(spark, "ladders")
+    rows = ladder(spark, sf).select("slug", F.when(F.col("higher"), "men").otherwise("women").alias("gender"), F.lit("x").alias("column"), X.format_mark(F.col("mark_c"), ~F.col("higher")).alias("mark"), F.col("points").cast("int").alias("points"))
+    none = rows.select("slug", "gender", "column").distinct().withColumns({"mark": F.lit("-"), "points": F.lit(9)})
+    W.ladder_chunks(rows.unionByName(none), path)
+    specs = rows.select("slug", "gender", R.mark_spec(F.when(F.col("slug") == "even", "High Jump").otherwise("100m")).alias("mark")).distinct()
+    return R.ladders(spark, path, X.parse_mark, specs).select("slug", "gender", "mark_c", "points", "higher", F.col("best").cast("bigint").alias("best"))
+
+
+@query(f"SELECT table_no, category, place_key, points::INT AS points FROM ({PLACING})")
+def s3_placing_tables(spark, sf):
+    """S3: placing tables landed as one document of maps in maps in maps, and read back as rows."""
+    path = shared_folder(spark, "placing")
+    p = placing(spark, sf)
+    mapped = lambda df, key, value, by, name: df.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias(name))
+    by_place = mapped(p, "place_key", "points", ["table_no", "category"], "by_place")
+    scores = by_place.groupBy("table_no").agg(F.map_from_entries(F.collect_list(F.struct("category", "by_place"))).alias("scores"))
+    tables = scores.agg(F.map_from_entries(F.collect_list(F.struct("table_no", F.struct(F.col("table_no").alias("title"), "scores").alias("t")))).alias("tables"))
+    tables.write.json(path)  # a rule table: one document
+    return R.placing_tables(spark, path)
+
+
+@query("""WITH g AS (SELECT DISTINCT c_mktsegment AS grp FROM customer), named AS (SELECT grp FROM g WHERE grp <> (SELECT min(grp) FROM g))
+SELECT grp, 'final' AS round_kind, 'group' AS selector_kind, NULL AS selector, CASE WHEN grp IN (FROM named) THEN grp ELSE '2.2' END AS table_no FROM g
+UNION ALL SELECT grp, 'before_final', CASE s WHEN 'OW' THEN 'category' ELSE 'size' END, s, grp || s FROM named, (SELECT unnest(['OW', 'max9']) AS s)
+UNION ALL SELECT grp, 'before_final', 'size', 'min10', '2.4' FROM g WHERE grp NOT IN (FROM named) UNION ALL SELECT grp, 'final', 'discipline', 'Road', grp || ' road' FROM named""")
+def s3_placing_routes(spark, sf):
+    """S3: the routing of market segments to tables, landed as one document; the first segment is not named and takes the default's."""
+    path = shared_folder(spark, "routes")
+    grp = t(spark, sf, "customer").select(F.col("c_mktsegment").alias("grp")).distinct()
+    shape = lambda final, before, own: F.struct(final.alias("final"), before.alias("beforeFinal"), own.alias("byDiscipline"))
+    road = F.create_map(F.lit("Road"), F.struct(F.concat("grp", F.lit(" road")).alias("final")))
+    own = shape(F.col("grp"), F.map_from_arrays(F.array(*map(F.lit, ("OW", "max9"))), F.array(F.concat("grp", F.lit("OW")), F.concat("grp", F.lit("max9")))), road)
+    default = shape(F.lit("2.2"), F.create_map(F.lit("min10"), F.lit("2.4")), F.lit(None).cast("map<string,struct<final:string>>"))
+    first = grp.agg(F.min("grp").alias("grp"))
+    rows = grp.join(F.broadcast(first), "grp", "left_anti").select("grp", own.alias("t")).unionByName(first.select(F.lit("default").alias("grp"), default.alias("t")))
+    rows.agg(F.map_from_entries(F.collect_list(F.struct("grp", "t"))).alias("eventGroupTables")).write.json(path)
+    return R.placing_routes(spark, path, grp.withColumnRenamed("grp", "slug"))
+
+
+@query("SELECT 'even' AS slug, 'men' AS gender, 'disagrees' AS problem UNION ALL SELECT 'new', 'men', 'missing' UNION ALL SELECT 'odd', 'women', 'stale'")
+def u3_chunk_differences(spark, sf):
+    """Chunks by folder against the combined ladders: one disagrees in one mark, one was never written, one is left over."""
+    path = shared_folder(spark, "chunks")
+    rows = ladder(spark, sf).select("slug", F.when(F.col("higher"), "men").otherwise("women").alias("gender"), F.lit("x").alias("column"), "mark_c", F.col("points").cast("int").alias("points"))
+    W.ladder_chunks(rows.withColumn("mark", X.format_mark(F.col("mark_c"), F.lit(False))), path)
+    listed = rows.where("slug = 'even'").drop("column")
+    combined = listed.withColumn("points", F.col("points") + (F.col("points") == 1).cast("int")).unionByName(listed.withColumn("slug", F.lit("new")))
+    return W.chunk_differences(combined, R.ladders(spark, path, X.parse_mark))

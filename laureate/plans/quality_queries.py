@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import checks as K
 from ..operators import extract as E
 from ..operators.changes import agreement
-from ..operators.counting import counting_order
-from ..operators.scoring import asof_points, asof_points_by_union
-from .bindings import INSIDE_SQL, PLACING, REACHED, SNAPSHOTS, ladder, placing, probes, snapshots, t
-from .ranking_queries import COUNTING, SCORED, _counting, _inside, scored
+from ..operators.counting import counting_order, in_disciplines
+from ..operators.rounds import classify_rounds
+from ..operators.scoring import asof_points, asof_points_by_union, placing_points
+from .bindings import INSIDE_SQL, PLACING, REACHED, RESULTS, SNAPSHOTS, ladder, placing, probes, results, snapshots, t
+from .ranking_queries import COUNTING, SCORED, TABLES, _counting, _inside, _placing_with_q, _routes, routed, scored
 from .registry import query
 
 
@@ -76,6 +77,42 @@ def q6_same_sets(spark, sf):
     return K.same_sets(_counting(spark, sf), given, ["athlete", "grp"], "ord")
 
 
+# The replay's own side: listed disciplines, rounds from race codes, placing points by the round's route, a score.
+_RACED = f"""SELECT r.*, o_orderpriority AS discipline, CASE WHEN grp IN ('BUILDING', 'MACHINERY') THEN 'min10' ELSE 'max9' END AS field_rule, ord % 3 = 0 AS final, CASE ord % 3 WHEN 1 THEN 3 WHEN 2 THEN 1 END AS stage
+  FROM ({RESULTS}) r JOIN orders ON o_orderkey = ord WHERE o_orderpriority <> '4-NOT SPECIFIED'"""
+_ROUNDED = f"""SELECT *, CASE WHEN final THEN 'final' WHEN stage = max(stage) OVER w THEN 'before_final' ELSE 'other' END AS round_kind, bool_or(final) OVER w AND NOT final AS advanced FROM ({_RACED}) WINDOW w AS (PARTITION BY athlete, grp, category)"""
+_REPLAYED = f"""SELECT s.*, (s.mark_points + coalesce(p.points, 0))::BIGINT AS score FROM ({routed(_ROUNDED)}) s LEFT JOIN ({TABLES}) p ON p.table_no = s.table_no AND p.category = s.category
+  AND p.place_key = CASE WHEN round_kind = 'before_final' AND advanced THEN 'Q' ELSE s.place::VARCHAR END"""
+# The published side: as ours, but for the planted cases.
+_PUBLISHED = f"""SELECT *, (score + CASE WHEN athlete % 7 = 3 AND nth = lowest THEN 10 ELSE 0 END)::BIGINT AS official, CASE WHEN athlete % 11 = 5 AND nth = lowest THEN DATE '1990-01-01' ELSE d END AS shown
+  FROM (SELECT *, min(nth) OVER (PARTITION BY athlete, grp) AS lowest FROM (SELECT *, row_number() OVER (PARTITION BY athlete, grp ORDER BY score DESC, mark_points DESC, d DESC, ord) AS nth, count(*) OVER (PARTITION BY athlete, grp) AS has FROM ({_REPLAYED}) WHERE {INSIDE_SQL})
+    WHERE nth BETWEEN 1 + (athlete % 10 = 0 AND has > 5)::INT AND 5 + (athlete % 10 = 0 AND has > 5)::INT)"""
+
+
+@query(f"""SELECT athlete, grp, bool_and(official = score) AS scores, bool_and({INSIDE_SQL.replace('d BETWEEN', 'shown BETWEEN').replace('d >=', 'shown >=').replace('d <=', 'shown <=')}) AS window, athlete % 13 <> 6 AS average, min(nth) = 1 AS selection
+FROM ({_PUBLISHED}) GROUP BY athlete, grp""".replace(" AS window,", ' AS "window",'))
+def q6_counting_replay(spark, sf):
+    """Q6: published calculations, held apart as nested rows, replayed through J1, W1, J2, P9, W4 and A1; a score, a day, an average and a choice are off in some."""
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("discipline"))
+    segments = t(spark, sf, "customer").select(F.col("c_mktsegment").alias("grp")).distinct()
+    listed = segments.withColumns({"gender": F.lit("x"), "disciplines": F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")))}).withColumnRenamed("grp", "group")
+    rows = in_disciplines(results(spark, sf).join(o, "ord").withColumn("gender", F.lit("x")), listed).where("grp = group").drop("gender", "group")
+    rows = rows.withColumn("race", F.element_at(F.array(*map(F.lit, ("F1", "SF2", "H3"))), (F.col("ord") % 3 + 1).cast("int")))
+    rows = classify_rounds(rows, ["athlete", "grp", "category"]).withColumn("field_rule", F.when(F.col("grp").isin("BUILDING", "MACHINERY"), "min10").otherwise("max9"))
+    ours = placing_points(rows, _routes(spark, sf), _placing_with_q(spark, sf)).withColumn("score", (F.col("mark_points") + F.col("placing_points")).cast("bigint"))
+    by = Window.partitionBy("athlete", "grp")
+    order = counting_order("score", "mark_points", "d", "ord")
+    nth = ours.where(_inside()).withColumns({"nth": F.row_number().over(by.orderBy(*order)), "has": F.count("*").over(by)})
+    later = ((F.col("athlete") % 10 == 0) & (F.col("has") > 5)).cast("int")
+    some = nth.where(F.col("nth").between(1 + later, 5 + later)).withColumn("first", F.col("nth") == 1 + later)
+    official = (F.col("score") + F.when((F.col("athlete") % 7 == 3) & F.col("first"), 10).otherwise(0)).alias("official")
+    shown = F.when((F.col("athlete") % 11 == 5) & F.col("first"), F.lit("1990-01-01").cast("date")).otherwise(F.col("d")).alias("d")
+    published = some.groupBy("athlete", "grp").agg(F.array_sort(F.collect_list(F.struct("ord", official, shown, "category"))).alias("results"))
+    mean = F.floor(F.aggregate("results", F.lit(0).cast("bigint"), lambda a, r: a + r["official"]) / F.size("results"))
+    published = published.withColumn("published", mean + F.when(F.col("athlete") % 13 == 6, 1).otherwise(0))
+    return K.counting_replay(ours, published, ["athlete", "grp"], ["ord"], "score", _inside(), order)
+
+
 @query("""SELECT n_nationkey AS k, coalesce(n, 0)::BIGINT AS n FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey WHERE coalesce(n, 0) <> 1""")
 def q7_found_once(spark, sf):
     return K.found_once(t(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")), t(spark, sf, "nation").select(F.col("n_nationkey").alias("k")), "k")

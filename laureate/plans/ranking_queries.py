@@ -54,11 +54,18 @@ def j2_placing_points(spark, sf):
 
 
 # Points of the row that advanced ("Q") besides the places'.
-_TABLES = f"SELECT * FROM ({PLACING}) UNION ALL SELECT table_no, category, 'Q', max(points) + 1 FROM ({PLACING}) GROUP BY table_no, category"
+TABLES = f"SELECT * FROM ({PLACING}) UNION ALL SELECT table_no, category, 'Q', max(points) + 1 FROM ({PLACING}) GROUP BY table_no, category"
 _STAGED = f"""SELECT r.*, o_orderpriority AS discipline, ['final', 'before_final', 'other'][(ord % 3 + 1)::INT] AS round_kind, ord % 3 = 1 AND ord % 5 = 0 AS advanced, CASE WHEN grp IN ('BUILDING', 'MACHINERY') THEN 'min10' ELSE 'max9' END AS field_rule
   FROM ({RESULTS}) r JOIN orders ON o_orderkey = ord"""
-_ROUTED = f"""SELECT *, CASE WHEN round_kind = 'final' AND grp = 'BUILDING' AND discipline = '1-URGENT' THEN 'MACHINERY' WHEN round_kind = 'final' THEN grp
-  WHEN round_kind = 'before_final' AND grp IN ('HOUSEHOLD', 'BUILDING') AND category = '1' THEN 'HOUSEHOLD' WHEN round_kind = 'before_final' AND field_rule = 'min10' THEN 'AUTOMOBILE' WHEN round_kind = 'before_final' THEN 'FURNITURE' END AS table_no FROM ({_STAGED})"""
+
+
+def routed(staged: str) -> str:
+    """SQL of rows with their round and the number of the table that their placing points come from."""
+    return f"""SELECT *, CASE WHEN round_kind = 'final' AND grp = 'BUILDING' AND discipline = '1-URGENT' THEN 'MACHINERY' WHEN round_kind = 'final' THEN grp
+  WHEN round_kind = 'before_final' AND grp IN ('HOUSEHOLD', 'BUILDING') AND category = '1' THEN 'HOUSEHOLD' WHEN round_kind = 'before_final' AND field_rule = 'min10' THEN 'AUTOMOBILE' WHEN round_kind = 'before_final' THEN 'FURNITURE' END AS table_no FROM ({staged})"""
+
+
+_ROUTED = routed(_STAGED)
 
 
 def _placing_with_q(spark, sf):
@@ -77,7 +84,7 @@ def _routes(spark, sf):
     return grp.select("grp", F.explode(rows).alias("r")).where("r is not null").select("grp", "r.*")
 
 
-@query(f"""SELECT s.ord, s.round_kind, coalesce(p.points, 0)::INT AS placing_points FROM ({_ROUTED}) s LEFT JOIN ({_TABLES}) p ON p.table_no = s.table_no AND p.category = s.category
+@query(f"""SELECT s.ord, s.round_kind, coalesce(p.points, 0)::INT AS placing_points FROM ({_ROUTED}) s LEFT JOIN ({TABLES}) p ON p.table_no = s.table_no AND p.category = s.category
   AND p.place_key = CASE WHEN round_kind = 'before_final' AND advanced THEN 'Q' ELSE s.place::VARCHAR END""")
 def j2_all_routes(spark, sf):
     """Finals by group and by discipline, the round before by category and by field size, the row that advanced, other rounds."""
@@ -90,7 +97,7 @@ def j2_all_routes(spark, sf):
 
 
 @query(f"""SELECT r.ord, l.points AS mark_points, coalesce(t.points, 0)::INT AS placing_points, (l.points + coalesce(t.points, 0))::BIGINT AS score
-FROM ({RESULTS}) r JOIN ({REACHED}) l ON l.probe_id = r.ord LEFT JOIN ({_TABLES}) t ON t.table_no = r.grp AND t.category = r.category AND t.place_key = r.place::VARCHAR""")
+FROM ({RESULTS}) r JOIN ({REACHED}) l ON l.probe_id = r.ord LEFT JOIN ({TABLES}) t ON t.table_no = r.grp AND t.category = r.category AND t.place_key = r.place::VARCHAR""")
 def c1_scenario_scores(spark, sf):
     """What a mark and a place in a final would earn: ladder points, of heights and of times, and the group's own placing table, whatever the discipline."""
     p = probes(spark, sf).select(F.col("probe_id").alias("ord"), "slug", F.col("probe").alias("mark_c"))

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..streaming import cadences, jobs, standings
-from .bindings import SNAPSHOTS, snapshots, t
+from .bindings import SNAPSHOTS, shared_folder, snapshots, t
 from .change_queries import _chain
 from .registry import query
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def _landing(df, day: str, slices: int, path: str, kind: str = "parquet"):

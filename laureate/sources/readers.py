@@ -4,34 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import sort_key
+from ..operators.changes import best_first
+
 #: Groups whose window is longer than a year, in months.
 LONG_WINDOWS = {"10000m": 18}
 COUNTING_RESULTS = 5
 
+#: Main events that are not timed.
+HEIGHTS = ("High Jump", "Pole Vault")
+DISTANCES = ("Long Jump", "Triple Jump", "Shot Put", "Discus Throw", "Hammer Throw", "Javelin Throw")
+
 GROUPS = "groups ARRAY<STRUCT<label STRING, gender STRING, mainEvent STRING, similarEvents ARRAY<STRING>, slug STRING, disciplines ARRAY<STRING>>>"
 LADDER = "slug STRING, gender STRING, column STRING, marks MAP<STRING, INT>"
 ROUTES = "eventGroupTables MAP<STRING, STRUCT<final STRING, beforeFinal MAP<STRING, STRING>, byDiscipline MAP<STRING, STRUCT<final STRING>>>>"
 PLACING = "tables MAP<STRING, STRUCT<title STRING, scores MAP<STRING, MAP<STRING, INT>>>>"
 
 
+def mark_spec(main_event: Column) -> Column:
+    """How a group's marks are read, compared and shown: kind, better_is_higher, decimals, unit."""
+    spec = lambda kind, higher, unit: F.struct(F.lit(kind).alias("kind"), F.lit(higher).alias("better_is_higher"), F.lit(2).alias("decimals"), F.lit(unit).alias("unit"))
+    return F.when(main_event.isin(*HEIGHTS), spec("height", True, "m")).when(main_event.isin(*DISTANCES), spec("distance", True, "m")).otherwise(spec("time", False, "s"))
+
+
 def event_groups(spark: SparkSession, path: str) -> DataFrame:
-    """One row per group, with window_months and counting_results; fails on a null slug or empty disciplines."""
+    """One row per group, with its mark's spec, window_months and counting_results; fails on a null slug or empty disciplines."""
     g = spark.read.schema(GROUPS).option("multiLine", True).json(path).select(F.explode("groups").alias("g")).select("g.*")
     months = F.lit(12)
     for slug, m in LONG_WINDOWS.items():
         months = F.when(F.col("slug") == slug, m).otherwise(months)
     ok = F.col("slug").isNotNull() & (F.coalesce(F.size("disciplines"), F.lit(0)) > 0)
     g = g.withColumn("slug", F.when(ok, F.col("slug")).otherwise(F.raise_error(F.lit("event group without slug or disciplines"))))
-    return g.select("slug", "label", "gender", F.col("mainEvent").alias("main_event"), F.col("similarEvents").alias("similar_events"), "disciplines", months.alias("window_months"), F.lit(COUNTING_RESULTS).alias("counting_results"))
+    columns = ["slug", "label", F.when(F.col("gender") == "men", "men").otherwise("women").alias("gender"), F.col("mainEvent").alias("main_event"), F.col("similarEvents").alias("similar_events"), "disciplines"]
+    return g.select(*columns, mark_spec(F.col("mainEvent")).alias("mark"), months.alias("window_months"), F.lit(COUNTING_RESULTS).alias("counting_results"))
+
 
+def ladders(spark: SparkSession, path: str, as_mark, groups: DataFrame | None = None) -> DataFrame:
+    """(slug, gender, mark_c, points) of all chunks; marks that do not parse are dropped. as_mark: text column to DECIMAL.
 
-def ladders(spark: SparkSession, path: str, as_mark) -> DataFrame:
-    """(slug, gender, mark_c, points) of all chunks; marks that do not parse are dropped. as_mark: text column to DECIMAL."""
+    Chunks in folders slug=.../gender=... (writers.ladder_chunks) are read only as far as a filter on these asks. With groups (event_groups) come
+    `higher`, the group's direction, and `best`, the rank of each mark, best first; a group that is not listed is taken as timed.
+    """
     rows = spark.read.schema(LADDER).option("multiLine", True).json(path).select("slug", "gender", F.explode("marks").alias("mark", "points"))
-    return rows.withColumn("mark_c", F.round(as_mark(F.col("mark")) * 100).cast("bigint")).where("mark_c is not null").select("slug", "gender", "mark_c", "points")
+    rows = rows.withColumn("mark_c", F.round(as_mark(F.col("mark")) * 100).cast("bigint")).where("mark_c is not null").select("slug", "gender", "mark_c", "points")
+    if groups is None:
+        return rows
+    of = groups.select("slug", "gender", F.col("mark.better_is_higher").alias("higher"))
+    rows = rows.join(F.broadcast(of), ["slug", "gender"], "left").withColumn("higher", F.coalesce("higher", F.lit(False)))  # one row per event group
+    return best_first(rows, ["slug", "gender"], sort_key(F.col("mark_c"), F.col("higher")))
 
 
 def placing_tables(spark: SparkSession, path: str) -> DataFrame:

@@ -15,6 +15,21 @@ def rewrite(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(path)
 
 
+def ladder_chunks(rows: DataFrame, path: str) -> None:
+    """Long ladders (slug, gender, column, mark as text, points) as documents of one map each, in a folder for each slug and gender; folders of
+    ladders that are gone go too. A ladder is one document, as it is read whole."""
+    one = rows.groupBy("slug", "gender").agg(F.max("column").alias("column"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("mark", "points")))).alias("marks"))
+    one.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("slug", "gender").json(path)
+
+
+def chunk_differences(combined: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(slug, gender, problem) of chunks that are missing, stale or disagree with the combined ladders; both sides (slug, gender, mark_c, points)."""
+    whole = lambda df, name: df.groupBy("slug", "gender").agg(F.array_sort(F.collect_list(F.struct("mark_c", "points"))).alias(name))
+    both = whole(combined, "_all").join(whole(chunks, "_own"), ["slug", "gender"], "full_outer")
+    problem = F.when(F.col("_own").isNull(), "missing").when(F.col("_all").isNull(), "stale").when(F.col("_all") != F.col("_own"), "disagrees")
+    return both.select("slug", "gender", problem.alias("problem")).where("problem is not null")
+
+
 def project_one(combined: DataFrame, path: str, where: str, columns: Sequence[str]) -> DataFrame:
     """One table out of a combined set."""
     out = combined.where(where).select(*columns)

@@ -385,3 +385,22 @@ def test_deliveries_that_run_again(spark, tmp_path):
     each(ids(1, 2, 3), 1)
     each(ids(3, 4), 2)
     assert sorted((r["id"], r["batch"], r["status"]) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [(1, 0, "sent"), (2, 0, "error"), (2, 1, "sent"), (3, 1, "sent"), (4, 2, "sent")]
+
+
+def test_marks_by_spec(spark):
+    cases = [(987, "time", 2, "9.87"), (10229, "time", 2, "1:42.29"), (744300, "time", 0, "2:04:03"), (5996, "time", 1, "1:00.0"), (230, "height", 2, "2.30 m"), (850000, "points", 0, "8500 points"), (1234, "distance", 3, "12.340 m"), (250, "points", 0, "3 points"), (None, "time", 2, None)]
+    df = spark.createDataFrame([(c, (k, d, "points" if k == "points" else "m"), w) for c, k, d, w in cases], "c long, spec struct<kind: string, decimals: int, unit: string>, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", X.mark_text(F.col("c"), F.col("spec")).alias("got")).collect())
+
+
+def test_counting_replay_tells_what_is_off(spark):
+    from laureate.operators import checks
+
+    ours = spark.createDataFrame([(a, i, 100 - i, "in" if i < 7 else "out") for a in range(6) for i in range(9)], "a int, id int, score int, day string")
+    row = lambda i, **kw: {"id": i, "official": 100 - i, "day": "in"} | kw
+    best = [row(i) for i in range(5)]
+    calculations = [(0, 98, best), (1, 98, [*best[:4], row(4, official=97)]), (2, 98, [*best[:4], row(4, day="out")]), (3, 97, best), (4, 97, best[1:] + [row(5)]), (5, 98, best[:3] + [row(3, id=77), row(4)])]
+    df = spark.createDataFrame([(a, p, [(r["id"], r["official"], r["day"]) for r in rs]) for a, p, rs in calculations], "a int, published int, results array<struct<id: int, official: int, day: string>>")
+    out = checks.counting_replay(ours, df, ["a"], ["id"], "score", F.col("day") == "in", [F.col("score").desc()])
+    got = {r["a"]: (r["scores"], r["window"], r["average"], r["selection"]) for r in out.collect()}
+    assert got == {0: (True, True, True, True), 1: (False, True, True, True), 2: (True, False, True, True), 3: (True, True, False, True), 4: (True, True, True, False), 5: (False, True, True, False)}

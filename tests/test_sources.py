@@ -78,3 +78,33 @@ def test_projection_of_one_table(spark, tmp_path):
     combined = spark.createDataFrame([("a", 1, 2), ("b", 3, 4)], "slug string, x int, y int")
     writers.project_one(combined, str(tmp_path / "one"), "slug = 'b'", ["x"])
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "one")).collect()] == [(3,)]
+
+
+def test_mark_specs(spark, tmp_path):
+    g = {"label": "x", "gender": "women", "mainEvent": "Pole Vault", "similarEvents": [], "slug": "a", "disciplines": ["x"]}
+    (tmp_path / "g.json").write_text(json.dumps({"groups": [g, {**g, "slug": "b", "mainEvent": "Discus Throw", "gender": None}, {**g, "slug": "c", "mainEvent": "Decathlon"}]}))
+    got = {r["slug"]: (tuple(r["mark"]), r["gender"]) for r in readers.event_groups(spark, str(tmp_path / "g.json")).collect()}
+    assert got == {"a": (("height", True, 2, "m"), "women"), "b": (("distance", True, 2, "m"), "women"), "c": (("time", False, 2, "s"), "women")}
+
+
+def test_one_ladder_reads_one_folder(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    rows = [("hj", "men", "HJ", "2.30", 1200), ("hj", "men", "HJ", "2.31", 1210), ("hj", "men", "HJ", "-", 5), ("100m", "women", "100m", "10.90", 1150), ("100m", "women", "100m", "10.85", 1160), ("hj", "women", "HJ", "2.00", 1180)]
+    df = spark.createDataFrame(rows, "slug string, gender string, column string, mark string, points int")
+    writers.ladder_chunks(df.unionByName(df.limit(1).withColumn("slug", F.lit("gone"))), path)
+    writers.ladder_chunks(df, path)  # the folder of the ladder that is gone goes too
+    groups = spark.createDataFrame([("hj", "men", (True,)), ("hj", "women", (True,)), ("100m", "women", (False,))], "slug string, gender string, mark struct<better_is_higher: boolean>")
+    every = readers.ladders(spark, path, parse_mark, groups).collect()
+    assert sorted((r["slug"], r["gender"], r["mark_c"], r["points"], r["best"]) for r in every) == [
+        ("100m", "women", 1085, 1160, 1), ("100m", "women", 1090, 1150, 2), ("hj", "men", 230, 1200, 2), ("hj", "men", 231, 1210, 1), ("hj", "women", 200, 1180, 1),
+    ]
+    one = readers.ladders(spark, path, parse_mark, groups).where("slug = 'hj' and gender = 'men'")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(slug" in plan and one.select(F.input_file_name()).distinct().count() == 1 and one.count() == 2
+
+
+def test_chunks_that_differ(spark):
+    rows = lambda *r: spark.createDataFrame(r, "slug string, gender string, mark_c long, points int")
+    a = rows(("a", "men", 1, 1), ("a", "men", 2, 2), ("b", "men", 1, 1), ("c", "men", 1, 1), ("a", "women", 5, 5))
+    b = rows(("a", "men", 2, 2), ("a", "men", 1, 1), ("b", "men", 1, 2), ("d", "men", 1, 1), ("a", "women", 5, 5))
+    assert sorted(map(tuple, writers.chunk_differences(a, b).collect())) == [("b", "men", "disagrees"), ("c", "men", "missing"), ("d", "men", "stale")]
