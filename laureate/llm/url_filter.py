@@ -53,34 +53,69 @@ class Automaton:
         self.step = np.zeros((256, self.words), np.uint64)
         self.stay = np.zeros(self.words, np.uint64)
         self.start = np.zeros(self.words, np.uint64)
+        self.accept = np.zeros(self.words, np.uint64)
+        begin, end = set(self.first), set(self.last)
         for i, (b, star) in enumerate(symbols):
             w, bit = i // 64, np.uint64(1 << i % 64)
             if b is not None:
                 self.step[b, w] |= bit
             if star:
                 self.stay[w] |= bit
-            if i in set(self.first):
+            if i in begin:
                 self.start[w] |= bit
-
-    def match(self, strings: Sequence[bytes]) -> np.ndarray:
-        """Booleans, a row for each string and a column for each pattern: the whole string fits."""
+            if i in end:
+                self.accept[w] |= bit
+        self.of = {i: j for j, i in enumerate(self.last)}  # pattern by its last bit
+        self.numbers: tuple[list[int], int] | None = None
+
+    def _on(self, state: np.ndarray, data: bytes) -> np.ndarray:
+        """The state after further bytes, in whole numbers instead of arrays: for a string that goes on when few others do."""
+        if self.numbers is None:
+            self.numbers = [int.from_bytes(w.tobytes(), "little") for w in self.step], int.from_bytes(self.stay.tobytes(), "little")
+        step, stay = self.numbers
+        now = int.from_bytes(state.tobytes(), "little")
+        for b in data:
+            now = ((now << 1) & step[b]) | (now & stay)
+        return np.frombuffer(now.to_bytes(8 * self.words, "little"), np.uint64)
+
+    def hits(self, strings: Sequence[bytes], few: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """(string, pattern) of every pattern that a whole string fits. Memory: one state for each string, and the hits.
+        Once `few` strings or fewer go on, each is finished by itself (_on)."""
         n = len(strings)
         size = np.array([len(s) for s in strings], np.int64)
         order = np.argsort(-size, kind="stable")
         state = np.tile(self.start, (n, 1))
         longest_first = [strings[i] for i in order]
         sizes = size[order]
-        flat = np.frombuffer(b"".join(longest_first), np.uint8)
-        at = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if n else np.zeros(0, np.int64)
-        for pos in range(int(sizes[0]) if n else 0):
+        together = int(sizes[few]) if n > few else 0  # bytes of all that are read side by side
+        flat = np.frombuffer(b"".join(s[:together] for s in longest_first), np.uint8)
+        short = np.minimum(sizes, together)
+        at = np.concatenate([[0], np.cumsum(short)[:-1]]) if n else np.zeros(0, np.int64)
+        for pos in range(together):
             live = int(np.searchsorted(-sizes, -pos, side="left"))
             now = state[:live]
             moved = now << np.uint64(1)
             moved[:, 1:] |= now[:, :-1] >> np.uint64(63)
             state[:live] = (moved & self.step[flat[at[:live] + pos]]) | (now & self.stay)
-        out = np.zeros((n, len(self.last)), bool)
-        for j, i in enumerate(self.last):
-            out[order, j] = (state[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+        for i in range(min(n, few)):
+            if sizes[i] > together:
+                state[i] = self._on(state[i], longest_first[i][together:])
+        state &= self.accept
+        rows, words = np.nonzero(state)
+        found_rows, found = [], []
+        for r, w in zip(rows.tolist(), words.tolist(), strict=True):
+            left = int(state[r, w])
+            while left:
+                low = left & -left
+                found_rows.append(order[r])
+                found.append(self.of[64 * w + low.bit_length() - 1])
+                left ^= low
+        return np.array(found_rows, np.int64), np.array(found, np.int64)
+
+    def match(self, strings: Sequence[bytes]) -> np.ndarray:
+        """The same as booleans, a row for each string and a column for each pattern."""
+        out = np.zeros((len(strings), len(self.last)), bool)
+        out[self.hits(strings)] = True
         return out
 
 
@@ -106,16 +141,20 @@ def _judge(page_id: list, url: list, rules: tuple[Rule, ...], globs: tuple[str,
         _AUTOMATA[key] = Automaton([p for r in rules for p in (f"{r.host}\n{r.path}*", f"*.{r.host}\n{r.path}*")] + list(globs))
     parts = [canonical(u) for u in url]
     # A newline parts host and path, so that no rule's host reaches into a path.
-    hit = _AUTOMATA[key].match([f"{h}\n{p.replace(chr(10), ' ')}".encode() for h, p in parts])
-    fits = hit[:, 0 : 2 * len(rules) : 2] | hit[:, 1 : 2 * len(rules) : 2]
-    blocked = hit[:, 2 * len(rules) :].any(axis=1)
+    rows, found = _AUTOMATA[key].hits([f"{h}\n{p.replace(chr(10), ' ')}".encode() for h, p in parts])
+    blocked = np.zeros(len(url), bool)
+    blocked[rows[found >= 2 * len(rules)]] = True
+    best = np.full(len(url), -1)
     length = np.array([len(r.text) for r in rules] or [0])
-    best = np.where(fits, length, -1).argmax(axis=1) if len(rules) else np.zeros(len(url), int)
-    any_ = fits.any(axis=1)
+    fits = found < 2 * len(rules)
+    rows, nth = rows[fits], found[fits] // 2
+    # By length and, among equals, the first rule: what is written last holds.
+    by = np.lexsort((-nth, length[nth]))
+    best[rows[by]] = nth[by]
     return {
         "page_id": page_id, "host": [h for h, _ in parts], "path": [p for _, p in parts],
-        "rule": [rules[b].text if a else None for a, b in zip(any_, best, strict=True)],
-        "verdict": [rules[b].verdict if a else "block" if x and h else otherwise for a, b, x, (h, _) in zip(any_, best, blocked, parts, strict=True)],
+        "rule": [rules[b].text if b >= 0 else None for b in best],
+        "verdict": [rules[b].verdict if b >= 0 else "block" if x and h else otherwise for b, x, (h, _) in zip(best, blocked, parts, strict=True)],
     }
 
 
@@ -125,7 +164,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], globs: Sequence[str] = (
     A rule fits its host and all subdomains where the path starts with the rule's; the longest
     decides. Elsewhere `globs` over host, newline, path block, else `otherwise` holds. Null urls and
     urls without `://` have no host, fit no rule and no glob. Repeated rows and null ids stay.
-    Only page_id and url are read. The rules are a parameter, packed once per process.
+    Empty tables give no rows. Only page_id and url are read, whatever the other columns' names. The rules are a parameter, packed once per process in
+    time linear in their size; a url of any length is judged whole, about a second for some megabytes.
     """
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"))
     return map_columns(rows, _judge, "page_id bigint, host string, path string, rule string, verdict string", rows=4096, rules=tuple(rules), globs=tuple(globs), otherwise=otherwise)

@@ -285,8 +285,34 @@ def test_topk_of_repeated_ids_and_other_lengths(spark):
 
 @pytest.mark.parametrize("pattern,text,fits", [("*.org\n/a*", "x.org\n/ab", True), ("*.org\n/a*", "org\n/ab", False), ("a*b*c", "aXbYc", True), ("a*b*c", "aXbY", False), ("*", "", True), ("", "", True), ("ab", "abc", False), ("*ab*", "xxabxx", True)])
 def test_automaton(pattern, text, fits):
-    assert bool(url_filter.Automaton(["zzz", pattern, "q" * 70])).__class__ is bool
-    assert url_filter.Automaton(["zzz", "q" * 70, pattern]).match([text.encode(), b"zzz"])[0, 2] == fits
+    own = url_filter.Automaton(["zzz", "q" * 70, pattern])
+    for others in ([b"zzz"], [b"zzz" * i for i in range(1, 30)]):  # finished by themselves, and side by side
+        got = own.match([text.encode(), *others])
+        assert got[0, 2] == fits and got[1].tolist()[:2] == [True, False]
+
+
+def test_automaton_equals_plain_patterns():
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("ab*"), n))
+    patterns = [word(rng.integers(0, 9)) for _ in range(150)]
+    strings = ["".join(rng.choice(list("ab"), rng.integers(0, 14))) for _ in range(60)]
+    want = [[re.fullmatch(".*".join(map(re.escape, p.split("*"))), s) is not None for p in patterns] for s in strings]
+    assert url_filter.Automaton(patterns).match([s.encode() for s in strings]).tolist() == want
+
+
+def test_urls_of_any_length_and_many_rules(spark, none):
+    import time
+
+    long = "http://a.com/fr/" + "x/" * 500_000
+    urls = [(1, long), (1, long), (2, "http://m.b.com/de/" + "é" * 300_000), (3, "http://c.net/" + "y" * 200_000 + "/feed"), (4, "http://c.net/y"), (None, ""), (5, "https://s7.host/p7/x")]
+    rows = spark.createDataFrame([(i, u, "h", "r", "v") for i, u in urls], "page_id long, url string, host string, rule string, verdict string").coalesce(1)
+    began = time.time()
+    got = sorted((r["page_id"] or 0, r["rule"], r["verdict"], len(r["path"])) for r in url_filter.judge_urls(rows, queries.RULES, queries.GLOBS).collect())
+    assert got == [(0, None, "allow", 0), (1, "com/fr/", "allow", 1_000_004), (1, "com/fr/", "allow", 1_000_004), (2, "com/de/", "block", 300_004), (3, None, "block", 200_006), (4, None, "allow", 2), (5, None, "allow", 5)]
+    many = tuple(url_filter.parse_rule("block", f"s{i}.host/p{i}/") for i in range(5000))
+    assert {r["page_id"]: r["rule"] for r in url_filter.judge_urls(rows.where("length(url) < 100"), many).collect()} == {None: None, 4: None, 5: "s7.host/p7/"}
+    assert time.time() - began < 60
+    assert url_filter.judge_urls(rows.limit(0), queries.RULES).count() == 0
 
 
 def test_url_verdicts(spark):
@@ -574,18 +600,47 @@ def test_rollup_by_deltas(spark):
     assert totals() == {("a", "en", "v1"): (0, 0), (None, "fr", "v1"): (1, 3)}
 
 
-def test_rollup_of_a_small_batch_touches_few_buckets(spark):
+def test_rollup_of_a_small_batch_writes_little(spark):
     import glob
 
     ch = lambda rows: spark.createDataFrame(rows, token_rollup.CHANGE)
-    r = token_rollup.TokenRollup(spark, buckets=16)
-    r.commit("many", ch([(0, "insert", i, "a", "en", "v1", 1) for i in range(500)]))
-    r.commit("one", ch([(0, "revise", 7, "a", "en", "v1", 5)]))
+    r = token_rollup.TokenRollup(spark)
+    r.commit("many", ch([(0, "insert", i, "a", "en", "v1", 1) for i in range(20_000)]))
     folders = lambda v: glob.glob(f"{r.path.removeprefix('file://')}/state-{v}/bucket=*")
-    assert len(folders(0)) == 16 and len(folders(1)) == 1 and r.state.count() == 500
-    assert [x["n_tokens"] for x in r.totals.collect()] == [504]
-    r.commit("two", ch([(0, "delete", 7, None, None, "v1", None)]))
-    assert len(folders(0)) == 15 and [x["n_tokens"] for x in token_rollup.TokenRollup(spark, r.path).totals.collect()] == [499]
+    written = lambda v: spark.read.parquet(f"{r.path}/state-{v}").count()
+    r.commit("some", ch([(0, "revise", 100 * i, "a", "en", "v1", 5) for i in range(200)]))
+    assert len(folders(0)) == 32 and written(1) == 200 and r.state.count() == 20_000 and list(r.runs) == [0, 1]
+    r.commit("same", ch([(0, "revise", 100, "a", "en", "v1", 5)]))  # changes nothing and writes no run
+    assert not folders(2) and list(r.runs) == [0, 1]
+    r.commit("one", ch([(0, "delete", 100, None, None, "v1", None)]))
+    assert len(folders(3)) == 1 and written(3) == 1 and list(r.runs) == [0, 1, 3]
+    r.commit("more", ch([(0, "insert", 100, "b", "en", "v1", 7), (0, "delete", 7, None, None, "v1", None)]))  # takes in the run before
+    again = token_rollup.TokenRollup(spark, r.path)
+    assert list(again.runs) == list(r.runs) == [0, 1, 4] and written(4) == 2
+    for x in (r, again):
+        assert {(t["source"], t["n_docs"], t["n_tokens"]) for t in x.totals.collect()} == {("a", 19_998, 19_998 + 199 * 4), ("b", 1, 7)}
+        assert x.state.count() == 19_999 and x.state.agg(F.sum("n_tokens")).first()[0] == 19_998 + 199 * 4 + 7
+
+
+def test_rollup_of_random_batches(spark):
+    """Runs merge, hide and drop entries just as one table would."""
+    rng = np.random.default_rng(5)
+    r, held = token_rollup.TokenRollup(spark, buckets=4), {}
+    for n, size in enumerate((9, 1, 2, 30, 3, 12, 1)):
+        rows = [(i, str(rng.choice(["insert", "revise", "delete"])), int(rng.integers(12)), str(rng.choice(["a", "b"])), "en", "v", int(rng.integers(50))) for i in range(size)]
+        r.commit(str(n), spark.createDataFrame(rows, token_rollup.CHANGE))
+        for d in {x[2] for x in rows}:
+            mine = [x for x in rows if x[2] == d]
+            kind = next((x[1] for x in reversed(mine) if x[1] != "revise"), None)
+            new = next(((x[3], x[6]) for x in reversed(mine) if x[1] != "delete"), None)
+            if kind == "insert" or (kind is None and d in held):
+                held[d] = new
+            elif kind == "delete":
+                held.pop(d, None)
+        assert {x["doc_id"]: (x["source"], x["n_tokens"]) for x in r.state.collect()} == held
+        assert {x["source"]: (x["n_docs"], x["n_tokens"]) for x in r.totals.collect() if x["n_docs"]} == {s: (sum(v[0] == s for v in held.values()), sum(v[1] for v in held.values() if v[0] == s)) for s in {v[0] for v in held.values()}}
+    sizes = [n for _, n in r.runs.values()]
+    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
 
 
 def test_rollup_of_odd_rows(spark, odd, none):
