@@ -194,24 +194,26 @@ ENTRY = "k1 bigint, k2 bigint, key bigint, cls bigint, start int, n smallint, at
 
 
 class SuffixFamily:
-    """Suffix arrays of batches in levels of 1, 2, 4, ... batches, as bucketed and sorted tables."""
+    """Suffix arrays of batches in levels of 1, 2, 4, ... batches, as bucketed and sorted tables in the
+    shared folder."""
 
     by: tuple[str, ...] = ("key",)
 
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets, self.levels, self.name = spark, buckets, {}, f"laureate_sa_{uuid.uuid4().hex[:12]}"
-        self.made, self.tables = 0, set()
+        self.made, self.tables, self.path = 0, set(), shared_dir(spark)
 
     def _write(self, df: DataFrame) -> str:
         self.made += 1
         table = f"{self.name}_{self.made}"
         self.tables.add(table)
-        df.write.bucketBy(self.buckets, *self.by).sortBy(*self.by).saveAsTable(table)
+        df.write.option("path", f"{self.path}/{table}").bucketBy(self.buckets, *self.by).sortBy(*self.by).saveAsTable(table)
         return table
 
     def _drop(self, *tables: str) -> None:
         for table in tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            removed(self.spark, f"{self.path}/{table}")
             self.tables.discard(table)
 
     def add(self, batch: DataFrame) -> list[str]:
@@ -246,6 +248,7 @@ class SuffixFamily:
     def close(self) -> None:
         """Drops all tables, also those that a failed step left."""
         self._drop(*list(self.tables))
+        removed(self.spark, self.path)
         self.levels = {}
 
 
@@ -280,7 +283,7 @@ class SubstringIndex:
     """Documents in batches: of each new one, what repeats in itself or in any batch before.
 
     What earlier batches were told stays as it was. The index keeps the texts and suffixes of all its batches, in the shared
-    folder and the warehouse, until close(); it lives as long as its session. A batch costs its own work, a scan of the levels
+    folder, until close(); it lives as long as its session. A batch costs its own work, a scan of the levels
     and of the texts, and its share of their merging: each suffix is rewritten once per doubling.
     """
 
@@ -334,7 +337,13 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 80, batches: int
     repeated = stored(spark.read.schema("key bigint").parquet(*hits).distinct(), f"{path}/repeated")
     matched = stored(entries.select("k1", "k2", "key", "cls", "start", "n", "at").join(repeated, "key", "left_semi"), f"{path}/matched")
     removed(spark, f"{path}/entries", f"{path}/repeated", *hits)
-    return _spans(source, matched, path, length)
+    spans = stored(_spans(source, matched, path, length), f"{path}/spans")
+    removed(spark, *[f"{path}/{name}" for name in ("matched", *STEPS)])
+    return spans
+
+
+#: Tables that _spans writes on its way.
+STEPS = ("classes", "several", "bands", "alike", "mixed", "windows", "twice")
 
 
 def _spans(source: DataFrame, matched: DataFrame, path: str, length: int) -> DataFrame:
