@@ -68,13 +68,17 @@ def p7_name_match(spark, sf):
     return t(spark, sf, "part").where(X.name_matches(F.col("p_name"), F.lit("RÉD wid"))).select("p_partkey")
 
 
-@query("""WITH q AS (SELECT DISTINCT p_type || '' AS type, 'red ' || split_part(p_name, ' ', 2) AS query FROM part WHERE p_name LIKE 'red %'),
-  h AS (SELECT DISTINCT q.query, p.p_partkey, p.p_name FROM (SELECT DISTINCT query FROM q) q JOIN part p ON list_has_all(string_split(p.p_name, ' '), string_split(q.query, ' ')))
+_ASKED = "SELECT DISTINCT substr(split_part(p_name, ' ', 2), 2, 3) || ' ' || upper(substr(p_name, 1, 2)) AS query FROM part"
+
+
+@query(f"""WITH h AS (SELECT DISTINCT query, p_partkey FROM ({_ASKED}) JOIN part ON contains(lower(p_name), lower(split_part(query, ' ', 1))) AND contains(lower(p_name), lower(split_part(query, ' ', 2))))
 SELECT query, p_partkey, row_number() OVER (PARTITION BY query ORDER BY p_partkey) AS hit FROM h QUALIFY hit <= 12""")
 def t2_name_search(spark, sf):
+    """Letters from within the second word and, in capitals, the first two of the first, asked of all names."""
     p = t(spark, sf, "part").select("p_partkey", "p_name")
-    q = p.where("p_name like 'red %'").select(F.concat(F.lit("red "), F.element_at(F.split("p_name", " "), 2)).alias("query")).distinct()
-    return L.name_hits(p, q, "p_name", "query", [F.col("p_partkey")]).select("query", "p_partkey", F.col("hit").cast("bigint").alias("hit"))
+    asked = F.concat(F.substring(F.split_part("p_name", F.lit(" "), F.lit(2)), 2, 3), F.lit(" "), F.upper(F.substring("p_name", 1, 2)))
+    hits = L.name_hits(p, p.select(asked.alias("query")).distinct(), "p_name", "query", [F.col("p_partkey")])
+    return hits.select("query", "p_partkey", F.col("hit").cast("bigint").alias("hit"))
 
 
 _EVENT = "SELECT min(p_partkey) AS event_id, p_size % 2 AS gender, p_name AS name FROM part GROUP BY ALL"

@@ -9,7 +9,7 @@ from ..functions import exprs as X
 from ..operators import counting as C
 from ..operators import rounds, scoring
 from ..operators.quota import rank_by_histogram
-from .bindings import AREA, INSIDE_SQL, LADDER, LINES, PLACING, PROBES, RANK_DATE, REACHED, RESULTS, ladder, lines, placing, probes, results, stages, t, window_months
+from .bindings import AREA, INSIDE_SQL, LADDER, LINES, PLACING, PROBES, RANK_DATE, REACHED, RESULTS, ladder, lines, placing, probes, results, shared_folder, stages, t, window_months
 from .registry import query
 
 
@@ -195,8 +195,12 @@ _SUBS = f"""SELECT b.*, row_number() OVER (PARTITION BY b.athlete ORDER BY {_LIN
 
 
 def _lines(spark, sf):
+    """(best of each round inside the window, counting, caps, substitutes). The first is written once, as all others read it."""
     best = C.best_per_round(lines(spark, sf), ["athlete", "comp", "race"], "score", ["mark_points", "d", "part"])
     year = best.where(F.col("d").between(F.lit("2000-07-31").cast("date"), F.lit("2001-07-31").cast("date")))
+    path = shared_folder(spark, "rounds")
+    year.write.parquet(path)
+    year = spark.read.schema(year.schema).parquet(path)
     counting = C.top_n(year, ["athlete"], _line_order())
     caps = C.ranking_score(counting, ["athlete"], "score")
     return year, counting, caps, C.substitutes(year, counting, caps, ["athlete"], ["comp", "race"], _line_order(), "score")

@@ -120,6 +120,16 @@ def r3_sent_once(spark, sf):
     return spark.read.parquet(f"{folder}/log").where("status = 'sent'").groupBy("user_id", "event_type").agg(F.count("*").alias("times"))
 
 
+@query("SELECT user_id, event_type, 1::BIGINT AS times FROM events GROUP BY ALL")
+def r3_once_within_watermark(spark, sf):
+    """R3 by watermark: a key that comes again within forty days, as all do here, in the same batch or a later one, passes once."""
+    folder = _folder(spark)
+    e = t(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("date").alias("day"))
+    for stream in _arriving(spark, e, "day", 3, f"{folder}/events"):
+        out = jobs.drained(jobs.sent_once(stream, ["user_id", "event_type"], "day", "40 days"), folder)
+    return out.groupBy("user_id", "event_type").agg(F.count("*").alias("times"))
+
+
 def _digested(spark, sf) -> str:
     """Runs the digests of three slices of place changes for ten fans each of whom follows a tenth of the users; those of every third
     fan cannot be sent in the first run. Every seventh user is not resolved."""
