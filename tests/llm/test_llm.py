@@ -391,6 +391,35 @@ def test_quality_on_held_out_rows(spark, bigger):
     assert right >= 0.95 * len(held) and all(0 <= r["score"] <= 1 for _, r in held)
 
 
+def _plain_statistics(text):
+    """The statistics by their description, byte by byte and word by word."""
+    data = (text or "").encode()
+    n = max(1, len(data))
+    kinds = [str.isupper, str.islower, str.isdigit, ".,;:".__contains__, "!?".__contains__, "#*$%&|<>".__contains__, "'\"()[]{}-_/\\+=@^~`".__contains__]
+    of = [sum(b < 128 and k(chr(b)) for b in data) for k in kinds]
+    of += [sum(b >= 128 for b in data), sum(chr(b) in " \t\n\r\x0b\x0c" for b in data), sum(b == 127 or (b < 32 and chr(b) not in "\t\n\r\x0b\x0c") for b in data)]
+    words = re.findall(rb"[^ \t-\r]+", data)
+    m = max(1, len(words))
+    size = [len(w) for w in words] or [0]
+    mean = sum(size) / m
+    lines = [x for x in data.split(b"\n") if re.search(rb"[^ \t-\r]", x)]
+    count, forms = collections.Counter(data), collections.Counter(words)
+    return [np.log(c / n + 1e-3) for c in of] + [
+        np.log(1 + len(data)), np.log(1 + mean), np.log(1 + np.sqrt(max(0, sum(x * x for x in size) / m - mean**2) + 1e-9)), np.log((len(forms) + 1) / (m + 1)), np.log(max(forms.values(), default=0) / m + 1e-3),
+        np.log(1 - len(set(lines)) / max(1, len(lines)) + 1e-2), np.log(1 + m / max(1, len(lines))), -sum(c / n * np.log(c / n) for c in count.values()), np.log(sum(x > 20 for x in size) / m + 1e-3),
+        np.log(sum(x < 3 for x in size if words) / m + 1e-3), np.log(sum(w.isupper() for w in forms) / max(1, len(forms)) + 1e-2),
+    ]
+
+
+def test_quality_statistics_equal_plain_counts(docs, monkeypatch):
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()] + [t for _, t, *_ in ODD] + ["a\x00b \x7f", "A BC d\n\n A BC d \n", "w" * 300 + " x", "\u2003é"]
+    for part in (1 << 20, 64):
+        with monkeypatch.context() as m:
+            m.setattr(quality, "segments", lambda data, size=part: common.segments(data, size))
+            for t in texts:
+                assert np.allclose(quality.statistics(t), _plain_statistics(t), rtol=1e-9, atol=1e-9), repr(t)[:80]
+
+
 def test_quality_scores_equal_log_densities():
     rng = np.random.default_rng(8)
     n = quality.FEATURES
@@ -422,6 +451,8 @@ def test_toxicity_on_held_out_rows(spark, bigger):
     held = _held(queries.op9_toxicity(spark, bigger).collect(), labels, "toxic", 3, 1)
     p, n = [r["score"] for y, r in held if y], [r["score"] for y, r in held if not y]
     assert np.mean([a > b for a in p for b in n]) > 0.75
+    # With 33 toxic texts to learn from: most of those held out are found, and hardly any other text is accused.
+    assert np.mean([a >= 0.7 for a in p]) >= 0.6 and np.mean([b >= 0.7 for b in n]) <= 0.05
 
 
 def _network(rng):
