@@ -148,6 +148,18 @@ WITH RECURSIVE {_coded()},
   texts AS (SELECT row, sum(len(ids)) AS n, string_agg(array_to_string(ids, ','), ',' ORDER BY p) AS decimal, string_agg(h, '' ORDER BY p) AS h
     FROM (SELECT row, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS p FROM split) JOIN decoded USING (piece) GROUP BY row)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, sha256(coalesce(decimal, '')) AS ids_sha256, sha256(unhex(coalesce(h, ''))) AS decoded_sha256 FROM split LEFT JOIN texts USING (row)
+"""
+    sql["op4_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  blocks AS (SELECT row, b, substr(h, 2 * b + 1, 2 * (128 + 199)) AS h FROM (SELECT row, h, unnest(range(0, len(h) // 2 - 199, 128)) AS b FROM d)),
+  windows AS (SELECT row, b + i AS i, md5_number(substr(h, 2 * i + 1, 400)) AS w FROM (SELECT row, b, h, unnest(range(len(h) // 2 - 199)) AS i FROM blocks)),
+  starts AS (SELECT row, i FROM windows SEMI JOIN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1) USING (w)),
+  runs AS (SELECT row, min(i) AS s, max(i) + 200 AS e FROM (SELECT row, i, sum(fresh) OVER (PARTITION BY row ORDER BY i) AS run FROM
+    (SELECT row, i, CASE WHEN i - lag(i) OVER (PARTITION BY row ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM starts)) GROUP BY row, run),
+  spans AS (SELECT row, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, list(s ORDER BY s) AS s, list(e ORDER BY s) AS e FROM runs GROUP BY row)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN s IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(s) + 2), lambda k: substr(h, 2 * coalesce(e[k - 1], 0) + 1, 2 * (coalesce(s[k], len(h) // 2) - coalesce(e[k - 1], 0)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN spans USING (row)
 """
     sql["op5_topk"] = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings

@@ -5,8 +5,10 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -160,6 +162,21 @@ def test_suffix_dedup_equals_brute_force(spark, docs, odd):
         assert sorted((str(r["doc_id"]), *list(r)[1:]) for r in suffix_dedup.cut_digest(df).collect()) == want
 
 
+def test_suffix_dedup_equals_its_sql(spark, sf_dir, odd):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got = queries.op4_suffix_dedup(spark, sf_dir)
+    want = con.execute(queries.oracle_sql()["op4_suffix_dedup"])
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    con.execute("DROP VIEW documents")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = [(i, *c) for (i, _), c in zip(rows, _cuts([t for _, t in rows], 200), strict=True)]
+    assert sorted(con.execute(queries.oracle_sql()["op4_suffix_dedup"]).fetchall(), key=str) == sorted(want, key=str)
+
+
 def test_later_batches_are_matched_with_all_before(spark, odd, none):
     rng = np.random.default_rng(8)
     word = lambda n: "".join(rng.choice(list("abcd "), n))
@@ -264,7 +281,7 @@ def test_topk_ties_nulls_and_blocks(spark):
     v = [(i, [float(i % 5), 1.0]) for i in range(40)] + [(100, None), (101, [None, 1.0]), (102, [float("nan"), 1.0]), (103, [float("inf"), 0.0]), (None, [1.0, 1.0]), (3, [3.0, 1.0])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(7)
     got = collections.defaultdict(list)
-    for r in sorted(topk.search(df, F.col("vec_id") % 3 == 0, k=4, block=3, tile=5, shard=4, fan_in=2).collect(), key=lambda r: (r["query_id"], r["rank"])):
+    for r in sorted(topk.search(df, F.col("vec_id") % 3 == 0, k=4, block=3, tile=5, shard=4, held=12, fan_in=2).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     fine = [(i, [int(x * 1024) for x in e]) for i, e in v if i is not None and e and all(x is not None and np.isfinite(x) for x in e)]
     for q, e in fine:
@@ -272,7 +289,7 @@ def test_topk_ties_nulls_and_blocks(spark):
             best = sorted((-sum(a * b for a, b in zip(e, f, strict=True)), i) for i, f in fine if i != q)[:4]
             assert got[q] == [(i, -s) for s, i in best]
     assert topk.search(df.limit(0), F.col("vec_id") % 3 == 0).count() == 0
-    extra = df.withColumns({c: F.lit("x") for c in ("v", "_x", "g", "asks", "label")})
+    extra = df.withColumns({c: F.lit("x") for c in ("v", "_x", "g", "part", "cell", "is_row", "label")})
     assert topk.search(extra, F.col("vec_id") % 3 == 0, k=4).count() == len(got) * 4
 
 
@@ -281,6 +298,22 @@ def test_topk_of_repeated_ids_and_other_lengths(spark):
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>")
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"] >> 20) for r in topk.search(df, F.col("vec_id") % 3 == 0, k=2).collect()}
     assert got == {(0, 1): (2, 5), (0, 2): (1, 1), (3, 1): (6, 3), (6, 1): (3, 3)}
+    many = spark.createDataFrame([(i, [float(i % 7)] * (1 + i % 3)) for i in range(90)], "vec_id long, embedding array<float>")
+    lists = [sorted(map(tuple, topk.search(many, F.col("vec_id") % 2 == 0, k=3, **how).collect())) for how in ({}, {"held": 10, "shard": 5, "tile": 2, "block": 2})]
+    assert lists[0] == lists[1] and len(lists[0]) == 45 * 3
+
+
+def test_topk_holds_queries_and_streams_rows():
+    """However many rows a task is sent, it keeps fewer than a tile and a batch of them."""
+    cell = topk._Cell(0, 2, 4, 8)
+    part = lambda is_row, ids: pa.RecordBatch.from_pydict({"cell": [0] * len(ids), "is_row": [is_row] * len(ids), "vec_id": pa.array(ids), "v": [[i, 1] for i in ids]})
+    cell.add(part(0, [1, 2, 3]), 0)
+    for at in range(0, 300, 5):
+        cell.add(part(1, list(range(at, at + 5))), 1)
+        assert sum(len(ids) for (is_row, _), held in cell.waiting.items() if is_row for ids, _ in held) < 8
+    assert cell.asked[2].found.shape == (3, 2)
+    got = [tuple(r.values()) for b in cell.lists() for r in b.to_pylist()]
+    assert got == [(0, q, i, q * i + 1) for q in (1, 2, 3) for i in (299, 298)]
 
 
 @pytest.mark.parametrize("pattern,text,fits", [("*.org\n/a*", "x.org\n/ab", True), ("*.org\n/a*", "org\n/ab", False), ("a*b*c", "aXbYc", True), ("a*b*c", "aXbY", False), ("*", "", True), ("", "", True), ("ab", "abc", False), ("*ab*", "xxabxx", True)])
