@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slices import renamed, same, sliced
+
 #: Kinds of qualification that belong to the pool itself.
 POOL_TYPES = ("q4", "n4", "q7")
 
@@ -47,19 +49,25 @@ def quota_rank_huge(pool: DataFrame, pre: DataFrame, event: Sequence[str], order
     return ranked.drop("_s", "_lo", "_hi", "_c", "_before")
 
 
-def rank_by_histogram(rows: DataFrame, by: Sequence[str], score: str, name: str) -> DataFrame:
+def rank_by_histogram(rows: DataFrame, by: Sequence[str], score: str, name: str, slices: int = 256) -> DataFrame:
     """Adds the rank of a row within `by`: one more than the number of strictly better scores, nulls last.
 
-    Scores are counted first, so a window gets one row per distinct score however many rows a group holds, and the ranks are
+    Scores are counted first, so what is ordered is a row per distinct score however many rows a group holds. Those are cut into slices: a window
+    sees one slice, and what better slices hold is added from one row per slice, so that a group of nearly unique scores is spread over many tasks. The ranks are
     joined back on (by, score), where AQE may split a hot one.
     """
-    hist = rows.groupBy(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(by)], F.col(score).alias("_hs")).agg(F.count("*").alias("_hn"))
-    w = Window.partitionBy(*[f"_h{i}" for i in range(len(by))]).orderBy(F.col("_hs").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn(name, (F.coalesce(F.sum("_hn").over(w), F.lit(0)) + 1).cast("bigint")).drop("_hn")
+    keys = [f"_h{i}" for i in range(len(by))]
+    hist = rows.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(score).alias("_hs")).agg(F.count("*").alias("_hn"))
+    cut = sliced(hist, keys, "_hs", slices)
+    better = lambda w: F.coalesce(F.sum("_hn").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = cut.groupBy(*keys, "_slice").agg(F.sum("_hn").alias("_hn")).withColumn("_ahead", better(Window.partitionBy(*keys).orderBy(F.col("_slice").desc())))
+    ahead = renamed(ahead.drop("_hn"), [*keys, "_slice"], "_a")
+    own = cut.withColumn("_own", better(Window.partitionBy(*keys, "_slice").orderBy(F.col("_hs").desc_nulls_last())))
+    ranks = own.join(ahead, same(own, ahead, [*keys, "_slice"], "_a")).select(*keys, "_hs", (F.col("_ahead") + F.col("_own") + 1).cast("bigint").alias(name))
     on = F.col(score).eqNullSafe(F.col("_hs"))
-    for i, c in enumerate(by):
-        on = on & F.col(c).eqNullSafe(F.col(f"_h{i}"))
-    return rows.join(hist, on).drop("_hs", *[f"_h{i}" for i in range(len(by))])
+    for c, k in zip(by, keys, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    return rows.join(ranks, on).drop("_hs", *keys)
 
 
 def uncapped_position(pool: DataFrame, event: Sequence[str], score: str, then: Sequence[Column], entry_number: Column, pool_slots: Column) -> DataFrame:

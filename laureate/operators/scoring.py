@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slices import renamed, same, sliced
+
 #: A ladder up to this number of rungs is broadcast; a longer one is shuffled.
 SMALL_LADDER = 200_000
 
@@ -18,15 +20,6 @@ def _sized(df: DataFrame, rows: int = SMALL_LADDER) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str) -> Column:
-    """Equality of the left's columns with the right's, which carry a prefix; nulls are equal."""
-    return reduce(and_, [left[c].eqNullSafe(right[f"{prefix}{c}"]) for c in names])
-
-
-def _renamed(df: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
-    return df.withColumnsRenamed({c: f"{prefix}{c}" for c in names})
-
-
 def _keys(ladder: DataFrame, group: Sequence[str], mark: str, points: str, higher: str | None) -> tuple[DataFrame, DataFrame]:
     """(rungs, directions). rungs: the group and _k, _q: marks as keys that grow as marks get better, with their most points. directions:
     the group and _sign. Rungs that lack a group, mark or points are none."""
@@ -38,7 +31,7 @@ def _keys(ladder: DataFrame, group: Sequence[str], mark: str, points: str, highe
 
 def _placed(probes: DataFrame, directions: DataFrame, group: Sequence[str], probe: Column, broadcast: bool) -> DataFrame:
     """Adds _p, the probe's key: a height is rounded down and a time up to whole hundredths, as neither reaches more."""
-    of = _renamed(directions, group, "_g_")
+    of = renamed(directions, group, "_g_")
     rows = probes.withColumn("_probe", probe)
     on = reduce(and_, [rows[c] == of[f"_g_{c}"] for c in group])
     return rows.join(F.broadcast(of) if broadcast else of, on, "left").withColumn("_p", F.floor(F.col("_sign") * F.col("_probe")).cast("bigint")).drop("_probe", "_sign", *[f"_g_{c}" for c in group])
@@ -65,7 +58,7 @@ def asof_points(probes: DataFrame, ladder: DataFrame, group: Sequence[str], prob
     reached = lambda keys: F.size(F.filter(keys, lambda k: k <= F.col("_p")))
     p = _placed(probes, firsts.join(directions, list(group)), group, probe, True)
     p = p.withColumn("_at", F.when(F.col("_p").isNotNull(), reached("_firsts") - 1)).drop("_firsts")
-    held = _renamed(buckets, group, "_g_")
+    held = renamed(buckets, group, "_g_")
     out = p.join(F.broadcast(held), reduce(and_, [p[c] == held[f"_g_{c}"] for c in group]) & (p["_at"] == held["_b"]), "left")
     rung = F.get("_rungs", F.size(F.filter("_rungs", lambda r: r["_k"] <= F.col("_p"))) - 1)
     return out.withColumn("points", F.coalesce(rung["_q"], F.lit(0))).drop("_p", "_at", "_b", "_rungs", *[f"_g_{c}" for c in group])
@@ -74,19 +67,18 @@ def asof_points(probes: DataFrame, ladder: DataFrame, group: Sequence[str], prob
 def _reached(rows: DataFrame, group: Sequence[str], key: str, value: str, name: str, below: bool = True, slices: int = 256) -> DataFrame:
     """Adds the greatest value at or below a row's key (or the least at or above it), within the group; null if there is none. Keys do not repeat.
 
-    A group's keys are cut into slices of about equally many rows, by quantiles. A window sees one slice, and what the slices before it
+    A group's keys are cut into slices of about equally many (sliced). A window sees one slice, and what the slices before it
     hold is carried over from one row per slice, so that a group of any size is spread over many tasks, however its keys lie.
     """
     best = F.max if below else F.min
-    edges = _renamed(rows.groupBy(*group).agg(F.percentile_approx(key, [i / slices for i in range(1, slices)]).alias("_edges")), group, "_e_")
-    cut = rows.join(edges, _same(rows, edges, group, "_e_")).withColumn("_slice", F.size(F.filter("_edges", lambda x: x < F.col(key)))).drop(*edges.columns)
+    cut = sliced(rows, group, key, slices)
     near = Window.partitionBy(*group, "_slice").orderBy(key)
     near = near.rowsBetween(Window.unboundedPreceding, 0) if below else near.rowsBetween(0, Window.unboundedFollowing)
     far = Window.partitionBy(*group).orderBy(F.col("_slice") if below else F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     before = cut.groupBy(*group, "_slice").agg(best(value).alias("_own")).withColumn("_far", best("_own").over(far)).drop("_own")
-    before = _renamed(before, [*group, "_slice"], "_c_")
+    before = renamed(before, [*group, "_slice"], "_c_")
     out = cut.withColumn(name, best(value).over(near))
-    return out.join(before, _same(out, before, [*group, "_slice"], "_c_")).withColumn(name, (F.greatest if below else F.least)(name, "_far")).drop("_slice", *before.columns)
+    return out.join(before, same(out, before, [*group, "_slice"], "_c_")).withColumn(name, (F.greatest if below else F.least)(name, "_far")).drop("_slice", *before.columns)
 
 
 def asof_points_by_union(probes: DataFrame, ladder: DataFrame, group: Sequence[str], probe: Column, mark: str = "mark_c", points: str = "points", higher: str | None = None) -> DataFrame:
@@ -96,7 +88,7 @@ def asof_points_by_union(probes: DataFrame, ladder: DataFrame, group: Sequence[s
     p = _placed(probes, directions, group, probe, False)
     asked = p.where("_p is not null").select(*group, F.col("_p").alias("_k"), F.lit(None).cast("bigint").alias("_q"))
     keys = rungs.unionByName(asked).groupBy(*group, "_k").agg(F.max("_q").alias("_q"))
-    found = _renamed(_reached(keys, group, "_k", "_q", "_points").select(*group, "_k", "_points"), group, "_g_")
+    found = renamed(_reached(keys, group, "_k", "_q", "_points").select(*group, "_k", "_points"), group, "_g_")
     out = p.join(found, reduce(and_, [p[c] == found[f"_g_{c}"] for c in group]) & (p["_p"] == found["_k"]), "left")
     return out.withColumn("points", F.coalesce("_points", F.lit(0))).drop("_p", *found.columns)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from laureate.functions import exprs as X
-from laureate.operators import changes, counting, extract, lookup, quota, rounds, scenarios, scoring
+from laureate.operators import changes, counting, extract, lookup, quota, rounds, scenarios, scoring, slices
 
 
 def _plan(df):
@@ -352,6 +352,32 @@ def test_ranks_by_histogram(spark):
         assert r["r"] == better + 1
 
 
+def test_slices_hold_alike_many_and_do_not_depend_on_order(spark):
+    rows = [(g, k) for g, n in (("a", 3000), ("b", 3), (None, 40)) for k in (i**3 for i in range(n))] + [("a", None), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    cut = {(r["g"], r["k"]): r["_slice"] for r in slices.sliced(df, ["g"], "k", 32).collect()}
+    again = {(r["g"], r["k"]): r["_slice"] for r in slices.sliced(df.orderBy(F.rand(3)).repartition(5), ["g"], "k", 32).collect()}
+    assert cut == again and len(cut) == len(rows)
+    assert cut["a", None] == cut["c", None] == -1
+    for g in ("a", "b", None):
+        at = [cut[x] for x in sorted((x for x in cut if x[0] == g and x[1] is not None), key=lambda x: x[1])]
+        assert at == sorted(at) and at[0] >= 0
+        most = max(at.count(x) for x in set(at))
+        assert most <= (600 if g == "a" else len(at) / 4 + 3)
+
+
+def test_ranks_of_a_large_group_come_from_slices(spark):
+    values = [(i * 7919 % 5003, i) for i in range(4000)] + [(17, 9000), (17, 9001), (None, 9002), (None, 9003)]
+    df = spark.createDataFrame([("x", s, i) for s, i in values] + [(None, 5, 1), (None, 9, 2), ("empty", None, 3)], "g string, s long, id long")
+    out = quota.rank_by_histogram(df, ["g"], "s", "r", 16)
+    got = {(r["g"], r["id"]): r["r"] for r in out.collect()}
+    known = sorted((s for s, _ in values if s is not None), reverse=True)
+    place = {s: known.index(s) + 1 for s in known}
+    assert got == {**{("x", i): place[s] if s is not None else len(known) + 1 for s, i in values}, (None, 1): 2, (None, 2): 1, ("empty", 3): 1}
+    own = [line for line in _plan(out).splitlines() if "Window" in line and "_hs" in line and "sum" in line]
+    assert own and all("_slice" in line for line in own)
+
+
 def test_search_keeps_twelve_ranked_first(spark):
     one = lambda ids: spark.createDataFrame([("q", i) for i in ids], "query string, id int")
     out = lookup.with_unranked(one(range(10, 20)), one(range(0, 15)), "id", ["query"], [F.col("id")], 12).collect()
