@@ -130,6 +130,34 @@ def _coded() -> str:
   coded AS MATERIALIZED (SELECT piece, ids FROM walk JOIN piece USING (n) WHERE NOT live)"""
 
 
+#: The five primes of XXH64.
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _hashed(seed: int = 42) -> str:
+    """Common tables of SQL: `hashes` (s, h) of the strings `strings` (s), h their XXH64. Numbers are 128 bits wide and cut to 64 after each product. All steps of the
+    hash have one form: h becomes turned(h xor v, r) * m + a."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in _PRIMES)
+    cut = lambda x: f"(({x}) & 18446744073709551615::UHUGEINT)"
+    turned = lambda x, r: f"({cut(f'({x}) << {r}::UHUGEINT')} | (({x}) >> (64 - {r})::UHUGEINT))"
+    step = lambda v, r, m, a: f"{{'v': {v}, 'r': {r}::UHUGEINT, 'm': {m}, 'a': {a}}}"
+    number = lambda at, n: "(" + " + ".join(f"(instr('0123456789ABCDEF', substr(x, 2 * ({at}) + {2 * i + 1}, 1)) * 16 + instr('0123456789ABCDEF', substr(x, 2 * ({at}) + {2 * i + 2}, 1)) - 17)::UHUGEINT * {256**i}::UHUGEINT" for i in range(n)) + ")"
+    own = lambda v: cut(f"{turned(cut(f'({v}) * {p2}'), 31)} * {p1}")
+    start = (seed + _PRIMES[0] + _PRIMES[1], seed + _PRIMES[1], seed, seed - _PRIMES[0])
+    lane = lambda i: f"list_reduce(list_prepend({start[i] % 2**64}::UHUGEINT, [l[j] FOR j IN range({i + 1}, n // 32 * 4 + 1, 4)]), lambda c, v: {cut(turned(cut(f'c + {cut(f"v * {p2}")}'), 31) + f' * {p1}')})"
+    return f"""
+  hexed AS (SELECT s, hex(encode(s)) AS x, strlen(s) AS n FROM strings),
+  laned AS (SELECT *, [{number('8 * j', 8)} FOR j IN range(n // 8)] AS l FROM hexed),
+  striped AS (SELECT *, CASE WHEN n >= 32 THEN [{', '.join(map(lane, range(4)))}] END AS c FROM laned),
+  steps AS (SELECT s, CASE WHEN n >= 32 THEN {cut(' + '.join(turned(f'c[{i + 1}]', r) for i, r in enumerate((1, 7, 12, 18))))} ELSE {seed + _PRIMES[4]}::UHUGEINT END AS h,
+    CASE WHEN n >= 32 THEN [{step(own('v'), 0, p1, p4)} FOR v IN c] ELSE [] END || [{step('0::UHUGEINT', 0, '1::UHUGEINT', 'n::UHUGEINT')}]
+    || [{step(own('l[j]'), 27, p1, p4)} FOR j IN range(n // 32 * 4 + 1, n // 8 + 1)]
+    || CASE WHEN n % 8 >= 4 THEN [{step(cut(f"{number('n // 8 * 8', 4)} * {p1}"), 23, p2, p3)}] ELSE [] END
+    || [{step(cut(f"{number('j', 1)} * {p5}"), 11, p1, '0::UHUGEINT')} FOR j IN range(n // 4 * 4, n)] AS t FROM striped),
+  walked AS (SELECT s, list_reduce(list_prepend({step('h', 0, '0::UHUGEINT', '0::UHUGEINT')}, t), lambda g, y: {{'v': {cut(f"{turned('xor(g.v, y.v)', 'y.r')} * y.m + y.a")}, 'r': y.r, 'm': y.m, 'a': y.a}}).v AS h FROM steps),
+  hashes AS (SELECT s, xor(h, h >> 32::UHUGEINT) AS h FROM (SELECT s, {cut(f'xor(h, h >> 29::UHUGEINT) * {p3}')} AS h FROM (SELECT s, {cut(f'xor(h, h >> 33::UHUGEINT) * {p2}')} AS h FROM walked)))"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {}
     sql["op1_token_counts"] = f"""
@@ -148,6 +176,20 @@ WITH RECURSIVE {_coded()},
   texts AS (SELECT row, sum(len(ids)) AS n, string_agg(array_to_string(ids, ','), ',' ORDER BY p) AS decimal, string_agg(h, '' ORDER BY p) AS h
     FROM (SELECT row, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS p FROM split) JOIN decoded USING (piece) GROUP BY row)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, sha256(coalesce(decimal, '')) AS ids_sha256, sha256(unhex(coalesce(h, ''))) AS decoded_sha256 FROM split LEFT JOIN texts USING (row)
+"""
+    votes = ", ".join(f"sum(((h >> {b}) & 1::UBIGINT)::INT) AS b{b}" for b in range(simhash.BITS))
+    bits = " | ".join(f"(CASE WHEN 2 * b{b} > n THEN {1 << b} ELSE 0 END)::UBIGINT" for b in range(simhash.BITS))
+    sql["op3_simhash"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+  shingled AS MATERIALIZED (SELECT row, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS s FROM d),
+  strings AS (SELECT DISTINCT s FROM shingled), {_hashed()},
+  counted AS (SELECT row, count(*) AS n, {votes} FROM (SELECT row, h::UBIGINT AS h FROM shingled JOIN hashes USING (s)) GROUP BY row),
+  prints AS MATERIALIZED (SELECT row, doc_id, coalesce({bits}, 0::UBIGINT) AS fp FROM d LEFT JOIN counted USING (row)),
+  own AS MATERIALIZED (SELECT fp, min(doc_id) AS low FROM prints GROUP BY fp),
+  links AS MATERIALIZED (SELECT a.fp AS u, b.fp AS v FROM own a JOIN own b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 2),
+  reached(u, v) AS (SELECT fp, fp FROM own UNION SELECT r.u, l.v FROM reached r JOIN links l ON l.u = r.v),
+  least AS (SELECT r.u AS fp, min(o.low) AS component_id FROM reached r JOIN own o ON o.fp = r.v GROUP BY r.u)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM prints JOIN least USING (fp)
 """
     sql["op4_suffix_dedup"] = """
 WITH d AS (SELECT doc_id, row_number() OVER () AS row, hex(encode(coalesce(text, ''))) AS h FROM documents),

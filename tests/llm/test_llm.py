@@ -83,6 +83,27 @@ def test_simhash_equals_brute_force(spark, docs, odd):
         assert sorted((str(r["doc_id"]), r["fp"] % 2**64, str(r["component_id"])) for r in got) == want
 
 
+def test_simhash_equals_its_sql(spark, sf_dir, odd):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got = queries.op3_simhash(spark, sf_dir)
+    want = con.execute(queries.oracle_sql()["op3_simhash"])
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    con.execute("DROP VIEW documents")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(r["doc_id"], r["text"]) for r in odd.collect()])
+    near = [(r["doc_id"], f"{r['fp'] % 2**64:016x}", r["component_id"]) for r in simhash.near_groups(odd.select("doc_id", "text"), 3, 2).collect()]
+    assert sorted(con.execute(queries.oracle_sql()["op3_simhash"]).fetchall(), key=str) == sorted(near, key=str)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 7, 8, 12, 15, 16, 31, 32, 33, 39, 63, 64, 65, 100, 200])
+def test_hash_of_the_sql(n):
+    s = "".join(chr(97 + i * i % 26) for i in range(n))
+    got = duckdb.connect().execute(f"WITH strings AS (SELECT '{s}' AS s), {queries._hashed()} SELECT h::UBIGINT FROM hashes").fetchone()
+    assert got == (xxhash.xxh64_intdigest(s.encode(), 42),)
+
+
 def test_simhash_splits_hot_sets_without_loss(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**62, 4, np.uint64)
