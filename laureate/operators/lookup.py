@@ -18,18 +18,25 @@ def folded(c: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(base, "[\u0300-\u036f]", "")))
 
 
+#: Queries of a name search up to which they are sent to all tasks; more are joined by a shuffle.
+FEW_QUERIES = 50_000
+
+
 def name_hits(names: DataFrame, queries: DataFrame, name: str, query: str, order: Sequence[Column], limit: int = 12) -> DataFrame:
     """The first `limit` names of each query all of whose parts occur anywhere in the name, whatever case and accents.
 
     The first letters (three at most) of a query's longest part are joined to the runs of one to three letters of the names, and
     the candidates checked, so names and queries never form all pairs. Rows that repeat count once; a blank query has no hits.
+    The runs are never broadcast: Spark takes a name's many for one row when it chooses a side. Queries are, after one count of at most FEW_QUERIES.
     """
     runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
     n = names.distinct().withColumn("_name", folded(F.col(name)))
     n = n.withColumn("_t", F.explode(F.array_distinct(F.concat(*[runs(F.col("_name"), k) for k in (1, 2, 3)]))))
     q = queries.distinct().withColumn("_parts", F.filter(F.split(folded(F.col(query)), r"\s+"), lambda t: t != ""))
     longest = F.array_max(F.transform("_parts", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    hit = n.join(q.withColumn("_t", F.substring(longest, 1, 3)), "_t").where(F.forall("_parts", lambda t: F.contains(F.col("_name"), t)))
+    q = q.withColumn("_t", F.substring(longest, 1, 3))
+    q = F.broadcast(q) if queries.distinct().limit(FEW_QUERIES + 1).count() <= FEW_QUERIES else q.hint("merge")
+    hit = n.join(q, "_t").where(F.forall("_parts", lambda t: F.contains(F.col("_name"), t)))
     w = Window.partitionBy(query).orderBy(*order)
     return hit.withColumn("hit", F.row_number().over(w)).where(F.col("hit") <= limit).select(*queries.columns, *names.columns, "hit")
 

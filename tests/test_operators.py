@@ -235,6 +235,22 @@ def test_name_search_finds_parts_of_words(spark):
     assert "CartesianProduct" not in _plan(out) and "NestedLoop" not in _plan(out)
 
 
+def test_name_search_sends_queries_not_names(spark, monkeypatch, tmp_path):
+    """Of few names and more queries, by Spark's reckoning, the names' runs of letters would be broadcast."""
+    spark.createDataFrame([(i, f"Name {i} of many letters") for i in range(50)], "id int, name string").write.parquet(f"{tmp_path}/names")
+    spark.createDataFrame([(f"{i} nam", "x" * 40) for i in range(300)], "query string, note string").write.parquet(f"{tmp_path}/queries")
+    names, asks = spark.read.parquet(f"{tmp_path}/names"), spark.read.parquet(f"{tmp_path}/queries")
+    found = []
+    for few in (300, 0):
+        monkeypatch.setattr(lookup, "FEW_QUERIES", few, raising=False)
+        out = lookup.name_hits(names, asks, "name", "query", [F.col("id")])
+        plan = _plan(out)
+        assert ("BuildRight" in plan) == (few == 300) and ("SortMergeJoin" in plan) == (few == 0) and "BuildLeft" not in plan
+        found.append(sorted((r["query"], r["id"], r["hit"]) for r in out.collect()))
+    want = [(f"{q} nam", i, n + 1) for q in range(300) for n, i in enumerate([i for i in range(50) if str(q) in str(i)][:12])]
+    assert found[0] == found[1] == sorted(want)
+
+
 def test_plans_spread_large_groups(spark):
     """No window over a whole pool or ladder: each is keyed by a slice, a score or a country as well."""
     p = spark.createDataFrame([("e", "A", i, i % 7) for i in range(50)], "event string, country string, athlete int, score int")
