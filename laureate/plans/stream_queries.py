@@ -15,6 +15,13 @@ def _folder(spark) -> str:
     return shared_folder(spark, "stream")
 
 
+def _once(spark, df):
+    """df, computed once: slices, runs and followers read what is written."""
+    path = f"{_folder(spark)}/once"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _landing(df, day: str, slices: int, path: str, kind: str = "parquet"):
     """Lands df under `path` in order of its days, a slice at a time, and stops after each; text has the column `value` alone."""
     days = [r[0] for r in df.select(F.col(day)).distinct().orderBy(day).collect()]  # one value per day
@@ -63,10 +70,11 @@ _STANDINGS = f"""SELECT user_id::VARCHAR AS key, period::VARCHAR AS period, plac
 def _standings(spark, sf):
     items = t(spark, sf, "events").groupBy("user_id", F.col("ts").cast("date").alias("period")).agg(F.collect_set("event_type").alias("items"))
     s = snapshots(spark, sf).join(items, ["user_id", "period"])
-    return s.select(
+    s = s.select(
         F.col("user_id").cast("string").alias("key"), F.col("period").cast("string").alias("period"), F.col("place").cast("bigint").alias("world"), F.when(F.col("user_id") % 3 > 0, F.floor((F.col("place") + 1) / 2)).cast("bigint").alias("european"),
         "score", F.when(F.col("n") % 4 > 0, F.col("qualified")).alias("qualified"), F.when((F.col("user_id") + F.dayofmonth("period")) % 5 > 0, F.col("items")).alias("results"),
     )
+    return _once(spark, s)
 
 
 _KINDS = "\n".join(f"UNION ALL SELECT key, period, '{c}', f_{c}::BIGINT, {c}::BIGINT, NULL FROM l WHERE f_{c} <> {c}" for c in standings.COMPARED)
@@ -134,8 +142,8 @@ def _digested(spark, sf) -> str:
     """Runs the digests of three slices of place changes for ten fans each of whom follows a tenth of the users; those of every third
     fan cannot be sent in the first run. Every seventh user is not resolved."""
     folder = _folder(spark)
-    steps = _chain(spark, sf).withColumnRenamed("user_id", "athlete").withColumn("resolved", F.col("athlete") % 7 != 0)
-    fans = snapshots(spark, sf).select((F.col("user_id") % 10).alias("fan"), F.col("user_id").alias("athlete")).distinct()
+    steps = _once(spark, _chain(spark, sf).withColumnRenamed("user_id", "athlete").withColumn("resolved", F.col("athlete") % 7 != 0))
+    fans = t(spark, sf, "events").select((F.col("user_id") % 10).alias("fan"), F.col("user_id").alias("athlete")).distinct()
     each = jobs.digest_run(folder, fans, lambda number: F.lit(number > 0) | (F.col("fan") % 3 != 0))
     for stream in _arriving(spark, steps, "period", 3, f"{folder}/changes"):
         jobs.each_batch(stream, each, f"{folder}/checkpoint")
@@ -210,7 +218,7 @@ def _cadences(spark, sf):
     texts = lambda df, kind, item: df.select("athlete", "day", F.lit(kind).alias("kind"), F.lit(None).cast("bigint").alias("from_value"), F.lit(None).cast("bigint").alias("to_value"), item.alias("item"))
     news = texts(rows.where("advanced"), "result", F.explode("results"))
     standing = texts(rows.where("advanced"), "standing", F.concat(F.lit("stands at "), F.col("world").cast("string")))
-    changes = moved.unionByName(news).unionByName(standing).withColumn("gender", gender)
+    changes = _once(spark, moved.unionByName(news).unionByName(standing).withColumn("gender", gender))
     prefs = F.map_from_arrays(F.array(F.lit("score")), F.array(F.col("fan") % 4 != 0))
     follows = s.select(F.col("key").cast("bigint").alias("athlete")).distinct().withColumn("fan", F.col("athlete") % 10).select("fan", "athlete", gender.alias("gender"), prefs.alias("prefs"))
     each = cadences.cadence_run(folder, follows, lambda number: F.lit(number > 0) | (F.col("fan") % 3 != 0), keep_days=14)  # the runs are ten days apart

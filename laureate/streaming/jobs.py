@@ -68,6 +68,8 @@ def digest_run(folder: str, fans: DataFrame, sendable: Callable[[int], Column]):
         own = composed_chain(batch.where("resolved"), ["athlete"], "period").select("athlete", "from_value", "to_value")
         pending = _written(spark, f"{folder}/outbox", OUTBOX, number).where(F.col("batch") == number - 1).drop("batch")
         merged = composed(pending, fans.join(own, "athlete").select("fan", "athlete", "from_value", "to_value"), ["fan", "athlete"]).withColumn("ok", sendable(number))
+        merged.write.mode("overwrite").parquet(f"{folder}/merged/batch={number}")
+        merged = spark.read.schema(merged.schema).parquet(f"{folder}/merged/batch={number}")
         merged.where("not ok").drop("ok").write.mode("overwrite").parquet(f"{folder}/outbox/batch={number}")
         line = F.concat(F.col("athlete").cast("string"), F.lit(": "), F.col("from_value").cast("string"), F.lit(" > "), F.col("to_value").cast("string"))
         told = digest(merged.withColumn("line", line), "fan", "athlete", "line", ["athlete"]).withColumn("status", F.when(sendable(number), "sent").otherwise("failed"))

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from laureate.plans import bindings, change_queries, registry, stream_queries
 from laureate.streaming import cadences, jobs, standings
 
 DAY = 86_400_000_000
@@ -108,3 +109,19 @@ def test_broken_lines_are_counted_and_skip_their_own_snapshot(keyed, tmp_path):
     out = jobs.drained(standings.standing_changes(cadences.landed(keyed, f"{tmp_path}/in", SNAPSHOT)), f"{tmp_path}/job", counted=counted)
     assert [tuple(r)[:5] for r in out.collect()] == [("a", "d3", "world", 5, 2)]
     assert counted["broken"] == 2 and counted["rows"] == 5
+
+
+@pytest.mark.parametrize("name", ["r5_digest_batches", "r5_cadences"])
+def test_snapshots_are_computed_once(spark, sf_dir, monkeypatch, name):
+    """Slices, runs and followers read what is written: each row of the snapshots is made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(_):
+        made.add(1)
+        return True
+
+    passes = F.udf(seen, "boolean").asNondeterministic()
+    for plan in (change_queries, stream_queries):
+        monkeypatch.setattr(plan, "snapshots", lambda spark, sf: bindings.snapshots(spark, sf).where(passes("user_id")))
+    assert registry.queries()[name](spark, sf_dir).count() > 0
+    assert made.value == bindings.snapshots(spark, sf_dir).count()
