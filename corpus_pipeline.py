@@ -23,7 +23,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more: that of the smallest doc_id.
-    Empty, blank and null texts are one group."""
+    Near ones are found by SimHash fingerprints and checked by their shingles. Empty, blank and null texts are one group."""
     return simhash.one_of_each(docs)
 
 

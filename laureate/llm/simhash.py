@@ -1,4 +1,5 @@
-"""Near-duplicates: SimHash fingerprints, tiled exact comparison, groups; and groups by the Jaccard similarity of shingles."""
+"""Near-duplicates: SimHash fingerprints, tiled exact comparison, groups; and groups by the Jaccard similarity of shingles,
+whose candidates are near by a wider SimHash."""
 
 from __future__ import annotations
 
@@ -71,42 +72,48 @@ def joined_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray
     return label
 
 
-def tile_links(fp: np.ndarray, radius: int, tile: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Exact links within one set of fingerprints, as (fp, smaller fp of its group) pairs.
+def tile_links(fp: np.ndarray, radius: int, tile: int = 256, first: int | None = None) -> np.ndarray:
+    """A label of each fingerprint (a row of 64-bit words): a member of the group that all pairs within `radius` bits join, compared exactly.
 
     Sorted by population count and cut into tiles; a pair of tiles whose counts differ by
-    more than the radius is skipped, the rest is exclusive-or and bit counts. Groups are
-    kept as labels, so a dense set yields a forest, not its square.
+    more than the radius is skipped, the rest is exclusive-or and bit counts: of the first words, where `first` bounds those, and
+    of all words of the pairs within it. Groups are kept as labels, so a dense set yields a forest, not its square.
     """
-    pop = np.bitwise_count(fp)
-    order = np.lexsort((fp, pop))
-    fp, pop = fp[order], pop[order].astype(np.int64)
-    label = np.arange(len(fp))
+    pop = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+    order = np.lexsort((*fp.T[::-1], pop))
+    fp, pop = fp[order], pop[order]
+    label, head = np.arange(len(fp)), np.ascontiguousarray(fp[:, 0])
     cuts = range(0, len(fp), tile)
     for a in cuts:
-        x, top = fp[a : a + tile], pop[min(a + tile, len(fp)) - 1]
+        x, top = head[a : a + tile], pop[min(a + tile, len(fp)) - 1]
         for b in range(a, len(fp), tile):
             if pop[b] - top > radius:
                 break
-            near = np.bitwise_count(x[:, None] ^ fp[None, b : b + tile]) <= radius
+            near = np.bitwise_count(x[:, None] ^ head[None, b : b + tile]) <= (radius if first is None else first)
             i, j = np.nonzero(near)
+            if fp.shape[1] > 1:
+                within = np.bitwise_count(fp[i + a] ^ fp[j + b]).sum(axis=1, dtype=np.int64) <= radius
+                i, j = i[within], j[within]
             label = joined_labels(label, i + a, j + b)
-    own = label != np.arange(len(fp))
-    return fp[own], fp[label[own]]
+    out = np.empty(len(fp), np.int64)
+    out[order] = order[label]
+    return out
 
 
-def _compare(radius: int):
+def _compare(radius: int, first: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; a key's rows may span batches."""
+        """Rows (key, id, words of the fingerprint; none where the id is its only one) come sorted by key; a key's rows may span batches."""
         key, held = None, []
 
         def flush() -> pa.RecordBatch:
-            u, v = tile_links(np.concatenate(held), radius)
-            return pa.RecordBatch.from_pydict({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
+            rows = np.concatenate(held)
+            label = tile_links(rows[:, min(1, rows.shape[1] - 1) :].view(np.uint64), radius, first=first)
+            own = label != np.arange(len(label))
+            return pa.RecordBatch.from_pydict({"u": pa.array(rows[own, 0]), "v": pa.array(rows[label[own], 0])})
 
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns)], axis=1)
             edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             for s, e in zip([0, *edges], [*edges, len(keys)], strict=True):
                 if s == e:
@@ -115,7 +122,7 @@ def _compare(radius: int):
                     if sum(map(len, held)) > 1:
                         yield flush()
                     key, held = keys[s], []
-                held.append(fps[s:e])
+                held.append(rows[s:e])
         if sum(map(len, held)) > 1:
             yield flush()
 
@@ -183,11 +190,12 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Bands of so many minima each. A pair of similarity 0.8 shares none of them with chance (1 - 0.8 ** 6) ** 48 = 5e-7, a more similar one with less.
-BANDS, ROWS = 48, 6
-_MIX = np.random.default_rng(11)
-_A, _B = _MIX.integers(0, 1 << 31, (2, BANDS * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
-_BAND = _MIX.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: The wide fingerprint has BLOCKS blocks of STEP bits, which deal texts out, and is compared by its first NEAR_WORDS words. A bit differs with chance
+#: acos(2 s / (1 + s)) / pi, 0.15 at a similarity s of 0.8: a pair at 0.8 shares no block with chance (1 - 0.85 ** 12) ** 64 = 7e-5, a more similar one with less.
+BLOCKS, STEP, NEAR_WORDS = 64, 12, 3
+#: Bits that may differ in the first word and in all that are compared: over five standard deviations above the mean of a pair at 0.8. Unrelated texts differ in 32 and 96.
+NEAR_FIRST, NEAR = 24, 58
+_SEEDS = np.random.default_rng(11).integers(0, 1 << 63, BLOCKS * STEP // BITS, np.uint64)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -196,18 +204,44 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return h if len(h) else np.zeros(1, np.uint64)
 
 
-def bands(h: np.ndarray) -> np.ndarray:
-    """A key of each band: equal where all its minima are."""
-    x, least = (h >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
-    for at in range(0, len(x), 2048):
-        least = np.minimum(least, (_A * x[at : at + 2048] + _B).min(axis=1))
-    return (least.reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64).view(np.int64)
+def wide_bits(h: np.ndarray) -> np.ndarray:
+    """The wide fingerprint's bits: set where over half the shingles' hashes, mixed with a seed for each word, have theirs set."""
+    votes = np.zeros(BLOCKS * STEP, np.int64)
+    for at in range(0, len(h), 255):  # so that a byte holds the votes
+        z = h[at : at + 255, None] + _SEEDS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        votes += np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return (2 * votes > len(h)).astype(np.uint8)
+
+
+def dealt_by(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """A key of each block: its place and value. Texts of few shingles, whose bits differ more, also go by each of those."""
+    blocks = bits.reshape(BLOCKS, STEP) @ (1 << np.arange(STEP)) + (np.arange(BLOCKS) << STEP)
+    return np.concatenate([blocks, -1 - (h >> np.uint64(33)).astype(np.int64)] if len(h) < 6 else [blocks]).astype(np.int32)
 
 
 def _sketches(k: list, doc_id: list, text: list, words: int) -> dict:
     sets = [shingle_set(t, words) for t in text]
     node = [xxhash.xxh64_intdigest(h.tobytes()) for h in sets]
-    return {"k": k, "doc_id": doc_id, "node": np.array(node, np.uint64).view(np.int64), "bands": [bands(h) for h in sets]}
+    bits = [wide_bits(h) for h in sets]
+    fp = [np.packbits(b[: NEAR_WORDS * BITS]).view(np.int64) for b in bits]
+    return {"k": k, "doc_id": doc_id, "node": np.array(node, np.uint64).view(np.int64), "fp": fp, "blocks": [dealt_by(h, b) for h, b in zip(sets, bits, strict=True)]}
+
+
+def near_links(nodes: DataFrame, most: int = 8192) -> DataFrame:
+    """Links (u, v) that join all nodes (node, fp, blocks) which share a block and whose fingerprints differ in at most NEAR bits.
+
+    A block's value deals the nodes out to sets; a set is compared whole, tile by tile. One of over `most` nodes is split, and each pair of its parts meets.
+    """
+    spark = nodes.sparkSession
+    dealt = nodes.select("node", *[F.col("fp")[i].alias(f"w{i}") for i in range(NEAR_WORDS)], F.explode("blocks").alias("x"))
+    hot = dealt.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") > most).select("x", F.ceil(F.col("n") / (most // 2)).cast("int").alias("t"))
+    split = dealt.join(hot, "x", "left").withColumn("t", F.coalesce("t", F.lit(1))).withColumn("s", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
+    met = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    met = met.select(F.xxhash64("x", F.least("s", "o"), F.greatest("s", "o")).alias("key"), "node", *[f"w{i}" for i in range(NEAR_WORDS)])
+    sets = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    return sets.mapInArrow(_compare(NEAR, NEAR_FIRST), "u bigint, v bigint").distinct()
 
 
 def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -262,27 +296,26 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, til
     """(k, doc_id, component) of every row of docs; k is its row_key(). Groups are joined by the pairs whose sets of
     shingles have at least that Jaccard similarity; a group can be a chain.
 
-    Texts of one set are one node. Nodes that share a band are candidates, and so are those joined over others; each set of
-    candidates is compared whole by the sets of their shingles. One of over `tile` nodes is split into tiles, and each pair of tiles meets.
+    Texts of one set are one node, with a SimHash of BLOCKS * STEP bits. Nodes that share a block of it and lie within NEAR bits are
+    candidates, and so are those joined over others; each set of candidates is compared whole by the sets of their shingles. One of over `tile` nodes is split
+    into tiles, and each pair of tiles meets.
     """
     spark = docs.sparkSession
     path = shared_dir(spark)
     source = docs.select(row_key().alias("k"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(map_columns(source, _sketches, "k bigint, doc_id bigint, node bigint, bands array<bigint>", words=words), f"{path}/rows")
-    nodes = rows.groupBy("node").agg(F.min("k").alias("k"), F.any_value("bands").alias("bands"))
-    dealt = stored(nodes, f"{path}/nodes").select("node", F.explode("bands").alias("x"))
-    shared = dealt.groupBy("x").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    edges = dealt.join(stored(shared.select("x", "low"), f"{path}/shared"), "x").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
+    rows = stored(map_columns(source, _sketches, "k bigint, doc_id bigint, node bigint, fp array<bigint>, blocks array<int>", words=words), f"{path}/rows")
+    nodes = stored(rows.groupBy("node").agg(F.min("k").alias("k"), F.any_value("fp").alias("fp"), F.any_value("blocks").alias("blocks")), f"{path}/nodes")
+    edges = near_links(nodes)
     near = stored(components(stored(edges, f"{path}/edges"), f"{path}/near"), f"{path}/candidates")
     sizes = near.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("t"))
     at = F.pmod(F.xxhash64("node"), F.col("t")).cast("int")
-    wanted = near.join(sizes, "root").join(spark.read.parquet(f"{path}/nodes").select("node", "k"), "node").select("k", "node", "root", "t", at.alias("s"))
+    wanted = near.join(sizes, "root").join(nodes.select("node", "k"), "node").select("k", "node", "root", "t", at.alias("s"))
     texts = source.select("k", "text").join(stored(wanted, f"{path}/wanted"), "k").dropDuplicates(["node"])
     other = texts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     met = other.select(F.xxhash64("root", F.least("s", "o"), F.greatest("s", "o")).alias("key"), "node", "text")
     pairs = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").mapInArrow(_verify(words, similarity), "u bigint, v bigint")
     grouped = stored(components(stored(pairs, f"{path}/pairs"), path), f"{path}/groups")
-    removed(spark, *[f"{path}/{name}" for name in ("nodes", "shared", "edges", "near", "candidates", "wanted", "pairs")])
+    removed(spark, *[f"{path}/{name}" for name in ("nodes", "edges", "near", "candidates", "wanted", "pairs")])
     of = rows.select("k", "doc_id", "node").join(grouped.select("node", "root"), "node", "left")
     return of.select("k", "doc_id", F.coalesce("root", "node").alias("component"))
 

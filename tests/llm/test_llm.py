@@ -150,6 +150,41 @@ def test_one_of_each_finds_all_similar_texts(spark):
     assert tiled == whole
 
 
+def test_similar_texts_are_found_by_their_simhash(spark):
+    """Links by the wide fingerprint: those of all pairs that share a block and lie within the radius, split sets included; every pair of similarity 0.8 is
+    joined, of short texts too, and unrelated texts are not."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for i in range(150):
+        h = rng.integers(0, 2**63, (4, 8, 20, 200)[i % 4], np.uint64)
+        more = rng.integers(0, 2**63, len(h) // 4, np.uint64)
+        sets += [np.sort(h), np.sort(np.concatenate([h, more]))]
+    fps = [simhash.wide_bits(h) for h in sets]
+    keys = [set(simhash.dealt_by(h, f).tolist()) for h, f in zip(sets, fps, strict=True)]
+    apart = lambda i, j, n: int((fps[i][:n] != fps[j][:n]).sum())
+    want = _groups(((i, j) for i in range(len(sets)) for j in range(i) if keys[i] & keys[j] and apart(i, j, 64) <= simhash.NEAR_FIRST and apart(i, j, 192) <= simhash.NEAR), len(sets))
+    assert want == [i // 2 * 2 for i in range(len(sets))]
+    rows = [(i, np.packbits(f[:192]).view(np.int64).tolist(), sorted(k)) for i, (f, k) in enumerate(zip(fps, keys, strict=True))]
+    nodes = spark.createDataFrame(rows, "node long, fp array<long>, blocks array<int>")
+    for most in (8192, 2):
+        root = {r["node"]: r["root"] for r in common.components(simhash.near_links(nodes, most), common.shared_dir(spark)).collect()}
+        assert [root.get(i, i) for i in range(len(sets))] == want
+
+
+def test_wide_fingerprint_is_the_majority_of_the_hashes(spark):
+    h = np.random.default_rng(9).integers(0, 2**63, 600, np.uint64)
+    votes, mask = [0] * (simhash.BLOCKS * simhash.STEP), 2**64 - 1
+    for x in h.tolist():
+        bits = []
+        for seed in simhash._SEEDS.tolist():
+            z = (x + seed) & mask
+            z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & mask
+            z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & mask
+            bits += [b >> i & 1 for b in (z ^ (z >> 31)).to_bytes(8, "little") for i in range(7, -1, -1)]
+        votes = [v + b for v, b in zip(votes, bits, strict=True)]
+    assert simhash.wide_bits(h).tolist() == [int(2 * v > len(h)) for v in votes]
+
+
 def test_one_of_each_keeps_a_row_of_each_group_whatever_its_ids(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
     rows = [(1, a), (1, b), (2, b), (1, a), (None, c), (None, c), (None, a), (3, d), (3, c)]
