@@ -72,8 +72,21 @@ def joined_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray
     return label
 
 
-def tile_links(fp: np.ndarray, radius: int, tile: int = 256, first: int | None = None) -> np.ndarray:
-    """A label of each fingerprint (a row of 64-bit words): a member of the group that all pairs within `radius` bits join, compared exactly.
+def agree(x: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Of each exclusive-or (a row of words): whether all bits of one of the blocks, given as masks, are zero."""
+    out, left = np.zeros(len(x), bool), np.arange(len(x))
+    for mask in blocks:
+        if not len(left):
+            break
+        same = ~(x[left] & mask).any(axis=1)
+        out[left[same]] = True
+        left = left[~same]
+    return out
+
+
+def tile_links(fp: np.ndarray, radius: int, part: np.ndarray, blocks: np.ndarray, tile: int = 256, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two labels of each fingerprint (a row of 64-bit words), each a member of its group: of the groups that all pairs within `radius` bits join,
+    compared exactly; and of those that the pairs join which other sets compare: those that agree on one of `blocks` (masks), and those of one part where there are several.
 
     Sorted by population count and cut into tiles; a pair of tiles whose counts differ by
     more than the radius is skipped, the rest is exclusive-or and bit counts: of the first words, where `first` bounds those, and
@@ -81,8 +94,10 @@ def tile_links(fp: np.ndarray, radius: int, tile: int = 256, first: int | None =
     """
     pop = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
     order = np.lexsort((*fp.T[::-1], pop))
-    fp, pop = fp[order], pop[order]
-    label, head = np.arange(len(fp)), np.ascontiguousarray(fp[:, 0])
+    fp, pop, part = fp[order], pop[order], part[order]
+    label, known, head = np.arange(len(fp)), np.arange(len(fp)), np.ascontiguousarray(fp[:, 0])
+    parts = bool((part != part[0]).any())
+    elsewhere = parts or len(blocks) > 0
     cuts = range(0, len(fp), tile)
     for a in cuts:
         x, top = head[a : a + tile], pop[min(a + tile, len(fp)) - 1]
@@ -91,25 +106,42 @@ def tile_links(fp: np.ndarray, radius: int, tile: int = 256, first: int | None =
                 break
             near = np.bitwise_count(x[:, None] ^ head[None, b : b + tile]) <= (radius if first is None else first)
             i, j = np.nonzero(near)
+            i, j, joined = i + a, j + b, known if elsewhere else label
+            more = joined[i] != joined[j]
+            i, j = i[more], j[more]
+            if not len(i):
+                continue
+            bits = fp[i] ^ fp[j]
             if fp.shape[1] > 1:
-                within = np.bitwise_count(fp[i + a] ^ fp[j + b]).sum(axis=1, dtype=np.int64) <= radius
-                i, j = i[within], j[within]
-            label = joined_labels(label, i + a, j + b)
-    out = np.empty(len(fp), np.int64)
-    out[order] = order[label]
-    return out
-
-
-def _compare(radius: int, first: int | None = None):
+                within = np.bitwise_count(bits).sum(axis=1, dtype=np.int64) <= radius
+                i, j, bits = i[within], j[within], bits[within]
+            label = joined_labels(label, i, j)
+            if elsewhere:
+                other = agree(bits, blocks)
+                if parts:
+                    other |= part[i] == part[j]
+                known = joined_labels(known, i[other], j[other])
+    out = np.empty((2, len(fp)), np.int64)
+    out[:, order] = order[label], order[known]
+    return out[0], out[1]
+
+
+def _forest(node: np.ndarray, label: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+    """Links that join the groups of `label`, one fewer than it has groups of `known`."""
+    own = (known == np.arange(len(node))) & (label != known)
+    return pa.RecordBatch.from_pydict({"u": pa.array(node[own]), "v": pa.array(node[label[own]])})
+
+
+def _compare(radius: int, blocks: np.ndarray, first: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, id, words of the fingerprint; none where the id is its only one) come sorted by key; a key's rows may span batches."""
+        """Rows (key, block, part, id, words of the fingerprint; none where the id is its only one) come sorted by key; a key's rows may span batches.
+        All rows of a key have one block: pairs that agree on one before it are linked there."""
         key, held = None, []
 
         def flush() -> pa.RecordBatch:
             rows = np.concatenate(held)
-            label = tile_links(rows[:, min(1, rows.shape[1] - 1) :].view(np.uint64), radius, first=first)
-            own = label != np.arange(len(label))
-            return pa.RecordBatch.from_pydict({"u": pa.array(rows[own, 0]), "v": pa.array(rows[label[own], 0])})
+            fp = rows[:, min(3, rows.shape[1] - 1) :].view(np.uint64)
+            return _forest(rows[:, 2], *tile_links(fp, radius, rows[:, 1], blocks[: rows[0, 0]], first=first))
 
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -135,9 +167,10 @@ def links(distinct: DataFrame, path: str, radius: int = 2, most: int = 4096) ->
     distinct: one row per fingerprint. Two fingerprints within r bits agree on one of r + 1
     blocks, so each block's value deals them out to sets; a set is compared whole. A set of
     more than `most` is split by population count and hash into tiles, and each tile meets
-    the tiles within the radius: no pair is lost and no task holds more than two tiles.
+    the tiles within the radius: no pair is lost and no task holds more than two tiles. What a block before or a tile alone joins is linked once.
     """
     step = -(-BITS // (radius + 1))
+    masks = np.array([[((1 << min(step, BITS - i * step)) - 1) << i * step] for i in range(radius + 1)], np.uint64)
     blocks = F.array(
         *[
             F.struct(
@@ -151,7 +184,7 @@ def links(distinct: DataFrame, path: str, radius: int = 2, most: int = 4096) ->
     sizes = dealt.groupBy("b", "x").agg(F.count("*").alias("n")).where("n > 1")
     sizes = stored(sizes, f"{path}/sizes")
     sized = dealt.join(sizes, ["b", "x"])
-    plain = sized.where(F.col("n") <= most).select(F.xxhash64("b", "x").alias("key"), "fp")
+    plain = sized.where(F.col("n") <= most).select(F.xxhash64("b", "x").alias("key"), "b", F.lit(0).cast("bigint").alias("part"), "fp")
     hot = sized.where(F.col("n") > most).withColumn("p", F.bit_count("fp"))
     subs = stored(
         hot.groupBy("b", "x", "p").agg(F.count("*").alias("c")).withColumn("t", F.ceil(F.col("c") / (most // 2)).cast("int")), f"{path}/tiles"
@@ -163,11 +196,11 @@ def links(distinct: DataFrame, path: str, radius: int = 2, most: int = 4096) ->
     ends = pairs.select("b", "x", F.xxhash64("b", "x", "p", "s", "p2", "s2").alias("key"), F.array(F.struct("p", "s"), F.struct(F.col("p2").alias("p"), F.col("s2").alias("s"))).alias("e"))
     ends = ends.select("b", "x", "key", F.explode(F.array_distinct("e")).alias("e")).select("b", "x", "key", "e.p", "e.s")
     member = hot.join(subs.select("b", "x", "p", "t"), ["b", "x", "p"]).withColumn("s", F.pmod(F.xxhash64("fp"), F.col("t")).cast("int"))
-    split = member.join(ends, ["b", "x", "p", "s"]).select("key", "fp")
+    split = member.join(ends, ["b", "x", "p", "s"]).select("key", "b", F.xxhash64("p", "s").alias("part"), "fp")
     # As many tasks as the comparisons ask for, a fixed number that is not merged: a set of n has n * n / 2, a split one at most 5 times as many by tiles.
     pairs_all = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0
     tasks = int(min(100_000, max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs_all // PAIRS_IN_A_TASK)))
-    return plain.unionByName(split).repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_compare(radius), "u bigint, v bigint")
+    return plain.unionByName(split).repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_compare(radius, masks), "u bigint, v bigint")
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -195,6 +228,8 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
 BLOCKS, STEP, NEAR_WORDS = 64, 12, 3
 #: Bits that may differ in the first word and in all that are compared: over five standard deviations above the mean of a pair at 0.8. Unrelated texts differ in 32 and 96.
 NEAR_FIRST, NEAR = 24, 58
+#: Masks of the blocks that lie in the words compared.
+_MASKS = np.packbits(np.repeat(np.eye(NEAR_WORDS * BITS // STEP, dtype=np.uint8), STEP, axis=1), axis=1).view(np.uint64)
 _SEEDS = np.random.default_rng(11).integers(0, 1 << 63, BLOCKS * STEP // BITS, np.uint64)
 
 
@@ -233,23 +268,27 @@ def near_links(nodes: DataFrame, most: int = 8192) -> DataFrame:
     """Links (u, v) that join all nodes (node, fp, blocks) which share a block and whose fingerprints differ in at most NEAR bits.
 
     A block's value deals the nodes out to sets; a set is compared whole, tile by tile. One of over `most` nodes is split, and each pair of its parts meets.
+    What a block before (of the words compared) or a part alone joins is linked once, so that links grow with the nodes, not with the blocks and parts that they share.
     """
     spark = nodes.sparkSession
     dealt = nodes.select("node", *[F.col("fp")[i].alias(f"w{i}") for i in range(NEAR_WORDS)], F.explode("blocks").alias("x"))
     hot = dealt.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") > most).select("x", F.ceil(F.col("n") / (most // 2)).cast("int").alias("t"))
     split = dealt.join(hot, "x", "left").withColumn("t", F.coalesce("t", F.lit(1))).withColumn("s", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
     met = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    met = met.select(F.xxhash64("x", F.least("s", "o"), F.greatest("s", "o")).alias("key"), "node", *[f"w{i}" for i in range(NEAR_WORDS)])
+    block = F.when(F.col("x") < 0, BLOCKS).otherwise(F.shiftright("x", STEP))
+    met = met.select(F.xxhash64("x", F.least("s", "o"), F.greatest("s", "o")).alias("key"), block.alias("block"), F.col("s").alias("part"), "node", *[f"w{i}" for i in range(NEAR_WORDS)])
     sets = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-    return sets.mapInArrow(_compare(NEAR, NEAR_FIRST), "u bigint, v bigint").distinct()
+    return sets.mapInArrow(_compare(NEAR, _MASKS, NEAR_FIRST), "u bigint, v bigint").distinct()
 
 
-def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """A label of each set: the first of the sets reachable over pairs of at least that Jaccard similarity, all compared."""
+def similar(sets: list[np.ndarray], similarity: float, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two labels of each set: the first of the sets reachable over pairs of at least that Jaccard similarity, all compared; and over
+    those pairs that other tiles compare, which are of one part where there are several."""
     size = np.array([len(h) for h in sets])
     start = np.concatenate([[0], np.cumsum(size)[:-1]])
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    label, mark = np.arange(len(sets)), np.zeros(len(values), bool)
+    label, known, mark = np.arange(len(sets)), np.arange(len(sets)), np.zeros(len(values), bool)
+    parts = bool((part != part[0]).any())
     for i in range(len(sets) - 1):
         own = at[start[i] : start[i] + size[i]]
         mark[own] = True
@@ -257,28 +296,29 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
         mark[own] = False
         j = np.flatnonzero((1 + similarity) * both >= similarity * (size[i] + size[i + 1 :]) - 1e-6) + i + 1
         label = joined_labels(label, np.full(len(j), i), j)
-    return label
+        if parts:
+            j = j[part[j] == part[i]]
+            known = joined_labels(known, np.full(len(j), i), j)
+    return label, known
 
 
 def _verify(words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, node, text) come sorted by key; a key's rows may span batches."""
-        key, nodes, sets = None, [], []
+        """Rows (key, part, node, text) come sorted by key; a key's rows may span batches."""
+        key, parts, nodes, sets = None, [], [], []
 
         def flush() -> pa.RecordBatch:
-            label = similar(sets, similarity)
-            node = np.array(nodes, np.int64)
-            own = label != np.arange(len(node))
-            return pa.RecordBatch.from_pydict({"u": pa.array(node[own]), "v": pa.array(node[label[own]])})
+            return _forest(np.array(nodes, np.int64), *similar(sets, similarity, np.array(parts)))
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for k, node, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                for k, own, node, text in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                     if k != key:
                         if len(sets) > 1:
                             yield flush()
-                        key, nodes, sets = k, [], []
+                        key, parts, nodes, sets = k, [], [], []
+                    parts.append(own)
                     nodes.append(node)
                     sets.append(shingle_set(text, words))
         if len(sets) > 1:
@@ -312,7 +352,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, til
     wanted = near.join(sizes, "root").join(nodes.select("node", "k"), "node").select("k", "node", "root", "t", at.alias("s"))
     texts = source.select("k", "text").join(stored(wanted, f"{path}/wanted"), "k").dropDuplicates(["node"])
     other = texts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    met = other.select(F.xxhash64("root", F.least("s", "o"), F.greatest("s", "o")).alias("key"), "node", "text")
+    met = other.select(F.xxhash64("root", F.least("s", "o"), F.greatest("s", "o")).alias("key"), F.col("s").alias("part"), "node", "text")
     pairs = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").mapInArrow(_verify(words, similarity), "u bigint, v bigint")
     grouped = stored(components(stored(pairs, f"{path}/pairs"), path), f"{path}/groups")
     removed(spark, *[f"{path}/{name}" for name in ("nodes", "edges", "near", "candidates", "wanted", "pairs")])

@@ -171,6 +171,48 @@ def test_similar_texts_are_found_by_their_simhash(spark):
         assert [root.get(i, i) for i in range(len(sets))] == want
 
 
+def test_links_of_near_copies_grow_with_the_copies(spark, monkeypatch):
+    """A large group's links are few for each of its members, however many blocks, parts and tiles these share, and join just the groups of brute force."""
+    rng = np.random.default_rng(12)
+    sets = []
+    for size, share in ((300, 0.04), (60, 0.25), (40, 0.45)):
+        base = rng.integers(0, 2**63, 200, np.uint64)
+        for _ in range(size):
+            h = base.copy()
+            changed = rng.random(200) < share * rng.random()
+            h[changed] = rng.integers(0, 2**63, changed.sum(), np.uint64)
+            sets.append(np.sort(h))
+    fps = np.array([simhash.wide_bits(h) for h in sets])
+    keys = [set(simhash.dealt_by(h, f).tolist()) for h, f in zip(sets, fps, strict=True)]
+    near = ((fps[:, None, :64] != fps[None, :, :64]).sum(axis=2) <= simhash.NEAR_FIRST) & ((fps[:, None, :192] != fps[None, :, :192]).sum(axis=2) <= simhash.NEAR)
+    want = _groups(((i, j) for i in range(len(sets)) for j in range(i) if near[i, j] and keys[i] & keys[j]), len(sets))
+    assert 3 < len(set(want)) < 100 and not near[300:360, 300:360].all()
+    rows = [(i, np.packbits(f[:192]).view(np.int64).tolist(), sorted(k)) for i, (f, k) in enumerate(zip(fps, keys, strict=True))]
+    nodes = spark.createDataFrame(rows, "node long, fp array<long>, blocks array<int>")
+    for most in (8192, 100, 16):
+        found = common.stored(simhash.near_links(nodes, most), common.shared_dir(spark))
+        root = {r["node"]: r["root"] for r in common.components(found, common.shared_dir(spark)).collect()}
+        assert [root.get(i, i) for i in range(len(sets))] == want
+        if most > 16:  # in parts of 8 nearly each of the 64 * 38 * 38 / 2 pairs of parts has a link
+            assert found.count() < 10 * len(sets)
+
+    made = {}
+
+    def stored(df, path):
+        out = common.stored(df, path)
+        made[path.rsplit("/", 1)[1]] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    words = [f"w{x}" for x in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(words[:i] + ["changed"] + words[i + 1 :])) for i in range(400)], "doc_id long, text string")
+    for tile in (20, 512):
+        assert len({r["component"] for r in simhash.similar_groups(docs, tile=tile).collect()}) == 1
+        assert made["edges"] < 10 * 400 and made["pairs"] < 2 * 400
+    fps = sorted({(1 << 45) ^ (1 << a) ^ (1 << b) for a in range(22) for b in range(a)} | {1 << 45})
+    assert simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), common.shared_dir(spark), radius=2, most=40).count() < 3 * len(fps)
+
+
 def test_wide_fingerprint_is_the_majority_of_the_hashes(spark):
     h = np.random.default_rng(9).integers(0, 2**63, 600, np.uint64)
     votes, mask = [0] * (simhash.BLOCKS * simhash.STEP), 2**64 - 1
